@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.llm import bpe, token_count
+from leadline.llm import bpe, jaccard_join, ppm, token_count
 from leadline.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"), learn="fold != 1")
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False, with_text=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -25,6 +33,8 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
+        "op6_ppm_scores": op6_ppm_scores,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
     }
 
