@@ -1,19 +1,19 @@
 """Scoring by prediction by partial matching over bytes, beside a word unigram base.
 
-The model is a byte-context trie of order 4: for each context of up to four symbols, the counts of the
+The model is a byte-context trie of order 5: for each context of up to five symbols, the counts of the
 symbols that follow. Symbols are bytes and a boundary that stands before and after each text. Escape is
 estimated by method C: a context seen T times with D different symbols escapes with D / (T + D). After an
 escape, the symbols of the context that was left are excluded in the shorter one; below the empty
 context, what is left of the alphabet is uniform. A text's code length is the sum over its symbols,
 its end included, so that the probabilities of all texts add up to one.
 
-The trie is counted over all training texts: each task reduces its texts to distinct 5-grams, Spark sums
+The trie is counted over all training texts: each task reduces its texts to distinct 6-grams, Spark sums
 these by key. Since symbols that follow a context also follow its suffixes, what must be excluded is
 known from the context that was left alone, so every escape's cost is worked out once for each context
-and scoring is a lookup by whole arrays: mostly one, in the table of 5-grams.
+and scoring is a lookup by whole arrays: mostly one, in the table of 6-grams.
 
 A trie beyond ``MOST_NODES`` is scored in shards by the two symbols before the one coded, which decide
-all contexts of order 2 to 4; orders 0 and 1 (at most 257 * 258 counts) go to every shard. So what is
+all contexts of order 2 to 5; orders 0 and 1 (at most 257 * 258 counts) go to every shard. So what is
 broadcast has a known bound, at any size, and no node is pruned.
 
 Word counts for the base: words that are frequent enough to number at most ``MOST_WORDS`` are
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from leadline.llm.common import fold_of, session, text_rows, written
 from leadline.llm.words import STRETCH, mix, text_bytes, words_of
 
-ORDER, EDGE, BITS = 4, 256, 9
+ORDER, EDGE, BITS = 5, 256, 9
 ALPHABET = 257
-#: Largest number of 5-grams in a shard of the trie, and of words in the broadcast part of the word counts.
-MOST_NODES, MOST_WORDS = 1 << 21, 1 << 20
+#: Largest number of 6-grams in a shard of the trie, and of words in the broadcast part of the word counts.
+MOST_NODES, MOST_WORDS = 1 << 22, 1 << 20
 
 
 def _mask(symbols: int) -> np.uint64:
@@ -45,7 +45,7 @@ def _mask(symbols: int) -> np.uint64:
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, keys, offsets): the 5-gram keys of texts lo to hi - 1; a long text comes in several parts."""
+    """(lo, hi, keys, offsets): the 6-gram keys of texts lo to hi - 1; a long text comes in several parts."""
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = lo + 1
@@ -108,7 +108,7 @@ class Tally:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """kind (0: word, 1: 5-gram), key and count from each task's texts."""
+    """kind (0: word, 1: 6-gram), key and count from each task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, nodes = Tally(), Tally()
@@ -163,7 +163,7 @@ class Model:
     """Costs of escapes and symbols, in log10, for the contexts of one shard."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray):
-        """keys, counts: the shard's 5-grams; low: all pairs of symbols, which give orders 0 and 1."""
+        """keys, counts: the shard's 6-grams; low: all pairs of symbols, which give orders 0 and 1."""
         grams = {ORDER: (keys, counts)}
         for k in range(ORDER - 1, -1, -1):
             src = grams[k + 1] if k >= 2 else (low_keys, low_counts)
@@ -192,8 +192,8 @@ class Model:
                 self.share[k] = t_left + d_left
                 self.pass_on[k] = np.where(d_left > 0, -np.log10(np.maximum(d_left, 1) / np.maximum(t_left + d_left, 1)), 0.0)
         self.rest = np.log10(ALPHABET - len(grams[0][0])) if len(grams[0][0]) < ALPHABET else 0.0
-        t4 = self.total[ORDER][self.context[ORDER].find(keys >> np.uint64(BITS))] if len(keys) else np.empty(0)
-        self.best = -np.log10(counts / t4) if len(keys) else np.empty(0)
+        top = self.total[ORDER][self.context[ORDER].find(keys >> np.uint64(BITS))] if len(keys) else np.empty(0)
+        self.best = -np.log10(counts / top) if len(keys) else np.empty(0)
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Code length of each symbol in its context."""
@@ -240,7 +240,7 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shards(nodes: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Ranges of the two symbols before the coded one, each with at most ``most`` 5-grams unless it is one pair."""
+    """Ranges of the two symbols before the coded one, each with at most ``most`` 6-grams unless it is one pair."""
     pair = F.shiftright(F.col("key"), BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
     out, size = [[0, -1]], 0
     for p, n in sorted((r.p, r.n) for r in nodes.groupBy(pair.alias("p")).agg(F.count("*").alias("n")).collect()):  # 257 * 257 rows at most
