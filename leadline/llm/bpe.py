@@ -18,8 +18,10 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -33,7 +35,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Characters of text handled at a time.
 WINDOW = 1 << 16
 #: Pieces kept in a worker's table, and the longest of them in bytes.
-TABLE_PIECES, TABLE_BYTES = 200_000, 64
+TABLE_PIECES, TABLE_BYTES = 400_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,6 +69,7 @@ class Merges:
                 self.pairs.append((a, b, c))
         self.special = {t["content"]: t["id"] for t in doc.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = defaultdict(bytes, self.bytes_of)
         self.longest = max(map(len, self.bytes_of.values()))
         self.lookahead = sufficient_lookahead(self.pairs, {i: len(b) for i, b in self.bytes_of.items()})
 
@@ -167,9 +170,13 @@ def _ranges(chars: list[str]) -> str:
     return "".join(f"{a}-{b}" for a, b in ends)
 
 
+#: Bytes that no UTF-8 form of a character from U+0540 on begins with.
+_LOW = bytes(range(0xD5))
+
+
 def pattern_for(text: str) -> regex.Pattern:
     plain, strict, odd = _pieces()
-    return plain if text.isascii() or odd is None or not odd.search(text) else strict
+    return plain if odd is None or text.isascii() or not text.encode().translate(None, _LOW) or not odd.search(text) else strict
 
 
 def spans_of_special(text: str, special: Iterable[str]) -> Iterator[tuple[str, bool]]:
@@ -232,26 +239,34 @@ def _whole(pattern: regex.Pattern, text: str, at: int, end: int) -> bool:
     return not text[end - 1].isspace()
 
 
+class Pieces(dict):
+    """What a function gives for whole pieces; short ones are kept, up to a bound."""
+
+    def __init__(self, of: Callable[[bytes], object]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, piece: str):
+        data = piece.encode()
+        out = self.of(data)
+        if len(data) <= TABLE_BYTES:
+            if len(self) >= TABLE_PIECES:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Encoder:
-    """The transducer: feed() takes parts of one text's ordinary stretch, finish() closes it; both give ids."""
+    """The transducer: parts of a text go in, ids come out as they are settled."""
 
-    def __init__(self, m: Merges, table: dict[str, list[int]] | None = None):
-        self.m, self.table, self.open = m, {} if table is None else table, b""
+    def __init__(self, m: Merges, table: Pieces | None = None):
+        self.m, self.open = m, b""
         self.hold = 4 * (m.lookahead + m.longest)
+        self.table = Pieces(self.whole) if table is None else table
 
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a whole piece."""
-        ids = self.table.get(piece)
-        if ids is None:
-            data = piece.encode()
-            if len(data) > self.hold:
-                return [*self._feed(data), *self._end()]
-            ids = self.m.merge(data)
-            if len(data) <= TABLE_BYTES:
-                if len(self.table) >= TABLE_PIECES:
-                    self.table.clear()
-                self.table[piece] = ids
-        return ids
+    def whole(self, data: bytes) -> tuple[int, ...]:
+        """Ids of a whole piece; a long one goes through the window."""
+        return tuple(self.m.merge(data)) if len(data) <= self.hold else (*self._feed(data), *self._end())
 
     def _feed(self, data: bytes) -> Iterator[int]:
         """Takes bytes of an open piece and gives the ids that are settled."""
@@ -281,11 +296,7 @@ class Encoder:
                 continue
             for got in closed_windows(part, pattern):
                 if isinstance(got, list):
-                    table, piece = self.table, self.piece
-                    out: list[int] = []
-                    for p in got:
-                        out += table[p] if p in table else piece(p)
-                    yield out
+                    yield [*chain.from_iterable(map(self.table.__getitem__, got))]
                 elif got:
                     yield list(self._feed(got.encode()))
                 else:
@@ -293,15 +304,14 @@ class Encoder:
 
 
 class Decoder:
-    """Ids to text: a machine whose state is an unfinished UTF-8 sequence."""
+    """Ids to text: a machine whose state is an unfinished UTF-8 sequence. Ids that the vocabulary lacks give nothing."""
 
     def __init__(self, m: Merges):
         self.bytes_of = m.bytes_of
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
-        of = self.bytes_of
-        return self.machine.decode(b"".join([of[i] for i in ids if i in of]))
+        return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
 
     def finish(self) -> str:
         return self.machine.decode(b"", final=True)
@@ -321,7 +331,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(tokenizer)
-        table: dict[str, list[int]] = {}
+        table = Encoder(m).table
         names = [str(i) for i in range(max(m.bytes_of) + 1)]
         for batch in batches:
             out: list[tuple] = []
@@ -331,7 +341,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 for part in encoder.encode(value.as_py() or ""):
                     if not part:
                         continue
-                    ids_hash.update(("," * (n > 0) + ",".join([names[i] for i in part])).encode())
+                    ids_hash.update(("," * (n > 0) + ",".join(map(names.__getitem__, part))).encode())
                     n += len(part)
                     text_hash.update((got := decoder.feed(part)).encode())
                     if with_ids:

@@ -11,11 +11,13 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leadline.llm.bpe import TABLE_BYTES, TABLE_PIECES, Merges, closed_windows, merges, pattern_for, spans_of_special
+from leadline.llm.bpe import Merges, Pieces, closed_windows, merges, pattern_for, spans_of_special
 from leadline.llm.common import id_type, session, text_rows
 
 
@@ -49,18 +51,7 @@ class Counts:
     """Token counts of texts, with a bounded table of pieces."""
 
     def __init__(self, m: Merges):
-        self.m, self.table = m, {}
-
-    def piece(self, piece: str) -> int:
-        n = self.table.get(piece)
-        if n is None:
-            data = piece.encode()
-            n = merged_count(self.m, data)
-            if len(data) <= TABLE_BYTES:
-                if len(self.table) >= TABLE_PIECES:
-                    self.table.clear()
-                self.table[piece] = n
-        return n
+        self.m, self.table = m, Pieces(partial(merged_count, m))
 
     def text(self, text: str) -> int:
         total, pattern = 0, pattern_for(text)
@@ -71,8 +62,8 @@ class Counts:
             long: list[str] = []
             for got in closed_windows(part, pattern):
                 if isinstance(got, list):
-                    piece = self.piece
-                    total += sum([piece(p) * n for p, n in Counter(got).items()])
+                    seen = Counter(got)
+                    total += sum(map(mul, map(self.table.__getitem__, seen), seen.values()))
                 elif got:
                     long.append(got)
                 else:
