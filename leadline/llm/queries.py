@@ -7,16 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.llm import bpe, jaccard_join, ppm, token_count
+from leadline.llm import bpe, decontam, jaccard_join, ppm, quality, secret_scan, token_count
 from leadline.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels"), learn="fold != 0"), threshold=0.3)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), RANKS).drop("redacted")
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(table(spark, sf_dir, "documents"), learn="fold != 1")
 
@@ -32,7 +47,10 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_secrets": op2_secrets,
         "op3_token_counts": op3_token_counts,
+        "op5_decontamination": op5_decontamination,
         "op6_ppm_scores": op6_ppm_scores,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
