@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.llm import bpe, decontam, jaccard_join, ppm, quality, secret_scan, token_count
+from leadline.llm import bpe, decontam, fingerprint, jaccard_join, license_scan, ppm, quality, secret_scan, token_count
 from leadline.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,17 +49,23 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_secrets": op2_secrets,
         "op3_token_counts": op3_token_counts,
+        "op4_licenses": op4_licenses,
         "op5_decontamination": op5_decontamination,
         "op6_ppm_scores": op6_ppm_scores,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_licenses": license_scan.oracle()}
