@@ -194,6 +194,26 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list, list[str
             yield [r.item_id for r in rows], [r.text for r in rows]
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def clean_texts(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows, with all their columns, in whose text no passage occurs (as in ``contaminated``); nothing is shuffled."""
+    spark = session(docs)
+    out = docs
+    for ids, texts in _blocks(_items(benchmark, item_col, item_text_col), block_chars):
+        passages = spark.sparkContext.broadcast(Passages(ids, texts, q, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not passages.value.find(v.as_py() or "") for v in batch.column(text_col)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The passages that occur in each whole text with at most rate * length edits.
 
@@ -206,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     """
     spark = session(docs)
     rows = text_rows(docs, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
+    items = _items(benchmark, item_col, item_text_col)
     kinds = (id_type(rows), id_type(items, "item_id"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, start_char long, end_char long"
     found = [_found(rows, spark.sparkContext.broadcast(Passages(ids, texts, q, rate)), schema) for ids, texts in _blocks(items, block_chars)]

@@ -222,3 +222,17 @@ def quality_scores(docs: DataFrame, classifier: Classifier, threshold: float = 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {id_type(rows)}, held_out boolean, score double, predicted int")
+
+
+def good_texts(docs: DataFrame, classifier: Classifier, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least the threshold; nothing is shuffled."""
+    session(docs)
+    model = docs.sparkSession.sparkContext.broadcast(classifier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = model.value
+        for batch in batches:
+            keep = [c.score(x) >= threshold for x in features_of(batch.column(text_col))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.llm import bpe, decontam, fingerprint, jaccard_join, license_scan, ppm, quality, secret_scan, token_count
+from leadline.llm import bpe, decontam, fingerprint, jaccard_join, license_scan, ppm, quality, quotes, secret_scan, token_count
 from leadline.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,11 +44,41 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reached r JOIN ends e ON r.y = e.x)
+SELECT r.x AS doc_id, any_value(n) AS n_shingles, min(r.y) AS component_id FROM reached r JOIN sizes ON sizes.doc_id = r.x GROUP BY r.x
+"""
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False, with_text=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns, posed as replies by mail with nested quotations, are taken apart and linked again."""
+    return quotes.link_quotes(quotes.as_mail(table(spark, sf_dir, "conversations"))).drop("n_quoted", "n_linked")
+
+
+OP9_SQL = """
+SELECT conv_id, turn, role, lag(turn) OVER w AS parent_turn, min(turn) OVER (PARTITION BY conv_id) AS root_turn,
+  row_number() OVER w - 1 AS depth, row_number() OVER w - 1 AS position, trim(text) AS text
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+"""
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -63,9 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ppm_scores": op6_ppm_scores,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
+        "op9_quote_linking": op9_quote_linking,
         "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": license_scan.oracle()}
+    return {"op4_licenses": license_scan.oracle(), "op7_ngram_jaccard": OP7_SQL, "op9_quote_linking": OP9_SQL}

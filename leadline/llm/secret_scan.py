@@ -122,3 +122,33 @@ def find_secrets(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
 
     return rows.mapInArrow(run, f"doc_id {id_type(rows)}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string")
+
+
+def without_secrets(docs: DataFrame, vocabulary_path: str, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """The rows, with all their columns, each secret in the text replaced by a mark and the length column kept true.
+
+    A null text stays null; rows without a span are unchanged.
+    """
+    session(docs)
+    names = docs.columns
+    at_text, at_length = names.index(text_col), names.index(length_col) if length_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = vocabulary(vocabulary_path)
+        for batch in batches:
+            texts, changed = [], {}
+            for k, value in enumerate(batch.column(at_text)):
+                text = value.as_py()
+                base = base_spans(text or "")
+                spans = base + random_spans(text or "", encoding, base)
+                if spans:
+                    text = changed[k] = redacted(text, spans, mark)
+                texts.append(text)
+            columns = [*batch.columns]
+            if changed:
+                columns[at_text] = pa.array(texts, columns[at_text].type)
+                if at_length is not None:
+                    columns[at_length] = pa.array([len(changed[k]) if k in changed else n for k, n in enumerate(columns[at_length].to_pylist())], columns[at_length].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
