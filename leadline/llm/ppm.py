@@ -81,48 +81,53 @@ def _keys(sym: np.ndarray) -> np.ndarray:
 
 
 class Tally:
-    """Counts of 64-bit keys; repeats are merged as they pile up."""
-
-    def __init__(self, most: int = 1 << 22):
-        self.keys, self.counts, self.waiting, self.most = [], [], 0, most
-
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.waiting += len(k)
-        if self.waiting > self.most:
-            self.merge()
-            self.most = max(self.most, 2 * self.waiting)
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        self.keys, self.counts, self.waiting = [keys], [counts], len(keys)
-        return keys, counts
+    """Counts of 64-bit keys. Repeats are merged as they pile up; past ``most`` different keys, counts are given out."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.raw, self.waiting, self.most = [], 0, most
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.raw.append(keys)
+        self.waiting += len(keys)
+        if self.waiting < self.most:
+            return None
+        self.merge()
+        return self.take() if len(self.keys) >= self.most else None
+
+    def merge(self) -> None:
+        if self.raw:
+            k, c = np.unique(np.concatenate(self.raw), return_counts=True)
+            self.raw, self.waiting = [], 0
+            self.keys, self.counts = _summed(np.concatenate([self.keys, k]), np.concatenate([self.counts, c]))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        out = self.keys, self.counts
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        return out
 
 
 def _counted(rows: DataFrame) -> DataFrame:
     """kind (0: word, 1: 6-gram), key and count from each task's texts."""
 
+    def rows_of(kind: int, got: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        keys, counts = got or ((), ())
+        for k in range(0, len(keys), 1 << 16):
+            own = keys[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int8)), pa.array(own.view(np.int64)), pa.array(counts[k : k + (1 << 16)].astype(np.int64))], ["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _models.clear()
         words, nodes = Tally(), Tally()
         for batch in batches:
             column = batch.column("text")
             for _, _, h, _ in words_of(column):
-                words.add(h)
+                yield from rows_of(0, words.add(h))
             for _, _, keys, _ in grams_of(*text_bytes(column)):
-                nodes.add(keys)
-        for kind, tally in enumerate((words, nodes)):
-            keys, counts = tally.merge()
-            for k in range(0, len(keys), 1 << 16):
-                own = keys[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int8)), pa.array(own.view(np.int64)), pa.array(counts[k : k + (1 << 16)].astype(np.int64))], ["kind", "key", "n"])
+                yield from rows_of(1, nodes.add(keys))
+        yield from rows_of(0, words.take())
+        yield from rows_of(1, nodes.take())
 
     return rows.mapInArrow(run, "kind byte, key long, n long")
 
@@ -193,12 +198,13 @@ class Model:
                 self.pass_on[k] = np.where(d_left > 0, -np.log10(np.maximum(d_left, 1) / np.maximum(t_left + d_left, 1)), 0.0)
         self.rest = np.log10(ALPHABET - len(grams[0][0])) if len(grams[0][0]) < ALPHABET else 0.0
         top = self.total[ORDER][self.context[ORDER].find(keys >> np.uint64(BITS))] if len(keys) else np.empty(0)
-        self.best = -np.log10(counts / top) if len(keys) else np.empty(0)
+        self.best = (-np.log10(counts / top) if len(keys) else np.empty(0)).astype(np.float32)
+        del self.count[ORDER], self.total[ORDER]
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Code length of each symbol in its context."""
         at = self.gram[ORDER].find(keys)
-        out = self.best[at] if len(self.best) else np.zeros(len(keys))
+        out = self.best[at].astype(np.float64) if len(self.best) else np.zeros(len(keys))
         open_ = np.flatnonzero(at < 0)
         key = keys[open_]
         cost = np.zeros(len(key))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time. A single word longer than this makes its own stretch.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
