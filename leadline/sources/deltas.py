@@ -20,7 +20,7 @@ def flatten(messages: DataFrame, received_ms: Column | None = None) -> DataFrame
     or type of the old form, else unknown. A time that is missing or can't be read is the time of receipt.
     """
     u = messages.select("context", F.explode("updates").alias("u")).filter(F.size(F.coalesce("u.values", F.array().cast(_UPDATE["values"].dataType))) > 0)
-    v = u.select("context", "u", F.explode("u.values").alias("v")).filter(~F.coalesce("v.timedOut", F.lit(False)))
+    v = u.select("context", "u", F.explode("u.values").alias("v")).filter(~F.coalesce("v.state.timedOut", F.lit(False)))
     filled = lambda x: F.nullif(x, F.lit(""))
     source = F.coalesce(filled(F.col("u.`$source`")), filled(F.col("u.source.label")), filled(F.col("u.source.src")), filled(F.col("u.source.type")), F.lit("unknown"))
     now = F.unix_millis(F.current_timestamp()) if received_ms is None else received_ms
