@@ -101,13 +101,13 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     votes = traced.filter("source is not null").groupBy("conv_id", "turn", "level", "source").agg(F.sum("chars").alias("chars"))
     parents = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "chars", "source"))["source"].alias("parent_turn"))
     nodes = written(known.select("conv_id", "turn").distinct().join(parents, ["conv_id", "turn"], "left").join(counts, ["conv_id", "turn"], "left"), "nodes")
-    # root and depth: each node's pointer goes to its pointer's pointer until all point at roots
-    at = written(nodes.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("depth")), "pointers")
-    while True:
-        up = at.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("next"), F.col("depth").alias("more")).filter("more > 0")
-        if not at.join(up, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t")), "left_semi").limit(1).count():
-            break
-        at = written(at.join(up, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t")), "left").select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "pointers")
+    # root and depth: a pointer goes to its pointer's pointer until it is at a root; only those that aren't there yet are joined
+    at = written(nodes.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("depth"), F.col("parent_turn").isNull().alias("done")), "pointers")
+    while at.filter("not done").limit(1).count():
+        above = at.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = at.filter("not done").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        at = written(at.filter("done").unionByName(moved), "pointers")
+    at = at.drop("done")
     # places: ranks within steps of turns, after the threads' counts of earlier steps
     placed = at.withColumnRenamed("up", "root_turn").withColumn("step", F.floor(F.col("turn") / STEP))
     steps = placed.groupBy("conv_id", "root_turn", "step").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id", "root_turn").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
