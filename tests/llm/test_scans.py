@@ -1,0 +1,122 @@
+"""Secrets, licences and benchmark passages against plain versions."""
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+
+from leadline.llm import decontam, license_scan, secret_scan
+from leadline.llm.queries import RANKS
+
+RNG = random.Random(8)
+
+
+def test_base_spans_follow_their_patterns():
+    t = "token=abc Token = 'longenough1' passwd:\"x\" API_KEY: abcd/efgh+ AKIAABCDEFGHIJKL AKIAx " + "0" * 31 + " " + "f" * 40 + " ſecret=abcdefgh1"
+    got = [(k, t[s:e]) for k, s, e in secret_scan.base_spans(t)]
+    assert ("assign", "Token = 'longenough1") in got and ("assign", "API_KEY: abcd/efgh+") in got
+    assert ("access", "AKIAABCDEFGHIJKL") in got and ("hex", "f" * 40) in got
+    assert len(got) == 4
+
+
+def test_one_failing_match_takes_its_text():
+    t = "token=token=abcdefgh secret=ab secret=abcdefgh"
+    assert [(s, e) for _, s, e in secret_scan.base_spans(t)] == [(m.start(), m.end()) for m in secret_scan.ASSIGN.finditer(t) if len(m[2]) >= 8]
+
+
+def test_random_strings_are_dear_and_names_are_not():
+    enc = secret_scan.vocabulary(RANKS)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    found = sum(bool(secret_scan.random_spans("a " + "".join(RNG.choices(letters, k=RNG.randint(20, 60))) + " b", enc, [])) for _ in range(300))
+    assert found >= 295
+    for name in ("a_very_long_function_name_2", "org/example/project/SomeClassName", "0123456789012345678901234", "thequickbrownfoxjumpsoverthelazydog", hashlib.sha1(b"x").hexdigest(), hashlib.sha256(b"x").hexdigest(), "123e4567-e89b-12d3-a456-426614174000", "sha256-" + "q83vEjRWeJq83vEjRWeJq83vEjRWeJq83vEjRWeJq80="):
+        assert not secret_scan.random_spans(name, enc, []), name
+
+
+def test_secret_frames(spark):
+    key = "xK3pQ9vL2mZ8tR5wY7bN4c"
+    docs = spark.createDataFrame([(1, f"see {key} there", 3, "a"), (2, None, 0, None), (None, "", 0, "b"), (4, "password: hunter2hunter2", 24, "c")], "doc_id long, text string, n_chars long, spans string")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(docs, RANKS, with_text=True).collect()}
+    assert got[1].spans == f"random:4:{4 + len(key)}" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and got[1].redacted == "see [secret] there"
+    assert got[4].n_assign == 1 and got[2].spans == "" and got[None].n_hex == 0
+    masked = {r.doc_id: r for r in secret_scan.without_secrets(docs, RANKS).collect()}
+    assert masked[1].text == "see [secret] there" and masked[1].n_chars == len(masked[1].text) and masked[2].text is None and masked[None].n_chars == 0
+    assert masked[1].spans == "a"
+    assert secret_scan.find_secrets(docs.limit(0), RANKS).count() == 0
+
+
+def test_redaction_of_overlaps():
+    assert secret_scan.redacted("abcdefghij", [("hex", 2, 5), ("assign", 1, 4), ("hex", 7, 8)], "*") == "a*fg*ij"
+
+
+def test_licences(spark):
+    mit = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + license_scan.LICENCES["MIT"].upper().replace("SUBLICENSE", "sublicence").replace("\n", "\n\n   ")
+    rows = [(1, mit), (2, "words\nReleased under the  mit LICENCE!\nmore\n  licensed under the Apache License, version 2.0"), (3, None), (None, ""), (5, "MIT-like words"), (1, mit)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, notices string")
+    got = license_scan.scan_licences(docs).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 6 and by[1].license_id == "MIT" and by[1].n_notices == 0
+    assert by[2].notices == "Apache-2.0,MIT" and by[2].license_id is None
+    assert by[3].canonical_sha256 == by[None].canonical_sha256 == hashlib.sha256(b"").hexdigest()
+    assert by[5].license_id is None and by[5].n_notices == 0
+    assert license_scan.scan_licences(docs.limit(0)).count() == 0
+
+
+def edits_within(p: str, t: str) -> int:
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p):
+        new = [i + 1]
+        for j, c in enumerate(t):
+            new.append(min(row[j] + (a != c), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def words(n: int) -> str:
+    parts = "the er in an on th re ed nd ou ti es at ha or to it st en".split()
+    return " ".join("".join(RNG.choices(parts, k=RNG.randint(1, 4))) for _ in range(n))
+
+
+def test_passages_within_the_budget_are_found_and_no_others():
+    items = [words(RNG.randint(8, 40)) for _ in range(25)]
+    index = decontam.Passages(list(range(25)), items, decontam.Q, decontam.RATE)
+    fold = lambda s: "".join(map(chr, decontam.folded(s)))
+    for _ in range(60):
+        k = RNG.randrange(25)
+        t = list(items[k])
+        for _ in range(RNG.randint(0, int(len(t) * 0.13))):
+            i = RNG.randrange(len(t))
+            t[i : i + RNG.randint(0, 1)] = RNG.choice(["x", "", "q", " "])
+        text = words(RNG.choice([0, 5, 60])) + "".join(t).upper() + words(RNG.choice([0, 5, 60]))
+        got = {p: e for p, e, _, _ in index.find(text)}
+        for p, item in enumerate(items):
+            least = edits_within(fold(item), fold(text))
+            assert (p in got) == (least <= index.edits[p]), (p, k)
+            if p in got:
+                assert got[p] == least
+
+
+def test_long_texts_are_read_in_windows(monkeypatch):
+    monkeypatch.setattr(decontam, "WINDOW", 500)
+    item = words(30)
+    index = decontam.Passages([1], [item], decontam.Q, decontam.RATE)
+    for before in range(380, 560, 9):
+        text = "z" * before + item + "y" * 700
+        assert index.find(text) == [(0, 0, before, before + len(item))]
+
+
+def test_passage_frames(spark):
+    item = words(30)
+    docs = spark.createDataFrame([(1, "a " + item + " b", "x"), (2, None, "y"), (3, words(50), None), (None, item.upper(), "z"), (1, "a " + item + " b", "x")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(10, item, 0), (11, None, 0), (12, "tiny", 0), (None, "", 1)], "item_id long, text string, doc_id int")
+    got = sorted((str(r.doc_id), r.item_id, r.edits, r.start_char) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [("1", 10, 0, 2), ("1", 10, 0, 2), ("None", 10, 0, 0)]
+    assert sorted(str(r.doc_id) for r in decontam.clean_texts(docs, bench).collect()) == ["2", "3"]
+    for blocks in (1, 50):
+        assert decontam.contaminated(docs, bench, block_chars=blocks).count() == 3
+    assert decontam.contaminated(docs, bench.limit(0)).count() == decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_vocabulary_is_the_public_one():
+    assert re.search(r"byte_bpe_50k\.tiktoken$", RANKS) and RANKS == public_tokenizers.path("byte_bpe_50k.tiktoken")
