@@ -35,7 +35,9 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], reach_ms: int | Co
     order = Window.partitionBy(*keys).orderBy("_t", "_side", "_right")
     both = tag.unionByName(other)
     both = both.withColumn("_before", F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # looking ahead is looking back in the reverse order: a frame that grows costs a row each, one that shrinks all that are left
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_after", F.last("_right", ignorenulls=True).over(back))
     return both.filter("_side = 0").select("_left.*", F.col("_before").alias("before"), F.col("_after").alias("after"))
 
 

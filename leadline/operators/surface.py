@@ -53,7 +53,8 @@ def cell_clusters(passes: DataFrame, config: Config) -> DataFrame:
     """One row a cell: its passes by depth (array) and its clusters (array of k, centre_m, n, oldest_ms, newest_ms, passes)."""
     item = F.struct("depth_m", "pass_id", "within_m", "oldest_ms", "newest_ms")
     cells = passes.groupBy(*CELL).agg(F.array_sort(F.collect_list(item)).alias("passes"))
-    cells = cells.withColumn("starts", cluster_starts(F.transform("passes", lambda p: p["depth_m"]), config.outlier_floor_m))
+    # a column of its own, so that the fold doesn't make the array anew at each step
+    cells = cells.withColumn("depths", F.transform("passes", lambda p: p["depth_m"])).withColumn("starts", cluster_starts(F.col("depths"), config.outlier_floor_m))
 
     def cluster(s: Column, k: Column) -> Column:
         end = F.coalesce(F.get("starts", k + 1), F.size("passes"))
@@ -105,8 +106,10 @@ def choose(cells: DataFrame, config: Config, previous: DataFrame | None = None)
 
 def _parts(chosen: DataFrame) -> DataFrame:
     """Each pass of each cell: whether it is of the active cluster, and of the one that controls uncertainty."""
-    p = chosen.select(*CELL, F.col("active.k").alias("_a"), F.coalesce("shallow.k", "active.k").alias("_u"), F.explode("clusters").alias("c"))
-    return p.select(*CELL, (F.col("c.k") == F.col("_a")).alias("is_active"), (F.col("c.k") == F.col("_u")).alias("is_uncertain"), F.explode("c.passes.pass_id").alias("pass_id"))
+    # made in one piece: explode upon explode has the clusters worked out again for each of them
+    members = F.flatten(F.transform("clusters", lambda c: F.transform(c["passes"], lambda p: F.struct(p["pass_id"].alias("pass_id"), c["k"].alias("k")))))
+    p = chosen.select(*CELL, F.col("active.k").alias("_a"), F.coalesce("shallow.k", "active.k").alias("_u"), F.explode(members).alias("m"))
+    return p.select(*CELL, (F.col("m.k") == F.col("_a")).alias("is_active"), (F.col("m.k") == F.col("_u")).alias("is_uncertain"), "m.pass_id")
 
 
 def classify(soundings: DataFrame, config: Config, previous: DataFrame | None = None) -> DataFrame:
@@ -199,11 +202,15 @@ def with_neighbours(cells: DataFrame, config: Config) -> DataFrame:
 
     Strong: 3 observations, 2 passes and a confidence of 0.55 at least. All cells count, whatever is shown of them.
     """
-    strong = cells.filter("observation_count >= 3 and pass_count >= 2 and confidence >= 0.55")
-    sent = strong.select("datum", "robust_m", F.explode(neighbour_cells("cell_x", "cell_y")).alias("n")).select(F.col("n.x").alias("cell_x"), F.col("n.y").alias("cell_y"), "datum", "robust_m")
+    strong = (F.col("observation_count") >= 3) & (F.col("pass_count") >= 2) & (F.col("confidence") >= 0.55)
+    # each cell goes to its own key, a strong one's depth to its six neighbours' as well: one pass, no self-join
+    own = F.struct(F.col("cell_x").alias("x"), F.col("cell_y").alias("y"))
+    to = F.concat(F.array(own), F.when(strong, neighbour_cells("cell_x", "cell_y")).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>")))
+    sent = cells.select("datum", F.struct(*cells.columns).alias("cell"), F.posexplode(to).alias("n", "to"))
+    here = sent.groupBy(F.col("to.x").alias("to_x"), F.col("to.y").alias("to_y"), F.col("datum").alias("to_datum"))
     # six values at most
-    local = sent.groupBy(*CELL).agg(F.collect_list("robust_m").alias("around"))
-    out = cells.join(local, CELL, "left").withColumn("support", F.coalesce(F.size("around"), F.lit(0)))
+    out = here.agg(F.first(F.when(F.col("n") == 0, F.col("cell")), ignorenulls=True).alias("cell"), F.collect_list(F.when(F.col("n") > 0, F.col("cell.robust_m"))).alias("around"))
+    out = out.filter("cell is not null").select("cell.*", "around").withColumn("support", F.size("around"))
     weak = (F.col("support") >= 2) & ((F.col("observation_count") <= 2) | (F.col("pass_count") <= 1))
     delta = F.when(weak, F.abs(F.col("robust_m") - median("around")))
     tolerance = F.greatest(F.lit(1.5 * config.outlier_floor_m), F.lit(1.5) * robust_sigma("around"))
