@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -339,7 +340,26 @@ def affected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.affected_cells(s.filter(F.col("observed_at_ms") >= CUT), s.filter("id % 50 = 0"))
 
 
-@query()
+def _of_first(sql: str) -> str:
+    """The same CTEs over the soundings before the cut, under other names."""
+    return re.sub(r"\b(soundings|p0|p1|passes|cell_lists|runs|ranked|assigned|c0|clusters|act|sha|dee|chosen)\b", r"first_\1", sql)
+
+
+_KEY = "(cell_x, cell_y, datum)"
+_AGAIN = f"""WITH RECURSIVE {SOUNDINGS}, {PASSES}, {CLUSTERS}, first_soundings AS (SELECT * FROM soundings WHERE observed_at_ms < {CUT}), {_of_first(PASSES)}, {_of_first(CLUSTERS)}, {_of_first(CHOSEN)},
+prior AS (SELECT cell_x, cell_y, datum, {milli("robust_m")} AS robust_depth_mm, change_state FROM first_chosen),
+touched AS (SELECT DISTINCT cell_x, cell_y, tide_datum AS datum FROM soundings WHERE observed_at_ms >= {CUT}),
+b AS (SELECT c.*, n >= 3 AND newest_ms - oldest_ms >= 2 * 86400000 AS sound, p.robust_depth_mm / 1000.0 AS before_m FROM clusters c JOIN touched USING {_KEY} LEFT JOIN prior p USING {_KEY}),
+fresh AS (SELECT * FROM b WHERE before_m IS NULL QUALIFY row_number() OVER (PARTITION BY cell_x, cell_y, datum ORDER BY n DESC, newest_ms DESC, k) = 1),
+base AS (SELECT * FROM b WHERE before_m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cell_x, cell_y, datum ORDER BY abs(centre_m - before_m), k) = 1),
+newer AS (SELECT b.* FROM b JOIN base a USING {_KEY} WHERE b.k <> a.k AND b.newest_ms > a.newest_ms AND b.sound QUALIFY row_number() OVER (PARTITION BY cell_x, cell_y, datum ORDER BY b.newest_ms DESC, b.k) = 1),
+now AS (SELECT * FROM fresh UNION ALL SELECT * FROM newer UNION ALL SELECT a.* FROM base a ANTI JOIN newer USING {_KEY}),
+around AS (SELECT {_KEY[1:-1]}, bool_or(b.centre_m < a.centre_m - 0.5) AS shallow, bool_or(b.newest_ms > a.newest_ms AND b.centre_m > a.centre_m + 0.5) AS deep FROM b JOIN now a USING {_KEY} WHERE b.k <> a.k GROUP BY ALL)
+SELECT cell_x, cell_y, datum, {milli("centre_m")} AS robust_depth_mm, CASE WHEN abs(centre_m - before_m) >= 0.5 AND sound THEN 'confirmed' WHEN shallow THEN 'suspected_shoaling' WHEN deep THEN 'candidate_deepening' ELSE 'stable' END AS change_state FROM now LEFT JOIN around USING {_KEY}
+UNION ALL SELECT * FROM prior ANTI JOIN touched USING {_KEY}"""
+
+
+@query(_AGAIN)
 def incremental_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surface after two micro-batches, cut in time: confirmed changes depend on the state between them."""
     s = fx.soundings(spark, sf_dir)
