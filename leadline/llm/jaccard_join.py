@@ -209,10 +209,11 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     first = written(_first_pass(rows, words), "sets")
     texts = first.filter("block is null").select("doc_id", "n", "s1", "s2")
     known = texts.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # a table of its own: both sides of the join below are then plain exchanges, and a class of many copies can be split
+    classes = written(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     scale = _frequencies(first)
 
-    members = written(known.join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "s1", "rep").distinct(), "classes")
+    members = written(known.join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "s1", "rep").distinct(), "copies")
     reps = members.select(F.col("rep").alias("doc_id"), "n", "s1").distinct()
     prefix = _prefix_rows(rows, words, percent, scale).dropDuplicates(["doc_id", "s1"]).join(reps, ["doc_id", "n", "s1"], "left_semi")
     postings = written(
