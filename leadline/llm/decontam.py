@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadline.llm.common import id_type, session, text_rows
-from leadline.llm.words import mix
 
 Q, RATE = 8, 0.1
 BLOCK_CHARS = 1 << 21
