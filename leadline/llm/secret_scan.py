@@ -2,8 +2,9 @@
 
 Text that people write is cheap under a byte-pair vocabulary: a token covers about four characters.
 Random strings are dear, under two and a half. Every long run of key characters that no fixed pattern
-took, that isn't a digest of a known length, a UUID or a plain number, and that doesn't fall into
-words, is tokenised; a low ratio of characters to tokens makes it a span of kind ``random``.
+took, that isn't a digest of a known length, a UUID or a plain number, is tokenised; a low ratio of
+characters to tokens makes it a span of kind ``random``. Capitals, signs and numbers are dear too, so a
+run with the shape of a name is spared if its letters, in lower case, are cheap: then they are words.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 LABELLED = re.compile(r"(?:md5|sha(?:1|224|256|384|512))[-_=/][A-Za-z0-9+/_=-]+", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Names: words, capitals and short numbers, joined or not.
-NAME = re.compile(r"(?:[+/_=-]|[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|(?<![0-9])[0-9]{1,4}(?![0-9]))+")
+#: The shape of names: words, capitals and short numbers, joined or not. Each part is taken once, so that no run is split in many ways.
+NAME = re.compile(r"(?:[+/_=-]|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[A-Z]{2,}(?=[A-Z][a-z]{2})|(?<![0-9])[0-9]{1,4}(?![0-9]))++")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NUMBER = re.compile(r"[0-9+/_=-]+")
 
 Span = tuple[str, int, int]
@@ -59,6 +61,12 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=_order)
 
 
+def _is_dear(parts: list[str], encoding: tiktoken.Encoding) -> bool:
+    """Whether the parts have few characters a token, taken together."""
+    tokens = sum(len(encoding.encode_ordinary(p[k : k + SLICE])) for p in parts for k in range(0, len(p), SLICE))
+    return sum(map(len, parts)) < RATIO * tokens
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[Span]) -> list[Span]:
     """Runs with few characters a token that meet none of the taken spans."""
     out = []
@@ -66,10 +74,9 @@ def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[Span]) -> l
         run, (start, end) = m[0], m.span()
         if any(s < end and start < e for _, s, e in taken):
             continue
-        if any(p.fullmatch(run) for p in (DIGEST, UUID, NUMBER, NAME, LABELLED)):
+        if any(p.fullmatch(run) for p in (DIGEST, UUID, NUMBER, LABELLED)):
             continue
-        tokens = sum(len(encoding.encode_ordinary(run[k : k + SLICE])) for k in range(0, len(run), SLICE))
-        if len(run) < RATIO * tokens:
+        if _is_dear([run], encoding) and not (NAME.fullmatch(run) and not _is_dear([w.lower() for w in WORD.findall(run)], encoding)):
             out.append(("random", start, end))
     return out
 

@@ -34,6 +34,18 @@ def test_random_strings_are_dear_and_names_are_not():
         assert not secret_scan.random_spans(name, enc, []), name
 
 
+def test_random_keys_of_the_shape_of_names_are_found():
+    enc = secret_scan.vocabulary(RANKS)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for letters in (lower, lower.upper(), lower + "234567", lower.upper() + "234567", lower + "0123456789", lower.upper() + "0123456789"):
+        for k in (20, 24, 32, 40):
+            keys = ["".join(RNG.choices(letters, k=k)) for _ in range(200)]
+            assert sum(bool(secret_scan.random_spans(f"a {x} b", enc, [])) for x in keys) >= 198, (letters, k)
+    for name in ("MAGIC_PARAM_ENCODING_MAX", "PNG_READ_UNKNOWN_CHUNKS_SUPPORTED", "GL_RENDERBUFFER_DEPTH_SIZE", "HTMLParserOptionsReader", "path/to/file_2024_01_part_03", "AES_256_ENCRYPTION_KEY_LENGTH"):
+        assert not secret_scan.random_spans(name, enc, []), name
+    assert secret_scan.NAME.fullmatch("a" * 5000 + "B" * 5000 + "b1") is None
+
+
 def test_secret_frames(spark):
     key = "xK3pQ9vL2mZ8tR5wY7bN4c"
     docs = spark.createDataFrame([(1, f"see {key} there", 3, "a"), (2, None, 0, None), (None, "", 0, "b"), (4, "password: hunter2hunter2", 24, "c")], "doc_id long, text string, n_chars long, spans string")
