@@ -1,8 +1,8 @@
 """Secrets in whole texts: fixed patterns, and a token-efficiency test for random strings.
 
 Text that people write is cheap under a byte-pair vocabulary: a token covers about four characters.
-Random strings are dear, under two and a half. Every long run of key characters that no fixed pattern
-took, that isn't a digest of a known length, a UUID or a plain number, is tokenised; a low ratio of
+Random strings are dear, under two and a half. Every long run of key characters, or long rest of one
+of which a fixed pattern took a part, that isn't a digest of a known length, a UUID or a plain number, is tokenised; a low ratio of
 characters to tokens makes it a span of kind ``random``. Capitals, signs and numbers are dear too, so a
 run with the shape of a name is spared if its letters, in lower case, are cheap: then they are words.
 """
@@ -67,17 +67,28 @@ def _is_dear(parts: list[str], encoding: tiktoken.Encoding) -> bool:
     return sum(map(len, parts)) < RATIO * tokens
 
 
+def _left(start: int, end: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The stretches between start and end that no taken span covers."""
+    for _, s, e in taken:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[Span]) -> list[Span]:
-    """Runs with few characters a token that meet none of the taken spans."""
+    """Runs, and what the taken spans (by start) leave of runs, with few characters a token."""
     out = []
     for m in RUN.finditer(text):
-        run, (start, end) = m[0], m.span()
-        if any(s < end and start < e for _, s, e in taken):
-            continue
-        if any(p.fullmatch(run) for p in (DIGEST, UUID, NUMBER, LABELLED)):
-            continue
-        if _is_dear([run], encoding) and not (NAME.fullmatch(run) and not _is_dear([w.lower() for w in WORD.findall(run)], encoding)):
-            out.append(("random", start, end))
+        for start, end in _left(*m.span(), taken):
+            run = text[start:end]
+            if len(run) < LEAST_RUN or any(p.fullmatch(run) for p in (DIGEST, UUID, NUMBER, LABELLED)):
+                continue
+            if _is_dear([run], encoding) and not (NAME.fullmatch(run) and not _is_dear([w.lower() for w in WORD.findall(run)], encoding)):
+                out.append(("random", start, end))
     return out
 
 
