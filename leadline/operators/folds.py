@@ -2,15 +2,15 @@
 
 What needs only the row before is a window function. What depends on the last row *kept* is a fold: over
 an array by a higher-order function where sequences are short (tide series of a chunk), else row by row in
-Arrow batches by key (a day's track at 1 Hz has at most 86,400 rows).
+Arrow batches sorted by key, of which one at a time is held.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +49,45 @@ def plausible_tide(points: Column) -> Column:
     return F.when(F.size(points) > 0, F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1), keep)).otherwise(points)
 
 
-def _by_key(rows: DataFrame, by: list[str], order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], extra: str) -> DataFrame:
-    schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes], extra])
+def plausible_tides(rows: DataFrame, by: list[str], order: tuple[str, ...] = ("at_ms",)) -> DataFrame:
+    """The rows (at_ms, height_m) that plausible_tide keeps of each key's series, for series of any length."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+    def new() -> Callable[..., bool]:
+        last = None
 
-    return rows.groupBy(*by).applyInPandas(run, schema)
+        def step(t: float, h: float) -> bool:
+            nonlocal last
+            keeps = last is None or abs(h - last[1]) <= TIDE_RATE * ((t - last[0]) / 60000.0)
+            if keeps:
+                last = (t, h)
+            return keeps
+
+        return step
+
+    return _by_key(rows, by, order, new, ["at_ms", "height_m"], "_kept", "boolean").filter("_kept").drop("_kept")
+
+
+def _by_key(rows: DataFrame, by: list[str], order: tuple[str, ...], new: Callable[[], Callable], reads: list[str], name: str, kind: str) -> DataFrame:
+    """Adds a column: what a new step for each key gives for the columns read, row by row. A null is read as NaN.
+
+    Rows are sorted by key and order, with spill, and go through in Arrow batches; only the step outlives a batch.
+    """
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes], f"`{name}` {kind}"])
+    names, of = [*rows.columns, name], {"boolean": pa.bool_(), "long": pa.int64()}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            keys = zip(*[batch.column(n).to_pylist() for n in by], strict=True)
+            values = zip(*[[math.nan if x is None else x for x in batch.column(n).to_pylist()] for n in reads], strict=True)
+            out = []
+            for key, value in zip(keys, values, strict=True):
+                if step is None or key != last:
+                    last, step = key, new()
+                out.append(step(*value))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, of)], names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *[F.col(n).asc_nulls_last() for n in order]).mapInArrow(run, schema)
 
 
 def great_circle_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -67,17 +99,19 @@ def sample(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...
     """Adds kept: the first row, then each that is max_interval_s later or distance_m farther than the last one kept."""
     interval, distance = config.max_interval_s * 1000, config.distance_m
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for t, lat, lon in zip(pdf["at_ms"], pdf["latitude"], pdf["longitude"], strict=True):
-            if last is None or t - last[0] >= interval or great_circle_m(last[1], last[2], lat, lon) >= distance:
+    def new() -> Callable[..., bool]:
+        last = None
+
+        def step(t: float, lat: float, lon: float) -> bool:
+            nonlocal last
+            keeps = last is None or t - last[0] >= interval or great_circle_m(last[1], last[2], lat, lon) >= distance
+            if keeps:
                 last = (t, lat, lon)
-                kept.append(True)
-            else:
-                kept.append(False)
-        return pdf.assign(kept=kept)
+            return keeps
+
+        return step
 
-    return _by_key(rows, by, list(order), fold, "kept boolean")
+    return _by_key(rows, by, order, new, ["at_ms", "latitude", "longitude"], "kept", "boolean")
 
 
 def rest_windows(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...] = ("at_ms",)) -> DataFrame:
@@ -88,24 +122,26 @@ def rest_windows(rows: DataFrame, by: list[str], config: Config, order: tuple[st
     """
     gap, span, slow = max(5000, 3000 * config.history_resolution_s), config.stationary_window_s * 1000, config.minimum_speed_mps
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        visit, n, first, last = [], 0, None, None
-        for t, v in zip(pdf["at_ms"], pdf["sog_mps"], strict=True):
+    def new() -> Callable[..., int | None]:
+        n, first, last = 0, None, None
+
+        def step(t: float, v: float) -> int | None:
+            nonlocal n, first, last
             if first is not None and t - last > gap:
                 first = None
-            if v is not None and not pd.isna(v) and v < slow:
-                if first is None:
-                    n, first = n + 1, t
-                last = t
-                visit.append(n)
-                if t - first >= span:
-                    first = None
-            else:
+            if not v < slow:  # no speed is NaN
                 first = None
-                visit.append(None)
-        return pdf.assign(visit=pd.array(visit, dtype="Int64"))
+                return None
+            if first is None:
+                n, first = n + 1, t
+            last = t
+            if t - first >= span:
+                first = None
+            return n
+
+        return step
 
-    return _by_key(rows, by, list(order), fold, "visit long")
+    return _by_key(rows, by, order, new, ["at_ms", "sog_mps"], "visit", "long")
 
 
 def under_way(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...] = ("at_ms",)) -> DataFrame:
@@ -116,12 +152,14 @@ def under_way(rows: DataFrame, by: list[str], config: Config, order: tuple[str,
     """
     radius, slow = config.stationary_radius_m, config.minimum_speed_mps
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, anchor, seen, away = [], None, None, 0
-        for fix, lat, lon, s, v in zip(pdf["fix_ms"], pdf["latitude"], pdf["longitude"], pdf["horizontal_sigma_m"], pdf["sog_mps"], strict=True):
+    def new() -> Callable[..., bool]:
+        anchor, seen, away = None, None, 0
+
+        def step(fix: float, lat: float, lon: float, s: float, v: float) -> bool:
+            nonlocal anchor, seen, away
             if anchor is None:
                 anchor = (lat, lon, s)
-            if v is not None and not pd.isna(v) and v >= slow:
+            if v >= slow:
                 moving, away = True, 0
             else:
                 if fix != seen:
@@ -130,10 +168,11 @@ def under_way(rows: DataFrame, by: list[str], config: Config, order: tuple[str,
                 moving = away >= 3
             if moving:
                 anchor = (lat, lon, s)
-            out.append(moving)
-        return pdf.assign(under_way=out)
+            return moving
+
+        return step
 
-    return _by_key(rows, by, list(order), fold, "under_way boolean")
+    return _by_key(rows, by, order, new, ["fix_ms", "latitude", "longitude", "horizontal_sigma_m", "sog_mps"], "under_way", "boolean")
 
 
 def breaks(rows: DataFrame, by: list[str], order: list[str], time: str = "observed_at_ms", lat: str = "latitude", lon: str = "longitude") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadline.config import Config
 from leadline.functions.depth import SKEW_M_PER_S
 from leadline.functions.geo import haversine_m
-from leadline.functions.numbers import c, half_up, hypot3, median, robust_sigma
+from leadline.functions.numbers import MAD_TO_SIGMA, c, half_up, hypot3, median, robust_sigma
 
 
 def outlier_gate_m(depths: Column, config: Config) -> Column:
@@ -16,6 +16,28 @@ def outlier_gate_m(depths: Column, config: Config) -> Column:
     return F.greatest(F.lit(config.outlier_floor_m), F.lit(config.mad_multiplier) * robust_sigma(depths))
 
 
+def spread(rows: DataFrame, by: list[str], value: Column, config: Config) -> DataFrame:
+    """One row for each key: n, kept (values within the gate), median, mad and sigma.
+
+    Values are counted first, and the counts joined back with their key's median, so that no key's values are
+    gathered, only a count for each different one.
+    """
+    counted = rows.select(*by, value.alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        named = right.withColumnsRenamed({k: f"_{k}" for k in by})
+        on = [left[k].eqNullSafe(named[f"_{k}"]) for k in by]
+        return left.join(named, on).drop(*[f"_{k}" for k in by])
+
+    away = F.abs(F.col("_x") - F.col("median"))
+    medians = counted.groupBy(*by).agg(F.percentile("_x", F.lit(0.5), F.col("_n")).alias("median"), F.sum("_n").alias("n"))
+    mads = joined(counted, medians).groupBy(*by, "median", "n").agg(F.percentile(away, F.lit(0.5), F.col("_n")).alias("mad"))
+    mads = mads.withColumn("sigma", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.lit(MAD_TO_SIGMA) * F.col("mad")))
+    gate = F.greatest(F.lit(config.outlier_floor_m), F.lit(config.mad_multiplier) * F.col("sigma"))
+    kept = F.coalesce(F.sum(F.when(away <= gate, F.col("_n"))), F.lit(0)).alias("kept")
+    return joined(counted, mads).groupBy(*by, "median", "n", "mad", "sigma").agg(kept)
+
+
 def reduce_windows(samples: DataFrame, by: list[str], config: Config) -> DataFrame:
     """One row for each window with enough samples that agree.
 

@@ -375,28 +375,27 @@ _BY_SOURCE = f"WITH {RAW}, g AS (SELECT track, depth_source, list_sort(list(datu
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.soundings(spark, sf_dir).groupBy("track", "depth_source").agg(F.collect_list(nb.metres("datum_depth_mm")).alias("ds"))
+    return rest.spread(fx.soundings(spark, sf_dir), ["track", "depth_source"], nb.metres("datum_depth_mm"), CONFIG)
 
 
 @query(f"{_BY_SOURCE} SELECT track, depth_source, {micro('md')} AS median_u FROM d")
 def median_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_source(spark, sf_dir).select("track", "depth_source", nb.micro(nb.median("ds")).alias("median_u"))
+    return _by_source(spark, sf_dir).select("track", "depth_source", nb.micro("median").alias("median_u"))
 
 
 @query(f"{_BY_SOURCE} SELECT track, depth_source, {micro('mad_m')} AS mad_u FROM d")
 def mad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_source(spark, sf_dir).select("track", "depth_source", nb.micro(nb.mad("ds")).alias("mad_u"))
+    return _by_source(spark, sf_dir).select("track", "depth_source", nb.micro("mad").alias("mad_u"))
 
 
 @query(f"{_BY_SOURCE} SELECT track, depth_source, {micro('CASE WHEN len(ds) < 2 THEN 0.0 ELSE 1.4826 * mad_m END')} AS sigma_u FROM d")
 def robust_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_source(spark, sf_dir).select("track", "depth_source", nb.micro(nb.robust_sigma("ds")).alias("sigma_u"))
+    return _by_source(spark, sf_dir).select("track", "depth_source", nb.micro("sigma").alias("sigma_u"))
 
 
 @query(f"{_BY_SOURCE} SELECT track, depth_source, len(list_filter(ds, lambda x: abs(x - md) <= greatest(0.5, 4.5 * CASE WHEN len(ds) < 2 THEN 0.0 ELSE 1.4826 * mad_m END))) AS kept, len(ds) AS n FROM d")
 def stationary_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _by_source(spark, sf_dir).withColumns({"mid": nb.median("ds"), "gate": rest.outlier_gate_m(F.col("ds"), CONFIG)})
-    return g.select("track", "depth_source", F.size(F.filter("ds", lambda x: F.abs(x - F.col("mid")) <= F.col("gate"))).cast("long").alias("kept"), F.size("ds").cast("long").alias("n"))
+    return _by_source(spark, sf_dir).select("track", "depth_source", "kept", "n")
 
 
 @query(f"WITH {RAW} SELECT id, {micro('exp((2 * ln(least(greatest(vertical_sigma_mm / 1000.0, 0.001), 1.0)) + ln(least(greatest(sample_count / 3.0, 0.001), 1.0))) / 3.0)')} AS wgm_u FROM raw")
@@ -674,9 +673,8 @@ k AS (SELECT context, i, event_id, at_ms AS lt, h AS lh, true AS kept FROM o WHE
 SELECT context, event_id FROM k WHERE kept""")
 def tide_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series are sparse here, so time is taken a thousandth as fast."""
-    t = _values(spark, sf_dir, "tide").select("context", F.struct((F.col("at_ms") / 1000.0).alias("at_ms"), F.col("event_id"), nb.metres("v_milli").alias("height_m")).alias("p"))
-    kept = t.groupBy("context").agg(folds.plausible_tide(F.array_sort(F.collect_list("p"))).alias("kept"))
-    return kept.select("context", F.explode("kept.event_id").alias("event_id"))
+    t = _values(spark, sf_dir, "tide").select("context", (F.col("at_ms") / 1000.0).alias("at_ms"), "event_id", nb.metres("v_milli").alias("height_m"))
+    return folds.plausible_tides(t, ["context"], ("at_ms", "event_id")).select("context", "event_id")
 
 
 @query(f"WITH {RAW}, g AS (SELECT id, track, CASE WHEN observed_at_ms - lag(observed_at_ms) OVER w > {12 * HOUR} OR depth_source <> lag(depth_source) OVER w THEN 1 ELSE 0 END AS new FROM raw WINDOW w AS (PARTITION BY track ORDER BY observed_at_ms, id)) SELECT r.id, cast(sum(new) OVER (PARTITION BY g.track ORDER BY observed_at_ms, r.id ROWS UNBOUNDED PRECEDING) AS bigint) AS segment FROM g JOIN raw r USING (id)")

@@ -2,10 +2,12 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from leadline import queries
 from leadline.config import Config
 from leadline.functions import beam, geo
 from leadline.operators import align, asof, folds, rest
@@ -116,6 +118,46 @@ def test_sampler_counts_from_the_last_kept(spark):
     assert [r.kept for r in got] == [True, False, False, True, True, True, False, False]
 
 
+@pytest.mark.parametrize("name", ["tide_plausible", "stationary_assign", "sampler", "median_by_key", "mad", "robust_sigma", "stationary_reject"])
+def test_no_task_holds_a_whole_group(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan
+
+
+def test_folds_go_on_from_batch_to_batch(spark):
+    rng = random.Random(4)
+    rows = [(k, 1000 * t, rng.choice([0.0, 0.2, 1.0, None]) if k else 0.0, 37.8 + rng.random() / 1e3, -122.4, rng.random() / 50) for k in (0, 1, None) for t in range(150)]
+    df = frame(spark, rng.sample(rows, len(rows)), "c int, at_ms long, sog_mps double, latitude double, longitude double, height_m double")
+    results = []
+    for n in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        results.append([sorted(x.collect(), key=repr) for x in (folds.sample(df, ["c"], C), folds.rest_windows(df, ["c"], C), folds.plausible_tides(df, ["c"]))])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert results[0] == results[1]
+    assert {r.visit for r in results[1][1] if r.c == 0} == {1, 2, 3}
+    for k in (0, 1, None):
+        kept, last = [], None
+        for _, t, _, _, _, h in (r for r in rows if r[0] == k):
+            if last is None or abs(h - last[1]) <= 0.05 * ((t - last[0]) / 60_000):
+                last = (t, h)
+                kept.append(t)
+        assert sorted(r.at_ms for r in results[1][2] if r.c == k) == kept
+
+
+def test_spread_is_the_plain_one(spark):
+    rng = random.Random(5)
+    groups = {k: [rng.randrange(-3000, 3000) / 1000 for _ in range(n)] for k, n in ((1, 1), (2, 2), (3, 9), (4, 40), (None, 11))}
+    df = frame(spark, [(k, x) for k, xs in groups.items() for x in xs], "k int, x double")
+    got = {r.k: r for r in rest.spread(df, ["k"], F.col("x"), C).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        mid = statistics.median(xs)
+        mad = statistics.median(abs(x - mid) for x in xs)
+        sigma = 0.0 if len(xs) < 2 else 1.4826 * mad
+        assert (got[k].n, got[k].median, got[k].mad, got[k].sigma) == (len(xs), mid, mad, sigma)
+        assert got[k].kept == sum(abs(x - mid) <= max(C.outlier_floor_m, C.mad_multiplier * sigma) for x in xs)
+
+
 def test_under_way_needs_speed_or_three_fixes(spark):
     far = 37.8 + 0.001
     rows = [("v", i, 1000 * i, 37.8 if i < 3 else far, -122.4, 3.0, 0.0 if i < 8 else 1.0) for i in range(9)]
