@@ -3,9 +3,9 @@
 Features are indicators of word n-grams (one and two words) and of n-grams of word shapes (one to three;
 a shape has runs of lower-case letters, capitals and digits as one sign each, other signs as they are,
 and a word equal to the one before it is a shape of its own), hashed to 2**18 places. Each indicator is
-scaled by its class log-count ratio; a linear model with squared hinge loss is fitted to these by dual
-coordinate descent and mixed with its mean weight; a logistic curve over cross-validated margins turns
-margins into probabilities.
+scaled by its class log-count ratio; a linear model with hinge loss is fitted to these by dual coordinate
+descent and mixed with its mean weight; a logistic curve over cross-validated margins turns margins into
+probabilities.
 """
 
 from __future__ import annotations
@@ -104,43 +104,40 @@ class Classifier:
 
 
 def log_count_ratios(xs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    n = 1 << PLACES_BITS
-    sums = [SMOOTHING + sum_of([x for x, c in zip(xs, y, strict=True) if c == k], n) for k in (1, -1)]
-    return np.log(sums[0] / sums[0].sum()) - np.log(sums[1] / sums[1].sum())
-
-
-def sum_of(xs: list[np.ndarray], n: int) -> np.ndarray:
-    return np.bincount(np.concatenate(xs), minlength=n).astype(float) if xs else np.zeros(n)
+    sums = {k: np.full(1 << PLACES_BITS, SMOOTHING) for k in (1, -1)}
+    for x, c in zip(xs, y, strict=True):
+        sums[int(c)][x] += 1  # a row's places are distinct
+    return np.log(sums[1] / sums[1].sum()) - np.log(sums[-1] / sums[-1].sum())
 
 
 def dual_coordinate_descent(xs: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = ROUNDS, tolerance: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear model with squared hinge loss over rows x with the given value at each place.
+    """Weights and bias of the linear model with hinge loss over rows x with the given value at each place.
 
-    Rows have length sqrt(places + 1) divided out, and a constant feature. One dual variable at a time takes
-    its exact minimum; the primal weights follow.
+    Rows have length sqrt(places + 1) divided out, and a constant feature. One dual variable at a time, held
+    between 0 and the cost, takes its exact minimum; the primal weights follow. These are kept times the
+    values, so that a row needs no more than its places.
     """
-    w, bias, a = np.zeros(len(values)), 0.0, np.zeros(len(xs))
-    scale = [1 / np.sqrt(len(x) + 1) for x in xs]
-    rows = [values[x] * s for x, s in zip(xs, scale, strict=True)]
-    diagonal = 1 / (2 * cost)
-    square = np.array([r @ r for r in rows]) + 1 + diagonal
+    weighted, bias, a = np.zeros(len(values)), 0.0, np.zeros(len(xs))
+    squares = values * values
+    scale = np.array([1 / np.sqrt(len(x) + 1) for x in xs])
+    length = np.array([squares[x].sum() for x in xs]) * scale * scale + 1
     rng = np.random.default_rng(0)
     for _ in range(rounds):
         worst = 0.0
         for i in rng.permutation(len(xs)):
-            x, r = xs[i], rows[i]
-            gradient = y[i] * (w[x] @ r + bias) - 1 + diagonal * a[i]
-            if a[i] == 0 and gradient >= 0:
+            x = xs[i]
+            gradient = y[i] * (weighted[x].sum() * scale[i] + bias) - 1
+            if a[i] == 0 and gradient >= 0 or a[i] == cost and gradient <= 0:
                 continue
             worst = max(worst, abs(gradient))
-            new = max(0.0, a[i] - gradient / square[i])
+            new = min(cost, max(0.0, a[i] - gradient / length[i]))
             step = (new - a[i]) * y[i]
             a[i] = new
-            w[x] += step * r
+            weighted[x] += step * scale[i] * squares[x]
             bias += step
         if worst < tolerance:
             break
-    return w, bias
+    return np.divide(weighted, values, out=np.zeros(len(values)), where=values != 0), bias
 
 
 def _fit_weights(xs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -199,9 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: str = "fold != 0", folds: i
             places = [x.tobytes() for x in features_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(places, pa.binary())], ["doc_id", "label", "places"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id string, label int, places binary").toArrow().sort_by([("doc_id", "ascending"), ("places", "ascending")])
-    xs = [np.frombuffer(v.as_buffer(), np.int32) for v in got.column("places")]
-    return fit(xs, got.column("label").to_numpy())
+    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id string, label int, places binary").toArrow()
+    ids, xs = got.column("doc_id").to_pylist(), [np.frombuffer(v.as_buffer(), np.int32) for v in got.column("places")]
+    order = sorted(range(len(xs)), key=lambda i: (ids[i], xs[i].tobytes()))
+    return fit([xs[i] for i in order], got.column("label").to_numpy()[order])
 
 
 def quality_scores(docs: DataFrame, classifier: Classifier, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
