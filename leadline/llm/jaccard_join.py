@@ -11,7 +11,8 @@ buckets, so it is broadcast with a known size; any order is right, a coarse one
 
 Postings of one shingle are joined as pairs while they are few (``SMALL``). Longer ones, such as those
 of thousands of near copies, first link everything to the most central member, which is verified and
-makes components; then only members of different components are compared, in blocks of bounded size,
+makes components; then only members of different components are compared: those outside the list's
+largest component visit the blocks, of bounded size, of all members whose sets are near enough in size,
 by a 128-place histogram whose L1 distance never exceeds the symmetric difference, so that no link is
 lost; what passes is verified as well. No pair is left out, sampled or capped.
 """
@@ -28,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import session, text_rows, written
+from leadline.llm.common import drop, session, text_rows, written
 from leadline.llm.components import components
 from leadline.llm.words import grams, mix, words_of
 
 BUCKET_BITS, BLOCK_BITS = 21, 14
 #: The largest l, and what verifying a candidate costs in postings read.
 MOST_MATCHES, VERIFY_COST = 4, 8
-#: Longest posting list that is joined as pairs, members of a block of a longer one, places of a histogram.
+#: Longest posting list that is joined as pairs, members of a block of a longer one and its visitors, places of a histogram.
 SMALL, BLOCK, PLACES = 32, 2048, 128
 
 
@@ -169,18 +170,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int):
-    """For a block pair of one long posting list: pairs of different components that can be similar."""
+    """For a block of one long posting list and some of its visitors: pairs of different components that can be similar."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, i, j = pdf["token"].iat[0], pdf["i"].iat[0], pdf["j"].iat[0]
-        doc, n, comp, l, block = (pdf[c].to_numpy() for c in ("doc_id", "n", "component", "l", "own"))
+        token = pdf["token"].iat[0]
+        doc, n, comp, l, outside, visits = (pdf[c].to_numpy() for c in ("doc_id", "n", "component", "l", "outside", "visits"))
         hist = np.stack([np.frombuffer(h, np.uint16) for h in pdf["histogram"]]).astype(np.int32)
-        names, size = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != names[size.argmax()])
         probe, index = [frozenset(x) for x in pdf["probe_tokens"]], [frozenset(x) for x in pdf["index_tokens"]]
+        home = np.flatnonzero(~visits)
         out = set()
-        for x in rest:
-            near = np.flatnonzero((comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((block != block[x]) if i != j else True))
+        for x in np.flatnonzero(visits):
+            # two members that both visit meet twice, and count where the lesser one is at home
+            lesser = ~outside[home] | (n[home] < n[x]) | (n[home] == n[x]) & (doc[home] < doc[x])
+            near = home[lesser & (comp[home] != comp[x]) & (100 * np.minimum(n[home], n[x]) >= percent * np.maximum(n[home], n[x]))]
             if len(near):
                 apart = np.abs(hist[near] - hist[x]).sum(axis=1)
                 near = near[apart * (100 + percent) <= (100 - percent) * (n[near] + n[x])]
@@ -194,6 +196,30 @@ def _across(percent: int):
     return run
 
 
+def _met(here: DataFrame, percent: int) -> DataFrame | None:
+    """Members of long posting lists that are in several components, dealt into blocks by size, and their visitors.
+
+    A list's largest component stays at home; each other member visits the blocks of its band of sizes and of the
+    two beside it, since sets that link differ by a band at most. Blocks hold at most about ``BLOCK`` of each kind.
+    So a list makes as many rows as members, and more only by members outside * members / ``BLOCK``. None if there
+    is no such list.
+    """
+    sizes = here.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("rows", "component"))["component"].alias("largest"), F.sum("rows").alias("members"), F.max("rows").alias("rows"), F.count("*").alias("parts")).filter("parts > 1")
+    lists = written(lists.select("token", "largest", F.ceil((F.col("members") - F.col("rows")) / BLOCK).cast("int").alias("groups")), "lists")
+    if not lists.limit(1).count():
+        return None
+    width = float(np.log(100 / percent)) * (1 + 1e-9) or 1e-9
+    rows = here.join(lists, "token").withColumns({"band": F.floor(F.log("n") / width), "outside": F.col("component") != F.col("largest")}).drop("largest")
+    bands = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # at home in one block, once for each group of visitors; visiting all blocks of three bands, in one group
+    rows = rows.withColumns({"to": F.when(F.col("outside"), F.array(*[F.struct((F.col("band") + k).alias("band"), F.lit(v).alias("visits")) for k, v in ((0, False), (-1, True), (0, True), (1, True))])).otherwise(F.array(F.struct("band", F.lit(False).alias("visits"))))})
+    rows = rows.drop("band").withColumn("to", F.explode("to")).select("*", "to.band", "to.visits").drop("to").join(bands, ["token", "band"])
+    own = F.when(F.col("visits"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+    group = F.when(F.col("visits"), F.array(F.pmod(F.xxhash64(F.lit(1), "doc_id"), "groups").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("groups") - 1))
+    return rows.withColumn("own", F.explode(own)).withColumn("group", F.explode(group)).select("token", "band", "own", "group", "visits", "outside", "doc_id", "n", "l", "component")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups of whole texts under Jaccard similarity of their word shingle sets.
 
@@ -221,7 +247,8 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         "postings",
     )
     shared = postings.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
-    postings = written(postings.join(shared, "token"), "shared")
+    every_posting, postings = postings, written(postings.join(shared, "token"), "shared")
+    drop(every_posting)
     small, large = postings.filter(F.col("length") <= SMALL), postings.filter(F.col("length") > SMALL)
 
     # few postings: pairs, counted; what the probe shares in long lists counts as shared here
@@ -246,21 +273,22 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     found = written(components(links), "components")
 
     # what differs in component is compared within long lists, block by block
-    here = large.join(found, large.doc_id == found.id, "left").select("token", "doc_id", "n", "l", "probe", "index", F.coalesce("component", "doc_id").alias("component"))
-    mixed = here.groupBy("token").agg(F.count("*").alias("length"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token", "length")
+    here = written(large.join(found, large.doc_id == found.id, "left").select("token", "doc_id", "n", "l", "probe", "index", F.coalesce("component", "doc_id").alias("component")).distinct(), "long")
+    met = _met(here, percent)
+    if met is None:
+        return _by_document(texts, members, found)
     tokens = here.groupBy("doc_id").agg(F.collect_set(F.when(F.col("probe"), F.col("token"))).alias("probe_tokens"), F.collect_set(F.when(F.col("index"), F.col("token"))).alias("index_tokens"))
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    cut = (
-        here.join(mixed, "token")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "l", "component")
-        .distinct()
-        .join(tokens, "doc_id")
-        .join(sets.select("doc_id", F.col("n").alias("n"), "histogram").distinct(), ["doc_id", "n"])
-    )
-    more = written(cut.groupBy("token", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct(), "across")
-    late = _verified(more, sets, percent)
-    every = components(links.unionByName(late).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    met = met.join(tokens, "doc_id").join(sets.select("doc_id", F.col("n").alias("n"), "histogram").distinct(), ["doc_id", "n"])
+    more = written(met.groupBy("token", "band", "own", "group").applyInPandas(_across(percent), "a long, b long").distinct(), "across")
+    every = found
+    if more.limit(1).count():
+        late = written(_verified(more, sets, percent), "late")
+        if late.limit(1).count():
+            every = components(late.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    return _by_document(texts, members, every)
+
+
+def _by_document(texts: DataFrame, members: DataFrame, every: DataFrame) -> DataFrame:
+    """A row for each text, with its class's component."""
     by_rep = members.select("doc_id", "rep").distinct().join(every, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return texts.join(by_rep, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
