@@ -67,28 +67,43 @@ def _is_dear(parts: list[str], encoding: tiktoken.Encoding) -> bool:
     return sum(map(len, parts)) < RATIO * tokens
 
 
-def _left(start: int, end: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """The stretches between start and end that no taken span covers."""
-    for _, s, e in taken:
-        if s >= end:
-            break
-        if s > start:
-            yield start, s
-        start = max(start, e)
-    if start < end:
-        yield start, end
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """What spans (by start) cover, as disjoint stretches."""
+    out: list[tuple[int, int]] = []
+    for _, s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _untaken(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The stretches of runs that no taken span covers; runs and spans are each gone through once."""
+    covered, k = _merged(taken), 0
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while k < len(covered) and covered[k][0] < end:
+            s, e = covered[k]
+            if s > start:
+                yield start, s
+            start = max(start, e)
+            if e > end:  # the next run may begin within it
+                break
+            k += 1
+        if start < end:
+            yield start, end
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[Span]) -> list[Span]:
     """Runs, and what the taken spans (by start) leave of runs, with few characters a token."""
     out = []
-    for m in RUN.finditer(text):
-        for start, end in _left(*m.span(), taken):
-            run = text[start:end]
-            if len(run) < LEAST_RUN or any(p.fullmatch(run) for p in (DIGEST, UUID, NUMBER, LABELLED)):
-                continue
-            if _is_dear([run], encoding) and not (NAME.fullmatch(run) and not _is_dear([w.lower() for w in WORD.findall(run)], encoding)):
-                out.append(("random", start, end))
+    for start, end in _untaken(text, taken):
+        run = text[start:end]
+        if len(run) < LEAST_RUN or any(p.fullmatch(run) for p in (DIGEST, UUID, NUMBER, LABELLED)):
+            continue
+        if _is_dear([run], encoding) and not (NAME.fullmatch(run) and not _is_dear([w.lower() for w in WORD.findall(run)], encoding)):
+            out.append(("random", start, end))
     return out
 
 
@@ -118,8 +133,9 @@ def find_secrets(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     Returns one row for each input row: doc_id, n_assign, n_access, n_hex, n_random long, base_sha256 (of the
     base spans kind:start:end by start, then kind, joined by commas), spans string (all spans, joined likewise)
     and redacted string (the text with every span replaced by a mark; null unless asked for). A null or empty
-    text has no spans and the digest of an empty string; a null id stays null, repeated rows give repeated
-    results, an empty table an empty one; other columns are not read.
+    text has no spans and the digest of an empty string; a very long one is read whole, in time and memory that
+    grow with its length, runs being tokenised in slices; a null id stays null, repeated rows give repeated
+    results, an empty table an empty one; other columns, whatever they are called, are not read.
     """
     session(docs)
     rows = text_rows(docs, id_col, text_col)
@@ -145,7 +161,9 @@ def find_secrets(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 def without_secrets(docs: DataFrame, vocabulary_path: str, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """The rows, with all their columns, each secret in the text replaced by a mark and the length column kept true.
 
-    A null text stays null; rows without a span are unchanged.
+    A null text stays null, and so does the length of a row whose text has no secret; rows without a span, among
+    them all with an empty text, are unchanged; very long texts are read whole; repeated rows give repeated
+    results, an empty table an empty one. Null ids and columns of any other name are passed on.
     """
     session(docs)
     names = docs.columns
