@@ -5,10 +5,12 @@ q-grams, all on diagonals (place in the text less place in the passage) that spa
 occurrence lies within one of the overlapping bands of 2 * (k + 1) diagonals that start at multiples of
 k + 1. Each text's q-grams are hashed by whole arrays and looked up in a bit table of the benchmark's;
 hits are counted by passage and band, distinct places in the passage only, and a band that reaches the
-bound is verified by alignment within the band, with free ends in the text.
+bound is verified by alignment within the band, with free ends in the text. A passage shorter than q has
+no q-gram and no budget: its occurrences are looked up by a hash of all its characters.
 
 Passages are broadcast in blocks of at most ``block_chars`` characters (a passage longer than that is a
-block alone); a benchmark beyond one block costs further passes over the texts, never a larger broadcast.
+block alone); a benchmark beyond one block costs further passes over the texts, each of which is written
+before the next block is sent, so no more than one block is held.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.common import id_type, session, text_rows
+from leadline.llm.common import id_type, session, text_rows, written
 
 Q, RATE = 8, 0.1
 BLOCK_CHARS = 1 << 21
@@ -69,10 +71,10 @@ class Passages:
 
     def __init__(self, ids: list, texts: list[str], q: int, rate: float):
         self.q = q
-        kept = [(i, folded(t)) for i, t in zip(ids, texts, strict=True) if len(t) >= q]
+        kept = [(i, folded(t)) for i, t in zip(ids, texts, strict=True) if t]
         self.ids, self.chars = [i for i, _ in kept], [c for _, c in kept]
         self.size = np.array([len(c) for c in self.chars], np.int64)
-        self.edits = np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q)
+        self.edits = np.maximum(0, np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q))
         self.least = self.size - q + 1 - self.edits * q
         h = [gram_hashes(c, q) for c in self.chars]
         hashes = np.concatenate(h) if h else np.empty(0, np.uint64)
@@ -86,6 +88,14 @@ class Passages:
         self.there = np.zeros(1 << 64 - int(self.shift), bool)
         self.there[self.keys >> self.shift] = True
         self.reach = int((self.size + self.edits).max()) + q if len(self.size) else 0
+        # passages without a q-gram: by length, their hashes in order and whose they are
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in range(1, q):
+            own = np.flatnonzero(self.size == m)
+            if len(own):
+                hashes = np.array([gram_hashes(self.chars[p], m)[0] for p in own])
+                order = np.argsort(hashes, kind="stable")
+                self.short[m] = hashes[order], own[order]
 
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, place in it, place in the text) of each q-gram that both have."""
@@ -122,6 +132,16 @@ class Passages:
         good = first[count >= self.least[item[first]]]
         return [(int(item[x]), int(band[x] * (self.edits[item[x]] + 1))) for x in good]
 
+    def short_ones(self, c: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(passage, place in the text) of passages shorter than q that are there, places ascending."""
+        for m, (hashes, whose) in self.short.items():
+            for at in range(0, len(c) - m + 1, WINDOW):
+                h = gram_hashes(c[at : at + WINDOW + m - 1], m)
+                for j in np.flatnonzero(np.isin(h, hashes)):
+                    for p in whose[np.searchsorted(hashes, h[j]) : np.searchsorted(hashes, h[j], "right")]:
+                        if np.array_equal(self.chars[p], c[at + j : at + j + m]):
+                            yield int(p), int(at + j)
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(passage, edits, start, end) of the best occurrence of each passage that is in the text."""
         c = folded(text)
@@ -134,6 +154,8 @@ class Passages:
                 if got := occurrence(self.chars[p], part, d, int(self.edits[p])):
                     got = (got[0], got[1] + at, got[2] + at)
                     best[p] = min(best.get(p, got), got)
+        for p, j in self.short_ones(c):
+            best.setdefault(p, (0, j, j + len(self.chars[p])))
         return [(p, *x) for p, x in sorted(best.items())]
 
 
@@ -198,11 +220,19 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame
 
 
 def clean_texts(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows, with all their columns, in whose text no passage occurs (as in ``contaminated``); nothing is shuffled."""
+    """The rows, with all their columns, in whose text no passage occurs (as in ``contaminated``); nothing is shuffled.
+
+    Null and empty texts are kept, and so are rows with null ids; very long texts are read whole; repeated rows
+    have one fate, an empty table gives an empty one. Columns of any other name are passed on.
+    """
     spark = session(docs)
-    out = docs
-    for ids, texts in _blocks(_items(benchmark, item_col, item_text_col), block_chars):
-        passages = spark.sparkContext.broadcast(Passages(ids, texts, q, rate))
+    out, blocks = docs, _blocks(_items(benchmark, item_col, item_text_col), block_chars)
+    earlier = None
+    for ids, texts in blocks:
+        if earlier is not None:
+            out = written(out, "clean")
+            earlier.destroy()
+        passages = earlier = spark.sparkContext.broadcast(Passages(ids, texts, q, rate))
 
         def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -218,23 +248,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
     Case and the kind of white space don't count. Where a passage is so short that the lemma's bound would
     be under one q-gram, its budget shrinks until the bound is one; passages under q characters have no
-    q-gram and occur nowhere. Returns one row for each text and passage found: doc_id, item_id, edits int,
-    start_char, end_char long (code points of the best occurrence, the first of equal ones). Texts without a
-    passage have no row. Null and empty texts and passages match nothing, null ids are kept as they are,
-    repeated rows of either table give repeated results, empty tables an empty one; other columns are not read.
+    q-gram and count where they occur without an edit. Returns one row for each text and passage found:
+    doc_id, item_id, edits int, start_char, end_char long (code points of the best occurrence, the first of
+    equal ones). Texts without a passage have no row. Null and empty texts and passages match nothing, very
+    long texts are read whole in windows, null ids are kept as they are, repeated rows of either table give
+    repeated results, empty tables an empty one; other columns, whatever they are called, are not read.
     """
     spark = session(docs)
     rows = text_rows(docs, id_col, text_col)
     items = _items(benchmark, item_col, item_text_col)
     kinds = (id_type(rows), id_type(items, "item_id"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, start_char long, end_char long"
-    found = [_found(rows, spark.sparkContext.broadcast(Passages(ids, texts, q, rate)), schema) for ids, texts in _blocks(items, block_chars)]
-    if not found:
+    out, last, earlier = None, None, None
+    for ids, texts in _blocks(items, block_chars):
+        if last is not None:
+            done = written(last, "found")
+            out = done if out is None else out.unionByName(done)
+            earlier.destroy()
+        earlier = spark.sparkContext.broadcast(Passages(ids, texts, q, rate))
+        last = _found(rows, earlier, schema)
+    if last is None:
         return spark.createDataFrame([], schema)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return last if out is None else out.unionByName(last)
 
 
 def _found(rows: DataFrame, passages, schema: str) -> DataFrame:
