@@ -69,6 +69,58 @@ def test_secret_frames(spark):
     assert secret_scan.find_secrets(docs.limit(0), RANKS).count() == 0
 
 
+def plain_stretches(text: str, taken) -> list[tuple[int, int]]:
+    """Maximal stretches of key characters that no span covers, sign by sign."""
+    covered = [False] * len(text)
+    for _, s, e in taken:
+        covered[s:e] = [True] * (e - s)
+    runs, at = [], 0
+    keys = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in keys:
+            end += 1
+        if end - at >= 20:
+            k = at
+            while k < end:
+                if covered[k]:
+                    k += 1
+                    continue
+                j = k
+                while j < end and not covered[j]:
+                    j += 1
+                runs.append((k, j))
+                k = j
+        at = max(end, at + 1)
+    return runs
+
+
+def plain_base(text: str) -> list:
+    """The base spans as the contract words them, kind by kind."""
+    out = []
+    for kind, pattern, least in (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), ("access", "()(AKIA[A-Z0-9]+)", 16), ("hex", "()([0-9a-f]+)", 32)):
+        out += [(kind, *m.span()) for m in re.finditer(pattern, text) if len(m[2]) >= least]
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_spans_are_the_plain_ones():
+    enc = secret_scan.vocabulary(RANKS)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    key = lambda: "".join(RNG.choices(letters, k=RNG.randint(10, 50)))
+    parts = [key, lambda: "token=" + key(), lambda: "API_KEY: '" + key(), lambda: "AKIA" + key().upper(), lambda: "".join(RNG.choices("0123456789abcdef", k=RNG.randint(20, 70))), lambda: words(3), lambda: "secret", lambda: "=", lambda: "some_long_name_of_a_thing"]
+    for _ in range(400):
+        text = "".join(RNG.choice(parts)() + RNG.choice(["", "", " ", "/", "\n"]) for _ in range(RNG.randint(1, 12)))
+        base = secret_scan.base_spans(text)
+        assert base == plain_base(text)
+        assert [*secret_scan._untaken(text, base)] == plain_stretches(text, base)
+        for _, s, e in secret_scan.random_spans(text, enc, base):
+            assert (e - s) / len(enc.encode_ordinary(text[s:e])) < 2.4
+    # a hundred thousand spans, and a million letters, in a time that grows with the text
+    many = f"token={'aB3' * 4} {key()}{'0' * 32}{key()} " * 30_000
+    assert len(secret_scan.base_spans(many)) >= 60_000 and len([*secret_scan._untaken(many, secret_scan.base_spans(many))]) == len([*secret_scan._untaken(many[: len(many) // 30_000], secret_scan.base_spans(many[: len(many) // 30_000]))]) * 30_000
+    assert secret_scan.random_spans("a" * 1_000_000 + "12345", enc, []) is not None
+
+
 def test_redaction_of_overlaps():
     assert secret_scan.redacted("abcdefghij", [("hex", 2, 5), ("assign", 1, 4), ("hex", 7, 8)], "*") == "a*fg*ij"
 
@@ -86,6 +138,30 @@ def test_licences(spark):
     assert license_scan.scan_licences(docs.limit(0)).count() == 0
 
 
+def test_every_known_licence_is_found_in_other_dress(spark):
+    dress = lambda t: t.replace('"', "“").replace("-", "–").replace(" the ", "  the ").replace("license", "licence").upper()
+    heads = ("Copyright (c) The Authors\n", "Copyright 2019-2024 Some One <a@b.example>\nAll rights reserved.\n", "© Some One\n", "Copyright the example authors\n", "")
+    titled = {"MIT": "The MIT License (MIT)", "ISC": "ISC Licence", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "BSD-2-Clause": "BSD 2-Clause License", "Zlib": "zlib License", "0BSD": "Zero-Clause BSD", "Unlicense": "The Unlicense"}
+    known = license_scan.known_texts()
+    rows = [(k, f"{titled.get(i, '')}\n\n{heads[k % len(heads)]}\n{dress(t)}") for k, (i, t) in enumerate(known)]
+    got = {r.doc_id: r for r in license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({i for i, _ in known}) >= 21 and all(got[k].license_id == i for k, (i, _) in enumerate(known))
+    # a licence's own words on copyright stay, and a text that lacks a clause is another one
+    cut = spark.createDataFrame([(1, license_scan.LICENCES["MIT"].replace("The above copyright notice", "The notice")), (2, "MIT License"), (3, "")], "doc_id long, text string")
+    assert [r.license_id for r in license_scan.scan_licences(cut).orderBy("doc_id").collect()] == [None] * 3
+
+
+def test_a_notice_in_a_line_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "x\n" + "*" * 10_000 + " MIT License " + "-" * 5000), (2, "\n\n\n"), (3, "The MIT License\nfoo")], "doc_id long, text string")
+    assert [r.n_notices for r in license_scan.scan_licences(docs).orderBy("doc_id").collect()] == [1, 0, 1]
+
+
+def test_licences_from_a_table(spark):
+    table = spark.createDataFrame([("Own-1.0", "Do what you like.\nBut ask first.", 1), ("Own-0.9", "do what you like, but ask FIRST", 2), ("None-1", None, 3), ("None-2", "MIT License", 4)], "license_id string, text string, doc_id int")
+    docs = spark.createDataFrame([(1, "Copyright 2001 Me\ndo what you like -- but ask first"), (2, None)], "doc_id long, text string")
+    assert [r.license_id for r in license_scan.scan_licences(docs, table).orderBy("doc_id").collect()] == ["Own-0.9", None]
+
+
 def edits_within(p: str, t: str) -> int:
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
@@ -129,10 +205,25 @@ def test_long_texts_are_read_in_windows(monkeypatch):
         assert index.find(text) == [(0, 0, before, before + len(item))]
 
 
+def test_passages_without_a_q_gram_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "WINDOW", 5)
+    items = ["7", "42abc", "Ünder", "zz", "seven77", "eight888", "zz"]
+    index = decontam.Passages(items, items, decontam.Q, decontam.RATE)
+    fold = lambda s: "".join(map(chr, decontam.folded(s)))
+    for text in ("the answer is 42ABC ok", "x zz 7 7 üNDER seven77eight888", "", "eight88", "zzz", "seven7", "a" * 30 + "zz"):
+        got = {(p, e, s, t) for p, e, s, t in index.find(text)}
+        want = {(k, 0, fold(text).find(fold(i)), fold(text).find(fold(i)) + len(i)) for k, i in enumerate(items) if fold(i) in fold(text)}
+        assert got == want, text
+    docs = spark.createDataFrame([(1, "the answer is 42abc ok"), (2, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "42abc"), (2, "")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, bench).collect()] == [(1, 1, 0, 14, 19)]
+    assert [r.doc_id for r in decontam.clean_texts(docs, bench, block_chars=1).collect()] == [2]
+
+
 def test_passage_frames(spark):
     item = words(30)
     docs = spark.createDataFrame([(1, "a " + item + " b", "x"), (2, None, "y"), (3, words(50), None), (None, item.upper(), "z"), (1, "a " + item + " b", "x")], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(10, item, 0), (11, None, 0), (12, "tiny", 0), (None, "", 1)], "item_id long, text string, doc_id int")
+    bench = spark.createDataFrame([(10, item, 0), (11, None, 0), (12, "tiny7", 0), (None, "", 1)], "item_id long, text string, doc_id int")
     got = sorted((str(r.doc_id), r.item_id, r.edits, r.start_char) for r in decontam.contaminated(docs, bench).collect())
     assert got == [("1", 10, 0, 2), ("1", 10, 0, 2), ("None", 10, 0, 0)]
     assert sorted(str(r.doc_id) for r in decontam.clean_texts(docs, bench).collect()) == ["2", "3"]
