@@ -121,7 +121,8 @@ def test_words_by_array_are_words_by_pattern():
 
 
 def canon(t: str) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).lower()).strip()
+    form = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    return re.sub(r"\s+", " ", form).strip()
 
 
 @pytest.mark.parametrize("rows_in_range", [4096, 3])
@@ -148,6 +149,24 @@ def test_fingerprints(spark, monkeypatch, rows_in_range):
     assert groups[5] == groups[-3] == groups[3] == (-3, 3) and groups[41] == groups[1000] == (41, 2) and groups[12] == (12, 2)
 
 
+@pytest.mark.parametrize("kind", ["far off", "strings", "repeated"])
+def test_next_documents_of_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 50)
+    n = 1000
+    ids = {"far off": [*range(n), 4 * 10**18], "strings": [f"doc-{i * 7919 % 1000:04}" for i in range(n)], "repeated": [7] * n + [3, 9]}[kind]
+    rows = [(i, "same" if kind == "repeated" and k % 2 else f"text {k} of {i}") for k, i in enumerate(ids)]
+    RNG.shuffle(rows)
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'strings' else 'long'}, text string").repartition(5).selectExpr("*", "xxhash64(text) text_hash")
+    hash_of = {r.text: r.text_hash for r in df.collect()}
+    order = sorted(rows, key=lambda r: (r[0], hash_of[r[1]]))
+    want = sorted((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    got = fingerprint.with_next(df)
+    assert sorted((r.doc_id, r.text, r.next_text) for r in got.collect()) == want
+    keys = df.select("doc_id", "text_hash")
+    sizes = [r["count"] for r in fingerprint._in_ranges(keys.distinct(), fingerprint._ranges(keys)).groupBy("range").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 400
+
+
 def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
