@@ -39,12 +39,12 @@ def monotone_fixes(fixes: DataFrame, by: list[str], arrival: str, time: str = "a
 
 
 def plausible_tide(points: Column) -> Column:
-    """The points (array of (at_ms, height_m), by time) that the rate against the last one kept allows; the first is kept."""
+    """The points (array of (at_ms, height_m), by time) that the rate against the last one kept allows; the first is kept, and points of one time are."""
 
     def keep(kept: Column, p: Column) -> Column:
         last = F.element_at(kept, -1)
         minutes = (p["at_ms"] - last["at_ms"]) / F.lit(60000.0)
-        return F.when(F.abs(p["height_m"] - last["height_m"]) <= F.lit(TIDE_RATE) * minutes, F.array_append(kept, p)).otherwise(kept)
+        return F.when((minutes <= 0) | (F.abs(p["height_m"] - last["height_m"]) <= F.lit(TIDE_RATE) * minutes), F.array_append(kept, p)).otherwise(kept)
 
     return F.when(F.size(points) > 0, F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1), keep)).otherwise(points)
 
@@ -57,7 +57,7 @@ def plausible_tides(rows: DataFrame, by: list[str], order: tuple[str, ...] = ("a
 
         def step(t: float, h: float) -> bool:
             nonlocal last
-            keeps = last is None or abs(h - last[1]) <= TIDE_RATE * ((t - last[0]) / 60000.0)
+            keeps = last is None or t <= last[0] or abs(h - last[1]) <= TIDE_RATE * ((t - last[0]) / 60000.0)
             if keeps:
                 last = (t, h)
             return keeps

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadline import fixtures as fx
@@ -479,21 +479,22 @@ def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.soundings(spark, sf_dir).select("id", nb.micro(confidence.recency("observed_at_ms", AS_OF, 30.0)).alias("recency_u"))
 
 
-_COUNTS = f"WITH {RAW}, c AS (SELECT track, count(*) AS o, count(DISTINCT pass_id) AS p, count(DISTINCT depth_source) AS s FROM raw WHERE id % 400 < 3 GROUP BY 1)"
+_COUNTS = f"WITH {SOUNDINGS}, c AS (SELECT track, cell_x, cell_y, count(*) AS o, count(DISTINCT pass_id) AS p, count(DISTINCT depth_source) AS s FROM soundings GROUP BY ALL)"
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.soundings(spark, sf_dir).filter("id % 400 < 3").groupBy("track").agg(F.count("*").alias("o"), F.count_distinct("pass_id").alias("p"), F.count_distinct("depth_source").alias("s"))
+    """What each track has seen of each cell: counts from one on."""
+    return fx.soundings(spark, sf_dir).groupBy("track", "cell_x", "cell_y").agg(F.count("*").alias("o"), F.count_distinct("pass_id").alias("p"), F.count_distinct("depth_source").alias("s"))
 
 
-@query(f"{_COUNTS} SELECT track, least(CASE WHEN o <= 1 THEN 0.25 WHEN o = 2 THEN 0.4 ELSE 1.0 END, CASE WHEN p <= 1 THEN 0.35 WHEN p = 2 THEN 0.6 ELSE 1.0 END, CASE WHEN s <= 1 THEN 0.75 ELSE 1.0 END)::DOUBLE AS cap FROM c")
+@query(f"{_COUNTS} SELECT track, cell_x, cell_y, least(CASE WHEN o <= 1 THEN 0.25 WHEN o = 2 THEN 0.4 ELSE 1.0 END, CASE WHEN p <= 1 THEN 0.35 WHEN p = 2 THEN 0.6 ELSE 1.0 END, CASE WHEN s <= 1 THEN 0.75 ELSE 1.0 END)::DOUBLE AS cap FROM c")
 def evidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir).select("track", confidence.evidence_cap("o", "p", "s").alias("cap"))
+    return _counts(spark, sf_dir).select("track", "cell_x", "cell_y", confidence.evidence_cap("o", "p", "s").alias("cap"))
 
 
-@query(f"{_COUNTS} SELECT track, concat_ws('|', CASE WHEN o <= 1 THEN 'single_observation' WHEN o = 2 THEN 'only_two_observations' END, CASE WHEN p <= 1 THEN 'single_pass' WHEN p = 2 THEN 'only_two_passes' END, CASE WHEN s <= 1 THEN 'single_source' END) AS reasons FROM c")
+@query(f"{_COUNTS} SELECT track, cell_x, cell_y, concat_ws('|', CASE WHEN o <= 1 THEN 'single_observation' WHEN o = 2 THEN 'only_two_observations' END, CASE WHEN p <= 1 THEN 'single_pass' WHEN p = 2 THEN 'only_two_passes' END, CASE WHEN s <= 1 THEN 'single_source' END) AS reasons FROM c")
 def evidence_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir).select("track", F.array_join(confidence.evidence_reasons("o", "p", "s"), "|").alias("reasons"))
+    return _counts(spark, sf_dir).select("track", "cell_x", "cell_y", F.array_join(confidence.evidence_reasons("o", "p", "s"), "|").alias("reasons"))
 
 
 @query(f"WITH {RAW} SELECT id, {micro('least(1.0, pow(5.0 * cos(radians(lat_e7 / 1e7)) / (2.0 * coalesce(horizontal_sigma_mm / 1000.0, 3.0)), 2))')} AS cap_u FROM raw")
@@ -669,7 +670,7 @@ def reconstruct_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_CHANNELS.replace('WITH', 'WITH RECURSIVE')}, o AS (SELECT context, event_id, at_ms, v_milli / 1000.0 AS h, row_number() OVER (PARTITION BY context ORDER BY at_ms, event_id) AS i FROM tide),
 k AS (SELECT context, i, event_id, at_ms AS lt, h AS lh, true AS kept FROM o WHERE i = 1 UNION ALL
- SELECT o.context, o.i, o.event_id, CASE WHEN abs(o.h - lh) <= 0.05 * ((o.at_ms - lt) / 60000000.0) THEN o.at_ms ELSE lt END, CASE WHEN abs(o.h - lh) <= 0.05 * ((o.at_ms - lt) / 60000000.0) THEN o.h ELSE lh END, abs(o.h - lh) <= 0.05 * ((o.at_ms - lt) / 60000000.0) FROM k JOIN o ON o.context = k.context AND o.i = k.i + 1)
+ SELECT o.context, o.i, o.event_id, CASE WHEN o.at_ms <= lt OR abs(o.h - lh) <= 0.05 * ((o.at_ms - lt) / 60000000.0) THEN o.at_ms ELSE lt END, CASE WHEN o.at_ms <= lt OR abs(o.h - lh) <= 0.05 * ((o.at_ms - lt) / 60000000.0) THEN o.h ELSE lh END, o.at_ms <= lt OR abs(o.h - lh) <= 0.05 * ((o.at_ms - lt) / 60000000.0) FROM k JOIN o ON o.context = k.context AND o.i = k.i + 1)
 SELECT context, event_id FROM k WHERE kept""")
 def tide_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series are sparse here, so time is taken a thousandth as fast."""
@@ -746,21 +747,24 @@ def journeys_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crowd.matching(crowd.journeys(_points(spark, sf_dir)), provider="R", from_ms=820454400000, through_ms=820454400000).select("vessel_id", "journey_id", "provider", "start_ms", "end_ms")
 
 
-_NUMBERED = f"{_IMPORTED}, numbered AS (SELECT *, row_number() OVER (ORDER BY observed_at_ms, lat_e7, lon_e7, depth_mm, platform, provider, instrument) AS id FROM pts WHERE unique_id = 'V7' AND file_uuid = 'F7')"
+_POINT_ORDER = ["observed_at_ms", "lat_e7", "lon_e7", "depth_mm", "platform", "provider", "instrument"]
+_NUMBERED = f"{_IMPORTED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY unique_id, file_uuid ORDER BY {', '.join(_POINT_ORDER)}) AS id FROM pts)"
 
 
-@query(f"{_NUMBERED} SELECT id, observed_at_ms, depth_mm FROM numbered WHERE id > 3 ORDER BY id LIMIT 6")
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("unique_id", "file_uuid").orderBy(*_POINT_ORDER)
+    return _points(spark, sf_dir).withColumn("id", F.row_number().over(w).cast("long"))
+
+
+@query(f"{_NUMBERED} SELECT id, observed_at_ms, depth_mm FROM numbered WHERE unique_id = 'V7' AND file_uuid = 'F7' AND id > 3 ORDER BY id LIMIT 6")
 def journey_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _points(spark, sf_dir).filter("unique_id = 'V7' and file_uuid = 'F7'")
-    numbered = journal_source.with_ids(one, ["observed_at_ms", "lat_e7", "lon_e7", "depth_mm", "platform", "provider", "instrument"])
-    return crowd.page(numbered, "V7", "F7", 3, 5).select("id", "observed_at_ms", "depth_mm")
+    return crowd.page(_numbered(spark, sf_dir), "V7", "F7", 3, 5).select("id", "observed_at_ms", "depth_mm")
 
 
-@query(f"{_NUMBERED}, l AS (SELECT id, observed_at_ms AS t, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo, lag(observed_at_ms) OVER w AS t0, lag(lat_e7 / 1e7) OVER w AS la0, lag(lon_e7 / 1e7) OVER w AS lo0 FROM numbered WINDOW w AS (ORDER BY id)) SELECT id, coalesce(t - t0 > 300000 OR abs(lo - lo0) > 180 OR sqrt(pow((lo0 - lo) * cos(radians(la0)), 2) + pow(la0 - la, 2)) * 111320 > greatest(100.0, (t - t0) / 1000.0 * 30), false) AS is_break FROM l")
+@query(f"{_NUMBERED}, l AS (SELECT unique_id, file_uuid, id, observed_at_ms AS t, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo, lag(observed_at_ms) OVER w AS t0, lag(lat_e7 / 1e7) OVER w AS la0, lag(lon_e7 / 1e7) OVER w AS lo0 FROM numbered WINDOW w AS (PARTITION BY unique_id, file_uuid ORDER BY id)) SELECT unique_id, file_uuid, id, coalesce(t - t0 > 300000 OR abs(lo - lo0) > 180 OR sqrt(pow((lo0 - lo) * cos(radians(la0)), 2) + pow(la0 - la, 2)) * 111320 > greatest(100.0, (t - t0) / 1000.0 * 30), false) AS is_break FROM l")
 def journey_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _points(spark, sf_dir).filter("unique_id = 'V7' and file_uuid = 'F7'").withColumns({"latitude": F.col("lat_e7") / 1e7, "longitude": F.col("lon_e7") / 1e7})
-    numbered = journal_source.with_ids(one, ["observed_at_ms", "lat_e7", "lon_e7", "depth_mm", "platform", "provider", "instrument"])
-    return folds.breaks(numbered, ["unique_id", "file_uuid"], ["id"]).select("id", "is_break")
+    n = _numbered(spark, sf_dir).withColumns({"latitude": F.col("lat_e7") / 1e7, "longitude": F.col("lon_e7") / 1e7})
+    return folds.breaks(n, ["unique_id", "file_uuid"], ["id"]).select("unique_id", "file_uuid", "id", "is_break")
 
 
 _CROWD_BOX = (-122.395, 37.805, -122.36, 37.83)
@@ -869,9 +873,9 @@ def journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal_source.read(_journal(spark, sf_dir), 500, 1000).select("id", "observed_at_ms")
 
 
-@query(f"{_KEPT} SELECT id, CASE WHEN tide_mm IS NOT NULL AND NOT tide_stale AND quality IS NULL THEN {milli('depth_mm / 1000.0 + 1.5 - tide_mm / 1000.0')} END AS corrected_mm, CASE WHEN tide_mm IS NOT NULL AND NOT tide_stale AND quality IS NULL THEN 'MLLW' END AS datum FROM kept WHERE id <= 10000")
+@query(f"{_KEPT} SELECT id, CASE WHEN tide_mm IS NOT NULL AND NOT tide_stale AND quality IS NULL THEN {milli('depth_mm / 1000.0 + 1.5 - tide_mm / 1000.0')} END AS corrected_mm, CASE WHEN tide_mm IS NOT NULL AND NOT tide_stale AND quality IS NULL THEN 'MLLW' END AS datum FROM kept")
 def journal_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = journal_source.read(_journal(spark, sf_dir), 0, 10_000)
+    r = journal_source.with_corrections(_journal(spark, sf_dir))
     return r.select("id", nb.millimetres("corrected_m").alias("corrected_mm"), F.col("corrected_datum").alias("datum"))
 
 

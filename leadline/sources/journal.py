@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadline.operators.ranges import numbered
+
 _POSITION = T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("source", T.StringType())])
 _TIDE = T.StructType([T.StructField("height_m", T.DoubleType()), T.StructField("sigma_m", T.DoubleType()), T.StructField("datum", T.StringType()), T.StructField("station_id", T.StringType()), T.StructField("station_name", T.StringType()), T.StructField("source", T.StringType()), T.StructField("method", T.StringType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("stale", T.BooleanType())])
 OBSERVATION = T.StructType([
@@ -45,29 +47,20 @@ def append(journal: DataFrame | None, rows: DataFrame, evidence: list[str], orde
     if journal is not None:
         new = new.join(journal.select("fingerprint"), "fingerprint", "left_anti")
         last = journal.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # ids within a batch: rank in its range of the order, after the ranges before
-    return with_ids(new, order, last)
-
-
-def with_ids(rows: DataFrame, order: list[str], last: int = 0) -> DataFrame:
-    """Consecutive ids by an order, after ``last``: ranges are counted apart, so no task holds all rows."""
-    key = order[0]
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    parts = max(1, min(4096, (n or 0) // 65536 + 1))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // parts))
-    dealt = rows.withColumn("_part", F.floor((F.col(key) - F.lit(lo or 0)) / width))
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_rank", rank).join(F.broadcast(counts), "_part").withColumn("id", F.col("_rank") + F.col("_earlier") + last).drop("_part", "_rank", "_n", "_earlier")
+    return numbered(new, order, last)
 
 
 def read(journal: DataFrame, after_id: int = 0, limit: int = 1000) -> DataFrame:
     """The next observations by id, with corrected depth and datum where tide and quality allow it."""
     if after_id < 0 or not 1 <= limit <= 10_000:
         raise ValueError("invalid cursor or limit")
-    page = journal.filter(F.col("id") > after_id).orderBy("id").limit(limit)
+    return with_corrections(journal.filter(F.col("id") > after_id).orderBy("id").limit(limit))
+
+
+def with_corrections(journal: DataFrame) -> DataFrame:
+    """The observations with corrected depth and datum, null where tide or quality don't allow it, and whether the offsets are verified."""
     depth = corrected("depth_m", "surface_offset_m", "tide", "quality")
-    return page.withColumns({"corrected_m": depth, "corrected_datum": F.when(depth.isNotNull(), F.col("tide.datum")), "offsets_verified": F.coalesce(F.col("installation")["offsetsVerified"] == "true", F.lit(False))})
+    return journal.withColumns({"corrected_m": depth, "corrected_datum": F.when(depth.isNotNull(), F.col("tide.datum")), "offsets_verified": F.coalesce(F.col("installation")["offsetsVerified"] == "true", F.lit(False))})
 
 
 def corrected(depth: str, offset: str, tide: str, quality: str) -> Column:
