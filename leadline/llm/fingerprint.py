@@ -16,7 +16,7 @@ from leadline.llm.common import text_rows, written
 #: Bits of the table that tells which texts can share a digest: 2 MB, whatever the input.
 SHARED_BITS = 24
 #: Documents in a range of ids on average, and the most ranges there are, on average too.
-RANGE_ROWS, MOST_RANGES = 4096, 1 << 16
+RANGE_ROWS, MOST_RANGES = 512, 1 << 18
 
 
 def _icu(kind: str, method: str, text: Column) -> Column:
@@ -60,8 +60,9 @@ def collisions(rows: DataFrame, known: DataFrame) -> DataFrame | None:
     buckets left, the least and the greatest canonical text are the same bytes unless there is a collision.
     Each task reduces a bucket to these two before anything is shuffled, so many copies are no large group.
     """
-    twice = known.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("digest", "first")
-    hashes = known.join(twice, "digest").select("text_hash").distinct()
+    texts = known.groupBy("digest", "text_hash").agg(F.count("*").alias("n"))
+    twice = texts.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
+    hashes = texts.join(twice, "digest").select("text_hash").distinct()
     bits = hashes.groupBy(F.bitmap_bucket_number(_place(F.col("text_hash"))).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place(F.col("text_hash")))).alias("bits"))
     bit = F.bitmap_bit_position(_place(F.col("text_hash")))
     byte = F.ascii(F.decode(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
@@ -109,11 +110,11 @@ def _ranges(keys: DataFrame) -> DataFrame:
 
 
 def _in_ranges(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows with ``range``, the number of edges up to them, by halving: the edges are one row that goes to every task."""
+    """The rows with ``range``, the number of edges up to them, by halving: the edges are one value that goes to every task."""
     halves = F.array(*[F.lit(1 << k) for k in range(MOST_RANGES.bit_length() + 1, -1, -1)])
     key = F.struct("doc_id", "text_hash")
     at = F.aggregate(halves, F.lit(0), lambda i, half: F.when(F.get("edges", i + half - 1) <= key, i + half).otherwise(i))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").withColumn("range", at).drop("_one", "edges")
+    return rows.withColumn("edges", edges.scalar()).withColumn("range", at).drop("edges")
 
 
 def with_next(rows: DataFrame, *carried: str) -> DataFrame:

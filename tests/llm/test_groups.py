@@ -261,9 +261,26 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert 0 < len(got) < 200 and corpus_pipeline.ORACLE_SQL is None
 
 
-def test_pipeline_takes_nulls(spark):
+def test_pipeline_takes_nulls_repeats_and_any_columns(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.createDataFrame([(1, "a fine text", "en", "s", 11), (None, None, None, None, None), (1, "a fine text", "en", "s", 11), (2, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    other = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a fine text", "en", "s", 11, 7, True, "x"), (None, None, None, None, None, None, None, None), (1, "a fine text", "en", "s", 11, 7, True, "x"), (2, "", "en", None, 0, 1, None, "y"), (1, other, "en", "s", 1, 8, False, "z"), (5, other + " tail", "en", "s", 1, 9, False, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, again long, c0 boolean, component_id string")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf)
-        assert out.count() == {0: 4, 1: 3, 2: 4, 3: 4, 4: 4}[k] and stage(spark, docs.limit(0), sf).count() == 0
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if k == 1:  # two texts of id 1, one of them twice; 5 is like one of them
+            assert sorted((str(r.doc_id), r.text or "", str(r.again), str(r.c0)) for r in out.collect()) == sorted([("1", "a fine text", "7", "True"), ("1", other, "8", "False"), ("2", "", "1", "None"), ("None", "", "None", "None")])
+        if k < 4:
+            assert out.columns == docs.columns
+        if k > 1:
+            assert out.count() == 6
+
+
+def test_what_stages_make_for_themselves_goes(spark):
+    from leadline.llm import common
+
+    with common.scratch():
+        out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        assert len(common._made) == 1 and out.count() > 50
+    assert not common._made
