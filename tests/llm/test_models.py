@@ -106,13 +106,13 @@ def words(t: str) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t))
 
 
-@pytest.mark.parametrize("most_nodes, most_words", [(1 << 22, 1 << 20), (300, 5)])
-def test_scores_are_the_plain_model_s(spark, most_nodes, most_words):
+@pytest.mark.parametrize("most_nodes, most_words, shard_nodes, shard_keys", [(1 << 22, 1 << 20, 1 << 18, 1 << 20), (300, 5, 200, 50), (0, 0, 15, 10_000)])
+def test_scores_are_the_plain_model_s(spark, most_nodes, most_words, shard_nodes, shard_keys):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choices("aab bc\nABé", k=rng.randint(0, 60)))) for i in range(60)] + [(60, None), (61, ""), (61, ""), (62, "x" * 3000 + "ÿ" * 5)]
     docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, fold int, word string")
     got = defaultdict(list)
-    for r in ppm.score_texts(docs, most_nodes=most_nodes, most_words=most_words).collect():
+    for r in ppm.score_texts(docs, most_nodes=most_nodes, most_words=most_words, shard_nodes=shard_nodes, shard_keys=shard_keys).collect():
         got[r.doc_id].append(r)
     train = [t or "" for i, t in rows if fold(i) != 1]
     counts = Counter(w for t in train for w in [*words(t), None])
@@ -130,8 +130,7 @@ def test_probabilities_add_up():
     data = np.frombuffer(b"abracadabra banana", np.uint8)
     keys = next(ppm.grams_of(data, np.array([0, 11, 18])))[2]
     k, c = np.unique(keys, return_counts=True)
-    low = ppm._summed(k & ppm._mask(2), c)
-    model = ppm.Model(k, c, *low)
+    model = ppm.Model(k, c, {n: ppm._summed(k & ppm._mask(n + 1), c) for n in (0, 1)})
     for context in (b"ra", b"zz", b"an", b""):
         s = [256] * (ppm.ORDER - len(context)) + list(context)
         keys = np.zeros(257, np.uint64)
@@ -141,6 +140,32 @@ def test_probabilities_add_up():
         assert (10 ** -model.costs(keys)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_shards_are_small_and_know_their_contexts(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aaaab", k=200)) for _ in range(20)] + ["".join(rng.choices("abcdefghij ", k=50)) for _ in range(20)]
+    counts = Counter()
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for _, _, keys, _ in ppm.grams_of(data, np.array([0, len(data)])):
+            counts.update(keys.tolist())
+    k = np.array(sorted(counts), np.uint64)
+    c = np.array([counts[x] for x in k.tolist()])
+    whole = ppm.Model(k, c, {n: ppm._summed(k & ppm._mask(n + 1), c) for n in (0, 1)})
+    asked = np.array([rng.choice(k.tolist()) ^ (rng.randrange(512) << 9 * rng.randrange(6)) for _ in range(3000)], np.uint64)
+    asked = asked[(asked & np.uint64(511)) <= 256]
+    for most in (1, 6, 30, 10_000):
+        shards = ppm.Shards(spark.createDataFrame([(int(x), int(n)) for x, n in zip(k, c, strict=True)], "key long, n long"), most)
+        own = shards.of(k)
+        # one context of five symbols is never divided
+        largest = max(Counter((x >> 9) for x in k.tolist()).values())
+        assert max(Counter(own.tolist()).values()) <= max(most, largest) and len(set(own.tolist())) == len(shards.above)
+        to = shards.of(asked)
+        low = {n: ppm._summed(k & ppm._mask(n + 1), c) for n in (0, 1)}
+        for s in set(to.tolist()):
+            part = ppm.Model(k[own == s], c[own == s], low | shards.low_of(s))
+            assert np.allclose(part.costs(asked[to == s]), whole.costs(asked[to == s]), atol=1e-6)
+
+
 def test_nothing_learnt_and_nothing_there(spark):
     docs = spark.createDataFrame([(None, "ab"), (None, None)], "doc_id long, text string")
     got = sorted((r.n_tokens, round(r.score, 6), r.n_known, r.held_out) for r in ppm.score_texts(docs).collect())
