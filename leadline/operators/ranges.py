@@ -17,10 +17,10 @@ def edges_of(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def in_ranges(rows: DataFrame, order: list[str], edges: DataFrame, name: str = "_range") -> DataFrame:
-    """The rows with the number of edges up to them, found by halving; the edges are one row that goes to every task."""
+    """The rows with the number of edges up to them, found by halving; the edges are one value that goes to every task."""
     halves = F.array(*[F.lit(1 << k) for k in range(MOST_RANGES.bit_length() + 1, -1, -1)])
     at = F.aggregate(halves, F.lit(0), lambda i, half: F.when(F.get("_edges", i + half - 1) <= F.struct(*order), i + half).otherwise(i))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").withColumn(name, at).drop("_one", "_edges")
+    return rows.withColumn("_edges", edges.scalar()).withColumn(name, at).drop("_edges")
 
 
 def numbered(rows: DataFrame, order: list[str], last: int = 0, name: str = "id") -> DataFrame:

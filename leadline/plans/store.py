@@ -1,4 +1,4 @@
-"""Stored tables: deduplicated appends, keyed replacement, snapshots that are swapped whole, replacement of soundings."""
+"""Stored tables: deduplicated appends, keyed replacement, numbered commits, replacement of soundings."""
 
 from __future__ import annotations
 
@@ -32,16 +32,27 @@ def affected_cells(*soundings: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def apply_batch(cells: DataFrame, soundings: DataFrame, batch: DataFrame, config: Config, updated_at_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_batch(cells: DataFrame | None, soundings: DataFrame, batch: DataFrame, config: Config, updated_at_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, qc, history) after a batch joins the active soundings: only the batch's cells are built anew, from their state before.
 
     ``soundings`` has the batch in it. What comes out for the other cells is what went in.
     """
     keys = affected_cells(batch)
-    rows = soundings.join(keys.withColumnRenamed("datum", "tide_datum"), ["cell_x", "cell_y", "tide_datum"], "left_semi")
-    before = cells.join(keys, CELL, "left_semi")
+    rows = _of_cells(soundings, keys)
+    before = None if cells is None else cells.join(keys, CELL, "left_semi")
     built = build_cells(rows, config, before, updated_at_ms)
-    return upsert(cells, built.select(*cells.columns), CELL), classify(rows, config, before), history_of(built)
+    return built if cells is None else upsert(cells, built.select(*cells.columns), CELL), classify(rows, config, before), history_of(built)
+
+
+def rebuild_cells(cells: DataFrame, soundings: DataFrame, keys: DataFrame, config: Config, updated_at_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, qc) with the cells of the keys built anew from the active soundings alone, whatever they were before; emptied ones go."""
+    rows = _of_cells(soundings, keys)
+    built = build_cells(rows, config, updated_at_ms=updated_at_ms)
+    return cells.join(keys, CELL, "left_anti").unionByName(built.select(*cells.columns)), classify(rows, config)
+
+
+def _of_cells(soundings: DataFrame, keys: DataFrame) -> DataFrame:
+    return soundings.join(keys.withColumnRenamed("datum", "tide_datum"), ["cell_x", "cell_y", "tide_datum"], "left_semi")
 
 
 def check_replacements(stored: DataFrame, successors: DataFrame) -> None:
@@ -61,33 +72,33 @@ def replace_from_history(stored: DataFrame, replacements: DataFrame, successors:
     return stored.unionByName(successors.select(*stored.columns)), replacements.unionByName(links), affected_cells(old, successors)
 
 
-class Snapshots:
-    """A table as whole snapshots in a folder; a pointer file names the current one, and is written last."""
+class Commits:
+    """Numbered commits in a folder: each is a small JSON file that appears at once, under its number, and never changes."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        self._fs = self._pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._new = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._new(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        if not self._fs.exists(self._pointer):
+    def last(self) -> dict | None:
+        """What the newest commit says, with its number as ``seq``."""
+        if not self._fs.exists(self._new(self.path)):
+            return None
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._new(self.path))]
+        names = [n for n in names if n.startswith("v") and n[1:].isdigit()]
+        if not names:
             return None
-        return json.loads("".join(r.value for r in self.spark.read.text(self._pointer.toString()).collect()))["snapshot"]
-
-    def read(self) -> DataFrame | None:
-        name = self.current()
-        return None if name is None else self.spark.read.parquet(f"{self.path}/{name}")
-
-    def commit(self, table: DataFrame, by: list[str] | None = None) -> None:
-        """Writes a snapshot, clustered by keys if given, then points to it; readers of the one before aren't disturbed."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        (table.repartitionByRange(*by).sortWithinPartitions(*by) if by else table).write.parquet(f"{self.path}/{name}")
-        out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.next"), True)
-        out.write(bytearray(json.dumps({"snapshot": name}).encode()))
+        newest = max(names, key=lambda n: int(n[1:]))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/{newest}").collect())) | {"seq": int(newest[1:])}
+
+    def add(self, seq: int, content: dict) -> None:
+        """Adds a commit; one of that number that is there already is an error."""
+        draft, final = self._new(f"{self.path}/draft-{uuid.uuid4().hex}"), self._new(f"{self.path}/v{seq:020}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        if self._fs.exists(self._pointer):
-            self._fs.delete(self._pointer, False)
-        self._fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.next"), self._pointer)
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"commit {seq} is there already")
 
 
 def rekey(soundings: DataFrame, cell_m: float) -> DataFrame:

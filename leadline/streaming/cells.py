@@ -1,14 +1,29 @@
-"""Cells kept up to date from a stream of soundings: each micro-batch is deduplicated, appended, and its cells are built anew."""
+"""Cells kept up to date from a stream of soundings: each micro-batch is deduplicated, appended, and its cells are built anew.
+
+All tables lie in parts by number of the commit and, within it, by area, a square of ``AREA_CELLS`` cells. A
+batch reads and writes the parts of the areas that it touches. A commit comes last and names the batch it
+holds, so one that comes again is left out, and what a lost attempt wrote is neither read nor kept.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadline.config import Config
-from leadline.operators.surface import build_cells
-from leadline.plans.store import Snapshots, apply_batch, new_rows
+from leadline.operators.surface import history_of
+from leadline.plans.store import Commits, affected_cells, apply_batch, new_rows, rebuild_cells, replace_from_history
+
+#: Cells along an area: some 20 km, so that the whole globe has about a million areas.
+AREA_CELLS = 4096
+
+
+def with_area(rows: DataFrame) -> DataFrame:
+    at = [F.floor(F.col(n) / AREA_CELLS).cast("string") for n in ("cell_x", "cell_y")]
+    return rows.withColumn("area", F.concat(at[0], F.lit("_"), at[1]))
 
 
 class Surface:
@@ -16,45 +31,141 @@ class Surface:
 
     def __init__(self, spark: SparkSession, path: str, config: Config):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
-        self.cells = Snapshots(spark, f"{self.path}/cells")
+        self.commits = Commits(spark, f"{self.path}/commits")
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _any(self, name: str) -> bool:
+        """Whether a table has a part."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return self.spark.read.parquet(f"{self.path}/{name}") if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p) else None
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(p) and any(f.isDirectory() for f in fs.listStatus(p))
+
+    def _read(self, name: str, below: int | None = None) -> DataFrame | None:
+        """A table's parts of all commits, or of those below a number."""
+        if below is None:
+            head = self.commits.last()
+            below = 0 if head is None else head["seq"] + 1
+        return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("seq") < below) if self._any(name) else None
+
+    def _write(self, table: DataFrame, name: str, seq: int, by_area: bool = False) -> None:
+        # areas together in files, a large one split
+        w = table.hint("rebalance", "area").write.partitionBy("area") if by_area else table.write
+        w.mode("overwrite").parquet(f"{self.path}/{name}/seq={seq}")
 
     def soundings(self) -> DataFrame | None:
+        """All soundings, superseded ones too."""
         return self._read("soundings")
 
+    def active(self) -> DataFrame | None:
+        return self._active(self._read("soundings"), None)
+
+    def _active(self, soundings: DataFrame | None, below: int | None) -> DataFrame | None:
+        links = self._read("replaced", below)
+        return soundings if links is None or soundings is None else soundings.join(links.select(F.col("original_id").alias("id"), "area"), ["id", "area"], "left_anti")
+
     def history(self) -> DataFrame | None:
         return self._read("history")
 
+    def cells(self) -> DataFrame | None:
+        c = self._cells(self.commits.last())
+        return None if c is None else c.drop("area", "seq")
+
+    def _cells(self, head: dict | None) -> DataFrame | None:
+        """Each area's cells, from the commit that wrote it last. Where that is, is a table of a row for each area."""
+        if head is None or not head["areas"]:
+            return None
+        newest = self.spark.read.parquet(f"{self.path}/areas/seq={head['areas'] - 1}")
+        # parts beyond the commit may be written at this time
+        return self._read("cells", head["seq"] + 1).join(F.broadcast(newest), ["area", "seq"], "left_semi")
+
     def qc(self) -> DataFrame | None:
         """The latest QC of each sounding."""
         q = self._read("qc")
-        return None if q is None else q.groupBy("sounding_id").agg(F.max_by(F.struct("qc_state", "reasons"), "batch").alias("q")).select("sounding_id", "q.qc_state", "q.reasons")
-
-    def apply(self, batch: DataFrame, batch_id: int, updated_at_ms: int) -> None:
-        """Takes a batch of soundings with fingerprints. Parts are named by batch and overwritten, so a retry is the same write."""
-        stored = self.soundings()
-        before = None if stored is None else stored.filter(F.col("batch") != batch_id)
-        new_rows(batch, before, ["observed_at_ms", "id"]).write.mode("overwrite").parquet(f"{self.path}/soundings/batch={batch_id}")
-        every = self.soundings()
-        new = every.filter(F.col("batch") == batch_id)
-        if new.isEmpty():
+        return None if q is None else q.groupBy("sounding_id").agg(F.max_by(F.struct("qc_state", "reasons"), "seq").alias("q")).select("sounding_id", "q.qc_state", "q.reasons")
+
+    def apply(self, batch: DataFrame, batch_id: int, updated_at_ms: int, source: str = "batch") -> None:
+        """Takes a source's batch of soundings with fingerprints, once: batches of a source come with growing numbers.
+
+        Equal fingerprints are of one place, so only the areas that the batch touches are searched for them.
+        """
+        head = self.commits.last()
+        if head is not None and head["sources"].get(source, -1) >= batch_id:
+            return
+        seq = 0 if head is None else head["seq"] + 1
+        given = with_area(batch)
+        near = self._near(self._read("soundings", seq), given)
+        self._write(new_rows(given, near, ["observed_at_ms", "id"]), "soundings", seq, by_area=True)
+        new = self._part("soundings", seq)
+        if new is None:
+            self._commit(head, seq, source, batch_id)
+            return
+        every = self._active(self._near(self._read("soundings", seq + 1), new), seq)
+        before = self._near(self._cells(head), new)
+        cells, qc, _ = apply_batch(None if before is None else before.drop("area", "seq"), every, new, self.config, updated_at_ms)
+        self._write(with_area(cells), "cells", seq, by_area=True)
+        self._write(qc, "qc", seq)
+        # what this batch confirmed, from the cells as written
+        changed = self._part("cells", seq).join(affected_cells(new), ["cell_x", "cell_y", "datum"], "left_semi")
+        self._write(history_of(changed), "history", seq)
+        self._commit(head, seq, source, batch_id, new.select("area").distinct())
+
+    def replace(self, successors: DataFrame, name: str, updated_at_ms: int) -> None:
+        """Soundings rebuilt from history take their originals' places, all or none; the cells of both are built without their state before.
+
+        ``name`` stands for the job: one that comes again under its name changes nothing.
+        """
+        head = self.commits.last()
+        if head is None or name in head["sources"]:
             return
-        cells = self.cells.read()
-        if cells is None:
-            cells = build_cells(every.filter("false"), self.config)
-        cells, qc, history = apply_batch(cells, every, new, self.config, updated_at_ms)
-        qc.write.mode("overwrite").parquet(f"{self.path}/qc/batch={batch_id}")
-        history.write.mode("overwrite").parquet(f"{self.path}/history/batch={batch_id}")
-        self.cells.commit(cells, ["cell_x", "cell_y"])
+        seq = head["seq"] + 1
+        given = with_area(successors)
+        stored = self._active(self._read("soundings", seq), seq)
+        originals = stored.join(given.select(F.col("replaces_id").alias("id")), "id", "left_semi")
+        old = originals.drop("seq")
+        _, links, keys = replace_from_history(old, self._no_links(), given)
+        self._write(given.select(*[c for c in old.columns]), "soundings", seq, by_area=True)
+        # a link lies in its original's area
+        self._write(links.join(old.select(F.col("id").alias("original_id"), "area"), "original_id"), "replaced", seq, by_area=True)
+        areas = with_area(keys).select("area").distinct()
+        every = self._active(self._near(self._read("soundings", seq + 1), areas), seq + 1)
+        cells, qc = rebuild_cells(self._near(self._cells(head), areas).drop("area", "seq"), every, keys, self.config, updated_at_ms)
+        self._write(with_area(cells), "cells", seq, by_area=True)
+        self._write(qc, "qc", seq)
+        self._commit(head, seq, name, 0, areas)
+
+    def _no_links(self) -> DataFrame:
+        return self.spark.createDataFrame([], "original_id long, replacement_id long")
+
+    def _part(self, name: str, seq: int) -> DataFrame | None:
+        """What a commit wrote to a table by area; if that is no row, nothing is left of it."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/seq={seq}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not any(f.isDirectory() for f in fs.listStatus(p)):
+            fs.delete(p, True)
+            return None
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/seq={seq}")
+
+    def _near(self, table: DataFrame | None, rows: DataFrame) -> DataFrame | None:
+        """A table's rows in the areas of some rows. There are about a million areas at most, so they may go to every task and prune the scan."""
+        return None if table is None else table.join(F.broadcast(rows.select("area").distinct()), "area", "left_semi")
+
+    def _commit(self, head: dict | None, seq: int, source: str, batch_id: int, areas: DataFrame | None = None) -> None:
+        newest = 0 if head is None else head["areas"]
+        if areas is not None:
+            now = areas.withColumn("seq", F.lit(seq))
+            if newest:
+                now = now.unionByName(self.spark.read.parquet(f"{self.path}/areas/seq={newest - 1}").join(areas, "area", "left_anti"))
+            self._write(now, "areas", seq)
+            newest = seq + 1
+        self.commits.add(seq, {"sources": (head["sources"] if head else {}) | {source: batch_id}, "areas": newest})
+
 
+def maintain(stream: DataFrame, surface: Surface, checkpoint: str, clock: Callable[[int], int] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Runs the surface over a stream of soundings; ``clock(batch_id)`` gives a batch's time of update in ms.
 
-def maintain(stream: DataFrame, surface: Surface, checkpoint: str, clock=None, trigger: dict | None = None) -> StreamingQuery:
-    """Runs the surface over a stream of soundings; ``clock(batch_id)`` gives a batch's time of update in ms."""
+    The checkpoint's path names the stream: its batches are taken once each.
+    """
     import time
 
     at = clock or (lambda _: int(time.time() * 1000))
-    writer = stream.writeStream.foreachBatch(lambda df, n: surface.apply(df, n, at(n))).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, n: surface.apply(df, n, at(n), checkpoint)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

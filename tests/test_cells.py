@@ -136,12 +136,15 @@ def test_replacements_are_all_or_nothing(spark):
             store.replace_from_history(old, links, wrong)
 
 
-def test_snapshots_swap(spark, tmp_path):
-    t = store.Snapshots(spark, str(tmp_path / "t"))
-    assert t.read() is None
-    t.commit(spark.range(5), ["id"])
-    t.commit(spark.range(9), ["id"])
-    assert t.read().count() == 9
+def test_commits_are_numbered_and_never_change(spark, tmp_path):
+    t = store.Commits(spark, str(tmp_path / "t"))
+    assert t.last() is None
+    for k in range(11):
+        t.add(k, {"n": k})
+    assert t.last() == {"n": 10, "seq": 10}
+    with pytest.raises(RuntimeError):
+        t.add(10, {"n": 99})
+    assert t.last()["n"] == 10
 
 
 def test_settings_are_held_in_their_ranges():

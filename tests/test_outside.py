@@ -249,25 +249,94 @@ def test_style_and_chart():
     assert tiles.chart(C, (1, 2, 3, 4), "/t")["bounds"] == [0.99, 1.99, 3.01, 4.01] and tiles.chart(C, None, "/t")["bounds"] == [-180, -85, 180, 85]
 
 
-def test_cells_from_a_stream(spark, sf, tmp_path):
-    """Two files as two micro-batches give what two batches give; a batch that comes again changes nothing."""
+#: Settings under which the small table has confirmed changes.
+K = Config(change_min_passes=1, change_min_days=0.0)
+
+
+def contents(surface_) -> dict[str, list]:
+    """What a reader sees of a surface, but for times of update and parts."""
+    leave = {"seq", "area", "updated_at_ms", "changed_at_ms"}
+    rows = lambda df: sorted(map(str, df.select(sorted(set(df.columns) - leave)).collect()))
+    return {n: rows(df) for n in ("cells", "qc", "history", "soundings", "active") if (df := getattr(surface_, n)()) is not None}
+
+
+def _two_batches(spark, sf):
     from leadline import fixtures as fx
+
+    s = fx.soundings(spark, sf, 60.0).withColumn("fingerprint", F.sha2(F.col("id").cast("string"), 256))
+    # from the cut on, every other cell is five metres deeper
+    s = s.withColumn("datum_depth_mm", F.col("datum_depth_mm") + F.when((F.col("observed_at_ms") >= q.CUT) & (F.col("cell_x") % 2 == 0), 5000).otherwise(0))
+    return s, s.filter(F.col("observed_at_ms") < q.CUT), s.filter(F.col("observed_at_ms") >= q.CUT)
+
+
+def test_cells_from_a_stream(spark, sf, tmp_path):
+    """Two files as two micro-batches give what two batches give; batches that come again change nothing."""
     from leadline.plans.store import apply_batch
 
-    s = fx.soundings(spark, sf).withColumn("fingerprint", F.sha2(F.col("id").cast("string"), 256))
-    first, second = s.filter(F.col("observed_at_ms") < q.CUT), s.filter(F.col("observed_at_ms") >= q.CUT)
+    s, first, second = _two_batches(spark, sf)
     for n, part in enumerate((first, second.unionByName(first.limit(3)))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        sf_ = stream_cells.Surface(spark, str(tmp_path / "out"), C)
+        sf_ = stream_cells.Surface(spark, str(tmp_path / "out"), K)
         stream = spark.readStream.schema(s.schema).parquet(str(tmp_path / "in"))
         stream_cells.maintain(stream, sf_, str(tmp_path / "check"), clock=lambda n: n).awaitTermination()
-    got = sf_.cells.read()
-    want, qc, history = apply_batch(surface.build_cells(first, C), s, second, C, 1)
+    got = sf_.cells()
+    want, qc, history = apply_batch(surface.build_cells(first, K), s, second, K, 1)
     columns = [c for c in want.columns if c not in ("updated_at_ms", "previous_depth_mm")]
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0 == want.select(columns).exceptAll(got.select(columns)).count()
-    assert sf_.soundings().count() == s.count() and sf_.history().count() == history.count() and sf_.qc().count() == s.count()
-    sf_.apply(second, 1, 1)
-    assert sf_.soundings().count() == s.count() and sf_.cells.read().count() == got.count()
+    seen = contents(sf_)
+    assert len(seen["soundings"]) == len(seen["qc"]) == s.count() and len(seen["history"]) == history.count() > 0
+    for batch, n, source in ((second, 1, str(tmp_path / "check")), (first, 0, str(tmp_path / "check")), (second, 0, "another"), (s.limit(0), 1, "another")):
+        sf_.apply(batch, n, 9, source)
+        assert contents(sf_) == seen
+
+
+def test_a_batch_that_was_cut_short_is_taken_whole(spark, sf, tmp_path, monkeypatch):
+    s, first, second = _two_batches(spark, sf)
+    whole = stream_cells.Surface(spark, str(tmp_path / "whole"), K)
+    whole.apply(first, 0, 0)
+    between = contents(whole)
+    whole.apply(second, 1, 1)
+    torn, write, left = stream_cells.Surface(spark, str(tmp_path / "torn"), K), stream_cells.Surface._write, [0]
+    torn.apply(first, 0, 0)
+
+    def cut_short(self, *args, **kw):
+        left[0] -= 1
+        if left[0] < 0:
+            raise OSError("lost")
+        write(self, *args, **kw)
+
+    monkeypatch.setattr(stream_cells.Surface, "_write", cut_short)
+    for k in (0, 1, 4):  # before soundings, before cells, before areas
+        left[0] = k
+        with pytest.raises(OSError):
+            torn.apply(second, 1, 1)
+        assert contents(torn) == between
+    left[0] = 5
+    torn.apply(second, 1, 1)
+    assert contents(torn) == contents(whole)
+
+
+def test_replaced_soundings_leave_no_trace_in_cells(spark, sf, tmp_path):
+    s, first, second = _two_batches(spark, sf)
+    one = stream_cells.Surface(spark, str(tmp_path / "one"), K)
+    one.apply(s, 0, 0)
+    # all soundings of one cell move a hundred cells on, and some others get deeper where they are
+    place = s.groupBy("cell_x", "cell_y").count().orderBy("cell_x", "cell_y").first()
+    moved = s.filter((F.col("cell_x") == place.cell_x) & (F.col("cell_y") == place.cell_y)).withColumn("cell_x", F.col("cell_x") + 100)
+    deeper = s.filter((F.col("cell_x") != place.cell_x) & (F.col("id") % 50 == 0)).withColumn("datum_depth_mm", F.col("datum_depth_mm") + 700)
+    new = moved.unionByName(deeper).withColumns({"replaces_id": F.col("id"), "id": F.col("id") + 10**9, "position_method": F.lit("history_geometry_v1"), "fingerprint": F.sha2(F.concat(F.lit("new"), "id"), 256)})
+    one.replace(new, "job", 5)
+    active = s.join(new.select(F.col("replaces_id").alias("id")), "id", "left_anti").unionByName(new.select(s.columns))
+    columns = [c for c in one.cells().columns if c not in ("updated_at_ms", "previous_depth_mm")]
+    rows = lambda df: sorted(map(str, df.select(columns).collect()))
+    assert rows(one.cells()) == rows(surface.build_cells(active, K)) and one.active().count() == s.count()
+    assert not one.cells().filter((F.col("cell_x") == place.cell_x) & (F.col("cell_y") == place.cell_y)).count()
+    seen = contents(one)
+    one.replace(new, "job", 6)
+    assert contents(one) == seen
+    with pytest.raises(ValueError):
+        one.replace(new, "twice", 7)  # what they replace is no longer active
+    assert contents(one) == seen
 
 
 def test_live_stream(spark, tmp_path):
