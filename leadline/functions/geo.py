@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadline.functions.numbers import ColumnOrName, c, half_up
+from leadline.functions.numbers import ColumnOrName, c, half_up, of
 
 # Mean Earth radius, Mercator radius, and the Mercator limit of latitude.
 EARTH_RADIUS_M = 6371008.8
@@ -73,17 +73,18 @@ def hex_vertices(cell_x: ColumnOrName, cell_y: ColumnOrName, width_m: float) ->
     return F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct((x + radius * F.cos(F.radians(k * 60 + 30))).alias("x"), (y + radius * F.sin(F.radians(k * 60 + 30))).alias("y")))
 
 
-def destination(lat: ColumnOrName, lon: ColumnOrName, east_m: ColumnOrName, north_m: ColumnOrName) -> tuple[Column, Column]:
-    """Latitude and longitude after going so far east and north along a great circle; longitude in [-180, 180)."""
-    distance = F.sqrt(c(east_m) * c(east_m) + c(north_m) * c(north_m)) / F.lit(EARTH_RADIUS_M)
-    bearing = F.atan2(c(east_m), c(north_m))
-    a = F.radians(c(lat))
-    out = F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.sin(a) * F.cos(distance) + F.cos(a) * F.sin(distance) * F.cos(bearing))))
-    lon2 = F.radians(c(lon)) + F.atan2(F.sin(bearing) * F.sin(distance) * F.cos(a), F.cos(distance) - F.sin(a) * F.sin(out))
-    return F.degrees(out), wrap_degrees(F.degrees(lon2))
+def destination(lat: ColumnOrName, lon: ColumnOrName, east_m: ColumnOrName, north_m: ColumnOrName, m=F) -> tuple[Column, Column]:
+    """Latitude and longitude after going so far east and north along a great circle; longitude in [-180, 180). ``m``: F, or Plain for numbers."""
+    east, north = of(m, east_m), of(m, north_m)
+    distance = m.sqrt(east * east + north * north) / m.lit(EARTH_RADIUS_M)
+    bearing = m.atan2(east, north)
+    a = m.radians(of(m, lat))
+    out = m.asin(m.least(m.lit(1.0), m.greatest(m.lit(-1.0), m.sin(a) * m.cos(distance) + m.cos(a) * m.sin(distance) * m.cos(bearing))))
+    lon2 = m.radians(of(m, lon)) + m.atan2(m.sin(bearing) * m.sin(distance) * m.cos(a), m.cos(distance) - m.sin(a) * m.sin(out))
+    return m.degrees(out), wrap_degrees(m.degrees(lon2))
 
 
-def wrap_degrees(d: Column) -> Column:
+def wrap_degrees(d):
     return ((d + 540.0) % 360.0) - 180.0
 
 

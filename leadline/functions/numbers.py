@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,9 +74,21 @@ def weighted_geometric_mean(parts: list[tuple[Column, float]]) -> Column:
     return F.exp(out / F.lit(total))
 
 
-def hypot3(*xs: ColumnOrName | float) -> Column:
+class Plain:
+    """Names of column functions for plain numbers, so that one formula serves both."""
+
+    cos, sin, asin, acos, atan2, sqrt, radians, degrees = math.cos, math.sin, math.asin, math.acos, math.atan2, math.sqrt, math.radians, math.degrees
+    abs, least, greatest, lit = abs, min, max, float
+
+
+def of(m, x: ColumnOrName | float):
+    """A column of a name or number, or the number itself where numbers are meant."""
+    return x if m is Plain else c(x)
+
+
+def hypot3(*xs: ColumnOrName | float, m=F):
     """Root of the sum of squares."""
-    total = c(xs[0]) * c(xs[0])
+    total = of(m, xs[0]) * of(m, xs[0])
     for x in xs[1:]:
-        total = total + c(x) * c(x)
-    return F.sqrt(total)
+        total = total + of(m, x) * of(m, x)
+    return m.sqrt(total)

@@ -14,7 +14,7 @@ DELTA = T.StructType([T.StructField("context", T.StringType()), T.StructField("u
 
 
 def flatten(messages: DataFrame, received_ms: Column | None = None) -> DataFrame:
-    """One row a value: context, path, source, at_ms, value (JSON text). Works on streams as well.
+    """One row a value: context, path, source, at_ms, value (JSON text), has_time. Works on streams as well.
 
     Updates without values and values that timed out are skipped. The source is ``$source``, else the label, source
     or type of the old form, else unknown. A time that is missing or can't be read is the time of receipt.
@@ -24,7 +24,8 @@ def flatten(messages: DataFrame, received_ms: Column | None = None) -> DataFrame
     filled = lambda x: F.nullif(x, F.lit(""))
     source = F.coalesce(filled(F.col("u.`$source`")), filled(F.col("u.source.label")), filled(F.col("u.source.src")), filled(F.col("u.source.type")), F.lit("unknown"))
     now = F.unix_millis(F.current_timestamp()) if received_ms is None else received_ms
-    return v.select(F.coalesce("context", F.lit("vessels.self")).alias("context"), "v.path", source.alias("source"), F.coalesce(F.unix_millis(F.try_to_timestamp(F.col("u.timestamp"))), now).alias("at_ms"), "v.value")
+    read = F.unix_millis(F.try_to_timestamp(F.col("u.timestamp")))
+    return v.select(F.coalesce("context", F.lit("vessels.self")).alias("context"), "v.path", source.alias("source"), F.coalesce(read, now).alias("at_ms"), "v.value", read.isNotNull().alias("has_time"))
 
 
 def read(spark, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadline.operators.ranges import numbered
+from leadline.plans.store import Commits
 
 _POSITION = T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("source", T.StringType())])
 _TIDE = T.StructType([T.StructField("height_m", T.DoubleType()), T.StructField("sigma_m", T.DoubleType()), T.StructField("datum", T.StringType()), T.StructField("station_id", T.StringType()), T.StructField("station_name", T.StringType()), T.StructField("source", T.StringType()), T.StructField("method", T.StringType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("stale", T.BooleanType())])
@@ -129,5 +130,30 @@ class Outbox:
             raise PermissionError("publication is off; it needs explicit consent")
 
 
+class Journal:
+    """A journal in a folder, in parts by number of the commit; a batch that comes again is left out."""
+
+    EVIDENCE = ["context", "observed_at_ms", "timestamp_origin", "depth_m", "depth_reference", "depth_source", "position", "tide", "surface_offset_m", "installation"]
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.commits = Commits(spark, f"{self.path}/commits")
+
+    def read(self) -> DataFrame | None:
+        """All observations of commits so far."""
+        head = self.commits.last()
+        return None if head is None else self.spark.read.parquet(f"{self.path}/rows").filter(F.col("seq") <= head["seq"]).drop("seq")
+
+    def add(self, rows: DataFrame, batch_id: int, source: str = "batch") -> None:
+        """Appends a source's batch, once: batches of a source come with growing numbers."""
+        head = self.commits.last()
+        if head is not None and head["sources"].get(source, -1) >= batch_id:
+            return
+        seq = 0 if head is None else head["seq"] + 1
+        order = ["observed_at_ms", "received_at_ms", "context", "depth_source", "depth_m"]
+        append(self.read(), rows, self.EVIDENCE, order).write.mode("overwrite").parquet(f"{self.path}/rows/seq={seq}")
+        self.commits.add(seq, {"sources": (head["sources"] if head else {}) | {source: batch_id}})
+
+
 def open_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

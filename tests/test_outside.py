@@ -339,21 +339,34 @@ def test_replaced_soundings_leave_no_trace_in_cells(spark, sf, tmp_path):
     assert contents(one) == seen
 
 
-def test_live_stream(spark, tmp_path):
-    rows = []
+def test_live_stream_to_cells_and_journal(spark, tmp_path):
+    """Raw deltas go through pairing into a surface and a journal."""
+    paths = {"nav.position": "position", "env.depth": "depth", "env.tide": "tide", "nav.sog": "sog", "nav.attitude": "attitude"}
+    iso = lambda t: time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(t / 1000)) + f".{t % 1000:03}Z"
+    lines = []
     for i in range(30):
         t = T0 + 1000 * i
-        rows += [("v", "tide", t, t, "s", 1.0, None, None), ("v", "sog", t, t, "s", 2.0, None, None), ("v", "position", t, t, "g", None, 37.8 + i * 1e-4, -122.4), ("v", "depth", t, t, "d", 5.0, None, None), ("w", "depth", t, t, "d", 5.0, None, None)]
-    schema = "context string, path string, at_ms long, received_ms long, source string, value double, latitude double, longitude double"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = live.soundings(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), C)
-    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
+        values = [("env.tide", 1.0), ("nav.sog", 2.0), ("nav.attitude", {"roll": 0.1, "pitch": 0.0}), ("nav.position", {"latitude": 37.8 + i * 1e-4, "longitude": -122.4}), ("env.depth", 5.0 if i else 500.0)]
+        lines += [{"context": "v", "updates": [{"timestamp": iso(t), "$source": p, "values": [{"path": p, "value": v}]}]} for p, v in values]
+        lines.append({"context": "w", "updates": [{"timestamp": iso(t), "$source": "d", "values": [{"path": "env.depth", "value": 5.0}]}]})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, lines)))
+    values = deltas.flatten(deltas.stream(spark, str(tmp_path / "in")))
+    readings = live.readings_of(values, paths, F.col("at_ms"))
+    sf_, log = stream_cells.Surface(spark, str(tmp_path / "out"), C), journal.Journal(spark, str(tmp_path / "journal"))
+    query = live.record(readings, C, sf_, log, str(tmp_path / "check"))
     # timers in processing time keep such a query running, so it is stopped from outside
-    until = time.time() + 60
+    until = time.time() + 120
     try:
         while time.time() < until and query.exception() is None and not any(p.numInputRows == 0 for p in query.recentProgress):
             time.sleep(1)
     finally:
         query.stop()
-    got = spark.read.schema(live.SOUNDING).parquet(str(tmp_path / "out")).collect()
-    assert len(got) == 30 and {r.context for r in got} == {"v"} and {r.datum_m for r in got} == {4.5} and {r.position_method for r in got} == {"exact"}
+    s = sf_.soundings().collect()
+    assert len(s) == 29 and {r.context for r in s} == {"v"} and {r.datum_depth_mm for r in s} == {4500} and {r.position_method for r in s} == {"exact"}
+    assert {r.pass_id for r in s} == {"2026-01-01:v-0"} and len({r.fingerprint for r in s}) == 29 and sf_.cells().agg(F.sum("sounding_count")).first()[0] == 29
+    j = log.read().orderBy("id").collect()
+    assert [r.id for r in j] == [*range(1, 61)] and sum("missing-position" in r.quality for r in j) == 30 and sum("outside-instrument-range" in r.quality for r in j) == 1
+    assert journal.with_corrections(log.read()).filter("corrected_m = 4.5").count() == 29
+    log.add(log.read().drop("id", "fingerprint"), 0, str(tmp_path / "check"))
+    assert log.read().count() == 60 and live.readings_of(deltas.flatten(deltas.read(spark, str(tmp_path / "in"))), paths, F.lit(1), "lat", "MLLW").filter("path = 'tide'").count() == 0

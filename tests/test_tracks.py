@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from leadline import queries
 from leadline.config import Config
-from leadline.functions import beam, geo
+from leadline.functions import beam, depth, geo
 from leadline.operators import align, asof, folds, rest
-from leadline.streaming.live import Aligner
+from leadline.streaming.live import Vessel
 
 C = Config()
 T0 = 1_767_225_600_000
@@ -184,40 +184,85 @@ def test_corrected_history(spark):
     assert align.corrected_history(at(10), fixes, at(1.2), at(0), at(0), at(1), at(0.5), ["c"], C).count() == 0
 
 
-def feed(a, readings, config=C):
+def feed(a, readings, kinds=("sounding",)):
     out = []
     for path, t, v, *more in readings:
-        out += a.feed(path, t, v, more[0] if more else "s", more[1] if len(more) > 1 else t, config)
-    return out
+        first, second = v if isinstance(v, tuple) else (v, v)
+        out += a.read(path, t, more[1] if len(more) > 1 else t, more[0] if more else "s", first, second)
+    return [r for r in out if r["kind"] in kinds]
 
 
 def test_live_depths_wait_for_a_fix():
-    a = Aligner()
+    a = Vessel(C)
     assert feed(a, [("tide", T0, 1.0), ("sog", T0, 2.0), ("position", T0, (37.8, -122.4)), ("depth", T0 + 500, 5.0)]) == []
     got = feed(a, [("position", T0 + 1000, (37.8001, -122.4))])
     assert len(got) == 1 and got[0]["position_method"] == "interpolated" and got[0]["datum_m"] == pytest.approx(4.5) and got[0]["latitude"] == pytest.approx(37.80005)
-    assert feed(a, [("depth", T0 + 400, 5.0), ("position", T0 + 900, (1.0, 1.0))]) == [] and a.fixes[-1][0] == T0 + 1000
+    assert feed(a, [("depth", T0 + 400, 5.0), ("position", T0 + 900, (1.0, 1.0))]) == [] and a.fixes[-1].at_ms == T0 + 1000
     feed(a, [("cog", T0 + 1500, 0.0), ("sog", T0 + 1500, 2.0), ("depth", T0 + 2000, 5.0)])
-    got = a.drain(T0 + 4000, C)
+    got = a.settle(T0 + 4000)
     assert [s["position_method"] for s in got] == ["projected"] and got[0]["latitude"] > 37.8001
     feed(a, [("depth", T0 + 60_000, 5.0)])
-    assert a.drain(T0 + 70_000, C) == [] and a.withheld == 1
-    assert Aligner.loads(a.dumps()).dumps() == a.dumps()
+    assert [(r["kind"], r["geometry"]) for r in a.settle(T0 + 70_000)] == [("withheld", "position")]
+    assert Vessel(C).restore(a.state()).state() == a.state()
+
+
+@pytest.mark.parametrize("reference, offset", [("belowTransducer", 0.5), ("belowKeel", 1.5), ("belowSurface", 0.0)])
+def test_live_depths_are_reduced_by_their_reference(reference, offset):
+    got = feed(Vessel(C, reference), [("tide", T0, 1.0), ("sog", T0, 2.0), ("position", T0, (37.8, -122.4)), ("depth", T0, 5.0)])
+    assert [s["datum_m"] for s in got] == [pytest.approx(5.0 + offset - 1.0)]
+
+
+def test_live_attitude_is_paired_while_a_depth_waits():
+    tilted = Config(attitude_correction=True)
+    start = [("tide", T0, 0.0), ("sog", T0, 2.0), ("position", T0, (37.8, -122.4)), ("heading", T0, 0.0), ("attitude", T0 - 400, (0.5, 0.0)), ("depth", T0, 10.0)]
+    # an attitude of 0.4 s before is fresh enough, so the depth goes at once
+    got = feed(Vessel(tilted), start)
+    assert got[0]["datum_m"] == pytest.approx(10 * math.cos(0.5) + 0.5) and got[0]["geometry"] == "beam-center-with-cone-uncertainty"
+    assert folds.great_circle_m(37.8, -122.4, got[0]["latitude"], got[0]["longitude"]) == pytest.approx(10 * math.sin(0.5), abs=1e-3)
+    # a stale one makes it wait for the next, which is nearer
+    late = [r if r[0] != "attitude" else ("attitude", T0 - 900, (0.5, 0.0)) for r in start]
+    a = Vessel(tilted)
+    assert feed(a, late) == []
+    got = feed(a, [("attitude", T0 + 300, (0.1, 0.0))])
+    assert got[0]["datum_m"] == pytest.approx(10 * math.cos(0.1) + 0.5)
+    # none comes: withheld, raw recording goes on
+    b = Vessel(tilted)
+    assert [r["kind"] for r in feed(b, late, ("raw", "sounding"))] == ["raw"]
+    assert [(r["kind"], r["geometry"]) for r in b.settle(T0 + 5000)] == [("withheld", "attitude")]
+    # other references can't be corrected
+    assert feed(Vessel(tilted, "belowKeel"), start, ("withheld",)) != []
 
 
 def test_live_rest_is_averaged_and_broken_off_by_motion():
-    a = Aligner()
+    a = Vessel(C)
     readings = [("tide", T0, 0.0)]
     for i in range(62):
         readings += [("position", T0 + 1000 * i, (37.8, -122.4)), ("depth", T0 + 1000 * i, 9.0 if i == 30 else 5.0)]
     got = feed(a, readings)
     assert [(s["aggregation_kind"], s["sample_count"], s["rejected_sample_count"]) for s in got] == [("stationary_window", 60, 1)]
-    b = Aligner()
+    b = Vessel(C)
     got = feed(b, readings[:41] + [("sog", T0 + 21_000, 3.0), ("position", T0 + 21_000, (37.81, -122.4)), ("depth", T0 + 21_000, 6.0)])
-    assert [s["aggregation_kind"] for s in got] == ["point"] and b.window == []
-    track = b.track
+    assert [s["aggregation_kind"] for s in got] == ["point"] and b.resting == []
+    track = b.track.number
     feed(b, [("position", T0 + 22_000, (37.8, -122.4), "other gps")])
-    assert b.track == track + 1 and b.anchor is None
+    assert b.track.number == track + 1 and b.track.anchor_lat is None
+
+
+def test_live_soundings_are_those_of_history(spark):
+    """Readings in order, once as they arrive and once as tables: the same points are kept, with the same numbers."""
+    rng, config = random.Random(9), Config(max_interval_s=4.0, distance_m=9.0)
+    fixes = [(T0 + 1000 * i, 37.8 + 2e-5 * i + rng.uniform(0, 1e-6), -122.4 + 1e-5 * i) for i in range(120)]
+    depths = [(T0 + 700 * i, round(rng.uniform(3, 9), 2)) for i in range(160)]
+    readings = sorted([(t, 1, ("position", t, (a, b))) for t, a, b in fixes] + [(t, 2, ("depth", t, d)) for t, d in depths] + [(t, 0, ("sog", t, 2.0)) for t, _, _ in fixes])
+    live_rows = feed(Vessel(config), [("tide", T0, 1.25), *[r for _, _, r in readings]])
+    d = frame(spark, [("v", t, x) for t, x in depths], "c string, at_ms long, raw_m double")
+    f = frame(spark, [("v", *x) for x in fixes], "c string, at_ms long, latitude double, longitude double")
+    at = folds.sample(asof.positions_at(d, f, ["c"], config), ["c"], config).filter("kept")
+    history = at.withColumns({"datum_m": depth.datum_depth_m("raw_m", F.lit(0.5), F.lit(1.25)), "sigma": depth.live_sigma_m("position_skew_ms", config)}).orderBy("at_ms").collect()
+    assert len(history) > 20 and [r.at_ms for r in history] == [r["observed_at_ms"] for r in live_rows]
+    for h, r in zip(history, live_rows, strict=True):
+        assert (h.latitude, h.longitude, h.datum_m, h.sigma, h.horizontal_sigma_m) == pytest.approx((r["latitude"], r["longitude"], r["datum_m"], r["vertical_sigma_m"], r["horizontal_sigma_m"]))
+        assert (h.position_method, h.position_skew_ms) == (r["position_method"], r["input_time_skew_ms"])
 
 
 def test_plain_geo_is_column_geo(spark):
