@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.config import Config
+from leadline.config import Config, public_settings
 from leadline.functions.geo import bbox_bounds
 from leadline.operators import crowd, listing, surface
 from leadline.plans import tiles
@@ -68,7 +68,7 @@ class Bathymetry:
         return listing.listed(listing.soundings(self.active(), self.qc, box, from_ms, to_ms, state, check_integer("limit", limit, 1, MOST_SOUNDINGS)))
 
     def cells_in(self, bbox, as_of_ms: int, datum: str | None = None) -> DataFrame:
-        return listing.cells_in(self.shown(as_of_ms), bbox_bounds(check_bbox(bbox)), self.config.base_cell_m, datum or self.config.target_datum)
+        return listing.shown_in(self.cells, bbox_bounds(check_bbox(bbox)), self.config, as_of_ms, datum)
 
     def cell_at(self, lat: float, lon: float, as_of_ms: int, datum: str | None = None) -> DataFrame:
         return listing.lookup(self.shown(as_of_ms), lat, lon, self.config, datum)
@@ -98,7 +98,17 @@ class Bathymetry:
         return crowd.page(self.points, vessel, journey, after, check_integer("limit", limit, 1, MOST_POINTS))
 
     def crowd_soundings(self, bbox, limit: int = 10_000) -> DataFrame:
-        return self.points.filter(listing.in_bbox(check_bbox(bbox))).orderBy("observed_at_ms", ascending=False).limit(check_integer("limit", limit, 1, MOST_POINTS))
+        return crowd.newest(self.points.filter(listing.in_bbox(check_bbox(bbox))), check_integer("limit", limit, 1, MOST_POINTS))
+
+    def crowd_coverage(self, **choice) -> DataFrame:
+        """One row: the bounds of the journeys that are chosen, and how many they are."""
+        return crowd.bounds(crowd.matching(crowd.journeys(self.points), **choice))
+
+    def revision(self) -> DataFrame:
+        return listing.revision(self.cells)
+
+    def settings(self) -> dict:
+        return public_settings(self.config)
 
     def crowd_tile(self, z: int, x: int, y: int) -> DataFrame:
         return tiles.encode_points(tiles.point_rows(self.points, *check_tile(z, x, y)))

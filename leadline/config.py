@@ -91,6 +91,15 @@ class Config:
             put("instrument_max_m", defaults["instrument_max_m"])
 
 
+#: Settings that clients may see: what is shown and how, and what it was computed with.
+PUBLIC = ("target_datum", "base_cell_m", "min_zoom", "max_zoom", "display_depth", "show_depth_labels", "depth_label_relative_size", "overlay_opacity", "surface_to_keel_m", "surface_to_transducer_m", "danger_under_keel_m", "recency_half_life_days", "attitude_correction", "beam_width_deg")
+
+
+def public_settings(config: Config) -> dict:
+    """The settings that clients may see, with the model's version."""
+    return {name: getattr(config, name) for name in PUBLIC} | {"model_version": MODEL_VERSION}
+
+
 def _round(x: float) -> int:
     """Half up, as everywhere in the engine."""
     return math.floor(x + 0.5)

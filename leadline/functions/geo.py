@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadline.functions.numbers import ColumnOrName, c, half_up, of
+from leadline.functions.numbers import ColumnOrName, bound, c, half_up, of
 
 # Mean Earth radius, Mercator radius, and the Mercator limit of latitude.
 EARTH_RADIUS_M = 6371008.8
@@ -52,13 +52,17 @@ def hex_cell(x: ColumnOrName, y: ColumnOrName, width_m: float) -> tuple[Column,
     """Axial (x, y) of the hexagon that holds a Mercator point: cube rounding, the worst axis follows the others."""
     q = c(x) / F.lit(float(width_m)) - c(y) / F.lit(ROOT3 * width_m)
     r = c(y) * F.lit(2.0) / F.lit(ROOT3 * width_m)
-    s = -q - r
-    rq, rr, rs = half_up(q), half_up(r), half_up(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    q_worst = (dq > ds) & (dq > dr)
-    out_q = F.when(q_worst, -rs - rr).otherwise(rq)
-    out_r = F.when(q_worst | (ds > dr), rr).otherwise(-rq - rs)
-    return out_q, out_r
+
+    def rounded(p: Column) -> Column:
+        s = -p["q"] - p["r"]
+        rq, rr, rs = half_up(p["q"]), half_up(p["r"]), half_up(s)
+        dq, dr, ds = F.abs(rq - p["q"]), F.abs(rr - p["r"]), F.abs(rs - s)
+        q_worst = (dq > ds) & (dq > dr)
+        return F.struct(F.when(q_worst, -rs - rr).otherwise(rq).alias("x"), F.when(q_worst | (ds > dr), rr).otherwise(-rq - rs).alias("y"))
+
+    # worked out once: written out, the two columns name the point some twenty times, beyond what the JVM compiles
+    cell = bound(F.struct(q.alias("q"), r.alias("r")), rounded)
+    return cell["x"], cell["y"]
 
 
 def hex_centre(cell_x: ColumnOrName, cell_y: ColumnOrName, width_m: float) -> tuple[Column, Column]:

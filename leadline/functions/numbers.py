@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,11 +40,20 @@ def micro(x: ColumnOrName) -> Column:
     return scaled(x, 1_000_000)
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What a function makes of a value that is worked out once: within a lambda, Spark works out what is named twice twice."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def sorted_median(xs: Column) -> Column:
     """Median of an ascending array: the mean of the two middle ones for an even count, null for none."""
-    n = F.size(xs)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(xs, lo) + F.get(xs, hi)) / F.lit(2.0))
+
+    def middle(a: Column) -> Column:
+        n = F.size(a)
+        lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        return F.when(n > 0, (F.get(a, lo) + F.get(a, hi)) / F.lit(2.0))
+
+    return bound(xs, middle)
 
 
 def median(xs: ColumnOrName) -> Column:
@@ -53,7 +63,7 @@ def median(xs: ColumnOrName) -> Column:
 def mad(xs: ColumnOrName, centre: Column | None = None) -> Column:
     """Median absolute deviation about a centre, or about the array's own median."""
     mid = median(xs) if centre is None else centre
-    return sorted_median(F.array_sort(F.transform(c(xs), lambda x: F.abs(x - mid))))
+    return bound(mid, lambda m: sorted_median(F.array_sort(F.transform(c(xs), lambda x: F.abs(x - m)))))
 
 
 def robust_sigma(xs: ColumnOrName) -> Column:

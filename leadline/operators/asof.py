@@ -1,9 +1,9 @@
 """As-of joins of time series: nearest within a tolerance, interpolated positions, samples in windows.
 
 Both sides are laid into one ordered stream by series and time, and each left row looks back and ahead
-past other left rows: one shuffle and one sort by series, no pairs. A hot series can be cut into
-stretches of time (``stretch_ms``): right rows go to the stretches whose left rows they can serve, so the
-result is the same and one series spreads over tasks.
+past other left rows: one shuffle and one sort by series, no pairs. Matches have a reach, so series are cut
+into stretches of time: right rows go to the stretches whose left rows they can serve, so the result is the
+same and a hot series spreads over tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from leadline.functions.geo import destination
 from leadline.functions.numbers import hypot3
 
 
+#: Length of a stretch, unless the reach is longer.
+STRETCH_MS = 6 * 3_600_000
+
+
 def bracket(left: DataFrame, right: DataFrame, by: list[str], reach_ms: int | Column, left_time: str = "at_ms", right_time: str = "at_ms", stretch_ms: int | None = None) -> DataFrame:
     """Left rows with ``before`` (the last right row strictly earlier) and ``after`` (the first at or after), as structs.
 
@@ -41,19 +45,19 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], reach_ms: int | Co
     return both.filter("_side = 0").select("_left.*", F.col("_before").alias("before"), F.col("_after").alias("after"))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance_ms: int, name: str = "match", how: str = "inner", left_time: str = "at_ms", right_time: str = "at_ms", stretch_ms: int | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance_ms: int, name: str = "match", how: str = "inner", left_time: str = "at_ms", right_time: str = "at_ms", stretch_ms: int = STRETCH_MS) -> DataFrame:
     """Each left row with the right row nearest in time, as a struct, within an inclusive tolerance.
 
     The earlier one wins a tie. Left rows without a match are dropped, or kept with null if ``how`` is left.
     """
-    b = bracket(left, right, by, tolerance_ms, left_time, right_time, stretch_ms)
+    b = bracket(left, right, by, tolerance_ms, left_time, right_time, max(stretch_ms, tolerance_ms))
     back, ahead = F.col(left_time) - F.col(f"before.{right_time}"), F.col(f"after.{right_time}") - F.col(left_time)
     best = F.when(back.isNotNull() & (ahead.isNull() | (back <= ahead)), F.when(back <= tolerance_ms, F.col("before"))).otherwise(F.when(ahead <= tolerance_ms, F.col("after")))
     out = b.withColumn(name, best).drop("before", "after")
     return out if how == "left" else out.filter(F.col(name).isNotNull())
 
 
-def positions_at(depths: DataFrame, fixes: DataFrame, by: list[str], config: Config, project: bool = False, skew_ms: int | None = None, stretch_ms: int | None = None) -> DataFrame:
+def positions_at(depths: DataFrame, fixes: DataFrame, by: list[str], config: Config, project: bool = False, skew_ms: int | None = None, stretch_ms: int = STRETCH_MS) -> DataFrame:
     """Positions at the times of depths, from fixes (at_ms, latitude, longitude).
 
     A fix at that very time counts as it is; two within the skew are interpolated along the shorter way around;
@@ -62,7 +66,7 @@ def positions_at(depths: DataFrame, fixes: DataFrame, by: list[str], config: Con
     position are left out.
     """
     most = int(config.max_live_skew_s * 1000) if skew_ms is None else skew_ms
-    b = bracket(depths, fixes, by, most, stretch_ms=stretch_ms)
+    b = bracket(depths, fixes, by, most, stretch_ms=max(stretch_ms, most))
     t = F.col("at_ms")
     back, ahead = t - F.col("before.at_ms"), F.col("after.at_ms") - t
     exact = ahead == 0

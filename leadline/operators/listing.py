@@ -9,6 +9,7 @@ from leadline.config import Config
 from leadline.functions.confidence import DAY_MS
 from leadline.functions.geo import cell_of, cell_range
 from leadline.functions.numbers import half_up, metres
+from leadline.operators.surface import read_cells, with_neighbours
 
 Bbox = tuple[float, float, float, float]
 
@@ -42,12 +43,19 @@ def listed(rows: DataFrame) -> DataFrame:
     return rows.select("id", iso(F.col("observed_at_ms")).alias("observed_at"), (F.col("lat_e7") / 1e7).alias("latitude"), (F.col("lon_e7") / 1e7).alias("longitude"), metres("datum_depth_mm").alias("datum_m"), metres("vertical_sigma_mm").alias("vertical_sigma_m"), "pass_id", "depth_source", "sample_count", "qc_state", "reasons")
 
 
-def cells_in(cells: DataFrame, bounds: tuple[float, float, float, float], width_m: float, datum: str) -> DataFrame:
+def cells_in(cells: DataFrame, bounds: tuple[float, float, float, float], width_m: float, datum: str, margin: int = 2) -> DataFrame:
     """Cells that may touch Mercator bounds: a parallelogram of axial keys with a margin, as literals that prune the scan."""
-    x0, x1, y0, y1 = cell_range(bounds, width_m)
+    x0, x1, y0, y1 = cell_range(bounds, width_m, margin)
     return cells.filter(F.col("cell_x").between(x0, x1) & F.col("cell_y").between(y0, y1) & (F.col("datum") == datum))
 
 
+def shown_in(cells: DataFrame, bounds: tuple[float, float, float, float], config: Config, as_of_ms: int, datum: str | None = None) -> DataFrame:
+    """Stored cells in Mercator bounds as they are shown, with neighbour confidence: only they and a ring around them are read."""
+    d = datum or config.target_datum
+    ring = cells_in(cells, bounds, config.base_cell_m, d, margin=3)
+    return cells_in(with_neighbours(read_cells(ring, config, as_of_ms), config), bounds, config.base_cell_m, d)
+
+
 def lookup(cells: DataFrame, lat: float, lon: float, config: Config, datum: str | None = None) -> DataFrame:
     """The cell that holds a position."""
     x, y = cell_of(lat, lon, config.base_cell_m)
@@ -71,6 +79,11 @@ def rebuild_range(stored: DataFrame) -> DataFrame:
     return stored.filter(F.col("position_method").isin(*methods)).agg(F.min("observed_at_ms").alias("from_ms"), (F.max("observed_at_ms") + 1).alias("to_ms"))
 
 
+def revision(cells: DataFrame) -> DataFrame:
+    """One row: when a cell was last updated, 0 without cells."""
+    return cells.agg(F.coalesce(F.max("updated_at_ms"), F.lit(0)).cast("long").alias("revision"))
+
+
 def stats(stored: DataFrame, qc: DataFrame, cells: DataFrame, replaced: DataFrame) -> DataFrame:
     """One row of counts, sums and bounds of all that is stored."""
     active = stored.join(replaced.select(F.col("original_id").alias("id")), "id", "left_anti")

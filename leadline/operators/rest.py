@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadline.config import Config
 from leadline.functions.depth import SKEW_M_PER_S
 from leadline.functions.geo import haversine_m
-from leadline.functions.numbers import MAD_TO_SIGMA, c, half_up, hypot3, median, robust_sigma
+from leadline.functions.numbers import MAD_TO_SIGMA, bound, c, half_up, hypot3, median, robust_sigma
 
 
 def outlier_gate_m(depths: Column, config: Config) -> Column:
@@ -44,13 +44,14 @@ def reduce_windows(samples: DataFrame, by: list[str], config: Config) -> DataFra
     Samples: at_ms, id, latitude, longitude, raw_m, tide_m, datum_m, skew_ms, horizontal_sigma_m (null: position
     sigma), vertical_sigma_m (of beam-corrected samples, null else). A window is at most a minute of samples, so
     its array is short. Gives medians of those within the gate, counts, the window's bounds (of all samples),
-    sigmas, and the representative (the middle one of those kept, by time, then id).
+    sigmas, the representative (the middle one of those kept, by time, then id), and the different methods of
+    their geometry (uncorrected where samples have none).
     """
-    item = F.struct("at_ms", "id", "latitude", "longitude", "raw_m", "tide_m", "datum_m", "skew_ms", F.coalesce("horizontal_sigma_m", F.lit(config.position_sigma_m)).alias("horizontal_sigma_m"), "vertical_sigma_m")
+    item = F.struct("at_ms", "id", "latitude", "longitude", "raw_m", "tide_m", "datum_m", "skew_ms", F.coalesce("horizontal_sigma_m", F.lit(config.position_sigma_m)).alias("horizontal_sigma_m"), "vertical_sigma_m", F.coalesce(F.col("geometry") if "geometry" in samples.columns else F.lit(None).cast("string"), F.lit("uncorrected")).alias("geometry"))
     w = samples.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("s")).filter(F.size("s") >= config.stationary_min_samples)
     depths = F.transform("s", lambda x: x["datum_m"])
-    w = w.withColumn("centre", median(depths)).withColumn("gate", outlier_gate_m(depths, config))
-    w = w.withColumn("a", F.filter("s", lambda x: F.abs(x["datum_m"] - F.col("centre")) <= F.col("gate"))).filter(F.size("a") >= config.stationary_min_samples)
+    limits = F.struct(median(depths).alias("centre"), outlier_gate_m(depths, config).alias("gate"))
+    w = w.withColumn("a", bound(limits, lambda g: F.filter("s", lambda x: F.abs(x["datum_m"] - g["centre"]) <= g["gate"]))).filter(F.size("a") >= config.stationary_min_samples)
 
     def of(name: str) -> Column:
         return F.transform("a", lambda x: x[name])
@@ -61,7 +62,7 @@ def reduce_windows(samples: DataFrame, by: list[str], config: Config) -> DataFra
     skew_m = F.col("skew") / 1000 * SKEW_M_PER_S
     variance = F.lit(config.depth_sigma_m**2) / F.col("eff") + F.lit(config.offset_sigma_m**2 + config.tide_sigma_m**2) + F.col("spread") * F.col("spread") / F.col("eff") + skew_m * skew_m
     corrected = F.array_max(F.transform("a", lambda x: x["vertical_sigma_m"] * x["vertical_sigma_m"]))
-    away = F.array_max(F.transform("a", lambda x: haversine_m(F.col("lat"), F.col("lon"), x["latitude"], x["longitude"])))
+    away = bound(F.struct("lat", "lon"), lambda at: F.array_max(F.transform("a", lambda x: haversine_m(at["lat"], at["lon"], x["latitude"], x["longitude"]))))
     return w.select(
         *by,
         F.get("a", F.floor(F.size("a") / 2).cast("int"))["id"].alias("representative_id"),
@@ -71,6 +72,7 @@ def reduce_windows(samples: DataFrame, by: list[str], config: Config) -> DataFra
         F.sqrt(F.greatest(variance, F.coalesce(corrected, F.lit(0.0)))).alias("vertical_sigma_m"),
         hypot3(F.array_max(of("horizontal_sigma_m")), away).alias("horizontal_sigma_m"),
         F.col("eff").cast("long").alias("effective_samples"), F.size("a").cast("long").alias("sample_count"), (F.size("s") - F.size("a")).cast("long").alias("rejected_sample_count"),
+        F.array_distinct(of("geometry")).alias("sample_methods"),
     )
 
 

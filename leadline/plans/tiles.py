@@ -11,8 +11,8 @@ from leadline.functions.depth import crowd_label, depth_label, water_depth_m
 from leadline.functions.geo import hex_centre, hex_vertices, lon_lat, overview_width_m, tile_bounds
 from leadline.functions.numbers import half_up, hypot3
 from leadline.operators.crowd import display_cell_m, tile_points
-from leadline.operators.listing import cells_in, in_bbox
-from leadline.operators.surface import overview, read_cells, with_neighbours
+from leadline.operators.listing import in_bbox, shown_in
+from leadline.operators.surface import overview
 from leadline.plans.mvt import EXTENT, area_tile, point_tile
 
 
@@ -27,13 +27,12 @@ def shown_depth(config: Config, tide: tuple[float, float] | None = None, display
 def cell_rows(cells: DataFrame, config: Config, z: int, x: int, y: int, as_of_ms: int, tide: tuple[float, float] | None = None, display: str | None = None, scale: float = 0.5, factor: float = 1.0, decimals: int = 1) -> DataFrame:
     """Cells of a tile, rolled up to its display width, with shown depth, label and tile coordinates.
 
-    Outside the zoom range there are none. Neighbour confidence is of all cells; the tile is then cut out with a
-    margin of one display cell and not clipped further.
+    Outside the zoom range there are none. The tile is cut out with a margin of one display cell and not clipped
+    further; neighbour confidence is that of all cells, for which a ring of cells around the cut is enough.
     """
     width = overview_width_m(config.base_cell_m, z, scale)
-    shown = with_neighbours(read_cells(cells, config, as_of_ms), config)
     x0, y0, x1, y1 = tile_bounds(z, x, y)
-    near = cells_in(shown, (x0 - width, y0 - width, x1 + width, y1 + width), config.base_cell_m, config.target_datum)
+    near = shown_in(cells, (x0 - width, y0 - width, x1 + width, y1 + width), config, as_of_ms)
     if not config.min_zoom <= z <= config.max_zoom:
         near = near.filter("false")
     rolled = overview(near, config.base_cell_m, width, tide)

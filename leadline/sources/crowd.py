@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadline.plans.store import Commits
+
 ARCHIVE_NAME = r"(?i)^\d{8}.*\.tar\.gz$"
 DEEPEST_M = 12_000
 REQUIRED = ("LON", "LAT", "DEPTH", "TIME")
@@ -73,15 +75,82 @@ POINT = T.StructType([T.StructField(n, t) for n, t in (("unique_id", T.StringTyp
 
 def replace_file(points: DataFrame, path: str) -> None:
     """Writes a file's valid points (with file_name) in the place of what the table had of that file; repeats count once."""
-    spark = points.sparkSession
-    keys = ["file_name", "unique_id", "file_uuid", "observed_at_ms", "longitude", "latitude", "depth_m"]
-    one = points.dropDuplicates(keys)
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        one.write.mode("overwrite").partitionBy("file_name").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    points.dropDuplicates(Archive.KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_name").parquet(path)
+
+
+#: A file is read up to this size.
+MOST_BYTES = 64 << 20
+
+
+def small_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, length, is_small) of files, without reading them."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", (F.col("length") <= most_bytes).alias("is_small"))
+
+
+class Archive:
+    """Points by file and a manifest of files, in parts by number of the commit; points and manifest change together.
+
+    A file that comes again takes the place of what it had; one that fails keeps it.
+    """
+
+    KEYS = ["file_name", "unique_id", "file_uuid", "observed_at_ms", "longitude", "latitude", "depth_m"]
+    MANIFEST = "name string, item_id string, platform string, provider string, instrument string, status string, is_full boolean, imported_at_ms long, sounding_count long, duplicate_count long, invalid_count long, error string, part long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.commits = Commits(spark, f"{self.path}/commits")
+
+    def manifest(self) -> DataFrame:
+        head = self.commits.last()
+        return self.spark.createDataFrame([], self.MANIFEST) if head is None else self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest/seq={head['seq']}")
+
+    def points(self) -> DataFrame | None:
+        """The points of the files' newest imports."""
+        head = self.commits.last()
+        if head is None or not head["points"]:
+            return None
+        rows = self.spark.read.parquet(f"{self.path}/points").filter(F.col("seq") <= head["seq"])
+        newest = self.manifest().select(F.col("name").alias("file_name"), F.col("part").alias("seq"))
+        return rows.join(newest, ["file_name", "seq"], "left_semi").drop("seq")
+
+    def ingest(self, files: DataFrame, rows: DataFrame, imported_at_ms: int) -> DataFrame:
+        """Takes files (as ``discover`` gives them) with their parsed rows (``parse``, and file_name); gives their rows of the manifest."""
+        seq = self._next()
+        valid = rows.filter("is_valid").drop("is_valid")
+        valid.dropDuplicates(self.KEYS).write.mode("overwrite").parquet(f"{self.path}/points/seq={seq}")
+        kept = self.spark.read.parquet(f"{self.path}/points/seq={seq}").groupBy("file_name").agg(F.count("*").alias("kept"))
+        counts = rows.groupBy("file_name").agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid")).join(kept, "file_name", "left").withColumnRenamed("file_name", "name")
+        zero = lambda n: F.coalesce(n, F.lit(0)).cast("long")
+        done = files.join(counts, "name", "left").withColumns({"status": F.lit("complete"), "is_full": F.lit(False), "imported_at_ms": F.lit(imported_at_ms).cast("long"), "sounding_count": zero(F.col("kept")), "duplicate_count": zero(F.col("valid")) - zero(F.col("kept")), "invalid_count": zero(F.col("invalid")), "error": F.lit(None).cast("string"), "part": F.lit(seq).cast("long")})
+        return self._put(seq, done, points=True)
+
+    def mark_failed(self, files: DataFrame) -> DataFrame:
+        """Files (with error) that couldn't be read: what they had before stays."""
+        had = self.manifest().select("name", "is_full", "imported_at_ms", "sounding_count", "duplicate_count", "invalid_count", "part")
+        failed = files.withColumn("error", F.substring("error", 1, 1000)).join(had, "name", "left").withColumns({"status": F.lit("failed"), "is_full": F.coalesce("is_full", F.lit(False))})
+        return self._put(self._next(), failed)
+
+    def mark_full(self, names: DataFrame) -> DataFrame:
+        """Files (name) that were read whole, beyond the box asked for."""
+        return self._put(self._next(), self.manifest().join(names.select("name"), "name", "left_semi").withColumn("is_full", F.lit(True)))
+
+    def progress(self) -> DataFrame:
+        """One row of counts over the manifest: files, complete, failed, soundings, invalid."""
+        done = F.col("status") == "complete"
+        total = lambda n: F.coalesce(F.sum(F.when(done, F.col(n))), F.lit(0)).cast("long")
+        return self.manifest().agg(F.count("*").alias("files"), F.count_if(done).alias("complete_files"), F.count_if(~done).alias("failed_files"), total("sounding_count").alias("imported"), total("invalid_count").alias("invalid"))
+
+    def _next(self) -> int:
+        head = self.commits.last()
+        return 0 if head is None else head["seq"] + 1
+
+    def _put(self, seq: int, rows: DataFrame, points: bool = False) -> DataFrame:
+        names = [c.split()[0] for c in self.MANIFEST.split(", ")]
+        changed = rows.select(names)
+        self.manifest().join(changed.select("name"), "name", "left_anti").unionByName(changed).write.mode("overwrite").parquet(f"{self.path}/manifest/seq={seq}")
+        head = self.commits.last()
+        self.commits.add(seq, {"points": points or bool(head and head["points"])})
+        return self.manifest().join(rows.select("name"), "name", "left_semi")
 
 
 def missing_files(index: DataFrame, manifest: DataFrame, full: bool = False) -> DataFrame:

@@ -49,3 +49,27 @@ def resample(rows: DataFrame, by: list[str], bucket_ms: int, how: str = "first")
     """One value a bucket of time and key, as history providers give: the first, or the mean of numbers."""
     b = rows.withColumn("bucket_ms", F.floor(F.col("at_ms") / bucket_ms) * bucket_ms).groupBy(*by, "bucket_ms")
     return b.agg((F.min_by("value", "at_ms") if how == "first" else F.avg("value")).alias("value")).withColumnRenamed("bucket_ms", "at_ms")
+
+
+_COLUMN = T.StructType([T.StructField("path", T.StringType()), T.StructField("method", T.StringType())])
+#: A history provider's response; rows are a time and a value for each path, as text.
+RESPONSE = T.StructType([T.StructField("context", T.StringType()), T.StructField("values", T.ArrayType(_COLUMN)), T.StructField("data", T.ArrayType(T.ArrayType(T.StringType())))])
+
+
+def history_series(responses: DataFrame, path: str, is_position: bool = False, method: str | None = None) -> DataFrame:
+    """One path's series (context, at_ms, and value or latitude, longitude) of responses; rows without a readable time or a usable value are left out.
+
+    ``method`` is the aggregation that was asked for: a response that used another one is an error.
+    """
+    at = F.array_position(F.transform("values", lambda v: v["path"]), path)
+    used = F.element_at(F.transform("values", lambda v: v["method"]), F.when(at > 0, at.cast("int")))
+    given = responses.filter(at > 0)
+    if method is not None:
+        wrong = F.raise_error(F.format_string(f"the provider used %s and not {method} for {path}", F.coalesce(used, F.lit("nothing")))).cast("long")
+        at = F.when(F.coalesce(used, F.lit(method)) != method, wrong).otherwise(at)
+    rows = given.select("context", at.cast("int").alias("at"), F.explode("data").alias("row")).select("context", F.unix_millis(F.try_to_timestamp(F.get("row", F.lit(0)))).alias("at_ms"), F.get("row", F.col("at")).alias("value"))
+    if is_position:
+        lat, lon = position(F.col("value"))
+        return rows.select("context", "at_ms", lat.alias("latitude"), lon.alias("longitude")).filter("at_ms is not null and latitude is not null and longitude is not null")
+    number = F.col("value").try_cast("double")
+    return rows.select("context", "at_ms", F.when(F.abs(number) < float("inf"), number).alias("value")).filter("at_ms is not null and value is not null")

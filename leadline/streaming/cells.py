@@ -108,6 +108,11 @@ class Surface:
         self._write(history_of(changed), "history", seq)
         self._commit(head, seq, source, batch_id, new.select("area").distinct())
 
+    def has(self, source: str) -> bool:
+        """Whether a source, or a job of replacement, has a commit."""
+        head = self.commits.last()
+        return head is not None and source in head["sources"]
+
     def replace(self, successors: DataFrame, name: str, updated_at_ms: int) -> None:
         """Soundings rebuilt from history take their originals' places, all or none; the cells of both are built without their state before.
 
@@ -119,9 +124,11 @@ class Surface:
         seq = head["seq"] + 1
         given = with_area(successors)
         stored = self._active(self._read("soundings", seq), seq)
-        originals = stored.join(given.select(F.col("replaces_id").alias("id")), "id", "left_semi")
-        old = originals.drop("seq")
-        _, links, keys = replace_from_history(old, self._no_links(), given)
+        old = stored.join(given.select(F.col("replaces_id").alias("id")), "id", "left_semi").drop("seq")
+        if given.isEmpty():
+            self._commit(head, seq, name, 0)
+            return
+        _, links, keys = replace_from_history(old, given.select(F.col("id").alias("original_id"), F.col("id").alias("replacement_id")).filter("false"), given)
         self._write(given.select(*[c for c in old.columns]), "soundings", seq, by_area=True)
         # a link lies in its original's area
         self._write(links.join(old.select(F.col("id").alias("original_id"), "area"), "original_id"), "replaced", seq, by_area=True)
@@ -132,9 +139,6 @@ class Surface:
         self._write(qc, "qc", seq)
         self._commit(head, seq, name, 0, areas)
 
-    def _no_links(self) -> DataFrame:
-        return self.spark.createDataFrame([], "original_id long, replacement_id long")
-
     def _part(self, name: str, seq: int) -> DataFrame | None:
         """What a commit wrote to a table by area; if that is no row, nothing is left of it."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/seq={seq}")

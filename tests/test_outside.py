@@ -1,6 +1,7 @@
 """What comes in and goes out: deltas, files, the journal, tiles, streams, questions."""
 
 import json
+import math
 import struct
 import time
 
@@ -11,7 +12,7 @@ from leadline import api
 from leadline import queries as q
 from leadline.config import Config
 from leadline.operators import listing, surface
-from leadline.plans import mvt, tiles
+from leadline.plans import mvt, rebuild, tiles
 from leadline.sources import crowd, deltas, journal
 from leadline.streaming import cells as stream_cells
 from leadline.streaming import live
@@ -249,6 +250,50 @@ def test_style_and_chart():
     assert tiles.chart(C, (1, 2, 3, 4), "/t")["bounds"] == [0.99, 1.99, 3.01, 4.01] and tiles.chart(C, None, "/t")["bounds"] == [-180, -85, 180, 85]
 
 
+def test_archive_of_files(spark, tmp_path):
+    t = crowd.Archive(spark, str(tmp_path / "csb"))
+    assert t.points() is None and t.manifest().count() == 0
+    files = lambda *names: spark.createDataFrame([(n, "i", "p", "q", "r") for n in names], "name string, item_id string, platform string, provider string, instrument string")
+    shape = "unique_id string, file_uuid string, longitude double, latitude double, depth_m double, observed_at_ms long, platform string, provider string, instrument string, is_valid boolean, file_name string"
+    row = lambda name, d, ok=True: ("u", "f", 1.0, 2.0, float(d), 5, "p", "q", "r", ok, name)
+    first = t.ingest(files("a", "b", "empty"), spark.createDataFrame([row("a", 1), row("a", 1), row("a", 2), row("a", 0, False), row("b", 3)], shape), 100)
+    assert sorted((r.name, r.status, r.sounding_count, r.duplicate_count, r.invalid_count) for r in first.collect()) == [("a", "complete", 2, 1, 1), ("b", "complete", 1, 0, 0), ("empty", "complete", 0, 0, 0)]
+    t.mark_full(files("a").select("name"))
+    assert t.manifest().filter("is_full").count() == 1 and crowd.missing_files(files("a", "b", "c"), t.manifest(), full=True).count() == 2
+    failed = t.mark_failed(files("b", "c").withColumn("error", F.lit("x" * 2000)))
+    assert sorted((r.name, r.status, len(r.error)) for r in failed.collect()) == [("b", "failed", 1000), ("c", "failed", 1000)]
+    assert t.points().count() == 3  # what b had stays
+    t.ingest(files("a"), spark.createDataFrame([row("a", 9)], shape), 200)
+    assert sorted((r.file_name, r.depth_m) for r in t.points().collect()) == [("a", 9.0), ("b", 3.0)]
+    assert not t.manifest().filter("is_full").count() and tuple(t.progress().first()) == (4, 2, 2, 1, 0)
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.csv").write_text("LON,LAT,DEPTH,TIME\n")
+    assert [(r.length, r.is_small) for r in crowd.small_files(spark, str(tmp_path / "files"), 5).collect()] == [(19, False)]
+
+
+def test_history_responses(spark):
+    body = {"context": "v", "values": [{"path": "d", "method": "first"}, {"path": "p", "method": "first"}], "data": [["2026-01-01T00:00:01Z", "5.5", '{"latitude": 1, "longitude": 2}'], ["bad", "1", None], ["2026-01-01T00:00:00Z", "NaN", "[2.5, 1.5]"], ["2026-01-01T00:00:03Z", None, "x"]]}
+    r = spark.createDataFrame([json.dumps(body)], "string").select(F.from_json("value", deltas.RESPONSE).alias("r")).select("r.*")
+    assert [tuple(x) for x in deltas.history_series(r, "d", method="first").collect()] == [("v", T0 + 1000, 5.5)]
+    assert sorted((x.at_ms, x.latitude, x.longitude) for x in deltas.history_series(r, "p", is_position=True).collect()) == [(T0, 1.5, 2.5), (T0 + 1000, 1.0, 2.0)]
+    assert deltas.history_series(r, "other").count() == 0
+    with pytest.raises(Exception, match="not average"):
+        deltas.history_series(r, "d", method="average").collect()
+
+
+def test_text_that_may_be_broken(spark):
+    from leadline.functions import depth, text
+
+    df = spark.createDataFrame([(t,) for t in ('["a", 1]', '{"a": 1}', "[1", None, "5", ' ["x"]')], "t string")
+    assert [r[0] for r in df.select(text.json_array("t")).collect()] == [["a", "1"], [], [], [], [], ["x"]]
+    one = spark.createDataFrame([('{"a": {"b.c": 1, "b": {"c": [7]}}}',)], "t string")
+    assert one.select(text.json_at("t", "a.b.c"), text.json_at("t", "a.x")).first()[:] == ("[7]", None)
+    doc = lambda **d: json.dumps({"name": "mine", "categories": {"depth": {"baseUnit": "m", "targetUnit": "foot", "formula": "value * 3.28084", "symbol": "ft", "displayFormat": "0.0"} | d}})
+    docs = spark.createDataFrame([(doc(),), (doc(baseUnit="ft"),), (doc(formula="x"),), ("{}",), ("no",)], "d string")
+    got = [r.u for r in docs.select(depth.unit_preference("d").alias("u")).collect()]
+    assert (got[0].unit, got[0].symbol, got[0].decimals, got[0].factor, got[0].name) == ("foot", "ft", 1, 3.28084, "mine") and got[1:] == [None] * 4
+
+
 #: Settings under which the small table has confirmed changes.
 K = Config(change_min_passes=1, change_min_days=0.0)
 
@@ -368,5 +413,16 @@ def test_live_stream_to_cells_and_journal(spark, tmp_path):
     j = log.read().orderBy("id").collect()
     assert [r.id for r in j] == [*range(1, 61)] and sum("missing-position" in r.quality for r in j) == 30 and sum("outside-instrument-range" in r.quality for r in j) == 1
     assert journal.with_corrections(log.read()).filter("corrected_m = 4.5").count() == 29
+    # history knows the vessel's attitude: a first run that is stopped, a second one, a third that finds all done
+    at = lambda v: spark.createDataFrame([("v", T0 + 1000 * i, float(v)) for i in range(60)], "context string, at_ms long, value double")
+    fixes = spark.createDataFrame([("v", T0 + 1000 * i, 37.8 + i * 1e-4, -122.4) for i in range(60)], "context string, at_ms long, latitude double, longitude double")
+    series = {"depth": at(5), "position": fixes, "roll": at(0.1), "pitch": at(0), "heading": at(0), "speed": at(2), "tide": at(1)}
+    read, stops = (lambda a, b: series), iter([False, True])
+    run = lambda stop: rebuild.rebuild_history(sf_, read, T0, T0 + 30_000, 7, chunk_ms=16_000, stop=stop)
+    assert rebuild.chunks(0, 40, 16) == [(0, 16), (16, 32), (32, 40)] and rebuild.chunks(5, 5) == []
+    assert run(lambda: next(stops)) == 1 and run(lambda: False) == len(rebuild.chunks(T0, T0 + 30_000, 16_000)) == run(lambda: False)
+    active = sf_.active().collect()
+    assert len(active) == 29 and {r.datum_depth_mm for r in active} == {round(5000 * math.cos(0.1)) - 500} and {r.position_method for r in active} == {"history_geometry_v1"}
+    assert sf_.cells().agg(F.sum("sounding_count")).first()[0] == 29 and sf_.soundings().count() == 58
     log.add(log.read().drop("id", "fingerprint"), 0, str(tmp_path / "check"))
     assert log.read().count() == 60 and live.readings_of(deltas.flatten(deltas.read(spark, str(tmp_path / "in"))), paths, F.lit(1), "lat", "MLLW").filter("path = 'tide'").count() == 0
