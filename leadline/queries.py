@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadline import fixtures as fx
 from leadline.config import Config
-from leadline.functions import beam, confidence, depth, geo
+from leadline.functions import beam, confidence, depth, geo, text
 from leadline.functions import numbers as nb
 from leadline.operators import align, asof, crowd, folds, listing, rest, surface
 from leadline.plans import store, tiles
@@ -369,6 +369,39 @@ def incremental_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(*surface.CELL, "robust_depth_mm", "change_state")
 
 
+_LEFT = ALL_CELLS.replace(RAW, f"raw AS (SELECT * FROM ({fx.duck_sql(fx.SOUNDINGS)}) WHERE id % 50 <> 0)")
+
+
+@query(f"{_LEFT} SELECT * REPLACE ({micro('confidence_base')} AS confidence_base) FROM cells")
+def replaced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface after some soundings are superseded: their cells are built anew without their state before, the others stay."""
+    s = fx.soundings(spark, sf_dir)
+    gone = s.filter("id % 50 = 0")
+    left = surface.active_soundings(s, gone.select(F.col("id").alias("original_id")))
+    cells, _ = store.rebuild_cells(surface.build_cells(s, CONFIG), left, store.affected_cells(gone), CONFIG, 1)
+    return cells.drop("previous_depth_mm", "updated_at_ms").withColumn("confidence_base", nb.micro("confidence_base"))
+
+
+@query(f"{ALL_CELLS} SELECT max(newest_at_ms) AS revision FROM cells")
+def revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.revision(_cells(spark, sf_dir).withColumn("updated_at_ms", F.col("newest_at_ms")))
+
+
+@query(f"{ALL_CELLS} SELECT cell_x, cell_y, change_state, newest_at_ms AS updated_at_ms FROM cells WHERE change_state <> 'stable' ORDER BY newest_at_ms DESC, cell_x, cell_y LIMIT 100")
+def changes_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("updated_at_ms", F.col("newest_at_ms"))
+    return listing.changes(cells, 0, "MLLW", 100).select("cell_x", "cell_y", "change_state", "updated_at_ms")
+
+
+_DAY = "strftime(make_timestamp(observed_at_ms * 1000), '%Y-%m-%d')"
+
+
+@query(f"WITH {RAW} SELECT id, {_DAY} || ':' || track AS live, {_DAY} || ':stationary:' || track AS at_rest, 'history-' || {_DAY} AS history FROM raw")
+def pass_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: rest.pass_id("observed_at_ms", F.col("track").cast("string"), kind)
+    return fx.soundings(spark, sf_dir).select("id", of("live").alias("live"), of("stationary").alias("at_rest"), of("history").alias("history"))
+
+
 # Numbers over soundings.
 
 _BY_SOURCE = f"WITH {RAW}, g AS (SELECT track, depth_source, list_sort(list(datum_depth_mm / 1000.0)) AS ds FROM raw GROUP BY ALL), m AS (SELECT *, {med('ds')} AS md FROM g), d AS (SELECT *, {med('list_sort(list_transform(ds, lambda x: abs(x - md)))')} AS mad_m FROM m)"
@@ -700,6 +733,21 @@ def sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.sample(s, ["track"], Config(max_interval_s=48 * 3600.0, distance_m=120.0), ("at_ms", "id")).select("id", "kept")
 
 
+_FAR = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(la - ala) / 2), 2) + cos(radians(ala)) * cos(radians(la)) * pow(sin(radians(lo - alo) / 2), 2)))) > 3.0 + 2 * sqrt(asg * asg + sg * sg)"
+
+
+@query(f"""WITH RECURSIVE {RAW}, o AS (SELECT id, track, observed_at_ms - observed_at_ms % 7200000 AS fix, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo, coalesce(horizontal_sigma_mm / 1000.0, 3.0) AS sg, CASE WHEN id % 3 = 0 THEN (id % 10) / 10.0 END AS v, row_number() OVER (PARTITION BY track ORDER BY observed_at_ms, id) AS i FROM raw),
+k AS (SELECT track, i, id, la AS ala, lo AS alo, sg AS asg, CASE WHEN v >= 0.25 THEN NULL ELSE fix END AS seen, 0 AS away, coalesce(v >= 0.25, false) AS moving FROM o WHERE i = 1 UNION ALL
+ SELECT track, i, id, CASE WHEN go THEN la ELSE ala END, CASE WHEN go THEN lo ELSE alo END, CASE WHEN go THEN sg ELSE asg END, seen1, away1, go FROM (SELECT *, fast OR away1 >= 3 AS go FROM
+ (SELECT *, CASE WHEN fast THEN seen ELSE fix END AS seen1, CASE WHEN fast THEN 0 WHEN fix IS DISTINCT FROM seen THEN CASE WHEN far THEN away + 1 ELSE 0 END ELSE away END AS away1 FROM
+ (SELECT o.track, o.i, o.id, la, lo, sg, fix, ala, alo, asg, seen, away, coalesce(v >= 0.25, false) AS fast, {_FAR} AS far FROM k JOIN o ON o.track = k.track AND o.i = k.i + 1))))
+SELECT id, moving AS under_way FROM k""")
+def under_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soundings are sparse here, so fixes are two hours apart, and some rows have a speed."""
+    s = fx.soundings(spark, sf_dir).select("id", "track", F.col("observed_at_ms").alias("at_ms"), (F.col("observed_at_ms") - F.col("observed_at_ms") % 7_200_000).alias("fix_ms"), (F.col("lat_e7") / 1e7).alias("latitude"), (F.col("lon_e7") / 1e7).alias("longitude"), F.coalesce(nb.metres("horizontal_sigma_mm"), F.lit(3.0)).alias("horizontal_sigma_m"), F.when(F.col("id") % 3 == 0, (F.col("id") % 10) / 10.0).alias("sog_mps"))
+    return folds.under_way(s, ["track"], CONFIG, ("at_ms", "id")).select("id", "under_way")
+
+
 _REST = Config(minimum_speed_mps=30.0, history_resolution_s=60, stationary_window_s=4 * 3600.0, stationary_min_samples=3)
 _VISITS = f"""WITH RECURSIVE {RAW}, o AS (SELECT id, track % 5 AS c, observed_at_ms AS t, CASE WHEN id % 17 = 0 THEN NULL ELSE (id % 40) * 1.0 END AS v, datum_depth_mm / 1000.0 AS dm, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo, tide_height_mm / 1000.0 AS ti, input_time_skew_ms AS sk, horizontal_sigma_mm / 1000.0 AS hs, row_number() OVER (PARTITION BY track % 5 ORDER BY observed_at_ms, id) AS i FROM raw),
 k AS (SELECT c, i, id, t, CASE WHEN v < 30 THEN t END AS first, t AS last, CASE WHEN v < 30 THEN 1 ELSE 0 END AS n, CASE WHEN v < 30 THEN 1 END AS visit, CASE WHEN v < 30 THEN t END AS opened FROM o WHERE i = 1 UNION ALL
@@ -784,6 +832,16 @@ def csb_tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("grid_x", "grid_y", "samples", (F.col("median_mm") * 10).cast("long").alias("median_tenth_mm"), "min_mm", "max_mm", "observed_at_ms", "platform")
 
 
+@query(f"{_IMPORTED} SELECT count(DISTINCT (unique_id, file_uuid)) AS journeys, min(lon_e7) AS west_e7, min(lat_e7) AS south_e7, max(lon_e7) AS east_e7, max(lat_e7) AS north_e7 FROM pts")
+def journey_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crowd.bounds(crowd.journeys(_points(spark, sf_dir)))
+
+
+@query(f"{_IMPORTED} SELECT observed_at_ms, lat_e7, lon_e7, depth_mm, unique_id, file_uuid FROM pts ORDER BY observed_at_ms DESC, lat_e7, lon_e7, depth_mm, unique_id, file_uuid LIMIT 1000")
+def crowd_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crowd.newest(_points(spark, sf_dir), 1000).select("observed_at_ms", "lat_e7", "lon_e7", "depth_mm", "unique_id", "file_uuid")
+
+
 _FILES = "files AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'complete' END AS status, o_orderkey % 7 AS invalid_count, 1700000000000 + o_orderkey AS imported_at_ms FROM orders)"
 
 
@@ -808,6 +866,12 @@ def csb_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crowd_source.discover(_index(spark, sf_dir)).select("ord", "name", "platform", "provider")
 
 
+@query(f"WITH i AS ({_INDEX}), d AS (SELECT * FROM i WHERE NOT name LIKE '%.zip' QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1), m AS (SELECT DISTINCT name FROM i WHERE platform = 'O') SELECT ord, name FROM d ANTI JOIN m USING (name)")
+def csb_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = _index(spark, sf_dir).select("name", F.when(F.col("platform") == "O", "complete").otherwise("failed").alias("status"))
+    return crowd_source.missing_files(crowd_source.discover(_index(spark, sf_dir)), manifest).select("ord", "name")
+
+
 @query(f"SELECT ord, CASE WHEN NOT name LIKE '%.zip' THEN '/csb/csv/' || name[1:4] || '/' || name[5:6] || '/' || name[7:8] || '/' || regexp_replace(name, '(?i)\\.tar\\.gz$', '') || '.csv' END AS path FROM ({_INDEX})")
 def csb_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).select("ord", crowd_source.csv_path(F.col("name")).alias("path"))
@@ -845,6 +909,16 @@ def csb_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("unique_id", "file_uuid", crowd_source.fallback(F.col("provider"), F.col("instrument")).alias("provider")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 4 = 1 THEN 0 WHEN event_id % 4 = 2 THEN 0 ELSE 0 END AS n, CASE WHEN event_id % 4 = 0 THEN event_type END AS first, CASE WHEN event_id % 4 = 1 THEN cast(user_id AS varchar) END AS inner_value FROM events""")
+def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons as JSON arrays, of which some are objects, broken or missing."""
+    k = F.col("event_id") % 4
+    doc = F.when(k == 0, F.format_string('["%s", 7]', "event_type")).when(k == 1, F.format_string('{"a": {"b": %d}}', "user_id")).when(k == 2, F.lit('["x"'))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), doc.alias("doc"))
+    reasons = text.json_array("doc")
+    return e.select("id", F.size(reasons).alias("n"), F.get(reasons, F.lit(0)).alias("first"), text.json_at("doc", "a.b").alias("inner_value"))
+
+
 # Journal and deltas.
 
 _KEPT = f"WITH {JOURNAL}, kept AS (SELECT *, row_number() OVER (ORDER BY seq) AS id FROM journal0 WHERE received_at_ms = observed_at_ms)"
