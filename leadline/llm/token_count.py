@@ -3,7 +3,9 @@
 A piece starts as one symbol a byte. The heap holds adjacent pairs that the merge list knows, by rank
 and place; the lowest is popped, its two symbols become one, and the new neighbours' pairs are pushed.
 Each merge takes one symbol away, so a piece's count is its bytes less its merges. Counts of short
-pieces are kept in a bounded table; a text's pieces are counted before they are looked up.
+pieces are kept in a bounded table; a text's pieces are counted before they are looked up. A piece of any
+length goes through a window of constant size: what lies the merge list's sufficient lookahead before the
+window's end is settled and counted, and the rest stays for the next bytes.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from leadline.llm.bpe import Merges, Pieces, closed_windows, merges, pattern_for
 from leadline.llm.common import id_type, session, text_rows
 
 
-def merged_count(m: Merges, data: bytes) -> int:
-    """Symbols left of a piece: initial symbols minus merges."""
+def _merged(m: Merges, data: bytes) -> tuple[list[int], int]:
+    """(the byte that each symbol left begins with, or -1 where a byte begins none; merges done) of a piece."""
     n = len(data)
     rank, symbol = m.rank, [m.of_byte[b] for b in data]
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
@@ -44,7 +46,35 @@ def merged_count(m: Merges, data: bytes) -> int:
         h = before[i]
         if h >= 0 and (r := rank.get((symbol[h], made))):
             heapq.heappush(heap, (r[0], h, symbol[h], made, r[1]))
-    return n - done
+    return symbol, done
+
+
+def merged_count(m: Merges, data: bytes) -> int:
+    """Symbols left of a piece: initial symbols minus merges."""
+    return len(data) - _merged(m, data)[1]
+
+
+class LongPiece:
+    """A piece that comes in parts, counted as they come."""
+
+    def __init__(self, m: Merges):
+        self.m, self.open, self.count = m, b"", 0
+        self.hold = 4 * (m.lookahead + m.longest)
+
+    def feed(self, data: bytes) -> None:
+        for k in range(0, len(data), self.hold):
+            self.open += data[k : k + self.hold]
+            if len(self.open) < self.hold:
+                continue
+            symbol, _ = _merged(self.m, self.open)
+            settled = len(self.open) - self.m.lookahead
+            # the symbols that end in what is settled: all that another one follows there
+            starts = [i for i in range(settled + 1) if symbol[i] >= 0]
+            self.count += len(starts) - 1
+            self.open = self.open[starts[-1] :]
+
+    def end(self) -> int:
+        return self.count + merged_count(self.m, self.open)
 
 
 class Counts:
@@ -59,24 +89,25 @@ class Counts:
             if special:
                 total += 1
                 continue
-            long: list[str] = []
+            long = LongPiece(self.m)
             for got in closed_windows(part, pattern):
                 if isinstance(got, list):
                     seen = Counter(got)
                     total += sum(map(mul, map(self.table.__getitem__, seen), seen.values()))
                 elif got:
-                    long.append(got)
+                    long.feed(got.encode())
                 else:
-                    total += merged_count(self.m, "".join(long).encode())
-                    long = []
+                    total += long.end()
+                    long = LongPiece(self.m)
         return total
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes long (UTF-8), n_tokens long, over_limit boolean (n_tokens > limit) of every text.
 
-    One row for each input row: a null or empty text counts 0 and 0, a null id stays null, repeated
-    rows give repeated results, an empty table an empty one; other columns are not read.
+    One row for each input row: a null or empty text counts 0 and 0, a very long one is counted whole in constant
+    memory beside the text itself, a null id stays null, repeated rows give repeated results, an empty table an
+    empty one; other columns, whatever they are called, are not read.
     """
     session(docs)
     rows = text_rows(docs, id_col, text_col)

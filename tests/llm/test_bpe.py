@@ -98,3 +98,19 @@ def test_frames(spark, library):
     assert sorted((str(r.doc_id), r.n_tokens) for r in coded) == want
     assert all(r.decoded == "hello world" for r in coded if r.doc_id == 1)
     assert count_tokens(docs.limit(0), PATH).count() == encode_decode(docs.limit(0), PATH).count() == 0
+
+
+def test_long_pieces_are_counted_in_a_window():
+    from leadline.llm.bpe import merges
+    from leadline.llm.token_count import Counts, LongPiece
+
+    m, rng = merges(PATH), random.Random(3)
+    counts, library = Counts(m), tokenizers.Tokenizer.from_file(PATH)
+    for letters in ("a", "abcdefgh", "the", "xyz!?", "é日"):
+        run = "".join(rng.choices(letters, k=90_000))
+        assert counts.text(run) == len(library.encode(run, add_special_tokens=False).ids)
+        piece, data = LongPiece(m), run.encode()[:20_000]
+        for k in range(0, len(data), 777):
+            piece.feed(data[k : k + 777])
+            assert len(piece.open) < 2 * piece.hold
+        assert piece.end() == merged_count(m, data)
