@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from leadline.llm.bpe import Decoder, Encoder, closed_windows, encode_decode, merges, pattern_for
-from leadline.llm.token_count import count_tokens, merged_count
+from leadline.llm.token_count import Counts, LongPiece, count_tokens, merged_count
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -100,12 +100,9 @@ def test_frames(spark, library):
     assert count_tokens(docs.limit(0), PATH).count() == encode_decode(docs.limit(0), PATH).count() == 0
 
 
-def test_long_pieces_are_counted_in_a_window():
-    from leadline.llm.bpe import merges
-    from leadline.llm.token_count import Counts, LongPiece
-
+def test_long_pieces_are_counted_in_a_window(library):
     m, rng = merges(PATH), random.Random(3)
-    counts, library = Counts(m), tokenizers.Tokenizer.from_file(PATH)
+    counts = Counts(m)
     for letters in ("a", "abcdefgh", "the", "xyz!?", "é日"):
         run = "".join(rng.choices(letters, k=90_000))
         assert counts.text(run) == len(library.encode(run, add_special_tokens=False).ids)
