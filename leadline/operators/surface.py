@@ -1,7 +1,6 @@
 """Cells from soundings: passes, depth clusters, the active one, change state, uncertainty and confidence.
 
-Soundings have the columns of ``leadline.schema.SOUNDING`` that are used here: id, observed_at_ms, cell_x,
-cell_y, tide_datum, pass_id, datum_depth_mm, vertical_sigma_mm, horizontal_sigma_mm, depth_source,
+Soundings have the columns that are used here, whatever others they have: id, observed_at_ms, cell_x, cell_y, tide_datum, pass_id, datum_depth_mm, vertical_sigma_mm, horizontal_sigma_mm, depth_source,
 sample_count. A pass (one track of one day in one cell) is gathered as an array, a cell as its array of
 passes; soundings are never gathered by cell but join their pass's part and are aggregated, so a cell
 that a berth fills for years spreads over partial aggregates.

@@ -13,6 +13,7 @@ from leadline.functions.geo import hex_cell, mercator_x, mercator_y
 from leadline.operators.align import corrected_history, reconstruct
 from leadline.operators.folds import plausible_tides
 from leadline.operators.listing import fixed_point, rebuild_targets, sounding_fingerprint
+from leadline.sources.deltas import position, resample
 from leadline.streaming.cells import Surface
 
 #: Length of a chunk, and how far beyond it series are read.
@@ -27,6 +28,33 @@ def chunks(from_ms: int, to_ms: int, chunk_ms: int = CHUNK_MS) -> list[tuple[int
     return [*zip(edges, edges[1:], strict=False)] if from_ms < to_ms else []
 
 
+def series_reader(values: DataFrame, paths: dict[str, str], config: Config) -> Callable[[int, int], dict[str, DataFrame]]:
+    """A reader of series from stored delta values (context, path, at_ms, value as text); ``paths`` gives the path of each channel.
+
+    Each series is its own scan, by path and time, and has the first value of each bucket of the history's resolution, as
+    means of angles wouldn't do. Roll and pitch come from the path of ``attitude``. Attitude needs buckets of a second.
+    """
+    if config.history_resolution_s != 1:
+        raise ValueError("attitude can be rebuilt from buckets of one second only")
+
+    def series(path: str, from_ms: int, to_ms: int) -> DataFrame:
+        rows = values.filter((F.col("path") == path) & (F.col("at_ms") >= from_ms) & (F.col("at_ms") < to_ms))
+        return resample(rows.filter("value is not null"), ["context"], 1000 * config.history_resolution_s)
+
+    def number(rows: DataFrame, value) -> DataFrame:
+        x = value.try_cast("double")
+        return rows.select("context", "at_ms", F.when(F.abs(x) < float("inf"), x).alias("value")).filter("value is not null")
+
+    def read(from_ms: int, to_ms: int) -> dict[str, DataFrame]:
+        of = {n: series(paths[n], from_ms, to_ms) for n in ("depth", "position", "attitude", "heading", "speed", "tide")}
+        lat, lon = position(F.col("value"))
+        places = of["position"].select("context", "at_ms", lat.alias("latitude"), lon.alias("longitude")).filter("latitude is not null and longitude is not null")
+        turns = {n: number(of["attitude"], F.get_json_object("value", f"$.{n}")) for n in ("roll", "pitch")}
+        return {n: number(of[n], F.col("value")) for n in ("depth", "heading", "speed", "tide")} | turns | {"position": places}
+
+    return read
+
+
 def successors_of(originals: DataFrame, made: DataFrame, config: Config) -> DataFrame:
     """Rebuilt soundings with all the columns of the stored ones that they replace."""
     fresh = ["latitude", "longitude", "raw_m", "tide_m", "datum_m", "horizontal_sigma_m", "vertical_sigma_m", "sample_count", "position_method", "replaces_id"]

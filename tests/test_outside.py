@@ -281,6 +281,17 @@ def test_history_responses(spark):
         deltas.history_series(r, "d", method="average").collect()
 
 
+def test_series_of_stored_values(spark):
+    rows = [("v", p, T0 + 1000 * i + ms, str(v)) for i in range(3) for p, ms, v in (("d", 100, 5 + i), ("d", 600, 99), ("h", 0, 0.5), ("s", 0, 2), ("t", 0, "NaN"), ("a", 0, json.dumps({"roll": 0.1 * i, "pitch": None})), ("p", 0, json.dumps([-122.4, 37.8])))]
+    values = spark.createDataFrame([*rows, ("v", "d", T0 + 900_000, "1"), ("v", "d", T0, None)], "context string, path string, at_ms long, value string")
+    read = rebuild.series_reader(values, {"depth": "d", "position": "p", "attitude": "a", "heading": "h", "speed": "s", "tide": "t"}, C)
+    got = {n: sorted(map(tuple, df.collect())) for n, df in read(T0, T0 + 10_000).items()}
+    assert set(got) == set(rebuild.CHANNELS) and got["depth"] == [("v", T0 + 1000 * i, 5.0 + i) for i in range(3)]
+    assert [len(got[n]) for n in ("heading", "speed", "tide", "roll", "pitch", "position")] == [3, 3, 0, 3, 0, 3] and got["position"][0][2:] == (37.8, -122.4)
+    with pytest.raises(ValueError):
+        rebuild.series_reader(values, {}, Config(history_resolution_s=5))
+
+
 def test_text_that_may_be_broken(spark):
     from leadline.functions import depth, text
 
