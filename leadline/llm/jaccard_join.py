@@ -228,7 +228,8 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     documents link when 100 * shared >= percent * all their shingles. Returns one row for each input row:
     doc_id long, n_shingles long, component_id long (the smallest id that links reach).
     Rows that repeat an id are one vertex; a null id gets a null component and links nothing; an empty
-    table gives an empty one; other columns are not read. Ids must be integers.
+    table gives an empty one; a very long text is taken whole, its set in one piece; other columns, whatever
+    they are called, are not read. Ids must be integers.
     """
     session(docs)
     rows = text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -206,8 +206,8 @@ def quality_scores(docs: DataFrame, classifier: Classifier, threshold: float = 0
     """doc_id, held_out boolean (fold 0), score double in 0 to 1, predicted int (1 where score >= threshold).
 
     One row for each input row, in any order. A null or empty text has no features and gets the curve's
-    value at the bias; a null id is not held out; repeated rows get equal scores; an empty table gives an
-    empty one; other columns are not read.
+    value at the bias; a very long one is taken whole, in stretches; a null id is not held out; repeated rows get
+    equal scores; an empty table gives an empty one; other columns, whatever they are called, are not read.
     """
     session(docs)
     rows = text_rows(docs, id_col, text_col).withColumn("held_out", F.coalesce(fold_of("doc_id", folds) == 0, F.lit(False)))
@@ -223,7 +223,11 @@ def quality_scores(docs: DataFrame, classifier: Classifier, threshold: float = 0
 
 
 def good_texts(docs: DataFrame, classifier: Classifier, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores at least the threshold; nothing is shuffled."""
+    """The rows, with all their columns, whose text scores at least the threshold; nothing is shuffled.
+
+    Null and empty texts have the score of no features, very long ones are taken whole; null ids are as good as others,
+    repeated rows have one fate, an empty table gives an empty one; columns of any other name are passed on.
+    """
     session(docs)
     model = docs.sparkSession.sparkContext.broadcast(classifier)
 

@@ -86,7 +86,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     they answer), n_quoted, n_linked long (quoted passages, and those with an original), text string.
     Null and empty texts have no passages; a null conversation or turn links nothing and is its own root;
     rows that repeat (conv_id, turn) are one message for links and keep their rows; of equal candidates the
-    latest turn counts; an empty table gives an empty one; other columns are not read.
+    latest turn counts; an empty table gives an empty one; very long texts are parsed whole, line by line; other
+    columns, whatever they are called, are not read.
     """
     session(messages)
     rows = messages.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

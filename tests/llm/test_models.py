@@ -58,6 +58,34 @@ def test_shapes_see_repeats_capitals_and_signs():
     assert same[0] != same[1] and same[2] != same[3] and same[4] == set() and len(same[5]) > 0
 
 
+def plain_features(t: str) -> set:
+    """Words, pairs of words and runs of up to three shapes, by plain loops."""
+    w = words(t)
+    raw = re.findall(r"[^\x20\x09-\x0d]+", t)
+    shapes = []
+    for k, x in enumerate(raw):
+        signs = ["a" if "a" <= c <= "z" or ord(c) > 127 else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c for c in x]
+        shapes.append("same" if k and w[k] == w[k - 1] else "".join(c for j, c in enumerate(signs) if not j or c != signs[j - 1]))
+    runs = lambda xs, n, kind: {(kind, *xs[k : k + n]) for k in range(len(xs) - n + 1)} if len(xs) >= n else ({(kind, *xs)} if xs else set())
+    return runs(w, 1, "w1") | runs(w, 2, "w2") | runs(shapes, 1, "s1") | runs(shapes, 2, "s2") | runs(shapes, 3, "s3")
+
+
+def test_features_and_scores_are_the_plain_ones(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect() if r.text] + ["", "one", "two two", "Ab1! é"]
+    plain, places = [plain_features(t) for t in docs], [set(x.tolist()) for x in quality.features_of(pa.array(docs))]
+    for a, x in zip(plain, places, strict=True):  # a place can be shared by chance
+        assert 0.97 * len(a) - 1 <= len(x) <= len(a)
+    for i in range(0, len(docs), 7):
+        for j in range(len(docs)):
+            both = len(plain[i] & plain[j])
+            assert both - 0.03 * len(plain[i]) - 1 <= len(places[i] & places[j]) <= both + 0.02 * len(plain[i]) * len(plain[j]) / 1000 + 3
+    rng = np.random.default_rng(1)
+    c = quality.Classifier(rng.normal(size=1 << quality.PLACES_BITS), 0.25, 1.5, -0.5)
+    for x in places:
+        margin = sum(c.weights[p] for p in x) / math.sqrt(len(x) + 1) + 0.25
+        assert c.score(np.array(sorted(x), np.int32)) == pytest.approx(1 / (1 + math.exp(-(1.5 * margin - 0.5))))
+
+
 def test_quality_frames(spark):
     docs = spark.createDataFrame([(1, "good words here", 1), (2, None, 2), (None, "", 3), (3, "BAD!! BAD!! BAD!!", 4), (3, "BAD!! BAD!! BAD!!", 4)], "doc_id long, text string, label int")
     labels = spark.createDataFrame([(1, 1, "x"), (3, 0, "y"), (3, 0, "y"), (None, 1, "z"), (2, None, "q")], "doc_id long, quality int, text string")
