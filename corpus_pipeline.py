@@ -35,7 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     # under names of our own, since a column may be called anything
     own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    rows, key, text = docs.withColumnsRenamed(own), own["doc_id"], own["text"]
+    rows, key, text = docs.toDF(*own.values()), own["doc_id"], own["text"]
     here = rows.join(first.withColumnRenamed("doc_id", key), key, "left_semi")
     order = Window.partitionBy(key).orderBy(text)
     one = here.withColumn("again", (F.row_number().over(order) > 1) & F.lag(text).over(order).eqNullSafe(F.col(text))).filter("not again").drop("again")
