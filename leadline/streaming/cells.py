@@ -122,7 +122,9 @@ class Surface:
         if head is None or name in head["sources"]:
             return
         seq = head["seq"] + 1
-        given = with_area(successors)
+        # what a rebuild gives is dear, and is read several times
+        self._write(with_area(successors), "successors", seq)
+        given = self.spark.read.parquet(f"{self.path}/successors/seq={seq}")
         stored = self._active(self._read("soundings", seq), seq)
         old = stored.join(given.select(F.col("replaces_id").alias("id")), "id", "left_semi").drop("seq")
         if given.isEmpty():
