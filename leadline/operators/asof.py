@@ -45,19 +45,20 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], reach_ms: int | Co
     return both.filter("_side = 0").select("_left.*", F.col("_before").alias("before"), F.col("_after").alias("after"))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance_ms: int, name: str = "match", how: str = "inner", left_time: str = "at_ms", right_time: str = "at_ms", stretch_ms: int = STRETCH_MS) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance_ms: int, name: str = "match", how: str = "inner", left_time: str = "at_ms", right_time: str = "at_ms", stretch_ms: int | None = STRETCH_MS) -> DataFrame:
     """Each left row with the right row nearest in time, as a struct, within an inclusive tolerance.
 
-    The earlier one wins a tie. Left rows without a match are dropped, or kept with null if ``how`` is left.
+    The earlier one wins a tie. Left rows without a match are dropped, or kept with null if ``how`` is left. A
+    stretch of None leaves series whole.
     """
-    b = bracket(left, right, by, tolerance_ms, left_time, right_time, max(stretch_ms, tolerance_ms))
+    b = bracket(left, right, by, tolerance_ms, left_time, right_time, stretch_ms and max(stretch_ms, tolerance_ms))
     back, ahead = F.col(left_time) - F.col(f"before.{right_time}"), F.col(f"after.{right_time}") - F.col(left_time)
     best = F.when(back.isNotNull() & (ahead.isNull() | (back <= ahead)), F.when(back <= tolerance_ms, F.col("before"))).otherwise(F.when(ahead <= tolerance_ms, F.col("after")))
     out = b.withColumn(name, best).drop("before", "after")
     return out if how == "left" else out.filter(F.col(name).isNotNull())
 
 
-def positions_at(depths: DataFrame, fixes: DataFrame, by: list[str], config: Config, project: bool = False, skew_ms: int | None = None, stretch_ms: int = STRETCH_MS) -> DataFrame:
+def positions_at(depths: DataFrame, fixes: DataFrame, by: list[str], config: Config, project: bool = False, skew_ms: int | None = None, stretch_ms: int | None = STRETCH_MS) -> DataFrame:
     """Positions at the times of depths, from fixes (at_ms, latitude, longitude).
 
     A fix at that very time counts as it is; two within the skew are interpolated along the shorter way around;
@@ -66,7 +67,7 @@ def positions_at(depths: DataFrame, fixes: DataFrame, by: list[str], config: Con
     position are left out.
     """
     most = int(config.max_live_skew_s * 1000) if skew_ms is None else skew_ms
-    b = bracket(depths, fixes, by, most, stretch_ms=max(stretch_ms, most))
+    b = bracket(depths, fixes, by, most, stretch_ms=stretch_ms and max(stretch_ms, most))
     t = F.col("at_ms")
     back, ahead = t - F.col("before.at_ms"), F.col("after.at_ms") - t
     exact = ahead == 0
