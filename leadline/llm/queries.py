@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.llm import bpe, decontam, fingerprint, jaccard_join, license_scan, ppm, quality, quotes, secret_scan, token_count
+from leadline.llm import alignment, bpe, decontam, fingerprint, jaccard_join, license_scan, packing, phrases, ppm, quality, quotes, secret_scan, token_count
 from leadline.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -83,6 +85,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024, end_id=2, with_ids=False).drop("ids")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -95,8 +109,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_quote_linking": op9_quote_linking,
         "op10_fingerprints": op10_fingerprints,
+        "op11_packing": op11_packing,
+        "op12_collocations": op12_collocations,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": license_scan.oracle(), "op7_ngram_jaccard": OP7_SQL, "op9_quote_linking": OP9_SQL}
+    return {"op4_licenses": license_scan.oracle(), "op7_ngram_jaccard": OP7_SQL, "op9_quote_linking": OP9_SQL, "op12_collocations": phrases.ORACLE}
