@@ -60,6 +60,35 @@ def median(xs: ColumnOrName) -> Column:
     return sorted_median(F.array_sort(c(xs)))
 
 
+def counted_median(counts: Column) -> Column:
+    """Median of values given as an array of (x, n), in any order, values more than once too; null for none."""
+
+    def middle(a: Column) -> Column:
+        total = F.aggregate(a, F.lit(0).cast("long"), lambda t, v: t + v["n"])
+
+        def of(m: Column) -> Column:
+            nothing = F.lit(None).cast("double")
+            start = F.struct(F.lit(0).cast("long").alias("seen"), nothing.alias("lo"), nothing.alias("hi"))
+
+            def take(s: Column, v: Column) -> Column:
+                seen = s["seen"] + v["n"]
+                at = lambda got, place: F.when(got.isNull() & (seen > place), v["x"]).otherwise(got)
+                return F.struct(seen.alias("seen"), at(s["lo"], F.floor((m - 1) / 2)).alias("lo"), at(s["hi"], F.floor(m / 2)).alias("hi"))
+
+            return F.aggregate(a, start, take, lambda s: (s["lo"] + s["hi"]) / F.lit(2.0))
+
+        return bound(total, of)
+
+    return bound(F.array_sort(counts), middle)
+
+
+def counted_robust_sigma(counts: Column, centre: Column) -> Column:
+    """Scaled MAD about a centre of values given as an array of (x, n); 0 with fewer than two values."""
+    away = bound(centre, lambda m: counted_median(F.transform(counts, lambda v: F.struct(F.abs(v["x"] - m).alias("x"), v["n"].alias("n")))))
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda t, v: t + v["n"])
+    return F.when(total < 2, F.lit(0.0)).otherwise(F.lit(MAD_TO_SIGMA) * away)
+
+
 def mad(xs: ColumnOrName, centre: Column | None = None) -> Column:
     """Median absolute deviation about a centre, or about the array's own median."""
     mid = median(xs) if centre is None else centre

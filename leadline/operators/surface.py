@@ -1,9 +1,10 @@
 """Cells from soundings: passes, depth clusters, the active one, change state, uncertainty and confidence.
 
 Soundings have the columns that are used here, whatever others they have: id, observed_at_ms, cell_x, cell_y, tide_datum, pass_id, datum_depth_mm, vertical_sigma_mm, horizontal_sigma_mm, depth_source,
-sample_count. A pass (one track of one day in one cell) is gathered as an array, a cell as its array of
-passes; soundings are never gathered by cell but join their pass's part and are aggregated, so a cell
-that a berth fills for years spreads over partial aggregates.
+sample_count. A pass (one track of one day in one cell) is what ``pass_rows`` keeps of it: how many soundings
+have each depth and each sigma, in millimetres, and a few totals. Such rows of one pass add up (``added``), and
+cells are built from them alone, so a surface that keeps them needs no old sounding again. A cell's array holds
+its passes with their counts of sigmas, never its soundings.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from leadline.config import Config
 from leadline.functions.confidence import DAY_MS, evidence_cap, evidence_reasons, horizontal_cap, recency, valid_sigma
 from leadline.functions.depth import conservative_m, water_depth_m
 from leadline.functions.geo import hex_cell, hex_centre, hex_vertices, latitude_of, longitude_of, neighbour_cells
-from leadline.functions.numbers import c, median, metres, millimetres, robust_sigma, sorted_median, weighted_geometric_mean
+from leadline.functions.numbers import c, counted_median, counted_robust_sigma, median, metres, millimetres, robust_sigma, sorted_median, weighted_geometric_mean
 
 CELL = ["cell_x", "cell_y", "datum"]
 STATES = ["stable", "candidate_deepening", "suspected_shoaling", "confirmed"]
@@ -26,11 +27,50 @@ def active_soundings(soundings: DataFrame, replacements: DataFrame) -> DataFrame
     return soundings.join(replacements.select(F.col("original_id").alias("id")), "id", "left_anti")
 
 
-def pass_estimates(soundings: DataFrame) -> DataFrame:
+PASS = [*CELL, "pass_id"]
+_COUNTS = "array<struct<mm:bigint,n:bigint>>"
+
+
+def pass_rows(soundings: DataFrame, config: Config) -> DataFrame:
+    """What cells need of each pass: counts of depths and of sigmas (arrays of mm, n), the greatest horizontal_m, samples, sources, oldest_ms, newest_ms, n."""
+    sigma_h = valid_sigma(metres("horizontal_sigma_mm"), config.position_sigma_m)
+    # equal soundings are counted before they are shuffled by pass
+    equal = soundings.withColumnRenamed("tide_datum", "datum").groupBy(*PASS, "datum_depth_mm", "vertical_sigma_mm").agg(
+        F.count("*").alias("n"), F.max(sigma_h).alias("horizontal_m"), F.sum("sample_count").alias("samples"), F.collect_set("depth_source").alias("sources"), F.min("observed_at_ms").alias("oldest_ms"), F.max("observed_at_ms").alias("newest_ms"),
+    )
+    count = lambda name: F.filter(F.collect_list(F.struct(F.col(name).cast("long").alias("mm"), "n")), lambda v: v["mm"].isNotNull())
+    return equal.groupBy(*PASS).agg(count("datum_depth_mm").alias("depths"), count("vertical_sigma_mm").alias("sigmas"), *_totals())
+
+
+def _totals() -> list[Column]:
+    return [
+        F.max("horizontal_m").alias("horizontal_m"), F.sum("samples").cast("long").alias("samples"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        F.min("oldest_ms").alias("oldest_ms"), F.max("newest_ms").alias("newest_ms"), F.sum("n").alias("n"),
+    ]
+
+
+def added(passes: DataFrame) -> DataFrame:
+    """Rows of ``pass_rows`` of several sets of soundings as those of all of them: one row for each pass, counts added."""
+
+    def counts(name: str) -> Column:
+        every = F.flatten(F.collect_list(name))
+        values = F.array_sort(F.array_distinct(F.transform(every, lambda v: v["mm"])))
+        sums = F.transform(values, lambda x: F.struct(x.alias("mm"), F.aggregate(F.filter(every, lambda v: v["mm"] == x), F.lit(0).cast("long"), lambda t, v: t + v["n"]).alias("n")))
+        return F.when(F.size(values) < F.size(every), sums).otherwise(every).cast(_COUNTS).alias(name)
+
+    return passes.groupBy(*PASS).agg(counts("depths"), counts("sigmas"), *_totals())
+
+
+def estimated(passes: DataFrame) -> DataFrame:
+    """Adds depth_m, the median, and within_m, the robust spread, of each pass."""
+    depths = F.transform("depths", lambda v: F.struct(metres(v["mm"]).alias("x"), v["n"].alias("n")))
+    out = passes.withColumn("_d", depths).withColumn("depth_m", counted_median(F.col("_d")))
+    return out.withColumn("within_m", counted_robust_sigma(F.col("_d"), F.col("depth_m"))).drop("_d", "depths")
+
+
+def pass_estimates(soundings: DataFrame, config: Config | None = None) -> DataFrame:
     """One row a pass and cell: median depth_m, robust within_m, oldest_ms, newest_ms, n."""
-    depths = F.collect_list(metres("datum_depth_mm"))
-    p = soundings.withColumnRenamed("tide_datum", "datum").groupBy(*CELL, "pass_id").agg(depths.alias("depths"), F.min("observed_at_ms").alias("oldest_ms"), F.max("observed_at_ms").alias("newest_ms"), F.count("*").alias("n"))
-    return p.select(*CELL, "pass_id", median("depths").alias("depth_m"), robust_sigma("depths").alias("within_m"), "oldest_ms", "newest_ms", "n")
+    return estimated(pass_rows(soundings, config or Config())).select(*PASS, "depth_m", "within_m", "oldest_ms", "newest_ms", "n")
 
 
 def cluster_starts(depths: Column, threshold: float) -> Column:
@@ -49,8 +89,8 @@ def cluster_starts(depths: Column, threshold: float) -> Column:
 
 
 def cell_clusters(passes: DataFrame, config: Config) -> DataFrame:
-    """One row a cell: its passes by depth (array) and its clusters (array of k, centre_m, n, oldest_ms, newest_ms, passes)."""
-    item = F.struct("depth_m", "pass_id", "within_m", "oldest_ms", "newest_ms")
+    """One row a cell: its clusters (array of k, centre_m, n, oldest_ms, newest_ms, passes), passes with all that is known of them."""
+    item = F.struct("depth_m", "pass_id", *[c for c in passes.columns if c not in {*PASS, "depth_m"}])
     cells = passes.groupBy(*CELL).agg(F.array_sort(F.collect_list(item)).alias("passes"))
     # a column of its own, so that the fold doesn't make the array anew at each step
     cells = cells.withColumn("depths", F.transform("passes", lambda p: p["depth_m"])).withColumn("starts", cluster_starts(F.col("depths"), config.outlier_floor_m))
@@ -111,37 +151,42 @@ def _parts(chosen: DataFrame) -> DataFrame:
     return p.select(*CELL, (F.col("m.k") == F.col("_a")).alias("is_active"), (F.col("m.k") == F.col("_u")).alias("is_uncertain"), "m.pass_id")
 
 
+def pass_states(passes: DataFrame, config: Config, previous: DataFrame | None = None) -> DataFrame:
+    """QC of each pass, which all its soundings share: cell, pass_id, is_active."""
+    return _parts(choose(cell_clusters(estimated(passes), config), config, previous)).select(*PASS, "is_active")
+
+
+def classified(soundings: DataFrame, states: DataFrame) -> DataFrame:
+    """QC of each sounding from that of its pass: sounding_id, qc_state (accepted or quarantined), reasons array."""
+    rows = soundings.withColumnRenamed("tide_datum", "datum").join(states, PASS)
+    return rows.select(F.col("id").alias("sounding_id"), F.when(F.col("is_active"), "accepted").otherwise("quarantined").alias("qc_state"), F.when(F.col("is_active"), F.array().cast("array<string>")).otherwise(F.array(F.lit("local_depth_cluster_disagreement"))).alias("reasons"))
+
+
 def classify(soundings: DataFrame, config: Config, previous: DataFrame | None = None) -> DataFrame:
     """QC of each sounding: sounding_id, qc_state (accepted or quarantined), reasons array."""
-    chosen = choose(cell_clusters(pass_estimates(soundings), config), config, previous)
-    rows = soundings.withColumnRenamed("tide_datum", "datum").join(_parts(chosen), [*CELL, "pass_id"])
-    return rows.select(F.col("id").alias("sounding_id"), F.when(F.col("is_active"), "accepted").otherwise("quarantined").alias("qc_state"), F.when(F.col("is_active"), F.array().cast("array<string>")).otherwise(F.array(F.lit("local_depth_cluster_disagreement"))).alias("reasons"))
+    return classified(soundings, pass_states(pass_rows(soundings, config), config, previous))
 
 
 def build_cells(soundings: DataFrame, config: Config, previous: DataFrame | None = None, updated_at_ms: int = 0) -> DataFrame:
     """Every cell of the soundings, as stored: depths and sigmas in mm, counts, times, change state, base confidence."""
-    chosen = choose(cell_clusters(pass_estimates(soundings), config), config, previous)
-    held = F.coalesce("shallow", "active")
-    chosen = chosen.withColumn("held", held)
-    rows = soundings.withColumnRenamed("tide_datum", "datum").join(_parts(chosen), [*CELL, "pass_id"])
-    of_active, of_held = F.col("is_active"), F.col("is_uncertain")
-    sigma_h = valid_sigma(metres("horizontal_sigma_mm"), config.position_sigma_m)
-    totals = rows.groupBy(*CELL).agg(
-        F.percentile(F.when(of_held, metres("vertical_sigma_mm")), F.lit(0.5)).alias("measured_m"),
-        F.max(F.when(of_held, sigma_h)).alias("horizontal_m"),
-        F.count_if(of_active).alias("observation_count"),
-        F.sum(F.when(of_active, F.col("sample_count"))).cast("long").alias("sounding_count"),
-        F.size(F.collect_set(F.when(of_active, F.col("depth_source")))).cast("long").alias("source_count"),
-        F.min(F.when(of_active, F.col("observed_at_ms"))).alias("oldest_at_ms"),
-        F.max(F.when(of_active, F.col("observed_at_ms"))).alias("newest_at_ms"),
-    )
+    return cells_of_passes(pass_rows(soundings, config), config, previous, updated_at_ms)
+
+
+def cells_of_passes(passes: DataFrame, config: Config, previous: DataFrame | None = None, updated_at_ms: int = 0) -> DataFrame:
+    """Every cell of the passes (``pass_rows``, one row for each), as ``build_cells`` gives them."""
+    chosen = choose(cell_clusters(estimated(passes), config), config, previous).withColumn("held", F.coalesce("shallow", "active"))
+    of = lambda cluster, name: F.transform(f"{cluster}.passes", lambda p: p[name])
+    total = lambda name: F.aggregate(of("active", name), F.lit(0).cast("long"), lambda t, n: t + n)
+    sigmas = F.transform(F.flatten(of("held", "sigmas")), lambda v: F.struct(metres(v["mm"]).alias("x"), v["n"].alias("n")))
     cells = chosen.select(
         *CELL, "change_state", "before_m",
         F.col("active.centre_m").alias("robust_m"), F.col("held.centre_m").alias("render_m"),
         F.col("active.n").cast("long").alias("pass_count"), F.greatest(F.lit(1), F.col("held.n")).alias("independent"),
-        robust_sigma(F.transform("held.passes", lambda p: p["depth_m"])).alias("repeat_m"),
-        median(F.transform("held.passes", lambda p: p["within_m"])).alias("visit_m"),
-    ).join(totals, CELL)
+        robust_sigma(of("held", "depth_m")).alias("repeat_m"), median(of("held", "within_m")).alias("visit_m"),
+        counted_median(sigmas).alias("measured_m"), F.array_max(of("held", "horizontal_m")).alias("horizontal_m"),
+        total("n").alias("observation_count"), total("samples").alias("sounding_count"), F.size(F.array_distinct(F.flatten(of("active", "sources")))).cast("long").alias("source_count"),
+        F.col("active.oldest_ms").alias("oldest_at_ms"), F.col("active.newest_ms").alias("newest_at_ms"),
+    )
     sigma = F.sqrt(F.col("measured_m") * F.col("measured_m") + F.col("repeat_m") * F.col("repeat_m") / F.col("independent") + F.col("visit_m") * F.col("visit_m") / F.col("independent"))
     cells = cells.withColumn("sigma_m", sigma)
     latitude = latitude_of(hex_centre("cell_x", "cell_y", config.base_cell_m)[1])
