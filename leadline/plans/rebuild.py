@@ -70,17 +70,17 @@ def rebuild_history(surface: Surface, read: Callable[[int, int], dict[str, DataF
 
     ``read(from, to)`` gives the series of ``CHANNELS`` in that time; tides that leap are dropped.
     """
-    done, keys = 0, list(by)
-    for a, b in chunks(from_ms, to_ms, chunk_ms):
+    done, keys, name = 0, list(by), f"rebuild:{from_ms}:{to_ms}:{chunk_ms}"
+    for number, (a, b) in enumerate(chunks(from_ms, to_ms, chunk_ms)):
         if stop():
             break
-        if not surface.has(name := f"rebuild:{a}:{b}"):
+        if not surface.has(name, number):
             active = surface.active()
             s = read(a - MARGIN_MS, b + MARGIN_MS)
             tides = plausible_tides(s["tide"].withColumn("height_m", F.col("value")), keys).drop("height_m")
             corrected = corrected_history(s["depth"], s["position"], s["roll"], s["pitch"], s["heading"], s["speed"], tides, keys, surface.config, installation)
             targets = rebuild_targets(active, a, b).withColumn("offset_m", F.col("surface_offset_m"))
             made = reconstruct(targets.select("id", *keys, "observed_at_ms", "window_start_ms", "window_end_ms", "sample_count", "offset_m", "depth_reference", "tide_datum", "aggregation_kind"), corrected, keys, surface.config)
-            surface.replace(successors_of(active, made, surface.config), name, updated_at_ms)
+            surface.replace(successors_of(active, made, surface.config), name, updated_at_ms, number)
         done += 1
     return done

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,33 +73,145 @@ def replace_from_history(stored: DataFrame, replacements: DataFrame, successors:
     return stored.unionByName(successors.select(*stored.columns)), replacements.unionByName(links), affected_cells(old, successors)
 
 
+class Conflict(RuntimeError):
+    """Another writer made the commit first."""
+
+
 class Commits:
-    """Numbered commits in a folder: each is a small JSON file that appears at once, under its number, and never changes."""
+    """Numbered commits in a folder: each is a small JSON file that appears at once, under its number from 0 on, and never changes."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._new = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._new(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _file(self, seq: int):
+        return self._new(f"{self.path}/v{seq:020}")
+
     def last(self) -> dict | None:
-        """What the newest commit says, with its number as ``seq``."""
-        if not self._fs.exists(self._new(self.path)):
+        """What the newest commit says, with its number as ``seq``. It is searched by doubling, then halving: nothing is listed."""
+        there = lambda n: self._fs.exists(self._file(n))
+        if not there(0):
             return None
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._new(self.path))]
-        names = [n for n in names if n.startswith("v") and n[1:].isdigit()]
-        if not names:
-            return None
-        newest = max(names, key=lambda n: int(n[1:]))
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/{newest}").collect())) | {"seq": int(newest[1:])}
+        low, high = 0, 1
+        while there(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if there(middle) else (low, middle)
+        return json.loads("".join(r.value for r in self.spark.read.text(self._file(low).toString()).collect())) | {"seq": low}
 
     def add(self, seq: int, content: dict) -> None:
-        """Adds a commit; one of that number that is there already is an error."""
-        draft, final = self._new(f"{self.path}/draft-{uuid.uuid4().hex}"), self._new(f"{self.path}/v{seq:020}")
+        """Adds a commit; one of that number that is there already is a conflict."""
+        draft, final = self._new(f"{self.path}/draft-{uuid.uuid4().hex}"), self._file(seq)
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
         if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"commit {seq} is there already")
+            self._fs.delete(draft, False)
+            raise Conflict(f"commit {seq} is there already")
+
+
+#: So many parts of one size are merged into one of the next.
+FAN = 8
+#: Parts that merges took the place of stay for so many commits, for those who read them.
+KEEP = 64
+
+
+class Parts:
+    """Tables in a folder whose commits name the parts that they consist of; several writers may work on them.
+
+    A part is a folder of one attempt, so writers never touch each other's. ``change`` reads the newest commit, has its
+    caller write parts, and commits; where another writer was first, what was written goes and the caller is asked anew.
+    Parts of one size are merged as they gather, so a table has a few for each power of ``FAN``, whatever its age.
+    """
+
+    #: How parts of a table become one; a table that isn't named keeps all its rows.
+    MERGES: dict[str, Callable[[DataFrame], DataFrame]] = {}
+    #: Tables whose parts are folders by area.
+    BY_AREA: tuple[str, ...] = ()
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.commits = Commits(spark, f"{self.path}/commits")
+
+    def head(self) -> dict:
+        return self.commits.last() or {"seq": -1, "sources": {}, "tables": {}, "retired": []}
+
+    def _folder(self, name: str, part: str) -> str:
+        return f"{self.path}/{name}/part={part}"
+
+    def table(self, head: dict, name: str) -> DataFrame | None:
+        """A table as of a commit."""
+        return self.parts(name, [p for p, _ in head["tables"].get(name, [])])
+
+    def parts(self, name: str, parts: list[str]) -> DataFrame | None:
+        if not parts:
+            return None
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[self._folder(name, p) for p in parts]).drop("part")
+
+    def write(self, rows: DataFrame, name: str, made: dict[str, list[str]]) -> str:
+        """Writes a part of this attempt and notes it in ``made``."""
+        part = f"p{uuid.uuid4().hex}"
+        made.setdefault(name, []).append(part)
+        # areas together in files, a large one split
+        if name in self.BY_AREA:
+            order = ["area", *[c for c in ("cell_x", "cell_y") if c in rows.columns]]
+            w = rows.hint("rebalance", "area").sortWithinPartitions(*order).write.partitionBy("area")
+        else:
+            w = rows.write
+        w.parquet(self._folder(name, part))
+        return part
+
+    def _delete(self, name: str, part: str) -> None:
+        p = self.commits._new(self._folder(name, part))
+        self.commits._fs.delete(p, True)
+
+    def _empty(self, name: str, part: str) -> bool:
+        """Whether a part by area has no area."""
+        return name in self.BY_AREA and not any(f.isDirectory() for f in self.commits._fs.listStatus(self.commits._new(self._folder(name, part))))
+
+    def change(self, source: str, number: int, work: Callable[[dict, dict[str, list[str]]], None], tries: int = 20) -> bool:
+        """Commits what ``work(head, made)`` writes as a source's change of that number, unless it, or a later one, is there.
+
+        What it writes under names that begin with ``_`` is its own and goes at the end.
+        """
+        for _ in range(tries):
+            head, made = self.head(), {}
+            if head["sources"].get(source, -1) >= number:
+                return False
+            seq = head["seq"] + 1
+            try:
+                work(head, made)
+                tables, retired = self._merged(head, made)
+                drop = [x for x in retired if x[0] <= seq - KEEP]
+                self.commits.add(seq, {"sources": head["sources"] | {source: number}, "tables": tables, "retired": [x for x in retired if x[0] > seq - KEEP]})
+            except BaseException as e:
+                for name, parts in made.items():
+                    for p in parts:
+                        self._delete(name, p)
+                if isinstance(e, Conflict):
+                    continue
+                raise
+            for name, part in [(n, p) for _, n, p in drop] + [(n, p) for n, parts in made.items() if n.startswith("_") for p in parts]:
+                self._delete(name, part)
+            return True
+        raise Conflict(f"{source}: other writers were first {tries} times")
+
+    def _merged(self, head: dict, made: dict[str, list[str]]) -> tuple[dict, list]:
+        """(parts of all tables, parts retired) with those of this attempt, merged where enough of one size have gathered."""
+        tables = {n: list(map(list, p)) for n, p in head["tables"].items()}
+        retired, seq = list(head["retired"]), head["seq"] + 1
+        for name in [n for n in made if not n.startswith("_")]:
+            rows = tables.setdefault(name, [])
+            rows += [[p, 0] for p in made[name] if not self._empty(name, p)]
+            while len(rows) >= FAN and len({size for _, size in rows[-FAN:]}) == 1:
+                old, size = [p for p, _ in rows[-FAN:]], rows[-1][1]
+                every = self.parts(name, old)
+                part = self.write(self.MERGES.get(name, lambda rows: rows)(every), name, made)
+                retired += [[seq, name, p] for p in old]
+                rows[-FAN:] = [] if self._empty(name, part) else [[part, size + 1]]
+        return tables, retired
 
 
 def rekey(soundings: DataFrame, cell_m: float) -> DataFrame:

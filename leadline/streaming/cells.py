@@ -1,21 +1,23 @@
 """Cells kept up to date from a stream of soundings: each micro-batch is deduplicated, appended, and its cells are built anew.
 
-All tables lie in parts by number of the commit and, within it, by area, a square of ``AREA_CELLS`` cells. A
-batch reads and writes the parts of the areas that it touches. A commit comes last and names the batch it
-holds, so one that comes again is left out, and what a lost attempt wrote is neither read nor kept.
+Beside soundings and cells the surface keeps what cells need of each pass, as rows that add up, so a batch reads
+the passes of the cells that it touches and no old sounding. All tables lie in parts by attempt and, within
+them, by area, a square of ``AREA_CELLS`` cells; a commit names the parts. A row says the number of the commit it
+came with, and of a cell, or of a pass's QC, the newest row counts. Several writers may work on a surface: who is second builds
+its batch anew on what the first has left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadline.config import Config
-from leadline.operators.surface import history_of
-from leadline.plans.store import Commits, affected_cells, apply_batch, new_rows, rebuild_cells, replace_from_history
+from leadline.operators.surface import CELL, PASS, added, cells_of_passes, classified, history_of, pass_rows, pass_states
+from leadline.plans.store import Parts, affected_cells, new_rows, replace_from_history
 
 #: Cells along an area: some 20 km, so that the whole globe has about a million areas.
 AREA_CELLS = 4096
@@ -26,144 +28,150 @@ def with_area(rows: DataFrame) -> DataFrame:
     return rows.withColumn("area", F.concat(at[0], F.lit("_"), at[1]))
 
 
-class Surface:
-    """Soundings, cells, QC and change history in a folder. A batch that comes again changes nothing."""
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the highest seq of each key."""
+    rest = [c for c in rows.columns if c not in {*keys, "area"}]
+    return rows.groupBy(*keys, "area").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*keys, "area", "r.*")
+
+
+def valid_passes(rows: DataFrame) -> DataFrame:
+    """Rows of passes since their cell was last built from its soundings, which a row without a pass says."""
+    since = F.max(F.when(F.col("pass_id").isNull(), F.col("seq"))).over(Window.partitionBy(*CELL))
+    return rows.withColumn("_since", since).filter((F.col("seq") >= F.coalesce("_since", F.lit(-1))) | F.col("pass_id").isNull()).drop("_since")
+
+
+def merged_passes(rows: DataFrame) -> DataFrame:
+    """Rows of passes as fewer ones: counts of one pass added, the newest mark of each cell kept."""
+    kept = valid_passes(rows).filter("pass_id is not null")
+    marks = newest(rows.filter("pass_id is null"), CELL).select(rows.columns)
+    sums = added(kept).join(kept.groupBy(*PASS).agg(F.first("area").alias("area"), F.max("seq").alias("seq")), PASS)
+    return sums.select(rows.columns).unionByName(marks)
+
+
+class Box:
+    """Bounds of some soundings in cells and time, for scans to skip what lies outside."""
+
+    def __init__(self, rows: DataFrame):
+        names = ("cell_x", "cell_y", "observed_at_ms")
+        self.ends = rows.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
+
+    def of(self, *names: str) -> Column:
+        out = F.lit(True)
+        for n in names:
+            lo, hi = self.ends[f"min_{n}"], self.ends[f"max_{n}"]
+            out = out & (F.col(n).between(lo, hi) if lo is not None else F.lit(False))
+        return out
+
+
+class Surface(Parts):
+    """Soundings, passes, cells, QC and change history in a folder. A batch that comes again changes nothing."""
+
+    BY_AREA = ("soundings", "replaced", "passes", "cells", "states")
+    MERGES = {"passes": merged_passes, "cells": lambda rows: newest(rows, CELL), "states": lambda rows: newest(rows, PASS)}
 
     def __init__(self, spark: SparkSession, path: str, config: Config):
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config
-        self.commits = Commits(spark, f"{self.path}/commits")
-
-    def _any(self, name: str) -> bool:
-        """Whether a table has a part."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(p) and any(f.isDirectory() for f in fs.listStatus(p))
-
-    def _read(self, name: str, below: int | None = None) -> DataFrame | None:
-        """A table's parts of all commits, or of those below a number."""
-        if below is None:
-            head = self.commits.last()
-            below = 0 if head is None else head["seq"] + 1
-        return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("seq") < below) if self._any(name) else None
-
-    def _write(self, table: DataFrame, name: str, seq: int, by_area: bool = False) -> None:
-        # areas together in files, a large one split
-        w = table.hint("rebalance", "area").write.partitionBy("area") if by_area else table.write
-        w.mode("overwrite").parquet(f"{self.path}/{name}/seq={seq}")
+        super().__init__(spark, path)
+        self.config = config
 
     def soundings(self) -> DataFrame | None:
         """All soundings, superseded ones too."""
-        return self._read("soundings")
+        return self.table(self.head(), "soundings")
 
     def active(self) -> DataFrame | None:
-        return self._active(self._read("soundings"), None)
+        return self._active(self.head())
 
-    def _active(self, soundings: DataFrame | None, below: int | None) -> DataFrame | None:
-        links = self._read("replaced", below)
+    def _active(self, head: dict, made: dict[str, list[str]] | None = None) -> DataFrame | None:
+        """Active soundings as of a commit, with an attempt's own parts."""
+        soundings, links = (self.parts(n, [p for p, _ in head["tables"].get(n, [])] + (made or {}).get(n, [])) for n in ("soundings", "replaced"))
         return soundings if links is None or soundings is None else soundings.join(links.select(F.col("original_id").alias("id"), "area"), ["id", "area"], "left_anti")
 
     def history(self) -> DataFrame | None:
-        return self._read("history")
+        return self.table(self.head(), "history")
 
     def cells(self) -> DataFrame | None:
-        c = self._cells(self.commits.last())
-        return None if c is None else c.drop("area", "seq")
-
-    def _cells(self, head: dict | None) -> DataFrame | None:
-        """Each area's cells, from the commit that wrote it last. Where that is, is a table of a row for each area."""
-        if head is None or not head["areas"]:
-            return None
-        newest = self.spark.read.parquet(f"{self.path}/areas/seq={head['areas'] - 1}")
-        # parts beyond the commit may be written at this time
-        return self._read("cells", head["seq"] + 1).join(F.broadcast(newest), ["area", "seq"], "left_semi")
+        rows = self.table(self.head(), "cells")
+        return None if rows is None else newest(rows, CELL).filter("not is_gone").drop("area", "seq", "is_gone")
 
     def qc(self) -> DataFrame | None:
-        """The latest QC of each sounding."""
-        q = self._read("qc")
-        return None if q is None else q.groupBy("sounding_id").agg(F.max_by(F.struct("qc_state", "reasons"), "seq").alias("q")).select("sounding_id", "q.qc_state", "q.reasons")
+        """The latest QC of each active sounding, which it shares with its pass."""
+        head = self.head()
+        states = self.table(head, "states")
+        return None if states is None else classified(self._active(head), newest(states, PASS).select(*PASS, "is_active"))
 
     def apply(self, batch: DataFrame, batch_id: int, updated_at_ms: int, source: str = "batch") -> None:
         """Takes a source's batch of soundings with fingerprints, once: batches of a source come with growing numbers.
 
-        Equal fingerprints are of one place, so only the areas that the batch touches are searched for them.
+        Equal fingerprints are of one place and time, so only the areas and the box of the batch are searched for them.
         """
-        head = self.commits.last()
-        if head is not None and head["sources"].get(source, -1) >= batch_id:
-            return
-        seq = 0 if head is None else head["seq"] + 1
-        given = with_area(batch)
-        near = self._near(self._read("soundings", seq), given)
-        self._write(new_rows(given, near, ["observed_at_ms", "id"]), "soundings", seq, by_area=True)
-        new = self._part("soundings", seq)
-        if new is None:
-            self._commit(head, seq, source, batch_id)
-            return
-        every = self._active(self._near(self._read("soundings", seq + 1), new), seq)
-        before = self._near(self._cells(head), new)
-        cells, qc, _ = apply_batch(None if before is None else before.drop("area", "seq"), every, new, self.config, updated_at_ms)
-        self._write(with_area(cells), "cells", seq, by_area=True)
-        self._write(qc, "qc", seq)
-        # what this batch confirmed, from the cells as written
-        changed = self._part("cells", seq).join(affected_cells(new), ["cell_x", "cell_y", "datum"], "left_semi")
-        self._write(history_of(changed), "history", seq)
-        self._commit(head, seq, source, batch_id, new.select("area").distinct())
-
-    def has(self, source: str) -> bool:
-        """Whether a source, or a job of replacement, has a commit."""
-        head = self.commits.last()
-        return head is not None and source in head["sources"]
-
-    def replace(self, successors: DataFrame, name: str, updated_at_ms: int) -> None:
+
+        def work(head: dict, made: dict[str, list[str]]) -> None:
+            given = with_area(batch)
+            box = Box(given)
+            stored = self._near(self.table(head, "soundings"), given)
+            near = None if stored is None else stored.filter(box.of("cell_x", "cell_y", "observed_at_ms"))
+            part = self.write(new_rows(given, near, ["observed_at_ms", "id"]), "soundings", made)
+            if self._empty("soundings", part):
+                return
+            seq, new = F.lit(head["seq"] + 1), self.parts("soundings", [part])
+            self.write(with_area(pass_rows(new, self.config)).withColumn("seq", seq), "passes", made)
+            # from what was written: a batch's own rows are read once
+            own = self.parts("passes", made["passes"])
+            keys = own.select(*CELL).distinct()
+            every = self.parts("passes", [p for p, _ in head["tables"].get("passes", [])] + made["passes"])
+            of_keys = self._near(every, own).filter(box.of("cell_x", "cell_y")).join(keys, CELL, "left_semi")
+            passes = added(valid_passes(of_keys).filter("pass_id is not null"))
+            cells = self.table(head, "cells")
+            before = None if cells is None else newest(self._near(cells, own).filter(box.of("cell_x", "cell_y")).join(keys, CELL, "left_semi"), CELL).filter("not is_gone")
+            self._built(passes, keys, before, updated_at_ms, seq, made)
+
+        self.change(source, batch_id, work)
+
+    def _built(self, passes: DataFrame, keys: DataFrame, before: DataFrame | None, updated_at_ms: int, seq: Column, made: dict[str, list[str]]) -> None:
+        """Writes the cells of the keys, from all their passes; those that have none are gone."""
+        self.write(passes, "_passes", made)
+        rows = self.parts("_passes", made["_passes"])
+        built = cells_of_passes(rows, self.config, before, updated_at_ms)
+        cells = keys.select(*CELL).distinct().join(built, CELL, "left").withColumn("is_gone", F.col("change_state").isNull())
+        self.write(with_area(cells).withColumn("seq", seq), "cells", made)
+        self.write(with_area(pass_states(rows, self.config, before)).withColumn("seq", seq), "states", made)
+        self.write(history_of(self.parts("cells", made["cells"])), "history", made)
+
+    def has(self, source: str, number: int = 0) -> bool:
+        """Whether a source, or a job, has a commit of that number or a later one."""
+        return self.head()["sources"].get(source, -1) >= number
+
+    def replace(self, successors: DataFrame, name: str, updated_at_ms: int, number: int = 0) -> None:
         """Soundings rebuilt from history take their originals' places, all or none; the cells of both are built without their state before.
 
-        ``name`` stands for the job: one that comes again under its name changes nothing.
+        ``name`` and ``number`` stand for the job and its step: one that comes again changes nothing.
         """
-        head = self.commits.last()
-        if head is None or name in head["sources"]:
-            return
-        seq = head["seq"] + 1
-        # what a rebuild gives is dear, and is read several times
-        self._write(with_area(successors), "successors", seq)
-        given = self.spark.read.parquet(f"{self.path}/successors/seq={seq}")
-        stored = self._active(self._read("soundings", seq), seq)
-        old = stored.join(given.select(F.col("replaces_id").alias("id")), "id", "left_semi").drop("seq")
-        if given.isEmpty():
-            self._commit(head, seq, name, 0)
-            return
-        _, links, keys = replace_from_history(old, given.select(F.col("id").alias("original_id"), F.col("id").alias("replacement_id")).filter("false"), given)
-        self._write(given.select(*[c for c in old.columns]), "soundings", seq, by_area=True)
-        # a link lies in its original's area
-        self._write(links.join(old.select(F.col("id").alias("original_id"), "area"), "original_id"), "replaced", seq, by_area=True)
-        areas = with_area(keys).select("area").distinct()
-        every = self._active(self._near(self._read("soundings", seq + 1), areas), seq + 1)
-        cells, qc = rebuild_cells(self._near(self._cells(head), areas).drop("area", "seq"), every, keys, self.config, updated_at_ms)
-        self._write(with_area(cells), "cells", seq, by_area=True)
-        self._write(qc, "qc", seq)
-        self._commit(head, seq, name, 0, areas)
-
-    def _part(self, name: str, seq: int) -> DataFrame | None:
-        """What a commit wrote to a table by area; if that is no row, nothing is left of it."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/seq={seq}")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not any(f.isDirectory() for f in fs.listStatus(p)):
-            fs.delete(p, True)
-            return None
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/seq={seq}")
+
+        def work(head: dict, made: dict[str, list[str]]) -> None:
+            # what a rebuild gives is dear, and is read several times
+            self.write(with_area(successors), "_successors", made)
+            given = self.parts("_successors", made["_successors"])
+            stored = self._active(head)
+            if stored is None or given.isEmpty():
+                return
+            old = stored.join(given.select(F.col("replaces_id").alias("id")), "id", "left_semi")
+            _, links, keys = replace_from_history(old, given.select(F.col("id").alias("original_id"), F.col("id").alias("replacement_id")).filter("false"), given)
+            self.write(given.select(old.columns), "soundings", made)
+            # a link lies in its original's area
+            self.write(links.join(old.select(F.col("id").alias("original_id"), "area"), "original_id"), "replaced", made)
+            seq = F.lit(head["seq"] + 1)
+            rows = self._near(self._active(head, made), with_area(keys)).join(keys.withColumnRenamed("datum", "tide_datum"), ["cell_x", "cell_y", "tide_datum"], "left_semi")
+            passes = pass_rows(rows, self.config)
+            marks = keys.select(*CELL, *[F.lit(None).cast(t).alias(c) for c, t in passes.dtypes if c not in CELL])
+            self.write(with_area(passes.unionByName(marks)).withColumn("seq", seq), "passes", made)
+            own = self.parts("passes", made["passes"])
+            self._built(own.filter("pass_id is not null").select(passes.columns), own.select(*CELL), None, updated_at_ms, seq, made)
+
+        self.change(name, number, work)
 
     def _near(self, table: DataFrame | None, rows: DataFrame) -> DataFrame | None:
         """A table's rows in the areas of some rows. There are about a million areas at most, so they may go to every task and prune the scan."""
         return None if table is None else table.join(F.broadcast(rows.select("area").distinct()), "area", "left_semi")
 
-    def _commit(self, head: dict | None, seq: int, source: str, batch_id: int, areas: DataFrame | None = None) -> None:
-        newest = 0 if head is None else head["areas"]
-        if areas is not None:
-            now = areas.withColumn("seq", F.lit(seq))
-            if newest:
-                now = now.unionByName(self.spark.read.parquet(f"{self.path}/areas/seq={newest - 1}").join(areas, "area", "left_anti"))
-            self._write(now, "areas", seq)
-            newest = seq + 1
-        self.commits.add(seq, {"sources": (head["sources"] if head else {}) | {source: batch_id}, "areas": newest})
-
 
 def maintain(stream: DataFrame, surface: Surface, checkpoint: str, clock: Callable[[int], int] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Runs the surface over a stream of soundings; ``clock(batch_id)`` gives a batch's time of update in ms.

@@ -12,7 +12,7 @@ from leadline import api
 from leadline import queries as q
 from leadline.config import Config
 from leadline.operators import listing, surface
-from leadline.plans import mvt, rebuild, tiles
+from leadline.plans import mvt, rebuild, store, tiles
 from leadline.sources import crowd, deltas, journal
 from leadline.streaming import cells as stream_cells
 from leadline.streaming import live
@@ -352,26 +352,66 @@ def test_a_batch_that_was_cut_short_is_taken_whole(spark, sf, tmp_path, monkeypa
     whole.apply(first, 0, 0)
     between = contents(whole)
     whole.apply(second, 1, 1)
-    torn, write, left = stream_cells.Surface(spark, str(tmp_path / "torn"), K), stream_cells.Surface._write, [0]
+    torn, write, left = stream_cells.Surface(spark, str(tmp_path / "torn"), K), stream_cells.Surface.write, [0]
     torn.apply(first, 0, 0)
 
     def cut_short(self, *args, **kw):
         left[0] -= 1
         if left[0] < 0:
             raise OSError("lost")
-        write(self, *args, **kw)
+        return write(self, *args, **kw)
 
-    monkeypatch.setattr(stream_cells.Surface, "_write", cut_short)
-    for k in (1, 4):  # before cells, before areas
+    monkeypatch.setattr(stream_cells.Surface, "write", cut_short)
+    for k in (1, 3, 5):  # before passes, before cells, before history
         left[0] = k
         with pytest.raises(OSError):
             torn.apply(second, 1, 1)
         assert contents(torn) == between
-    left[0] = 5
+    left[0] = 99
     torn.apply(second, 1, 1)
     assert contents(torn) == contents(whole)
 
 
+def test_two_writers_of_one_surface(spark, sf, tmp_path):
+    """Whoever commits second builds its batch anew on what the first has left, and neither loses a sounding."""
+    s, first, second = _two_batches(spark, sf)
+    for k, (one, other) in enumerate(((first, second), (second, first))):
+        path = str(tmp_path / f"both{k}")
+        a, b = stream_cells.Surface(spark, path, K), stream_cells.Surface(spark, path, K)
+        committed, add = [], a.commits.add
+
+        def slow(seq, content, b=b, other=other, add=add, committed=committed):
+            if not committed:  # between a's work and its commit, b commits
+                committed.append(seq)
+                b.apply(other, 0, 1, "other")
+            add(seq, content)
+
+        a.commits.add = slow
+        a.apply(one, 0, 1, "one")
+        alone = stream_cells.Surface(spark, str(tmp_path / f"alone{k}"), K)
+        alone.apply(other, 0, 1, "other")
+        alone.apply(one, 0, 1, "one")
+        assert committed == [0] and contents(a) == contents(alone) and a.soundings().count() == s.count()
+        assert a.head()["sources"] == {"other": 0, "one": 0}
+
+
+def test_a_surface_of_many_batches_has_few_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FAN", 2)
+    monkeypatch.setattr(store, "KEEP", 2)
+    kind = "id long, observed_at_ms long, cell_x long, cell_y long, tide_datum string, pass_id string, datum_depth_mm long, vertical_sigma_mm long, horizontal_sigma_mm long, depth_source string, sample_count long, fingerprint string"
+    rows = [(i, T0 + i, i % 3, 0, "MLLW", f"p{i % 2}", 5000 + i % 4, 300, 1000, "a", 1, f"f{i}") for i in range(12)]
+    one = stream_cells.Surface(spark, str(tmp_path / "many"), K)
+    most = 0
+    for n in range(6):
+        one.apply(spark.createDataFrame(rows[2 * n : 2 * n + 2], kind), n, n)
+        most = max(most, *map(len, one.head()["tables"].values()))
+    want = {(r.cell_x, r.robust_depth_mm, r.sounding_count, r.pass_count) for r in surface.build_cells(spark.createDataFrame(rows, kind), K).collect()}
+    assert {(r.cell_x, r.robust_depth_mm, r.sounding_count, r.pass_count) for r in one.cells().collect()} == want
+    folders = {n: len([*(tmp_path / "many" / n).iterdir()]) for n in ("soundings", "passes", "cells", "states")}
+    assert most <= 3 and all(n <= most + 2 * 3 for n in folders.values()) and not [*(tmp_path / "many" / "_passes").iterdir()]
+    assert one.commits.last()["seq"] == 5 and one.qc().count() == 12
+
+
 def test_replaced_soundings_leave_no_trace_in_cells(spark, sf, tmp_path):
     s, first, second = _two_batches(spark, sf)
     one = stream_cells.Surface(spark, str(tmp_path / "one"), K)
