@@ -53,7 +53,7 @@ def corrected_history(depths: DataFrame, positions: DataFrame, rolls: DataFrame,
     return rows.select(
         *by, "at_ms", F.col("value").alias("raw_m"), F.col("tide.value").alias("tide_m"), F.col("beam.latitude").alias("latitude"), F.col("beam.longitude").alias("longitude"),
         datum_depth_m("value", "beam.surface_offset_m", "tide.value", "beam.vertical_m").alias("datum_m"), F.col("beam.surface_offset_m").alias("surface_offset_m"),
-        F.col("beam.horizontal_sigma_m").alias("horizontal_sigma_m"), corrected_sigma_m("beam.vertical_sigma_m", "skew", config).alias("vertical_sigma_m"), (F.col("skew") + bucket).alias("skew_ms"), F.lit("history_geometry_v1").alias("position_method"),
+        F.col("beam.horizontal_sigma_m").alias("horizontal_sigma_m"), corrected_sigma_m("beam.vertical_sigma_m", "skew", config).alias("vertical_sigma_m"), (F.col("skew") + bucket).alias("skew_ms"), F.lit("history_geometry_v1").alias("position_method"), F.col("speed.value").alias("sog_mps"),
     )
 
 

@@ -13,7 +13,7 @@ from leadline.config import Config
 from leadline.functions import beam, confidence, depth, geo, text
 from leadline.functions import numbers as nb
 from leadline.operators import align, asof, crowd, folds, listing, rest, surface
-from leadline.plans import store, tiles
+from leadline.plans import backfill, store, tiles
 from leadline.sources import crowd as crowd_source
 from leadline.sources import deltas
 from leadline.sources import journal as journal_source
@@ -776,6 +776,40 @@ def stationary_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("context", "visit", "representative_id", "window_start_ms", "window_end_ms", "sample_count", "rejected_sample_count", nb.millimetres("datum_m").alias("datum_mm"), nb.scaled("latitude", 1e7).alias("lat_e7"), "effective_samples")
 
 
+_FILLED = Config(history_resolution_s=60, minimum_speed_mps=25.0, stationary_window_s=600.0, stationary_min_samples=3)
+_X = "at_ms := r.at_ms, x := r.x"
+_NUMBERS = ", ".join(f"{n} AS (SELECT context, t // 60000 * 60000 AS at_ms, avg(x) AS x FROM v WHERE path = '{p}' GROUP BY 1, 2)" for n, p in (("depth", "depth"), ("tides", "tide"), ("sog", "sog")))
+
+
+@query(f"""WITH RECURSIVE {SERIES}, v AS (SELECT context, path, event_id, at_ms // 60 AS t, v_milli / 1000.0 AS x, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo FROM series), {_NUMBERS},
+fixes AS (SELECT context, t // 60000 * 60000 AS at_ms, arg_min(la, (t, event_id)) AS la, arg_min(lo, (t, event_id)) AS lo FROM v WHERE path = 'position' GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY at_ms) AS i FROM tides),
+p AS (SELECT context, i, at_ms, x, at_ms AS lt, x AS lx, true AS kept FROM o WHERE i = 1 UNION ALL
+ SELECT context, i, at_ms, x, CASE WHEN ok THEN at_ms ELSE lt END, CASE WHEN ok THEN x ELSE lx END, ok FROM (SELECT o.*, lt, lx, abs(o.x - lx) <= 0.05 * ((o.at_ms - lt) / 60000.0) AS ok FROM p JOIN o ON o.context = p.context AND o.i = p.i + 1)),
+tide AS (SELECT context, at_ms, x FROM p WHERE kept), ranged AS (SELECT * FROM depth WHERE x BETWEEN 0.4 AND 120.0),
+d1 AS (SELECT * RENAME (m AS position) FROM {_asof_sql('ranged', 'fixes', 120_000, "at_ms := r.at_ms, la := r.la, lo := r.lo")}), d2 AS (SELECT * RENAME (m AS td) FROM {_asof_sql('d1', 'tide', 180_000, _X)}), d3 AS (SELECT * RENAME (m AS speed) FROM {_asof_sql('d2', 'sog', 180_000, _X, 'left')}),
+s AS (SELECT context AS c, at_ms AS t, position.la AS la, x + 0.5 - td.x AS dm, speed.x AS v, row_number() OVER (PARTITION BY context ORDER BY at_ms) AS i FROM d3),
+k AS (SELECT c, i, t, CASE WHEN v < 25 THEN t END AS first, t AS last, CASE WHEN v < 25 THEN 1 ELSE 0 END AS n, CASE WHEN v < 25 THEN 1 END AS visit FROM s WHERE i = 1 UNION ALL
+ SELECT c, i, t, CASE WHEN v < 25 AND t - f1 < 600000 THEN f1 END, CASE WHEN v < 25 THEN t ELSE last END, CASE WHEN v < 25 AND f0 IS NULL THEN n + 1 ELSE n END, CASE WHEN v < 25 THEN CASE WHEN f0 IS NULL THEN n + 1 ELSE n END END FROM
+ (SELECT s.c, s.i, s.t, s.v, k.n, k.last, CASE WHEN s.t - k.last > 180000 THEN NULL ELSE k.first END AS f0, coalesce(CASE WHEN s.t - k.last > 180000 THEN NULL ELSE k.first END, s.t) AS f1 FROM k JOIN s ON s.c = k.c AND s.i = k.i + 1)),
+r AS (SELECT s.*, visit FROM s JOIN k USING (c, i)),
+w AS (SELECT c, visit, list_sort(list(dm)) AS ds, min(t) AS t0, max(t) AS t1, count(*) AS n FROM r WHERE visit IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+g AS (SELECT *, {med('ds')} AS md, greatest(0.5, 4.5 * 1.4826 * {med("list_sort(list_transform(ds, lambda x: abs(x - " + med('ds') + ")))")}) AS gate FROM w),
+a AS (SELECT c, visit, any_value(t0) AS t0, any_value(t1) AS t1, any_value(g.n) AS n, list_sort(list(dm)) AS ds, list_sort(list(la)) AS las FROM r JOIN g USING (c, visit) WHERE abs(dm - md) <= gate GROUP BY ALL HAVING count(*) >= 3)
+SELECT c AS context, 'history-' || strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS track, 'point' AS aggregation_kind, t AS observed_at_ms, t AS window_start_ms, 1::BIGINT AS sample_count, 0::BIGINT AS rejected_sample_count, {micro('dm')} AS datum_u, cast(floor(la * 1e7 + 0.5) AS bigint) AS lat_e7 FROM r WHERE visit IS NULL
+UNION ALL SELECT c, 'history-' || strftime(make_timestamp(t0 * 1000), '%Y-%m-%d') || '-visit-' || visit, 'stationary_window', t1, t0, len(ds), n - len(ds), {micro(med('ds'))}, cast(floor({med('las')} * 1e7 + 0.5) AS bigint) FROM a""")
+def backfill_soundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of minutes, in one run. Series are sparse here, so time is taken a sixtieth as fast."""
+    v = fx.series(spark, sf_dir).withColumn("at_ms", F.floor(F.col("at_ms") / 60))
+    numbers = v.filter("path in ('depth', 'tide', 'sog')").select("context", "path", "at_ms", nb.metres("v_milli").cast("string").alias("value"))
+    text = F.to_json(F.struct((F.col("lat_e7") / 1e7).alias("latitude"), (F.col("lon_e7") / 1e7).alias("longitude")))
+    # of positions of one time the first event's counts
+    places = v.filter("path = 'position'").groupBy("context", "path", "at_ms").agg(F.min_by(text, "event_id").alias("value"))
+    paths = {"depth": "depth", "position": "position", "tide": "tide", "speed": "sog"}
+    s = backfill.backfilled(numbers.unionByName(places), paths, 0, 10**13, _FILLED)
+    return s.select("context", "track", "aggregation_kind", "observed_at_ms", "window_start_ms", "sample_count", "rejected_sample_count", nb.micro("datum_m").alias("datum_u"), nb.scaled("latitude", 1e7).alias("lat_e7"))
+
+
 # Crowdsourced points.
 
 _IMPORTED = f"WITH {CROWD}, pts AS (SELECT * FROM crowd WHERE depth_mm > 0 AND depth_mm <= 12000000)"
