@@ -4,8 +4,8 @@ A passage of m characters that occurs with at most k edits keeps at least m - q
 q-grams, all on diagonals (place in the text less place in the passage) that span at most k. So every
 occurrence lies within one of the overlapping bands of 2 * (k + 1) diagonals that start at multiples of
 k + 1. Each text's q-grams are hashed by whole arrays and looked up in a bit table of the benchmark's;
-hits are counted by passage and band, distinct places in the passage only, and a band that reaches the
-bound is verified by alignment within the band, with free ends in the text. A passage shorter than q has
+hits are counted by passage and band, distinct places in the passage only (of a q-gram that is frequent in both, from
+running sums), and a band that reaches the bound is verified by alignment within the band, with free ends in the text. A passage shorter than q has
 no q-gram and no budget: its occurrences are looked up by a hash of all its characters.
 
 Passages are broadcast in blocks of at most ``block_chars`` characters (a passage longer than that is a
@@ -30,6 +30,11 @@ BLOCK_CHARS = 1 << 21
 #: Characters of a text handled at a time.
 WINDOW = 1 << 16
 
+#: Pairs of places beyond which a q-gram's aren't made one by one, and bands of a passage beyond which those that touch are aligned as one.
+OFTEN, MANY_BANDS = 1 << 15, 8
+#: Characters of the q-grams that decide where longer ones leave many bands.
+FINE_Q = 4
+
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -69,12 +74,12 @@ def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
 class Passages:
     """An index of a block of passages."""
 
-    def __init__(self, ids: list, texts: list[str], q: int, rate: float):
-        self.q = q
+    def __init__(self, ids: list, texts: list[str], q: int, rate: float, edits: np.ndarray | None = None):
+        self.q, self.given, self._finer = q, (ids, texts, rate), None
         kept = [(i, folded(t)) for i, t in zip(ids, texts, strict=True) if t]
         self.ids, self.chars = [i for i, _ in kept], [c for _, c in kept]
         self.size = np.array([len(c) for c in self.chars], np.int64)
-        self.edits = np.maximum(0, np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q))
+        self.edits = np.maximum(0, np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q)) if edits is None else edits
         self.least = self.size - q + 1 - self.edits * q
         h = [gram_hashes(c, q) for c in self.chars]
         hashes = np.concatenate(h) if h else np.empty(0, np.uint64)
@@ -97,30 +102,83 @@ class Passages:
                 order = np.argsort(hashes, kind="stable")
                 self.short[m] = hashes[order], own[order]
 
-    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, place in it, place in the text) of each q-gram that both have."""
+    def shared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the key, place in the text) of each of the text's q-grams that a passage has."""
         h = gram_hashes(c, self.q)
         j = np.flatnonzero(self.there[h >> self.shift]) if len(self.keys) else np.empty(0, np.int64)
         at = np.searchsorted(self.keys, h[j])
         ok = at < len(self.keys)
         ok[ok] = self.keys[at[ok]] == h[j[ok]]
-        j, at = j[ok], at[ok]
+        return at[ok], j[ok]
+
+    def postings(self, at: np.ndarray) -> np.ndarray:
+        """Places in ``item`` and ``place`` of the keys' postings, key by key."""
         n = self.first[at + 1] - self.first[at]
-        start = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n)
-        post = start + np.arange(len(start))
-        return self.item[post].astype(np.int64), self.place[post].astype(np.int64), np.repeat(j, n)
+        return np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
     def candidates(self, c: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal) of each band with enough different q-grams."""
-        item, i, j = self.hits(c)
-        if not len(item):
+        """(passage, first diagonal) of each band with enough different q-grams.
+
+        A q-gram that is frequent both here and in the passages (a run of blanks) isn't paired place by place:
+        how many of a passage's places with it have one in a band comes from running sums over the text.
+        """
+        at, j = self.shared(c)
+        if not len(at):
             return []
-        enough = np.bincount(item, minlength=len(self.size)) >= self.least  # no band has more than all
-        item, i, j = (x[enough[item]] for x in (item, i, j))
+        keys, back, here = np.unique(at, return_inverse=True, return_counts=True)
+        often = here * (self.first[keys + 1] - self.first[keys]) > OFTEN
+        light, frequent = ~often[back], keys[often]
+        more = np.bincount(self.item[self.postings(frequent)], minlength=len(self.size)) if len(frequent) else np.zeros(len(self.size), np.int64)
+        post = self.postings(at[light])
+        item, i, j_light = self.item[post].astype(np.int64), self.place[post].astype(np.int64), np.repeat(j[light], self.first[at[light] + 1] - self.first[at[light]])
+        enough = np.bincount(item, minlength=len(self.size)) + more >= self.least  # no band has more than all
+        item, i, j_light = (x[enough[item]] for x in (item, i, j_light))
+        item, band, count = self._counted(item, i, j_light)
+        few = count >= self.least[item]
+        if not len(frequent):
+            return [(int(p), int(b * (self.edits[p] + 1))) for p, b in zip(item[few], band[few], strict=True)]
+        own = few & (more[item] == 0)
+        out = [(int(p), int(b * (self.edits[p] + 1))) for p, b in zip(item[own], band[own], strict=True)]
+        where = {int(k): np.sort(j[at == k]) for k in frequent}
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for p in np.flatnonzero((more > 0) & enough).tolist():
+            width = int(self.edits[p]) + 1
+            low = -(int(self.size[p]) // width) - 2
+            bands = np.arange(low, len(c) // width + 1)
+            total = np.zeros(len(bands), np.int64)
+            mine = item == p
+            total[band[mine] - low] = count[mine]
+            for k in where:
+                places = np.sort(self.place[self.first[k] : self.first[k + 1]][self.item[self.first[k] : self.first[k + 1]] == p]).astype(np.int64)
+                if not len(places):
+                    continue
+                if (k, width) not in sums:
+                    sums[k, width] = _reached(where[k], len(c), 2 * width)
+                running = sums[k, width]
+                ends = np.flatnonzero(np.diff(places) > 1)
+                first, last = places[np.concatenate([[0], ends + 1])], places[np.concatenate([ends, [len(places) - 1]])] + 1
+                before = lambda x: running[np.clip(x + 2 * width - 1, 0, len(running) - 1)]  # noqa: B023, E731
+                for a, b in zip(first, last, strict=True):
+                    total += before(b + bands * width) - before(a + bands * width)
+            out += [(p, int(b * width)) for b in bands[total >= self.least[p]]]
+        if self.q > FINE_Q and max((len(x) for _, x in _by_passage(out)), default=0) > MANY_BANDS:
+            # what is frequent alone reaches the bound: shorter q-grams have a higher one
+            fine = set(self.finer().candidates(c))
+            out = [x for x in out if x in fine]
+        return out
+
+    def finer(self) -> Passages:
+        """The same passages and budgets with short q-grams: of those an edit destroys fewer."""
+        if self._finer is None:
+            ids, texts, rate = self.given
+            self._finer = Passages(ids, texts, FINE_Q, rate, self.edits)
+        return self._finer
+
+    def _counted(self, item: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, band, how many places of the passage) of hits; each is in two bands."""
         if not len(item):
-            return []
-        width = self.edits[item] + 1
-        band = (j - i) // width
+            return item, item, item
+        band = (j - i) // (self.edits[item] + 1)
         item, i, band = np.concatenate([item, item]), np.concatenate([i, i]), np.concatenate([band, band - 1])
         order = np.lexsort((i, band, item))
         item, i, band = item[order], i[order], band[order]
@@ -128,9 +186,7 @@ class Passages:
         new = new_band.copy()
         new[1:] |= i[1:] != i[:-1]
         first = np.flatnonzero(new_band)
-        count = np.add.reduceat(new.astype(np.int64), first)
-        good = first[count >= self.least[item[first]]]
-        return [(int(item[x]), int(band[x] * (self.edits[item[x]] + 1))) for x in good]
+        return item[first], band[first], np.add.reduceat(new.astype(np.int64), first)
 
     def short_ones(self, c: np.ndarray) -> Iterator[tuple[int, int]]:
         """(passage, place in the text) of passages shorter than q that are there, places ascending."""
@@ -148,23 +204,69 @@ class Passages:
         best: dict[int, tuple[int, int, int]] = {}
         for at in range(0, max(1, len(c) - self.q + 1), WINDOW):
             part = c[at : at + WINDOW + 2 * self.reach]
-            for p, d in self.candidates(part):
-                if p in best and best[p][0] == 0:
-                    continue
-                if got := occurrence(self.chars[p], part, d, int(self.edits[p])):
-                    got = (got[0], got[1] + at, got[2] + at)
-                    best[p] = min(best.get(p, got), got)
+            for p, starts in _by_passage(self.candidates(part)):
+                k = int(self.edits[p])
+                for d, width in _ranges(starts, 2 * k + 2):
+                    if p in best and best[p][0] == 0:
+                        break
+                    if got := occurrence(self.chars[p], part, d, k, width):
+                        got = (got[0], got[1] + at, got[2] + at)
+                        best[p] = min(best.get(p, got), got)
         for p, j in self.short_ones(c):
             best.setdefault(p, (0, j, j + len(self.chars[p])))
         return [(p, *x) for p, x in sorted(best.items())]
 
 
-def occurrence(p: np.ndarray, c: np.ndarray, d: int, k: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the passage in the text within 2 * (k + 1) diagonals from d on, if it has at most k."""
-    for t in range(2 * k + 2):
-        if d + t >= 0 and d + t + len(p) <= len(c) and np.array_equal(p, c[d + t : d + t + len(p)]):
-            return 0, d + t, d + t + len(p)
-    row = _align(p, c, d, 2 * k + 2, None)
+def _reached(places: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Running count, from the place 1 - width of a text of n on, of places with one of ``places`` less than width on."""
+    there = np.zeros(n + 2 * width, np.int64)
+    there[places + width - 1] = 1
+    total = np.concatenate([[0], np.cumsum(there)])
+    near = total[width : width + n + width - 1] > total[: n + width - 1]
+    return np.concatenate([[0], np.cumsum(near)])
+
+
+def _place_of(p: np.ndarray, c: np.ndarray) -> int | None:
+    """Where the characters p first stand in c."""
+    whole, part, at = c.tobytes(), p.tobytes(), -1
+    while (at := whole.find(part, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return None
+
+
+def _by_passage(found: list[tuple[int, int]]) -> Iterator[tuple[int, list[int]]]:
+    starts: dict[int, list[int]] = {}
+    for p, d in found:
+        starts.setdefault(p, []).append(d)
+    yield from sorted(starts.items())
+
+
+def _ranges(starts: list[int], width: int) -> Iterator[tuple[int, int]]:
+    """Bands as they are; where a passage has many, those that touch as one wide one, so that each diagonal is aligned once."""
+    starts = sorted(starts)
+    if len(starts) <= MANY_BANDS:
+        yield from ((d, width) for d in starts)
+        return
+    first, last = starts[0], starts[0]
+    for d in starts[1:]:
+        if d > last + width:
+            yield first, last + width - first
+            first = d
+        last = d
+    yield first, last + width - first
+
+
+def occurrence(p: np.ndarray, c: np.ndarray, d: int, k: int, width: int | None = None) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the passage in the text within a band of diagonals from d on, if it has at most k; a band has 2 * (k + 1) if nothing else is said."""
+    width = 2 * k + 2 if width is None else width
+    if width == 2 * k + 2:
+        for t in range(width):
+            if d + t >= 0 and d + t + len(p) <= len(c) and np.array_equal(p, c[d + t : d + t + len(p)]):
+                return 0, d + t, d + t + len(p)
+    elif (at := _place_of(p, c[max(0, d) : d + width + len(p)])) is not None:
+        return 0, max(0, d) + at, max(0, d) + at + len(p)
+    row = _align(p, c, d, width, None)
     t = int(row.argmin())
     if row[t] > k:
         return None

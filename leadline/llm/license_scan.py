@@ -123,8 +123,7 @@ def scan_licences(docs: DataFrame, licences: dict[str, str] | DataFrame | None =
     # the catalogue's digests: as many rows as it has notices
     digests = {r.d: r.i for r in reversed(spark.createDataFrame(listed, "t string, i string").select(_digest(F.col("t"), False).alias("d"), "i").orderBy("i").collect())}
     by_digest = F.create_map(*[F.lit(x) for pair in digests.items() for x in pair])
-    # a notice has more than two signs, so a line has too
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 2)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
     found = F.filter(F.transform(lines, lambda x: F.element_at(by_digest, _digest(x, False))), lambda x: x.isNotNull())
     out = rows.select("doc_id", _digest(F.col("text")).alias("canonical_sha256"), found.alias("found"))
     return out.join(known if isinstance(licences, DataFrame) else F.broadcast(known), "canonical_sha256", "left").select(

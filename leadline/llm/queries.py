@@ -71,13 +71,19 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns, posed as replies by mail with nested quotations, are taken apart and linked again."""
-    return quotes.link_quotes(quotes.as_mail(table(spark, sf_dir, "conversations"))).drop("n_quoted", "n_linked")
-
-
-OP9_SQL = """
-SELECT conv_id, turn, role, lag(turn) OVER w AS parent_turn, min(turn) OVER (PARTITION BY conv_id) AS root_turn,
-  row_number() OVER w - 1 AS depth, row_number() OVER w - 1 AS position, trim(text) AS text
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+    return quotes.link_quotes(quotes.as_mail(table(spark, sf_dir, "conversations")), stuffed=True).drop("n_quoted", "n_linked")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE before AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(turn) OVER w AS t1, lag(turn, 2) OVER w AS t2, coalesce(lag(text) OVER w, '') AS x1, coalesce(lag(text, 2) OVER w, '') AS x2
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+linked AS (SELECT conv_id, turn, role, text, CASE WHEN regexp_matches(x1, '\S') THEN t1 WHEN regexp_matches(x2, '\S') THEN t2 END AS parent_turn FROM before),
+threads AS (
+  SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM linked WHERE parent_turn IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, t.root_turn, t.depth + 1 FROM linked l JOIN threads t ON t.conv_id = l.conv_id AND t.turn = l.parent_turn)
+SELECT conv_id, turn, role, parent_turn, root_turn, depth, row_number() OVER (PARTITION BY conv_id, root_turn ORDER BY turn) - 1 AS position, text
+FROM linked JOIN threads USING (conv_id, turn)
 """
 
 

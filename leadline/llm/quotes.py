@@ -21,16 +21,23 @@ from pyspark.sql import functions as F
 from leadline.llm.common import session, written
 
 MARKS = re.compile(r"(?:[ \t]?>)+[ \t]?")
+#: The same where lines are stuffed: marks one after another, then a blank; a blank alone is no mark, and goes.
+STUFFED = re.compile(r">*[ ]?")
 INTRODUCES = re.compile(r"\s*(?:on\b.{0,200}\bwrote|.{0,100}\b(?:wrote|writes|schrieb|a écrit|escribió))\s*:\s*", re.IGNORECASE)
 #: Turns ranked together when places in a conversation are given.
 STEP = 4096
 
 
-def parse(text: str) -> tuple[str, list[str], list[tuple[int, str, int]]]:
-    """(own text, digests of own passages, quoted passages as (level, digest, characters)) of a message."""
+def parse(text: str, stuffed: bool = False) -> tuple[str, list[str], list[tuple[int, str, int]]]:
+    """(own text, digests of own passages, quoted passages as (level, digest, characters)) of a message.
+
+    In a stuffed message marks stand first in their line, and one blank after them, or first in a line of the author's
+    own, was put there by ``as_mail`` and goes: lines that begin with a mark or a blank of their own stay as they are,
+    and so does white space about the own text, which is taken away from other messages.
+    """
     lines = []
     for line in text.split("\n"):
-        m = MARKS.match(line)
+        m = (STUFFED if stuffed else MARKS).match(line)
         lines.append((m[0].count(">"), line[m.end() :]) if m else (0, line))
     own, kept = [], []
     for k, (level, line) in enumerate(lines):
@@ -56,20 +63,21 @@ def parse(text: str) -> tuple[str, list[str], list[tuple[int, str, int]]]:
                 quoted.append((level, d, len(p)))
             else:
                 digests.append(d)
-    return "\n".join(own).strip(), sorted(set(digests)), quoted
+    text = "\n".join(own)
+    return text if stuffed else text.strip(), sorted(set(digests)), quoted
 
 
 def _normal(passage: str) -> str:
     return " ".join(passage.lower().split())
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
+def _parsed(rows: DataFrame, stuffed: bool) -> DataFrame:
     kind = {c: t for c, t in rows.dtypes}
     quoted = pa.list_(pa.struct([("level", pa.int32()), ("digest", pa.string()), ("chars", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parse(v.as_py() or "") for v in batch.column("text")]
+            got = [parse(v.as_py() or "", stuffed) for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([[dict(zip(("level", "digest", "chars"), q, strict=True)) for q in g[2]] for g in got], quoted)],
                 ["conv_id", "turn", "role", "text", "own", "quoted"],
@@ -78,20 +86,20 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"conv_id {kind['conv_id']}, turn long, role string, text string, own array<string>, quoted array<struct<level:int,digest:string,chars:long>>")
 
 
-def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", stuffed: bool = False) -> DataFrame:
     """Messages without quotations, linked to what they reply to, in reply order.
 
     Returns one row for each input row: conv_id, turn long, role, parent_turn long (null: starts a thread),
     root_turn long, depth long (0 for a root), position long (place in its thread, from 0, replies after what
     they answer), n_quoted, n_linked long (quoted passages, and those with an original), text string.
-    Null and empty texts have no passages; a null conversation or turn links nothing and is its own root;
+    With ``stuffed`` messages are as ``as_mail`` writes them (``parse``). Null and empty texts have no passages; a null conversation or turn links nothing and is its own root;
     rows that repeat (conv_id, turn) are one message for links and keep their rows; of equal candidates the
     latest turn counts; an empty table gives an empty one; very long texts are parsed whole, line by line; other
     columns, whatever they are called, are not read.
     """
     session(messages)
     rows = messages.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    parsed = written(_parsed(rows), "messages")
+    parsed = written(_parsed(rows, stuffed), "messages")
     known = parsed.filter("conv_id is not null and turn is not null")
     own = known.select("conv_id", "turn", F.explode("own").alias("digest")).distinct().select("conv_id", "digest", "turn", F.col("turn").alias("origin"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("chars"))
     quoted = known.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "q.digest", "turn", F.lit(None).cast("long").alias("origin"), "q.level", "q.chars")
@@ -122,12 +130,22 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """Each turn as a reply by mail: the turn before it quoted once, the one before that twice, then its own text."""
+    """Each turn as a reply by mail: the turn before the last quoted twice, the last one once, then its own text.
+
+    Marks stand first in a quoted line, before a blank; own lines that begin with a mark or a blank get a blank before
+    them, which ``parse`` takes away again, so a stuffed message gives back its own text, whatever it is. A null text is an
+    empty one. Of a text without a word nothing can be quoted, so a reply to it is taken for one to the turn before it.
+    Turns of any length are taken whole, repeated ones quote each other, those with a null conversation are one conversation
+    here and linked with nothing later; an empty table gives an empty one; other columns are not read.
+    """
     turns = Window.partitionBy("conv_id").orderBy("turn")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
     def quoted(level: int):
-        return F.regexp_replace(F.lag("text", level).over(turns), "(?m)^", "> " * level)
+        marks = ">" * level + " "
+        before = F.lag("text", level).over(turns)
+        return F.when(before.isNotNull(), F.concat(F.lit(marks), F.replace(before, F.lit("\n"), F.lit("\n" + marks))))
 
     intro = F.concat(F.lit("On turn "), (F.lag("turn").over(turns)).cast("string"), F.lit(", "), F.coalesce(F.lag("role").over(turns), F.lit("someone")), F.lit(" wrote:"))
-    text = F.concat_ws("\n", intro, quoted(2), quoted(1), F.col("text"))
-    return conversations.select("conv_id", "turn", "role", text.alias("text"))
+    own = F.regexp_replace("text", "(?md)^(?=[> ])", " ")
+    return rows.select("conv_id", "turn", "role", F.concat_ws("\n", intro, quoted(2), quoted(1), own).alias("text"))

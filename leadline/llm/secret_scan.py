@@ -36,7 +36,8 @@ LEAST_RUN, RATIO, SLICE = 20, 2.4, 4096
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 #: Hexadecimal digits of the digests that tools print: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
-LABELLED = re.compile(r"(?:md5|sha(?:1|224|256|384|512))[-_=/][A-Za-z0-9+/_=-]+", re.IGNORECASE)
+#: A digest after the name of its algorithm: as many bytes as that makes, in hexadecimal or in base64.
+LABELLED = re.compile("|".join(rf"(?i:{name})[-_=/](?:[0-9a-fA-F]{{{2 * n}}}|[A-Za-z0-9+/_-]{{{-(-4 * n // 3)}}}={{0,{-n % 3}}})" for name, n in (("md5", 16), ("sha1", 20), ("sha224", 28), ("sha256", 32), ("sha384", 48), ("sha512", 64))))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: The shape of names: words, capitals and short numbers, joined or not. Each part is taken once, so that no run is split in many ways.
 NAME = re.compile(r"(?:[+/_=-]|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[A-Z]{2,}(?=[A-Z][a-z]{2})|(?<![0-9])[0-9]{1,4}(?![0-9]))++")

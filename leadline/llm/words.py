@@ -1,8 +1,9 @@
 """Words of whole texts as 64-bit hashes, straight from the UTF-8 bytes of Arrow batches.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z taken as a-z. Its hash is a
-polynomial over random 64-bit values of its bytes modulo 2**64, taken from a running sum over all
-bytes of a stretch of texts, then mixed. No text becomes a Python string.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z taken as a-z. Its hash is the sum modulo
+2**64 of what a non-linear mix makes of each byte and its place in the word, taken from a running sum over all
+bytes of a stretch of texts, then mixed with the length. (A polynomial modulo 2**64 gives some long words
+one hash whatever its base is.) No text becomes a Python string.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SEED = np.uint64(0x2545F4914F6CDD1D)
+_SEED, _PLACE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -71,11 +72,14 @@ def hash_words(data: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray, n
     last[:-1] &= ~word[1:]
     last[inner - 1] = word[inner - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    power, inverse = _power(n)
-    total = np.cumsum(_VALUES[data] * power[:n])
+    place = np.arange(n, dtype=np.int64)
+    before = np.zeros(n, np.int64)
+    before[s] = s
+    place -= np.maximum.accumulate(before)
+    total = np.cumsum(mix(_VALUES[data] ^ place.astype(np.uint64) * _PLACE))
     h = total[e]
     h[s > 0] -= total[s[s > 0] - 1]
-    h = mix(h * inverse[s] ^ (e - s + 1).astype(np.uint64) * _SEED)
+    h = mix(h ^ (e - s + 1).astype(np.uint64) * _SEED)
     return s, e + 1, h
 
 

@@ -285,3 +285,26 @@ def test_what_stages_make_for_themselves_goes(spark):
         out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
         assert len({*common._made} - before) == 1 and out.count() > 50
     assert {*common._made} == before
+
+
+def test_long_words_have_hashes_of_their_own(spark):
+    """The sequence of Thue and Morse and its complement have one hash under any polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 4096):
+        one, other = word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+        df = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {other} y"), (3, f"x {one} y")], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(df, words=3, percent=90).collect()}
+        assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_mail_keeps_own_lines_whatever_they_are(spark):
+    texts = ["run this:\n>>> print(1)\n> quoted in markdown\nend", " > a\n  b\n>\n\n", "\n> x\n", "On Monday, A wrote:\nnothing", None, "after nothing", "", "   ", "after blanks\r\n > z", "From here", ">>", "last"]
+    m = spark.createDataFrame([(1, i, "user", t, "x") for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string, level string")
+    got = {r.turn: r for r in quotes.link_quotes(quotes.as_mail(m), stuffed=True).collect()}
+    assert [got[i].text for i in range(len(texts))] == [t or "" for t in texts]
+    # a reply to nothing is one to what stands before it; after two that are empty a thread begins
+    parents = [None, 0, 1, 2, 3, 3, 5, 5, None, 8, 9, None]
+    assert [got[i].parent_turn for i in range(len(texts))][:9] == parents[:9]
+    assert quotes.link_quotes(quotes.as_mail(m.limit(0)), stuffed=True).collect() == []

@@ -1,8 +1,11 @@
 """Secrets, licences and benchmark passages against plain versions."""
 
+import base64
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import public_tokenizers
 
@@ -234,3 +237,65 @@ def test_passage_frames(spark):
 
 def test_vocabulary_is_the_public_one():
     assert re.search(r"byte_bpe_50k\.tiktoken$", RANKS) and RANKS == public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_only_digests_of_their_length_are_spared_after_a_label():
+    ranks = secret_scan.vocabulary(RANKS)
+    r = random.Random(11)
+    rest = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(letters) for _ in range(n))
+    found = lambda t: secret_scan.random_spans(t, ranks, [])
+    for label, size in (("md5", 16), ("sha1", 20), ("SHA256", 32), ("sha512", 64)):
+        raw = bytes(r.randrange(256) for _ in range(size))
+        for digest in (raw.hex(), raw.hex().upper(), base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode().rstrip("=")):
+            assert not found(f"{label}={digest}") and not found(f"{label}-{digest}")
+        lengths = {2 * size, -(-4 * size // 3)}
+        assert all(found(f"{label}={rest(n)}") for n in (30, 41, 63, 70) if n not in lengths)
+
+
+def test_a_notice_may_be_short(spark):
+    df = spark.createDataFrame([(1, "x\nOK\ny"), (2, "not ok"), (3, "\nok\r\n")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_notices, r.notices) for r in license_scan.scan_licences(df, notices={"Z": ["OK"]}).collect()}
+    assert got == {1: (1, "Z"), 2: (0, ""), 3: (1, "Z")}
+
+
+def indented(r, lines, depths=(4, 8, 12)):
+    return "\n".join(" " * r.choice(depths) + "".join(r.choice("abcdefg=()._ ") for _ in range(r.randint(8, 24))) for _ in range(lines))
+
+
+def test_frequent_grams_lose_no_match(monkeypatch):
+    """Runs of blanks in passages and texts: what is found doesn't depend on how often grams are counted, and is what a plain search finds."""
+    r = random.Random(4)
+    for _ in range(12):
+        passages = [indented(r, r.randint(2, 5)) for _ in range(6)] + [" " * 40]
+        off = passages[1]
+        off = off[:10] + "#" + off[11:20] + off[21:]
+        text = indented(r, 12) + passages[0] + "\n" + indented(r, 4) + off + indented(r, 3) + " " * 60
+        results = []
+        for often, many in ((10**12, 10**9), (3, 10**9), (3, 0), (1 << 15, 8)):
+            monkeypatch.setattr(decontam, "OFTEN", often)
+            monkeypatch.setattr(decontam, "MANY_BANDS", many)
+            results.append([x[:2] for x in decontam.Passages([*range(7)], passages, 8, 0.1).find(text)])
+        assert all(x == results[0] for x in results)
+        index = decontam.Passages([*range(7)], passages, 8, 0.1)
+        want = []
+        for p, chars in enumerate(index.chars):
+            row = [0] * (len(text) + 1)
+            for a in chars.tolist():
+                new = [row[0] + 1]
+                for j, b in enumerate(decontam.folded(text).tolist()):
+                    new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+                row = new
+            if min(row) <= index.edits[p]:
+                want.append((p, min(row)))
+        assert results[0] == want and {0, 6} <= {p for p, _ in want}
+
+
+def test_code_with_deep_indents_is_no_trap():
+    r = random.Random(9)
+    passages = [indented(r, 15) for _ in range(164)]
+    text = indented(r, 2500)[:40_000]
+    tracemalloc.start()
+    began = time.process_time()
+    found = decontam.Passages([*range(164)], passages, 8, 0.1).find(text[:20_000] + passages[9] + text[20_000:])
+    assert [x[:2] for x in found] == [(9, 0)] and time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
