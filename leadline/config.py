@@ -42,6 +42,8 @@ class Config:
     change_min_passes: int = 3
     change_min_days: float = 2.0
     target_datum: str = "MLLW"
+    tide_station_id: str = ""
+    tide_station_name: str = ""
     min_zoom: int = 8
     max_zoom: int = 24
     batch_size: int = 20

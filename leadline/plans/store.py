@@ -128,15 +128,15 @@ class Parts:
 
     #: How parts of a table become one; a table that isn't named keeps all its rows.
     MERGES: dict[str, Callable[[DataFrame], DataFrame]] = {}
-    #: Tables whose parts are folders by area.
-    BY_AREA: tuple[str, ...] = ()
+    #: Tables whose parts are folders by a column, and that column.
+    BY: dict[str, str] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.commits = Commits(spark, f"{self.path}/commits")
 
     def head(self) -> dict:
-        return self.commits.last() or {"seq": -1, "sources": {}, "tables": {}, "retired": []}
+        return self.commits.last() or {"seq": -1, "sources": {}, "tables": {}, "facts": {}, "retired": []}
 
     def _folder(self, name: str, part: str) -> str:
         return f"{self.path}/{name}/part={part}"
@@ -154,10 +154,10 @@ class Parts:
         """Writes a part of this attempt and notes it in ``made``."""
         part = f"p{uuid.uuid4().hex}"
         made.setdefault(name, []).append(part)
-        # areas together in files, a large one split
-        if name in self.BY_AREA:
-            order = ["area", *[c for c in ("cell_x", "cell_y") if c in rows.columns]]
-            w = rows.hint("rebalance", "area").sortWithinPartitions(*order).write.partitionBy("area")
+        # a folder's rows together in files, those of a large one split
+        if by := self.BY.get(name):
+            order = [by, *[c for c in ("cell_x", "cell_y") if c in rows.columns]]
+            w = rows.hint("rebalance", by).sortWithinPartitions(*order).write.partitionBy(by)
         else:
             w = rows.write
         w.parquet(self._folder(name, part))
@@ -168,13 +168,14 @@ class Parts:
         self.commits._fs.delete(p, True)
 
     def _empty(self, name: str, part: str) -> bool:
-        """Whether a part by area has no area."""
-        return name in self.BY_AREA and not any(f.isDirectory() for f in self.commits._fs.listStatus(self.commits._new(self._folder(name, part))))
+        """Whether a part of folders has none."""
+        return name in self.BY and not any(f.isDirectory() for f in self.commits._fs.listStatus(self.commits._new(self._folder(name, part))))
 
-    def change(self, source: str, number: int, work: Callable[[dict, dict[str, list[str]]], None], tries: int = 20) -> bool:
+    def change(self, source: str, number: int, work: Callable[[dict, dict[str, list[str]]], dict | None], tries: int = 20) -> bool:
         """Commits what ``work(head, made)`` writes as a source's change of that number, unless it, or a later one, is there.
 
-        What it writes under names that begin with ``_`` is its own and goes at the end.
+        What it writes under names that begin with ``_`` is its own and goes at the end; what it gives back are facts for the
+        commit to keep, such as the last number of a row.
         """
         for _ in range(tries):
             head, made = self.head(), {}
@@ -182,10 +183,10 @@ class Parts:
                 return False
             seq = head["seq"] + 1
             try:
-                work(head, made)
+                facts = work(head, made) or {}
                 tables, retired = self._merged(head, made)
                 drop = [x for x in retired if x[0] <= seq - KEEP]
-                self.commits.add(seq, {"sources": head["sources"] | {source: number}, "tables": tables, "retired": [x for x in retired if x[0] > seq - KEEP]})
+                self.commits.add(seq, {"sources": head["sources"] | {source: number}, "tables": tables, "facts": head["facts"] | facts, "retired": [x for x in retired if x[0] > seq - KEEP]})
             except BaseException as e:
                 for name, parts in made.items():
                     for p in parts:

@@ -958,17 +958,20 @@ def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT = f"WITH {JOURNAL}, kept AS (SELECT *, row_number() OVER (ORDER BY seq) AS id FROM journal0 WHERE received_at_ms = observed_at_ms)"
 
 
-def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = fx.journal(spark, sf_dir)
     none = F.lit(None)
     tide = F.when(F.col("tide_mm").isNotNull(), F.struct(nb.metres("tide_mm").alias("height_m"), F.lit(0.25).alias("sigma_m"), F.lit("MLLW").alias("datum"), F.col("tide_stale").alias("stale")))
     place = F.when(F.col("has_position"), F.struct((F.col("lat_e7") / 1e7).alias("latitude"), (F.col("lon_e7") / 1e7).alias("longitude"), F.col("observed_at_ms").alias("timestamp_ms"), F.lit("gps").alias("source")))
-    rows = j.select(
+    return j.select(
         "seq", "observed_at_ms", "received_at_ms", nb.metres("depth_mm").alias("depth_m"), F.lit("belowKeel").alias("depth_reference"), "depth_source", place.alias("position"), tide.alias("tide"), nb.metres("surface_offset_mm").alias("surface_offset_m"),
         F.create_map(F.lit("depthPath"), F.lit("depth.belowKeel")).alias("installation"), F.when(F.col("quality").isNull(), F.array().cast("array<string>")).otherwise(F.array("quality")).alias("quality"), none.cast("string").alias("note"),
     )
-    evidence = [c for c in rows.columns if c != "received_at_ms"]
-    return journal_source.append(None, rows, evidence, ["seq", "received_at_ms"])
+
+
+def _journal(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
+    rows = _observed(spark, sf_dir) if rows is None else rows
+    return journal_source.append(before, rows, [c for c in rows.columns if c != "received_at_ms"], ["seq", "received_at_ms"])
 
 
 @query(f"{_KEPT} SELECT id, seq, received_at_ms FROM kept")
@@ -976,6 +979,14 @@ def journal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _journal(spark, sf_dir).select("id", "seq", "received_at_ms")
 
 
+@query(f"WITH {JOURNAL} SELECT row_number() OVER (ORDER BY observed_at_ms >= {CUT}, seq) AS id, seq FROM journal0 WHERE received_at_ms = observed_at_ms")
+def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal of what was observed before a time, then all observations again: only what is new gets numbers."""
+    rows = _observed(spark, sf_dir)
+    first = _journal(spark, sf_dir, rows.filter(F.col("observed_at_ms") < CUT))
+    return first.select("id", "seq").unionByName(_journal(spark, sf_dir, rows, first).select("id", "seq"))
+
+
 @query(f"{_KEPT} SELECT id, observed_at_ms FROM kept WHERE id > 500 ORDER BY id LIMIT 1000")
 def journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal_source.read(_journal(spark, sf_dir), 500, 1000).select("id", "observed_at_ms")

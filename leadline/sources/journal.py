@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadline.operators.ranges import numbered
-from leadline.plans.store import Commits
+from leadline.plans.store import Parts
 
 _POSITION = T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("source", T.StringType())])
 _TIDE = T.StructType([T.StructField("height_m", T.DoubleType()), T.StructField("sigma_m", T.DoubleType()), T.StructField("datum", T.StringType()), T.StructField("station_id", T.StringType()), T.StructField("station_name", T.StringType()), T.StructField("source", T.StringType()), T.StructField("method", T.StringType()), T.StructField("timestamp_ms", T.LongType()), T.StructField("stale", T.BooleanType())])
+_TURN = T.StructType([T.StructField("roll_rad", T.DoubleType()), T.StructField("pitch_rad", T.DoubleType()), T.StructField("source", T.StringType()), T.StructField("timestamp_ms", T.LongType())])
+_HEADING = T.StructType([T.StructField("heading_rad", T.DoubleType()), T.StructField("source", T.StringType()), T.StructField("timestamp_ms", T.LongType())])
 OBSERVATION = T.StructType([
     T.StructField("observed_at_ms", T.LongType()), T.StructField("received_at_ms", T.LongType()), T.StructField("timestamp_origin", T.StringType()),
     T.StructField("depth_m", T.DoubleType()), T.StructField("depth_reference", T.StringType()), T.StructField("depth_source", T.StringType()),
     T.StructField("position", _POSITION), T.StructField("tide", _TIDE), T.StructField("surface_offset_m", T.DoubleType()),
     T.StructField("installation", T.MapType(T.StringType(), T.StringType())), T.StructField("quality", T.ArrayType(T.StringType())),
+    T.StructField("attitude", _TURN), T.StructField("heading", _HEADING),
 ])
-CONSENT = "CC0-1.0"
+CONSENT, DAY_MS = "CC0-1.0", 86_400_000
+#: Acknowledged batches whose names are kept, so that a late second word of one is understood.
+KEPT_NAMES = 100
 
 
 def quality_flags(receipt_time: Column, observed_ms: Column, received_ms: Column, position_ms: Column, position_receipt: Column, depth_m: Column, low_m: float, high_m: float, skew_ms: int) -> Column:
@@ -42,13 +47,19 @@ def fingerprint(rows: DataFrame, evidence: list[str]) -> Column:
 
 def append(journal: DataFrame | None, rows: DataFrame, evidence: list[str], order: list[str]) -> DataFrame:
     """Rows of a batch that the journal doesn't have, the first of each fingerprint, numbered on from its last id."""
+    new = unseen(journal, rows.withColumn("fingerprint", fingerprint(rows, evidence)), order)
+    return numbered(new, order, 0 if journal is None else journal.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+
+
+def unseen(journal: DataFrame | None, rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with fingerprints that the journal doesn't have, the first of each."""
     w = Window.partitionBy("fingerprint").orderBy(*order)
-    new = rows.withColumn("fingerprint", fingerprint(rows, evidence)).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    last = 0
-    if journal is not None:
-        new = new.join(journal.select("fingerprint"), "fingerprint", "left_anti")
-        last = journal.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return numbered(new, order, last)
+    new = rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    if journal is None:
+        return new
+    # only fingerprints that come again leave the journal's scan
+    again = journal.select("fingerprint").join(new.select("fingerprint"), "fingerprint", "left_semi")
+    return new.join(again, "fingerprint", "left_anti")
 
 
 def read(journal: DataFrame, after_id: int = 0, limit: int = 1000) -> DataFrame:
@@ -87,7 +98,8 @@ def features(journal: DataFrame) -> DataFrame:
 class Outbox:
     """Batches for export: a pending one is given again until it is acknowledged, and only then does the cursor move.
 
-    State is a dict that the caller keeps (a few numbers, and one pending batch of at most 10,000 features).
+    State is a dict that the caller keeps: a few numbers, one pending batch of at most 10,000 features, and the names of the last
+    that were acknowledged.
     """
 
     def __init__(self, journal: DataFrame, state: dict):
@@ -124,35 +136,55 @@ class Outbox:
             if batch["after"] != self.state["cursor"]:
                 raise ValueError("export cursor conflict")
             self.state["cursor"], batch["done"] = batch["through"], True
+            del batch["sample"]
+            done = [n for n, b in self.state["batches"].items() if b["done"]]
+            for n in done[:-KEPT_NAMES]:
+                del self.state["batches"][n]
 
     def _consented(self) -> None:
         if self.state.get("consent") != CONSENT:
             raise PermissionError("publication is off; it needs explicit consent")
 
 
-class Journal:
-    """A journal in a folder, in parts by number of the commit; a batch that comes again is left out."""
+class Journal(Parts):
+    """A journal in a folder, in parts by day of observation; a batch that comes again is left out.
 
-    EVIDENCE = ["context", "observed_at_ms", "timestamp_origin", "depth_m", "depth_reference", "depth_source", "position", "tide", "surface_offset_m", "installation"]
+    The time of observation is part of the evidence, so equal rows are of one day: a batch is held against the days that it
+    has, however old the journal is, and the commits know the last number.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.commits = Commits(spark, f"{self.path}/commits")
+    BY = {"rows": "day"}
+    EVIDENCE = ["context", "observed_at_ms", "timestamp_origin", "depth_m", "depth_reference", "depth_source", "position", "tide", "surface_offset_m", "installation", "attitude", "heading"]
+    ORDER = ["observed_at_ms", "received_at_ms", "context", "depth_source", "depth_m"]
 
     def read(self) -> DataFrame | None:
         """All observations of commits so far."""
-        head = self.commits.last()
-        return None if head is None else self.spark.read.parquet(f"{self.path}/rows").filter(F.col("seq") <= head["seq"]).drop("seq")
+        rows = self.table(self.head(), "rows")
+        return None if rows is None else rows.drop("day")
+
+    def of_days(self, head: dict, rows: DataFrame) -> DataFrame | None:
+        """The journal's rows of the days, and within them of the times, of some rows."""
+        stored = self.table(head, "rows")
+        first, last = rows.agg(F.min("observed_at_ms"), F.max("observed_at_ms")).first()
+        if stored is None or first is None:
+            return None
+        near = stored.filter(F.col("day").between(first // DAY_MS, last // DAY_MS) & F.col("observed_at_ms").between(first, last))
+        return near.join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")
 
     def add(self, rows: DataFrame, batch_id: int, source: str = "batch") -> None:
         """Appends a source's batch, once: batches of a source come with growing numbers."""
-        head = self.commits.last()
-        if head is not None and head["sources"].get(source, -1) >= batch_id:
-            return
-        seq = 0 if head is None else head["seq"] + 1
-        order = ["observed_at_ms", "received_at_ms", "context", "depth_source", "depth_m"]
-        append(self.read(), rows, self.EVIDENCE, order).write.mode("overwrite").parquet(f"{self.path}/rows/seq={seq}")
-        self.commits.add(seq, {"sources": (head["sources"] if head else {}) | {source: batch_id}})
+
+        def work(head: dict, made: dict[str, list[str]]) -> dict:
+            evidence = [c for c in self.EVIDENCE if c in rows.columns]
+            given = rows.withColumn("fingerprint", fingerprint(rows, evidence)).withColumn("day", F.floor(F.col("observed_at_ms") / DAY_MS))
+            # written before they are numbered, which goes over them several times
+            self.write(unseen(self.of_days(head, given), given, self.ORDER), "_new", made)
+            last = head["facts"].get("last_id", 0)
+            self.write(numbered(self.parts("_new", made["_new"]), self.ORDER, last), "rows", made)
+            added = None if self._empty("rows", made["rows"][-1]) else self.parts("rows", made["rows"])
+            return {"last_id": last if added is None else added.agg(F.max("id")).first()[0]}
+
+        self.skipped = not self.change(source, batch_id, work)
 
 
 def open_journal(spark: SparkSession, path: str) -> DataFrame:

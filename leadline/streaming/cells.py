@@ -66,7 +66,7 @@ class Box:
 class Surface(Parts):
     """Soundings, passes, cells, QC and change history in a folder. A batch that comes again changes nothing."""
 
-    BY_AREA = ("soundings", "replaced", "passes", "cells", "states")
+    BY = dict.fromkeys(("soundings", "replaced", "passes", "cells", "states"), "area")
     MERGES = {"passes": merged_passes, "cells": lambda rows: newest(rows, CELL), "states": lambda rows: newest(rows, PASS)}
 
     def __init__(self, spark: SparkSession, path: str, config: Config):

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import median
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -109,7 +109,7 @@ _SAMPLE = (
     "input_time_skew_ms long, position_method string, position_source string, depth_source string, geometry string, sog_mps double, cog_rad double, heave_m double, aggregation_kind string, sample_count long, rejected_sample_count long, window_start_ms long, window_end_ms long, track long"
 )
 #: Rows of three kinds: sounding, raw (a depth as it came, with what was known then) and withheld (with geometry position or attitude).
-PAIRED = f"kind string, context string, {_SAMPLE}, fix_at_ms long, fix_has_time boolean, has_time boolean, tide_stale boolean"
+PAIRED = f"kind string, context string, {_SAMPLE}, fix_at_ms long, fix_has_time boolean, has_time boolean, tide_stale boolean, tide_source string, attitude_at_ms long, roll double, pitch double, attitude_source string, heading_at_ms long, heading double, heading_source string"
 _STATE = {
     "fixes": (Fix, "at_ms long, latitude double, longitude double, source string, has_time boolean"),
     "latest": (Value, "path string, at_ms long, value double, other double, source string"),
@@ -175,7 +175,11 @@ class Vessel:
         if fix:
             row |= {"latitude": fix.latitude, "longitude": fix.longitude, "position_source": fix.source, "fix_at_ms": fix.at_ms, "fix_has_time": fix.has_time}
         if tide:
-            row |= {"tide_m": tide.value, "tide_at_ms": tide.at_ms, "tide_stale": not self._fresh(tide.at_ms, at_ms, self.config.tide_max_age_s)}
+            row |= {"tide_m": tide.value, "tide_at_ms": tide.at_ms, "tide_stale": not self._fresh(tide.at_ms, at_ms, self.config.tide_max_age_s), "tide_source": tide.source}
+        if turn := self.latest.get("attitude"):
+            row |= {"attitude_at_ms": turn.at_ms, "roll": turn.value, "pitch": turn.other, "attitude_source": turn.source}
+        if heading := self.latest.get("heading"):
+            row |= {"heading_at_ms": heading.at_ms, "heading": heading.value, "heading_source": heading.source}
         return row
 
     @staticmethod
@@ -371,6 +375,10 @@ class _Live(StatefulProcessor):
         pass
 
 
+#: Columns of paired rows that soundings don't have.
+RAW_ONLY = ("kind", "fix_at_ms", "fix_has_time", "has_time", "tide_stale", "tide_source", "attitude_at_ms", "roll", "pitch", "attitude_source", "heading_at_ms", "heading", "heading_source")
+
+
 def paired(readings: DataFrame, config: Config, reference: str = "belowTransducer", installation: Installation | None = None) -> DataFrame:
     """A stream of ``PAIRED`` rows from a stream of ``READING`` rows. The state store must be RocksDB's."""
     return readings.groupBy("context").transformWithStateInPandas(_Live(config, reference, installation), PAIRED, "append", "processingTime")
@@ -382,30 +390,54 @@ def stored(rows: DataFrame, config: Config, reference: str = "belowTransducer")
     x, y = hex_cell(mercator_x(F.col("lon_e7") / 1e7), mercator_y(F.col("lat_e7") / 1e7), config.base_cell_m)
     at_rest = F.col("aggregation_kind") == SURFACE_METHODS[1]
     s = s.withColumns({"cell_x": x, "cell_y": y, "pass_id": F.when(at_rest, pass_id("observed_at_ms", "track", "stationary")).otherwise(pass_id("observed_at_ms", "track")), "fingerprint": sounding_fingerprint()})
-    return s.withColumn("id", F.col("fingerprint")).drop("kind", "fix_at_ms", "fix_has_time", "has_time", "tide_stale")
+    return s.withColumn("id", F.col("fingerprint")).drop(*RAW_ONLY)
 
 
-def observations(rows: DataFrame, config: Config, reference: str = "belowTransducer") -> DataFrame:
+def observations(rows: DataFrame, config: Config, reference: str = "belowTransducer", installation: Installation | None = None) -> DataFrame:
     """The raw depths among paired rows as a journal takes them, with what is wrong with each."""
     most = int(config.max_live_skew_s * 1000)
     flags = journal_source.quality_flags(~F.col("has_time"), F.col("observed_at_ms"), F.col("received_at_ms"), F.col("fix_at_ms"), ~F.col("fix_has_time"), F.col("raw_m"), config.instrument_min_m, config.instrument_max_m, most)
     place = F.when(F.col("fix_at_ms").isNotNull(), F.struct("latitude", "longitude", F.col("fix_at_ms").alias("timestamp_ms"), F.col("position_source").alias("source")))
-    tide = F.when(F.col("tide_m").isNotNull(), F.struct(F.col("tide_m").alias("height_m"), F.lit(config.tide_sigma_m).alias("sigma_m"), F.lit(config.target_datum).alias("datum"), F.lit("predicted").alias("method"), F.col("tide_at_ms").alias("timestamp_ms"), F.col("tide_stale").alias("stale")))
+    tide = F.when(F.col("tide_m").isNotNull(), F.struct(F.col("tide_m").alias("height_m"), F.lit(config.tide_sigma_m).alias("sigma_m"), F.lit(config.target_datum).alias("datum"), F.lit(config.tide_station_id or None).cast("string").alias("station_id"), F.lit(config.tide_station_name or None).cast("string").alias("station_name"), F.col("tide_source").alias("source"), F.lit("predicted").alias("method"), F.col("tide_at_ms").alias("timestamp_ms"), F.col("tide_stale").alias("stale")))
+    turn = F.when(F.col("attitude_at_ms").isNotNull(), F.struct(F.col("roll").alias("roll_rad"), F.col("pitch").alias("pitch_rad"), F.col("attitude_source").alias("source"), F.col("attitude_at_ms").alias("timestamp_ms")))
+    heading = F.when(F.col("heading_at_ms").isNotNull(), F.struct(F.col("heading").alias("heading_rad"), F.col("heading_source").alias("source"), F.col("heading_at_ms").alias("timestamp_ms")))
     return rows.filter("kind = 'raw'").select(
         "context", "observed_at_ms", "received_at_ms", F.when(F.col("has_time"), "instrument").otherwise("receipt").alias("timestamp_origin"), F.col("raw_m").alias("depth_m"), F.lit(reference).alias("depth_reference"), "depth_source",
         place.alias("position"), tide.alias("tide"), reference_offset_m(F.lit(reference), config).alias("surface_offset_m"),
-        F.create_map(F.lit("attitudeCorrection"), F.lit(str(config.attitude_correction).lower()), F.lit("beamWidthDegrees"), F.lit(str(config.beam_width_deg))).alias("installation"), flags.alias("quality"),
+        F.create_map(*[F.lit(x) for pair in installed(config, installation).items() for x in pair]).alias("installation"), flags.alias("quality"), turn.alias("attitude"), heading.alias("heading"),
     )
 
 
-def record(readings: DataFrame, config: Config, surface: Surface, journal: journal_source.Journal, checkpoint: str, reference: str = "belowTransducer", installation: Installation | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Runs readings into a surface of cells and a raw journal; both take each micro-batch once."""
+def installed(config: Config, installation: Installation | None) -> dict[str, str]:
+    """How the instrument is mounted, as names and texts: what a later correction of raw depths has to know."""
+    i = installation or Installation(config.mount_roll_deg, config.mount_pitch_deg)
+    of = lambda levers: ",".join("" if x is None else str(x) for x in levers)
+    return {
+        "attitudeCorrection": str(config.attitude_correction).lower(), "beamWidthDegrees": str(config.beam_width_deg), "surfaceToTransducerM": str(config.surface_to_transducer_m), "surfaceToKeelM": str(config.surface_to_keel_m),
+        "mountRollDegrees": str(i.mount_roll), "mountPitchDegrees": str(i.mount_pitch), "antennaM": of(i.antenna), "originM": of(i.origin), "offsetsVerified": str(i.verified).lower(),
+    }
+
+
+def withheld(rows: DataFrame) -> list:
+    """Counts of paired rows: raw depths, soundings, and depths withheld for want of a position or of what geometry needs."""
+    of = lambda kind, reason=None: F.count_if((F.col("kind") == kind) & (F.lit(True) if reason is None else F.col("geometry") == reason))
+    return [of("raw").alias("raw"), of("sounding").alias("soundings"), of("withheld", "position").alias("withheld_position"), of("withheld", "attitude").alias("withheld_geometry")]
+
+
+def record(readings: DataFrame, config: Config, surface: Surface, journal: journal_source.Journal, checkpoint: str, reference: str = "belowTransducer", installation: Installation | None = None, trigger: dict | None = None, told: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
+    """Runs readings into a surface of cells and a raw journal; both take each micro-batch once.
+
+    ``told`` gets each batch's number and counts (``withheld``), observed while the journal takes it.
+    """
     import time
 
     def both(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
-        journal.add(observations(rows, config, reference), batch_id, checkpoint)
+        rows, seen = rows.persist(), Observation()
+        journal.add(observations(rows.observe(seen, *withheld(rows)), config, reference, installation), batch_id, checkpoint)
         surface.apply(stored(rows, config, reference), batch_id, int(time.time() * 1000), checkpoint)
+        # a batch that the journal had before was not gone through again
+        if told is not None and not journal.skipped:
+            told(batch_id, seen.get)
         rows.unpersist()
 
     writer = paired(readings, config, reference, installation).writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)

@@ -88,7 +88,7 @@ def observations(spark):
         (T0 + 1, T0 + 5, "instrument", 4.0, "belowKeel", "d", place, tide(True), 1.5, {}, []),
         (T0 + 2, T0 + 5, "receipt", 4.0, "belowKeel", "d", None, tide(False), 1.5, {}, ["receipt-time-only"]),
     ]
-    return spark.createDataFrame(rows, journal.OBSERVATION)
+    return spark.createDataFrame([(*r, None, None) for r in rows], journal.OBSERVATION)
 
 
 def test_journal(spark):
@@ -103,6 +103,24 @@ def test_journal(spark):
         journal.read(j, limit=0)
 
 
+def test_a_batch_is_held_against_its_own_days(spark, tmp_path):
+    one = journal.Journal(spark, str(tmp_path / "j"))
+    rows = observations(spark).withColumn("context", F.lit("v"))
+    later = lambda days: rows.withColumn("observed_at_ms", F.col("observed_at_ms") + days * 86_400_000)
+    for n, days in enumerate((0, 1, 40, 0)):
+        one.add(later(days), n)
+    assert one.read().count() == 9 and sorted(r.id for r in one.read().select("id").collect()) == [*range(1, 10)]
+    given = later(0).withColumn("day", F.floor(F.col("observed_at_ms") / 86_400_000))
+    near = one.of_days(one.head(), given)
+    files = {r.f for r in near.select(F.input_file_name().alias("f")).collect()}
+    assert files and {f.split("day=")[1].split("/")[0] for f in files} == {str(T0 // 86_400_000)}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(observed_at_ms" in plan
+    assert one.head()["facts"] == {"last_id": 9} and len(one.head()["tables"]["rows"]) == 3
+    one.add(rows.limit(0), 9)
+    assert one.read().count() == 9
+
+
 def test_outbox(spark):
     j = journal.append(None, observations(spark), [c for c in journal.OBSERVATION.names if c != "received_at_ms"], ["observed_at_ms", "received_at_ms"]).cache()
     state: dict = {}
@@ -121,6 +139,7 @@ def test_outbox(spark):
         box.acknowledge("other")
     box.acknowledge(second)
     assert box.prepare(2)[0] is None and json.loads(json.dumps(state))["cursor"] == 3
+    assert all("sample" not in b for b in state["batches"].values())
 
 
 def fields(data: bytes):
@@ -450,7 +469,8 @@ def test_live_stream_to_cells_and_journal(spark, tmp_path):
     values = deltas.flatten(deltas.stream(spark, str(tmp_path / "in")))
     readings = live.readings_of(values, paths, F.col("at_ms"))
     sf_, log = stream_cells.Surface(spark, str(tmp_path / "out"), C), journal.Journal(spark, str(tmp_path / "journal"))
-    query = live.record(readings, C, sf_, log, str(tmp_path / "check"))
+    counts = []
+    query = live.record(readings, C, sf_, log, str(tmp_path / "check"), told=lambda n, seen: counts.append(seen))
     # timers in processing time keep such a query running, so it is stopped from outside
     until = time.time() + 120
     try:
@@ -464,6 +484,10 @@ def test_live_stream_to_cells_and_journal(spark, tmp_path):
     j = log.read().orderBy("id").collect()
     assert [r.id for r in j] == [*range(1, 61)] and sum("missing-position" in r.quality for r in j) == 30 and sum("outside-instrument-range" in r.quality for r in j) == 1
     assert journal.with_corrections(log.read()).filter("corrected_m = 4.5").count() == 29
+    turned = next(r for r in j if r.context == "v" and r.observed_at_ms == T0 + 5000)
+    assert turned.attitude.roll_rad == 0.1 and turned.attitude.source == "nav.attitude" and turned.tide.source == "env.tide" and turned.heading is None and turned.installation["offsetsVerified"] == "false"
+    total = {k: sum(c[k] for c in counts) for k in counts[0]}
+    assert total["raw"] == 60 and total["soundings"] == 29 and total["withheld_geometry"] == 0
     # history knows the vessel's attitude: a first run that is stopped, a second one, a third that finds all done
     at = lambda v: spark.createDataFrame([("v", T0 + 1000 * i, float(v)) for i in range(60)], "context string, at_ms long, value double")
     fixes = spark.createDataFrame([("v", T0 + 1000 * i, 37.8 + i * 1e-4, -122.4) for i in range(60)], "context string, at_ms long, latitude double, longitude double")
