@@ -8,8 +8,10 @@ Arrow batches sorted by key, of which one at a time is held.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from leadline.functions.geo import EARTH_RADIUS_M
 
 #: The fastest a tide can rise or fall, in metres a minute.
 TIDE_RATE = 0.05
+#: Length of a stretch of time that is worked on by itself.
+STRETCH_MS = 6 * 3_600_000
 #: Metres of a degree where a flat distance is good enough.
 DEGREE_M = 111_320.0
 
@@ -114,34 +118,135 @@ def sample(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...
     return _by_key(rows, by, order, new, ["at_ms", "latitude", "longitude"], "kept", "boolean")
 
 
-def rest_windows(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...] = ("at_ms",)) -> DataFrame:
-    """Adds visit: the number of the window at rest that a row is in, from 1, or null for a row under way.
+def rest_windows(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...] = ("at_ms",), stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """Adds visit: the number of the window at rest that a row is in, from 1, or null for a row under way or without a time.
 
     A row with a speed under the minimum joins the open window; the window ends with the row that makes it
     stationary_window_s long, before a gap of max(5 s, 3 resolutions), and before a row that moves or has no speed.
-    """
-    gap, span, slow = max(5000, 3000 * config.history_resolution_s), config.stationary_window_s * 1000, config.minimum_speed_mps
-
-    def new() -> Callable[..., int | None]:
-        n, first, last = 0, None, None
-
-        def step(t: float, v: float) -> int | None:
-            nonlocal n, first, last
-            if first is not None and t - last > gap:
-                first = None
-            if not v < slow:  # no speed is NaN
-                first = None
-                return None
-            if first is None:
-                n, first = n + 1, t
-            last = t
-            if t - first >= span:
-                first = None
-            return n
-
-        return step
 
-    return _by_key(rows, by, order, new, ["at_ms", "sog_mps"], "visit", "long")
+    Series are cut into stretches of time, each worked on by itself. Wherever a window begins, the next one's beginning
+    follows from the rows after it, so a stretch is a map: from the row, among its first ones, that a window of the
+    stretch before leaves as the next beginning, to such a row of the next stretch, and how many windows begin
+    between. A moving row or a gap makes that the same for all. The maps of a key are put one after another, a row
+    for each stretch, and then each stretch numbers its windows.
+    """
+    gap, span, slow = max(5000, 3000 * config.history_resolution_s), int(config.stationary_window_s * 1000), config.minimum_speed_mps
+    head_ms = span + 2 * gap + 1
+    stretch = max(stretch_ms, head_ms)
+    own = [*by, "_b"]
+    at = Window.partitionBy(*own).orderBy(*[F.col(n).asc_nulls_last() for n in order])
+    placed = rows.withColumn("_b", F.floor(F.col("at_ms") / stretch)).withColumn("_i", F.row_number().over(at) - 1)
+    # a row also goes to the stretch before, if it is one of its own first, and to the one after, if that begins within a gap
+    b, t = F.col("_b"), F.col("at_ms")
+    to = F.filter(F.array(F.struct(b.alias("b"), F.lit(1).alias("part")), F.when(t < b * stretch + head_ms, F.struct((b - 1).alias("b"), F.lit(2).alias("part"))), F.when(t >= (b + 1) * stretch - gap, F.struct((b + 1).alias("b"), F.lit(0).alias("part")))), lambda x: x.isNotNull())
+    timed = placed.filter("_b is not null").select(*by, "_i", t.cast("double").alias("t"), F.coalesce(F.col("sog_mps") < slow, F.lit(False)).alias("slow"), F.explode(to).alias("to"))
+    given = timed.select(*by, F.col("to.b").alias("_b"), F.col("to.part").alias("part"), "_i", "t", "slow").repartition(*own).sortWithinPartitions(*own, "part", "_i")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in given.select(*own).dtypes)
+    lists, numbers = ("entries", "leaves", "numbers"), ("leave", "number")
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fields, part, t, is_slow in _groups(batches, own):
+            n, begins, after = _windows(part, t, is_slow, gap, span)
+            if not n:
+                continue
+            t, is_slow = t[part > 0], is_slow[part > 0]
+            known = np.flatnonzero(begins[:n])
+            first = int(known[0]) if len(known) else n
+            # beginnings that a window of the stretch before may leave: its first rows, up to one that begins whatever was before
+            entries = np.flatnonzero(is_slow[:first] & (t[:first] < key[-1] * stretch + head_ms))
+            cur, number = np.concatenate([entries, known]).astype(np.int64), np.zeros(len(entries) + len(known), np.int64)
+            while (inside := (cur >= 0) & (cur < n)).any():
+                number[inside] += 1
+                cur[inside] = after[cur[inside]]
+            leave, k = np.where(cur >= n, cur - n, -1), len(entries)
+            row = dict(zip(own, key, strict=True)) | {"entries": entries.tolist(), "leaves": leave[:k].tolist(), "numbers": number[:k].tolist(), "leave": int(leave[-1]) if len(known) else None, "number": int(number[k:].sum())}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([*fields, *[pa.field(c, pa.list_(pa.int64())) for c in lists], *[pa.field(c, pa.int64()) for c in numbers]]))
+
+    made = given.mapInArrow(maps, f"{kinds}, {', '.join(f'{c} array<long>' for c in lists)}, {', '.join(f'{c} long' for c in numbers)}")
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, b, entry, visits = None, None, -1, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (now := tuple(row[c] for c in by)) != key:
+                    key, b, entry, visits = now, None, -1, 0
+                if b is None or row["_b"] != b + 1:
+                    entry = -1
+                out.append({c: row[c] for c in own} | {"entry": entry, "visits": visits})
+                number, leave = 0, -1
+                if entry in row["entries"]:
+                    k = row["entries"].index(entry)
+                    number, leave = row["numbers"][k], row["leaves"][k]
+                b, visits, entry = row["_b"], visits + number + row["number"], leave if row["leave"] is None else row["leave"]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*[batch.schema.field(c) for c in own], pa.field("entry", pa.int64()), pa.field("visits", pa.int64())]))
+
+    entered = made.repartition(*by).sortWithinPartitions(*own).mapInArrow(composed, f"{kinds}, entry long, visits long")
+    # a stretch's entry comes before its rows
+    rows_of = given.select(*own, "part", F.col("_i").cast("long").alias("_i"), "t", "slow")
+    told = entered.select(*own, F.lit(-1).alias("part"), F.col("entry").alias("_i"), F.col("visits").cast("double").alias("t"), F.lit(False).alias("slow"))
+    whole = rows_of.unionByName(told).repartition(*own).sortWithinPartitions(*own, "part", "_i")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fields, part, t, is_slow, i in _groups(batches, own, "_i"):
+            n, begins, after = _windows(part[part >= 0], t[part >= 0], is_slow[part >= 0], gap, span)
+            if not n:
+                continue
+            entry, before = int(i[0]), int(t[0])
+            starts = begins[:n].copy()
+            cur = np.flatnonzero(starts)
+            if 0 <= entry < n:
+                cur = np.append(cur, entry)
+            while len(cur := cur[(cur >= 0) & (cur < n)]):
+                starts[cur] = True
+                cur = after[cur]
+            visit = pa.array(np.cumsum(starts) + before, pa.int64(), mask=~is_slow[part == 1])
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * n, f.type) for v, f in zip(key, fields, strict=True)], pa.array(np.arange(n)), visit], [*own, "_i", "visit"])
+
+    visits = whole.mapInArrow(numbered, f"{kinds}, _i long, visit long")
+    return _alike(placed, visits, [*own, "_i"]).drop("_b", "_i")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], own: list[str], *more: str) -> Iterator[tuple]:
+    """(key, its fields, part, t, slow, and more columns, as arrays) of each group of a stream sorted by key: one group is held at a time."""
+    key, fields, held = None, None, []
+    for batch in batches:
+        fields = [batch.schema.field(c) for c in own]
+        keys = [*zip(*[batch.column(c).to_pylist() for c in own], strict=True)]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "t", "slow", *more)]
+        at = 0
+        while at < len(keys):
+            to = bisect_right(keys, 0, at, key=lambda k, first=keys[at]: k != first)
+            if held and keys[at] != key:
+                yield key, fields, *map(np.concatenate, zip(*held, strict=True))
+                held = []
+            key = keys[at]
+            held.append([c[at:to] for c in columns])
+            at = to
+    if held:
+        yield key, fields, *map(np.concatenate, zip(*held, strict=True))
+
+
+def _windows(part: np.ndarray, t: np.ndarray, slow: np.ndarray, gap: int, span: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows of its own, which rows begin a window whatever was before, the next beginning after a window that begins at each row, or -1) of a stretch.
+
+    Parts: 0 for rows of the stretch before, 1 for its own, 2 for rows of the one after.
+    """
+    n, before = int((part == 1).sum()), part == 0
+    last_t, last_slow = (t[before][-1], bool(slow[before][-1])) if before.any() else (-np.inf, False)
+    t, slow = t[~before], slow[~before].astype(bool)
+    before_t, before_slow = np.concatenate([[last_t], t[:-1]]), np.concatenate([[last_slow], slow[:-1]])
+    begins = slow & (~before_slow | (t - before_t > gap))
+    run = np.cumsum(begins | ~slow)
+    # the row that ends a window that begins at a row, and the one after it, if that is of the same run at rest
+    after = np.minimum(np.searchsorted(t, t + span), np.searchsorted(run, run, "right") - 1) + 1
+    return n, begins, np.where((after < len(t)) & (run[np.minimum(after, len(t) - 1)] == run), after, -1)
+
+
+def _alike(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which any may be null; each key of the right is there once."""
+    named = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    return left.join(named, [left[k].eqNullSafe(named[f"_r{k}"]) for k in keys], "left").drop(*[f"_r{k}" for k in keys])
 
 
 def under_way(rows: DataFrame, by: list[str], config: Config, order: tuple[str, ...] = ("at_ms",)) -> DataFrame:

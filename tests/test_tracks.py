@@ -272,3 +272,46 @@ def test_plain_geo_is_column_geo(spark):
     lat, lon = geo.destination("lat", "lon", "e", "n")
     for (a, b, e, n), r in zip(rows, df.select(lat.alias("a"), lon.alias("b"), geo.haversine_m("lat", "lon", lat, lon).alias("d")).collect(), strict=True):
         assert r.d == pytest.approx(math.hypot(e, n), rel=1e-6) and folds.great_circle_m(a, b, r.a, r.b) == pytest.approx(r.d, rel=1e-9)
+
+
+def visits_in_order(rows, gap, span, slow):
+    out, n, first, last = {}, 0, None, None
+    for i, t, v in rows:
+        if first is not None and t - last > gap:
+            first = None
+        if v is None or not v < slow:
+            out[i], first = None, None
+            continue
+        if first is None:
+            n, first = n + 1, t
+        out[i], last = n, t
+        if t - first >= span:
+            first = None
+    return out
+
+
+@pytest.mark.parametrize("stretch_ms", [1, 100_000, 6 * 3_600_000])
+def test_windows_at_rest_don_t_depend_on_stretches(spark, stretch_ms):
+    rng, rows, want = random.Random(5), [], {}
+    for key in (*range(5), None):
+        t, moves, own = 1000 * rng.randrange(100), rng.choice([0.0, 0.005, 0.03]), []
+        for _ in range(500):
+            t += rng.choice([0, 1000, 1000, 2000, 4000]) if rng.random() > 0.01 else rng.choice([5000, 5001, 20_000, 400_000])
+            own.append((len(rows) + len(own), t, None if rng.random() < moves / 3 else (2.0 if rng.random() < moves else 0.5)))
+        want |= visits_in_order(own, 5000, 60_000, 1.0)
+        rows += [(i, key, t, v) for i, t, v in own]
+    df = frame(spark, [*rows, (10**6, 1, None, 0.5)], "id long, k long, at_ms long, sog_mps double").repartition(3)
+    got = folds.rest_windows(df, ["k"], Config(minimum_speed_mps=1.0, stationary_window_s=60.0), ("at_ms", "id"), stretch_ms)
+    assert {r.id: r.visit for r in got.collect()} == want | {10**6: None}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" in plan and "_b#" in plan
+
+
+def test_one_key_at_rest_spreads_over_tasks(spark):
+    """A week at anchor, a row a minute: its stretches are worked on by several tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(7 * 24 * 60).select(F.lit(1).alias("k"), (F.col("id") * 60_000).alias("at_ms"), F.lit(0.1).alias("sog_mps"))
+    got = folds.rest_windows(df, ["k"], Config(minimum_speed_mps=1.0, stationary_window_s=600.0, history_resolution_s=60)).withColumn("p", F.spark_partition_id())
+    r = got.agg(F.max("visit").alias("visits"), F.count_distinct("p").alias("tasks"), F.count("*").alias("n")).first()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (r.n, r.visits) == (7 * 24 * 60, -(-7 * 24 * 60 // 11)) and r.tasks > 1
