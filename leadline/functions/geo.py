@@ -154,3 +154,14 @@ def bbox_bounds(bbox: tuple[float, float, float, float]) -> tuple[float, float,
 def overview_width_m(base_m: float, zoom: float, scale: float = 0.5, most_m: float = 640.0) -> float:
     """Display width of cells at a zoom: doubles with each level under 20, held between the base and 640 m."""
     return max(base_m, min(most_m, base_m * 2 ** max(0, 20 - math.floor(zoom)) * min(0.75, max(0.25, scale))))
+
+
+def overview_widths_m(base_m: float, from_zoom: int, to_zoom: int) -> list[float]:
+    """The different widths over the base of a range of zooms, the widest first."""
+    return sorted({overview_width_m(base_m, z) for z in range(from_zoom, to_zoom + 1)} - {base_m}, reverse=True)
+
+
+def overview_width(base_m: float, zoom: ColumnOrName, scale: float = 0.5, most_m: float = 640.0) -> Column:
+    """``overview_width_m`` of a column of zooms."""
+    doubled = F.lit(base_m) * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.lit(20.0) - F.floor(c(zoom)))) * F.lit(min(0.75, max(0.25, scale)))
+    return F.greatest(F.lit(base_m), F.least(F.lit(most_m), doubled))

@@ -268,31 +268,61 @@ def with_neighbours(cells: DataFrame, config: Config) -> DataFrame:
     }).drop("around", "support")
 
 
-def overview(cells: DataFrame, base_m: float, display_m: float, tide: tuple[float, float] | None = None) -> DataFrame:
-    """Shown cells rolled up to wider ones: the shallowest member controls, the first by cell of equals.
-
-    ``tide`` (height, sigma) makes depths of water decide. Depths, sigma, confidence, reasons and newest time are
-    the controlling member's; counts are summed or maxed; coverage is the share of base cells there is evidence in.
-    """
-    if display_m <= base_m:
-        return cells
+def _placed(cells: DataFrame, base_m: float, widths: list[float]) -> DataFrame:
+    """Each cell once for each width, with the wider cell that its centre is in (width_m, px, py) and how many cells fill that."""
     x, y = hex_centre("cell_x", "cell_y", base_m)
-    px, py = hex_cell(x, y, display_m)
+
+    def parent(w: float) -> Column:
+        px, py = hex_cell(x, y, w)
+        return F.struct(F.lit(float(w)).alias("width_m"), px.alias("px"), py.alias("py"), F.lit((w / base_m) ** 2).alias("whole"))
+
+    return cells.withColumn("_at", F.explode(F.array(*map(parent, widths)))).select("*", "_at.*").drop("_at")
+
+
+def _rolled_up(placed: DataFrame, tide: tuple[float, float] | None) -> DataFrame:
+    """One row for each width, wider cell and datum. All of it merges, so cells are rolled up before they are shuffled."""
     depth = F.col("conservative_m") if tide is None else water_depth_m("render_m", "vertical_sigma_m", *tide)
     member = F.struct(depth.alias("d"), "cell_x", "cell_y", "robust_m", "render_m", "conservative_m", "vertical_sigma_m", "horizontal_sigma_m", "confidence", "newest_at_ms", F.array_join("reasons", "|").alias("reasons"))
-    g = cells.withColumns({"_px": px, "_py": py, "_m": member}).groupBy("_px", "_py", "datum").agg(
+    g = placed.withColumn("_m", member).groupBy("width_m", "whole", "px", "py", "datum").agg(
         F.min("_m").alias("m"), F.count("*").alias("members"),
         F.sum("sounding_count").alias("sounding_count"), F.sum("observation_count").alias("observation_count"),
         F.max("pass_count").alias("pass_count"), F.max("source_count").alias("source_count"),
         F.min("oldest_at_ms").alias("oldest_at_ms"), F.max("updated_at_ms").alias("updated_at_ms"), F.max(state_rank("change_state")).alias("rank"),
     )
     return g.select(
-        F.col("_px").alias("cell_x"), F.col("_py").alias("cell_y"), "datum", "m.robust_m", "m.render_m", "m.conservative_m", "m.vertical_sigma_m", "m.horizontal_sigma_m", "m.confidence",
-        F.split("m.reasons", r"\|").alias("reasons"), F.least(F.lit(1.0), F.col("members") / F.lit((display_m / base_m) ** 2)).alias("coverage"),
+        "width_m", F.col("px").alias("cell_x"), F.col("py").alias("cell_y"), "datum", "m.robust_m", "m.render_m", "m.conservative_m", "m.vertical_sigma_m", "m.horizontal_sigma_m", "m.confidence",
+        F.split("m.reasons", r"\|").alias("reasons"), F.least(F.lit(1.0), F.col("members") / F.col("whole")).alias("coverage"),
         "sounding_count", "observation_count", "pass_count", "source_count", "oldest_at_ms", "m.newest_at_ms", rank_state("rank").alias("change_state"), "updated_at_ms",
     )
 
 
+def overview(cells: DataFrame, base_m: float, display_m: float, tide: tuple[float, float] | None = None) -> DataFrame:
+    """Shown cells rolled up to wider ones: the shallowest member controls, the first by cell of equals.
+
+    ``tide`` (height, sigma) makes depths of water decide. Depths, sigma, confidence, reasons and newest time are
+    the controlling member's; counts are summed or maxed; coverage is the share of base cells there is evidence in.
+    """
+    return cells if display_m <= base_m else pyramid(cells, base_m, [display_m], tide).drop("width_m")
+
+
+def pyramid(cells: DataFrame, base_m: float, widths: list[float], tide: tuple[float, float] | None = None) -> DataFrame:
+    """The overviews of all widths over the base, with their ``width_m``, from one pass over the shown cells.
+
+    Hexagons of one width don't fill those of the next, so each level takes base cells, by their centres; what a task has of a
+    wider cell is rolled up before the one shuffle.
+    """
+    return _rolled_up(_placed(cells, base_m, [w for w in widths if w > base_m]), tide)
+
+
+def updated_pyramid(stored: DataFrame, cells: DataFrame, touched: DataFrame, base_m: float, widths: list[float], tide: tuple[float, float] | None = None) -> DataFrame:
+    """A pyramid after some cells (cell_x, cell_y, datum) were built anew, came or went: only the wider cells that they are in are rolled up again."""
+    widths, keys = [w for w in widths if w > base_m], ["width_m", "px", "py", "datum"]
+    parents = _placed(touched.select(*CELL), base_m, widths).select(*keys).distinct()
+    fresh = _rolled_up(_placed(cells, base_m, widths).join(parents, keys, "left_semi"), tide)
+    gone = parents.select("width_m", F.col("px").alias("cell_x"), F.col("py").alias("cell_y"), "datum")
+    return stored.join(gone, ["width_m", *CELL], "left_anti").unionByName(fresh)
+
+
 def state_rank(state) -> Column:
     """Place of a state by precedence, 1 to 4."""
     return F.array_position(F.array(*[F.lit(s) for s in STATES]), c(state))

@@ -221,6 +221,28 @@ def overview_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overview(spark, sf_dir).groupBy("change_state").agg(F.count("*").alias("n"))
 
 
+_WIDTHS = geo.overview_widths_m(5.0, 8, 20)
+_LEVELS = " UNION ALL ".join(f"SELECT {w}::DOUBLE AS width_m, * FROM ({_rolled('conservative_m', w)})" for w in _WIDTHS)
+
+
+def _level(o: DataFrame) -> DataFrame:
+    return o.select("width_m", *surface.CELL, nb.millimetres("render_m").alias("render_mm"), nb.micro("confidence").alias("confidence_u"), nb.micro("coverage").alias("coverage_u"), "sounding_count", "observation_count", "pass_count", "source_count", "oldest_at_ms", "newest_at_ms", "change_state")
+
+
+@query(_LEVELS)
+def overview_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All widths of overviews, from one pass over the cells."""
+    return _level(surface.pyramid(_shown(spark, sf_dir), 5.0, _WIDTHS))
+
+
+@query(_LEVELS)
+def overview_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pyramid of some cells, then the cells that came."""
+    cells = _shown(spark, sf_dir)
+    some = cells.filter("cell_x % 7 <> 0")
+    return _level(surface.updated_pyramid(surface.pyramid(some, 5.0, _WIDTHS), cells, cells.filter("cell_x % 7 = 0"), 5.0, _WIDTHS))
+
+
 _TILE = (16, 10485, 25325)
 
 
@@ -245,10 +267,15 @@ def tile_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.encode_areas(tiles.cell_rows(_cells(spark, sf_dir), CONFIG, *_TILE, AS_OF)).select("z", "x", "y", F.length("tile").alias("n_bytes"), F.sha2("tile", 256).alias("sha256"))
 
 
-@query(f"{ALL_CELLS} SELECT cell_x, cell_y, {micro('degrees((5.0 * (cell_x + cell_y / 2.0) + 5.0 / sqrt(3.0) * cos(radians(30))) / ' + R + ')')} AS first_lon_u, 7 AS corners FROM cells")
+_CORNER = "radians(30 + 60 * (k % 6))"
+_CORNER_X, _CORNER_Y = f"5.0 * (cell_x + cell_y / 2.0) + 5.0 / sqrt(3.0) * cos({_CORNER})", f"5.0 * sqrt(3.0) / 2 * cell_y + 5.0 / sqrt(3.0) * sin({_CORNER})"
+
+
+@query(f"{ALL_CELLS} SELECT cell_x, cell_y, k, {micro('degrees((' + _CORNER_X + ') / ' + R + ')')} AS lon_u, {micro('degrees(2.0 * atan(exp((' + _CORNER_Y + ') / ' + R + ')) - pi() / 2)')} AS lat_u FROM cells, (SELECT unnest(range(0, 7)) AS k)")
 def cell_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _cells(spark, sf_dir).withColumn("ring", surface.polygon("cell_x", "cell_y", 5.0))
-    return p.select("cell_x", "cell_y", nb.micro(F.col("ring")[0][0]).alias("first_lon_u"), F.size("ring").alias("corners"))
+    """The whole ring of each cell, a row for each corner."""
+    ring = F.posexplode(surface.polygon("cell_x", "cell_y", 5.0)).alias("k", "p")
+    return _cells(spark, sf_dir).select("cell_x", "cell_y", ring).select("cell_x", "cell_y", F.col("k").cast("long").alias("k"), nb.micro(F.col("p")[0]).alias("lon_u"), nb.micro(F.col("p")[1]).alias("lat_u"))
 
 
 _LOOKUP = (37.8004950, -122.3994300)
@@ -589,9 +616,10 @@ def tile_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), z.alias("z"), x.alias("x"), y.alias("y"))
 
 
-@query("SELECT z, greatest(5.0, least(640.0, 5.0 * pow(2.0, greatest(0, 20 - z)) * 0.5))::DOUBLE AS width_m FROM (SELECT unnest(range(0, 25)) AS z)")
+@query("SELECT DISTINCT event_id % 25 AS z, greatest(5.0, least(640.0, 5.0 * pow(2.0, greatest(0, 20 - event_id % 25)) * 0.5))::DOUBLE AS width_m FROM events")
 def overview_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(z, geo.overview_width_m(5.0, z)) for z in range(25)], "z long, width_m double")
+    z = (F.col("event_id") % 25).alias("z")
+    return table(spark, sf_dir, "events").select(z).distinct().withColumn("width_m", geo.overview_width(5.0, "z"))
 
 
 _TURN = "SELECT event_id AS id, radians(event_id % 50 - 25) AS roll, radians(event_id % 30 - 15) AS pitch, (event_id % 7) * 1.0 AS f, (event_id % 5) * 1.0 AS s, (event_id % 11) * 1.0 AS d FROM events"
