@@ -61,7 +61,7 @@ class Aligned:
     def reset(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.counts: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links; n_a is -1 where bytes differ
+        self.counts = np.zeros((1 << 12, 4), np.int64)  # n_a, n_b, n_groups, n_links; n_a is -1 where bytes differ
         self.pairs: list[list[int]] = []
         self.chars = 0
 
@@ -84,12 +84,17 @@ class Aligned:
     def _align(self, part: str, a: list[int], b: list[int]) -> None:
         data = (" " + part).encode()
         of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        self.number[part] = len(self.counts)
+        self.number[part] = n = len(self.groups)
+        if n == len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         if b"".join(of_a) != data or b"".join(of_b) != data:
             self.groups.append("")
-            self.counts.append((-1, 0, 0, 0))
+            self.counts[n, 0] = -1
             self.pairs.append([])
             return
+        if len(a) == 1 == len(b):  # most words
+            self._keep(f"{a[0]}|{b[0]}", (1, 1, 1, 1), [b[0] << _BITS | a[0]])
+            return
         i = j = first_a = first_b = 0
         end_a, end_b, groups, pairs = len(of_a[0]), len(of_b[0]), [], []
         while True:
@@ -106,9 +111,11 @@ class Aligned:
             if step_b:
                 j += 1
                 end_b += len(of_b[j])
-        text = ";".join(groups)
+        self._keep(";".join(groups), (len(a), len(b), len(groups), len(pairs)), pairs)
+
+    def _keep(self, text: str, counts: tuple[int, int, int, int], pairs: list[int]) -> None:
+        self.counts[len(self.groups)] = counts
         self.groups.append(text)
-        self.counts.append((len(a), len(b), len(groups), len(pairs)))
         self.pairs.append(pairs)
         self.chars += len(text)
 
@@ -130,7 +137,7 @@ class Chunk:
         self.doc: list[np.ndarray] = []
         self.unit: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
-        if len(self.units.counts) > TABLE_PIECES or self.units.chars > KEPT_CHARS:
+        if len(self.units.groups) > TABLE_PIECES or self.units.chars > KEPT_CHARS:
             self.units.reset()
 
     def full(self) -> bool:
@@ -153,7 +160,7 @@ class Chunk:
             np.add.at(times, back, np.concatenate([t for _, t in seen]))
         else:
             unit, times = seen[0]
-        counts = np.array([units.counts[u] for u in unit.tolist()], np.int64)
+        counts = units.counts[unit]
         if (counts[:, 0] < 0).any():
             return 0, 0, 0, 0, ""
         self.doc.append(np.full(len(unit), doc))
