@@ -24,10 +24,10 @@ def shown_depth(config: Config, tide: tuple[float, float] | None = None, display
     return F.col("render_m") if predicted else F.col("conservative_m")
 
 
-def cell_rows(cells: DataFrame, config: Config, z: int, x: int, y: int, as_of_ms: int, tide: tuple[float, float] | None = None, display: str | None = None, scale: float = 0.5, factor: float = 1.0, decimals: int = 1) -> DataFrame:
+def cell_rows(cells: DataFrame, config: Config, z: int, x: int, y: int, as_of_ms: int, tide: tuple[float, float] | None = None, display: str | None = None, scale: float = 0.5, factor: float = 1.0, decimals: int = 1, tide_of: tuple[str, int] | None = None) -> DataFrame:
     """Cells of a tile, rolled up to its display width, with shown depth, label and tile coordinates.
 
-    Outside the zoom range there are none. The tile is cut out with a margin of one display cell and not clipped
+    ``tide`` (height, sigma) makes depths those of water; ``tide_of`` says the station and the time (ms) of it. Outside the zoom range there are none. The tile is cut out with a margin of one display cell and not clipped
     further; neighbour confidence is that of all cells, for which a ring of cells around the cut is enough.
     """
     width = overview_width_m(config.base_cell_m, z, scale)
@@ -45,9 +45,17 @@ def cell_rows(cells: DataFrame, config: Config, z: int, x: int, y: int, as_of_ms
         "cell_m": F.lit(width), "depth_m": depth, "sigma_m": sigma, "label": depth_label(depth, factor, decimals),
         "tile_x": half_up((cx - x0) / span * EXTENT), "tile_y": half_up((F.lit(y1) - cy) / span * EXTENT), "ring": F.transform(hex_vertices("cell_x", "cell_y", width), place),
         "safety_m": F.lit(config.surface_to_keel_m + config.danger_under_keel_m), "reasons": F.array_join("reasons", "|"), "z": F.lit(z), "x": F.lit(x), "y": F.lit(y),
+        "label_size": F.lit(float(config.depth_label_relative_size)), **tide_columns(tide, tide_of),
     })
 
 
+def tide_columns(tide: tuple[float, float] | None, of: tuple[str, int] | None) -> dict[str, Column]:
+    """Which tide shown depths have, null without one."""
+    height, sigma = tide or (None, None)
+    station, at = (of or (None, None)) if tide else (None, None)
+    return {"tide_height_m": F.lit(height).cast("double"), "tide_sigma_m": F.lit(sigma).cast("double"), "tide_station": F.lit(station).cast("string"), "tide_at_ms": F.lit(at).cast("long")}
+
+
 # Property names that chart clients read, and the columns they show.
 AREA_PROPERTIES = {
     "DRVAL1": "depth_m", "DRVAL2": "depth_m", "DEPTH": "depth_m", "BATHY_DATUM": "datum", "BATHY_CELL_X": "cell_x", "BATHY_CELL_Y": "cell_y", "BATHY_CELL_METERS": "cell_m",
@@ -56,6 +64,7 @@ AREA_PROPERTIES = {
     "BATHY_OLDEST_AT_MS": "oldest_at_ms", "BATHY_NEWEST_AT_MS": "newest_at_ms", "BATHY_UPDATED_AT_MS": "updated_at_ms", "BATHY_CHANGE_STATE": "change_state", "BATHY_LABEL": "label",
     "BATHY_SAFETY_THRESHOLD_M": "safety_m", "BATHY_HORIZONTAL_SIGMA_M": "horizontal_sigma_m", "BATHY_CONFIDENCE_REASONS": "reasons", "BATHY_COVERAGE": "coverage",
     "BATHY_NEIGHBOR_SUPPORT_COUNT": "neighbour_support", "BATHY_NEIGHBOR_DEPTH_DELTA_M": "neighbour_delta_m",
+    "BATHY_LABEL_RELATIVE_SIZE": "label_size", "BATHY_TIDE_HEIGHT_M": "tide_height_m", "BATHY_TIDE_SIGMA_M": "tide_sigma_m", "BATHY_TIDE_STATION": "tide_station", "BATHY_TIDE_AT_MS": "tide_at_ms",
 }
 POINT_PROPERTIES = {
     "DEPTH": "depth_m", "VALSOU": "depth_m", "BATHY_DEPTH_M": "depth_m", "BATHY_LABEL": "label", "BATHY_CONFIDENCE": "confidence", "BATHY_DATUM": "datum", "BATHY_SOUNDING_COUNT": "samples",
