@@ -82,6 +82,12 @@ class Bathymetry:
         rows = tiles.cell_rows(self.cells, self.config, *check_tile(z, x, y), as_of_ms, tide, display, scale)
         return tiles.encode_areas(rows, "datum" if tide is None else "water", display or self.config.display_depth, self.config.show_depth_labels)
 
+    def sheet(self, from_zoom: int, to_zoom: int, as_of_ms: int, tide: tuple[float, float] | None = None, display: str | None = None, scale: float = 0.5) -> DataFrame:
+        """All tiles of some zooms, a row each, as one job; tiles without cells have none."""
+        zooms = range(check_integer("from_zoom", from_zoom, 0, 24), check_integer("to_zoom", to_zoom, from_zoom, 24) + 1)
+        rows = tiles.sheet_rows(tiles.display_levels(self.shown(as_of_ms), self.config, zooms, tide, scale), self.config, zooms, tide, display, scale)
+        return tiles.encode_areas(rows, "datum" if tide is None else "water", display or self.config.display_depth, self.config.show_depth_labels)
+
     def projection(self, tide: tuple[float, float], as_of_ms: int) -> DataFrame:
         """Cells with the depth of water at a tide, with and without its margin, and under the keel."""
         from pyspark.sql import functions as F

@@ -65,15 +65,15 @@ def hex_cell(x: ColumnOrName, y: ColumnOrName, width_m: float) -> tuple[Column,
     return cell["x"], cell["y"]
 
 
-def hex_centre(cell_x: ColumnOrName, cell_y: ColumnOrName, width_m: float) -> tuple[Column, Column]:
-    m = float(width_m)
-    return F.lit(m) * (c(cell_x) + c(cell_y) / F.lit(2.0)), F.lit(m * ROOT3 / 2) * c(cell_y)
+def hex_centre(cell_x: ColumnOrName, cell_y: ColumnOrName, width_m: float | Column) -> tuple[Column, Column]:
+    m = width_m if isinstance(width_m, Column) else F.lit(float(width_m))
+    return m * (c(cell_x) + c(cell_y) / F.lit(2.0)), m * F.lit(ROOT3) / F.lit(2.0) * c(cell_y)
 
 
-def hex_vertices(cell_x: ColumnOrName, cell_y: ColumnOrName, width_m: float) -> Column:
+def hex_vertices(cell_x: ColumnOrName, cell_y: ColumnOrName, width_m: float | Column) -> Column:
     """The six corners as an array of (x, y) in Mercator metres, from 30 degrees on."""
     x, y = hex_centre(cell_x, cell_y, width_m)
-    radius = F.lit(width_m / ROOT3)
+    radius = (width_m if isinstance(width_m, Column) else F.lit(float(width_m))) / F.lit(ROOT3)
     return F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct((x + radius * F.cos(F.radians(k * 60 + 30))).alias("x"), (y + radius * F.sin(F.radians(k * 60 + 30))).alias("y")))
 
 
@@ -108,6 +108,19 @@ def tile_bounds_columns(z: ColumnOrName, x: ColumnOrName, y: ColumnOrName) -> tu
     return -edge + c(x) * span, edge - (c(y) + 1) * span, -edge + (c(x) + 1) * span, edge - c(y) * span
 
 
+def tiles_around(z: ColumnOrName, x_m: ColumnOrName, y_m: ColumnOrName, margin_m: ColumnOrName) -> Column:
+    """The tiles (x, y) of a zoom that hold a Mercator point when they are widened by a margin; none beyond the world's edge."""
+    n = F.pow(F.lit(2.0), c(z))
+    span, edge, m = F.lit(CIRCUMFERENCE_M) / n, F.lit(CIRCUMFERENCE_M / 2), c(margin_m)
+
+    def between(low: Column, high: Column) -> Column:
+        first, last = F.greatest(F.floor(low / span), F.lit(0).cast("long")), F.least(F.floor(high / span), n.cast("long") - 1)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    xs, ys = between(c(x_m) - m + edge, c(x_m) + m + edge), between(edge - c(y_m) - m, edge - c(y_m) + m)
+    return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("x"), j.alias("y")))))
+
+
 def parent_tile(z: ColumnOrName, x: ColumnOrName, y: ColumnOrName, zoom: int = 12) -> tuple[Column, Column, Column]:
     """The tile at a coarser zoom that holds a tile; a tile at or above that zoom is its own."""
     up = F.greatest(c(z) - zoom, F.lit(0)).cast("int")

@@ -314,6 +314,11 @@ def pyramid(cells: DataFrame, base_m: float, widths: list[float], tide: tuple[fl
     return _rolled_up(_placed(cells, base_m, [w for w in widths if w > base_m]), tide)
 
 
+def parents(cells: DataFrame, base_m: float, widths: list[float]) -> DataFrame:
+    """The display cells (width_m, cell_x, cell_y, datum) of all widths that cells (cell_x, cell_y, datum) are in; at the base's width themselves."""
+    return _placed(cells.select(*CELL), base_m, widths).select("width_m", F.col("px").alias("cell_x"), F.col("py").alias("cell_y"), "datum").distinct()
+
+
 def updated_pyramid(stored: DataFrame, cells: DataFrame, touched: DataFrame, base_m: float, widths: list[float], tide: tuple[float, float] | None = None) -> DataFrame:
     """A pyramid after some cells (cell_x, cell_y, datum) were built anew, came or went: only the wider cells that they are in are rolled up again."""
     widths, keys = [w for w in widths if w > base_m], ["width_m", "px", "py", "datum"]

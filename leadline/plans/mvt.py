@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 EXTENT = 4096
 AREAS, POINTS = "DEPARE", "SOUNDG"
@@ -54,14 +54,14 @@ def layer(name: str, features: Iterable[tuple[dict, list[tuple[int, int]]]], clo
     """A layer of (properties, points); names and values are listed once each, in order of first use."""
     keys: dict[str, int] = {}
     values: dict[tuple[type, object], int] = {}
-    body = b""
+    body = bytearray()
     for properties, points in features:
         tags = [i for k, v in properties.items() for i in (keys.setdefault(k, len(keys)), values.setdefault((type(v), v), len(values)))]
         data = _field(2, b"".join(map(varint, tags))) + _number(3, 3 if closed else 1)
         if points and (not closed or len(points) > 2):
             data += _field(4, b"".join(map(varint, _geometry(points, closed))))
         body += _field(2, data)
-    return _number(15, 2) + _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _number(5, EXTENT)
+    return _number(15, 2) + _field(1, name.encode()) + bytes(body) + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _number(5, EXTENT)
 
 
 def area_tile(features: list[tuple[dict, list[tuple[int, int]], tuple[int, int]]]) -> bytes:
@@ -71,3 +71,72 @@ def area_tile(features: list[tuple[dict, list[tuple[int, int]], tuple[int, int]]
 
 def point_tile(features: list[tuple[dict, tuple[int, int]]]) -> bytes:
     return _field(3, layer(POINTS, ((p, [at]) for p, at in features), False))
+
+
+def _parts(data: memoryview) -> Iterator[tuple[int, int | float | memoryview]]:
+    """Fields of a message: (number, value); what has a length comes as its bytes."""
+    at = 0
+
+    def read() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(data):
+        key = read()
+        match key & 7:
+            case 0:
+                yield key >> 3, read()
+            case 1:
+                yield key >> 3, struct.unpack_from("<d", data, at)[0]
+                at += 8
+            case 2:
+                n = read()
+                yield key >> 3, data[at : at + n]
+                at += n
+            case other:
+                raise ValueError(f"wire type {other} is not one of tiles")
+
+
+def _numbers(data: memoryview) -> list[int]:
+    out, n, shift = [], 0, 0
+    for b in data:
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            out.append(n)
+            n = shift = 0
+    return out
+
+
+def _points(commands: list[int]) -> list[tuple[int, int]]:
+    out, x, y, at = [], 0, 0, 0
+    while at < len(commands):
+        command, times = commands[at] & 7, commands[at] >> 3
+        at += 1
+        for _ in range(times if command != 7 else 0):
+            dx, dy = ((v >> 1) ^ -(v & 1) for v in commands[at : at + 2])
+            x, y, at = x + dx, y + dy, at + 2
+            out.append((x, y))
+    return out
+
+
+def features(tile: bytes) -> Iterator[tuple[str, dict, list[tuple[int, int]]]]:
+    """(layer, properties, points) of a tile's features, in the order of the tile. Numbers come as floats."""
+    for _, body in _parts(memoryview(tile)):
+        parts = list(_parts(body))
+        name = next(bytes(v).decode() for n, v in parts if n == 1)
+        keys = [bytes(v).decode() for n, v in parts if n == 3]
+        held = [next(_parts(v)) for n, v in parts if n == 4]
+        values = [bool(v) if n == 7 else bytes(v).decode() if n == 1 else float(v) for n, v in held]
+        for n, v in parts:
+            if n == 2:
+                one = dict(_parts(v))
+                tags = _numbers(one.get(2, memoryview(b"")))
+                yield name, {keys[k]: values[i] for k, i in zip(tags[::2], tags[1::2], strict=True)}, _points(_numbers(one.get(4, memoryview(b""))))

@@ -246,14 +246,18 @@ def overview_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TILE = (16, 10485, 25325)
 
 
-def _tile_sql() -> str:
-    z, x, y = _TILE
-    x0, y0, x1, y1 = geo.tile_bounds(z, x, y)
-    w = geo.overview_width_m(5.0, z)
+def _tile_rolled_sql() -> str:
+    x0, y0, x1, y1 = geo.tile_bounds(*_TILE)
+    w = geo.overview_width_m(5.0, _TILE[0])
     a, b, c, d = geo.cell_range((x0 - w, y0 - w, x1 + w, y1 + w), 5.0)
-    inner = _rolled("conservative_m", w).replace("FROM shown)", f"FROM shown WHERE cell_x BETWEEN {a} AND {b} AND cell_y BETWEEN {c} AND {d})")
+    return _rolled("conservative_m", w).replace("FROM shown)", f"FROM shown WHERE cell_x BETWEEN {a} AND {b} AND cell_y BETWEEN {c} AND {d})")
+
+
+def _tile_sql() -> str:
+    x0, _, x1, y1 = geo.tile_bounds(*_TILE)
+    w = geo.overview_width_m(5.0, _TILE[0])
     return f"""SELECT cell_x, cell_y, datum, render_mm AS depth_mm, CASE WHEN abs(render_mm / 1000.0) >= 10 THEN cast(cast(floor(render_mm / 1000.0) AS bigint) AS varchar) ELSE printf('%.1f', floor(render_mm / 1000.0 * 10) / 10) END AS label,
-  cast(floor(({w} * (cell_x + cell_y / 2.0) - ({x0})) / {x1 - x0} * 4096 + 0.5) AS bigint) AS tile_x, cast(floor(({y1} - {w} * sqrt(3.0) / 2 * cell_y) / {x1 - x0} * 4096 + 0.5) AS bigint) AS tile_y FROM ({inner})"""
+  cast(floor(({w} * (cell_x + cell_y / 2.0) - ({x0})) / {x1 - x0} * 4096 + 0.5) AS bigint) AS tile_x, cast(floor(({y1} - {w} * sqrt(3.0) / 2 * cell_y) / {x1 - x0} * 4096 + 0.5) AS bigint) AS tile_y FROM ({_tile_rolled_sql()})"""
 
 
 @query(_tile_sql())
@@ -267,6 +271,60 @@ def tile_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.encode_areas(tiles.cell_rows(_cells(spark, sf_dir), CONFIG, *_TILE, AS_OF)).select("z", "x", "y", F.length("tile").alias("n_bytes"), F.sha2("tile", 256).alias("sha256"))
 
 
+def _features_sql(rows: str) -> str:
+    """Features of both layers of tiles, from rows of z, x, y, w and what ``_rolled`` gives."""
+    edge = geo.CIRCUMFERENCE_M / 2
+    at = lambda v, low, sign: f"cast(floor({sign}(({v}) - {low}) / (east - west) * 4096 + 0.5) AS bigint)"
+    cx, cy, turn = "w * (cell_x + cell_y / 2.0)", "w * sqrt(3.0) / 2 * cell_y", "radians(30 + 60 * k)"
+    corner = f"{at(f'{cx} + w / sqrt(3.0) * cos({turn})', 'west', '')} || ' ' || {at(f'{cy} + w / sqrt(3.0) * sin({turn})', 'north', '-')}"
+    return f"""SELECT z, x, y, layer, cell_x, cell_y, render_mm AS depth_mm, CASE WHEN abs(render_mm / 1000.0) >= 10 THEN cast(cast(floor(render_mm / 1000.0) AS bigint) AS varchar) ELSE printf('%.1f', floor(render_mm / 1000.0 * 10) / 10) END AS label,
+  confidence_u, sounding_count, observation_count, pass_count, source_count, newest_at_ms, change_state,
+  CASE layer WHEN 'SOUNDG' THEN {at(cx, 'west', '')} || ' ' || {at(cy, 'north', '-')} ELSE array_to_string([{corner} FOR k IN range(0, 6)], ' ') END AS points
+FROM (SELECT *, -{edge} + x * ({2 * edge} / pow(2.0, z)) AS west, -{edge} + (x + 1) * ({2 * edge} / pow(2.0, z)) AS east, {edge} - y * ({2 * edge} / pow(2.0, z)) AS north FROM ({rows})), (SELECT unnest(['DEPARE', 'SOUNDG']) AS layer)"""
+
+
+def _features(encoded: DataFrame) -> DataFrame:
+    """What can be read out of the bytes of tiles."""
+    number = lambda n: F.col("numbers")[n]
+    whole = {"cell_x": "BATHY_CELL_X", "cell_y": "BATHY_CELL_Y", "sounding_count": "BATHY_SOUNDING_COUNT", "observation_count": "BATHY_OBSERVATION_COUNT", "pass_count": "BATHY_PASS_COUNT", "source_count": "BATHY_SOURCE_COUNT", "newest_at_ms": "BATHY_NEWEST_AT_MS"}
+    return tiles.decode(encoded).select(
+        "z", "x", "y", "layer", *[number(n).cast("long").alias(column) for column, n in whole.items()], nb.millimetres(number("DEPTH")).alias("depth_mm"), nb.micro(number("BATHY_CONFIDENCE")).alias("confidence_u"),
+        F.col("texts")["BATHY_LABEL"].alias("label"), F.col("texts")["BATHY_CHANGE_STATE"].alias("change_state"), F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("points"),
+    )
+
+
+_ROLLED = "cell_x, cell_y, render_mm, confidence_u, sounding_count, observation_count, pass_count, source_count, newest_at_ms, change_state"
+
+
+@query(_features_sql(f"SELECT {_TILE[0]} AS z, {_TILE[1]} AS x, {_TILE[2]} AS y, {geo.overview_width_m(5.0, _TILE[0])}::DOUBLE AS w, {_ROLLED} FROM ({_tile_rolled_sql()})"))
+def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tile's bytes, read back."""
+    return _features(tiles.encode_areas(tiles.cell_rows(_cells(spark, sf_dir), CONFIG, *_TILE, AS_OF)))
+
+
+_ZOOMS = (8, 14, 17, 18, 20)
+
+
+def _sheet_sql() -> str:
+    edge = geo.CIRCUMFERENCE_M / 2
+
+    def level(z: int) -> str:
+        w, span, most = geo.overview_width_m(5.0, z), 2 * edge / 2**z, 2**z - 1
+        cx, cy = "w * (cell_x + cell_y / 2.0)", "w * sqrt(3.0) / 2 * cell_y"
+        tile = lambda low, high: f"unnest(range(greatest(0, cast(floor(({low}) / {span}) AS bigint)), least({most}, cast(floor(({high}) / {span}) AS bigint)) + 1))"
+        own = f"SELECT *, {milli('render_m')} AS render_mm, {micro('confidence')} AS confidence_u FROM ({SHOWN} SELECT * FROM shown)"
+        return f"SELECT *, {tile(f'{edge} - {cy} - w', f'{edge} - {cy} + w')} AS y FROM (SELECT *, {tile(f'{edge} + {cx} - w', f'{edge} + {cx} + w')} AS x FROM (SELECT {z} AS z, {w}::DOUBLE AS w, {_ROLLED} FROM ({own if w == 5.0 else _rolled('conservative_m', w)})))"
+
+    return _features_sql(" UNION ALL ".join(map(level, _ZOOMS)))
+
+
+@query(_sheet_sql())
+def tile_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiles of the whole surface at several zooms, by one job, read back from their bytes."""
+    levels = tiles.display_levels(_shown(spark, sf_dir), CONFIG, _ZOOMS)
+    return _features(tiles.encode_areas(tiles.sheet_rows(levels, CONFIG, _ZOOMS)))
+
+
 _CORNER = "radians(30 + 60 * (k % 6))"
 _CORNER_X, _CORNER_Y = f"5.0 * (cell_x + cell_y / 2.0) + 5.0 / sqrt(3.0) * cos({_CORNER})", f"5.0 * sqrt(3.0) / 2 * cell_y + 5.0 / sqrt(3.0) * sin({_CORNER})"
 

@@ -501,3 +501,37 @@ def test_live_stream_to_cells_and_journal(spark, tmp_path):
     assert sf_.cells().agg(F.sum("sounding_count")).first()[0] == 29 and sf_.soundings().count() == 58
     log.add(log.read().drop("id", "fingerprint"), 0, str(tmp_path / "check"))
     assert log.read().count() == 60 and live.readings_of(deltas.flatten(deltas.read(spark, str(tmp_path / "in"))), paths, F.lit(1), "lat", "MLLW").filter("path = 'tide'").count() == 0
+
+
+def test_a_sheet_has_all_tiles_and_touched_ones_are_enough(spark, bathymetry):
+    b, now, zooms = bathymetry, q.AS_OF, (7, 16, 18, 20)
+    shown = b.shown(now).cache()
+    sheet = {(r.z, r.x, r.y): bytes(r.tile) for r in tiles.encode_areas(tiles.sheet_rows(tiles.display_levels(shown, C, zooms), C, zooms)).collect()}
+    assert {z for z, _, _ in sheet} == {16, 18, 20} and len({k for k in sheet if k[0] == 20}) > 20
+    assert {k[1:] for k in sheet if k[0] == 16} == {(r.x, r.y) for r in b.sheet(16, 16, now).collect()} and (10485, 25325) in {k[1:] for k in sheet if k[0] == 16}
+
+    # what lies in the square of a tile by itself is in the sheet's as well
+    def inside(tile: bytes) -> set:
+        return {(p["BATHY_CELL_X"], p["BATHY_CELL_Y"], p["DEPTH"], p["BATHY_CONFIDENCE"], at[0]) for layer, p, at in mvt.features(tile) if layer == "SOUNDG" and all(0 <= v < 4096 for v in at[0])}
+
+    for z, x, y in [(16, 10485, 25325), *[k for k in sheet if k[0] == 18][:2]]:
+        assert inside(bytes(b.tile(z, x, y, now).first().tile)) == inside(sheet[z, x, y])
+
+    # some cells go, one by one tile; the rest of the sheet stays as it is
+    gone = b.cells.orderBy("cell_x", "cell_y").limit(3).select(*surface.CELL).cache()
+    left = surface.with_neighbours(surface.read_cells(b.cells.join(gone, surface.CELL, "left_anti"), C, now), C).cache()
+    encoded = lambda only: {(r.z, r.x, r.y): bytes(r.tile) for r in tiles.encode_areas(tiles.sheet_rows(tiles.display_levels(left, C, zooms), C, zooms, only=only)).collect()}
+    touched = tiles.touched_tiles(gone, C, zooms)
+    keys = {tuple(r) for r in touched.collect()}
+    assert 0 < len(keys & sheet.keys()) < len(sheet)
+    assert {k: v for k, v in sheet.items() if k not in keys} | encoded(touched) == encoded(None)
+    assert tiles.decode(b.sheet(16, 16, now).limit(0)).count() == 0 and b.sheet(0, 7, now).count() == 0
+    with pytest.raises(ValueError):
+        b.sheet(9, 8, now)
+
+
+def test_tiles_are_decoded_as_they_were_written():
+    ring = [(10, 10), (20, 5), (15, -30)]
+    tile = mvt.area_tile([({"a": 1.5, "b": "x", "c": True, "d": -2.0}, ring, (3, -4)), ({"a": 1.5}, ring, (0, 0)), ({}, ring, (-5000, 9000))])
+    assert list(mvt.features(tile)) == [(layer, p, points) for layer, k in (("DEPARE", 0), ("SOUNDG", 1)) for p, points in (({"a": 1.5, "b": "x", "c": True, "d": -2.0}, [ring, [(3, -4)]][k]), ({"a": 1.5}, [ring, [(0, 0)]][k]), ({}, [ring, [(-5000, 9000)]][k]))]
+    assert not list(mvt.features(mvt.area_tile([]))) and not list(mvt.features(b""))
