@@ -44,10 +44,11 @@ def number(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(float("nan"))).when(F.trim(text) == "", F.lit(0.0)).otherwise(F.coalesce(F.trim(text).try_cast("double"), F.lit(float("nan"))))
 
 
-def parse(rows: DataFrame, bbox: tuple[float, float, float, float], metadata: dict[str, str]) -> DataFrame:
+def parse(rows: DataFrame, bbox: tuple[float, float, float, float], metadata: dict[str, str | Column], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows in the box (west, south, east, north), with is_valid. Rows outside it, or without a readable place, are gone.
 
-    Valid: a readable time and a depth over 0 and up to 12,000 m. Blank platform and provider fall back to the file's.
+    Valid: a readable time and a depth over 0 and up to 12,000 m. Blank platform and provider fall back to the file's,
+    texts or columns of the rows. Columns to keep go along.
     """
     cols = set(rows.columns)
     text = lambda n: F.col(n).cast("string") if n in cols else F.lit(None).cast("string")
@@ -60,7 +61,7 @@ def parse(rows: DataFrame, bbox: tuple[float, float, float, float], metadata: di
         lon.alias("longitude"), lat.alias("latitude"), depth.alias("depth_m"), at.alias("observed_at_ms"),
         fallback(text("PLATFORM_NAME"), F.lit(metadata.get("platform", "Unknown"))).alias("platform"),
         fallback(text("PROVIDER"), F.lit(metadata.get("provider", "Unknown"))).alias("provider"),
-        F.lit(metadata.get("instrument", "Unknown")).alias("instrument"),
+        F.lit(metadata.get("instrument", "Unknown")).alias("instrument"), *keep,
     )
     return out.withColumn("is_valid", finite(F.col("longitude")) & finite(F.col("latitude")) & finite(F.col("depth_m")) & (F.col("depth_m") > 0) & (F.col("depth_m") <= DEEPEST_M) & F.col("observed_at_ms").isNotNull())
 

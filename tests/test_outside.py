@@ -290,6 +290,52 @@ def test_archive_of_files(spark, tmp_path):
     assert [(r.length, r.is_small) for r in crowd.small_files(spark, str(tmp_path / "files"), 5).collect()] == [(19, False)]
 
 
+def test_an_archive_is_read_by_its_index(spark, tmp_path):
+    from leadline.sources import archive
+
+    record = lambda name, **k: {"attributes": {"NAME": name, "ITEM_ID": "i", **k}}
+    names = [f"2024050{n}_{n}.tar.gz" for n in range(1, 8)]
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index" / "page-2.json").write_text(json.dumps({"features": [record(n, PLATFORM="B", START_DATE=T0 if n < "20240506" else "soon") for n in names[2:]] + [record(names[0], PLATFORM="late"), record(None)]}))
+    (tmp_path / "index" / "page-10.json").write_text(json.dumps({"features": [record(names[2], PLATFORM="later")]}))
+    (tmp_path / "index" / "page-1.json").write_text(json.dumps({"features": [record(names[0], PLATFORM="A", PROVIDER="p"), record(names[1]), record("notes.txt")], "exceededTransferLimit": True}))
+    (tmp_path / "index" / "page-3.json").write_text(json.dumps({"features": []}))
+    index = archive.read_index(spark, str(tmp_path / "index"))
+    files = crowd.discover(index).cache()
+    got = {r.name: r for r in files.collect()}
+    assert sorted(got) == names and [got[names[n]].platform for n in (0, 1, 2)] == ["A", "Unknown", "B"] and (got[names[2]].start_ms, got[names[6]].start_ms) == (T0, None)
+
+    def put(n: int, text: str | bytes, ending: str = ".csv") -> None:
+        folder = tmp_path / "csb" / "csv" / "2024" / "05" / f"0{n}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"2024050{n}_{n}{ending}").write_bytes(text if isinstance(text, bytes) else text.encode())
+
+    put(1, CSV)
+    put(2, b"\xef\xbb\xbfTIME,depth, LAT,LON,more\r\n2024-05-01T00:00:00Z,7,37.8,-122.4,\"a\nb\"\r\n\r\n2024-05-01T00:00:00Z,8\r\n", "_pointData.csv")
+    put(3, "LON,LAT,DEPTH\n1,2,3\n")
+    put(4, CSV * 100)
+    put(5, "")
+    put(6, "LON,LAT,DEPTH,TIME\n")
+    table, box = crowd.Archive(spark, str(tmp_path / "table")), (-123, 37, -122, 38)
+    manifest = {r.name: r for r in archive.take(table, files, str(tmp_path), box, 100, most_bytes=10_000).collect()}
+    assert [manifest[n].status for n in names] == ["complete", "complete", "failed", "failed", "failed", "complete", "failed"]
+    assert [manifest[n].sounding_count for n in (names[0], names[1], names[5])] == [1, 1, 0] and manifest[names[0]].invalid_count == 1
+    assert all(word in manifest[names[n]].error for n, word in ((2, "TIME"), (3, "over 10000"), (4, "LON"), (6, "no CSV")))
+    assert sorted((r.file_name, r.depth_m, r.platform, r.provider) for r in table.points().collect()) == [(names[0], 12.5, 'Boat, "B"', "p"), (names[1], 7.0, "Unknown", "Unknown")]
+
+    # a file that breaks keeps what it had; one that is mended comes in
+    put(1, "LON\n1\n")
+    put(3, CSV)
+    again = {r.name: r.status for r in archive.take(table, files.filter(F.col("name").isin(names[0], names[2])), str(tmp_path), box, 200).collect()}
+    assert again == {names[0]: "failed", names[2]: "complete"}
+    assert sorted(r.file_name for r in table.points().collect()) == names[:3]
+    none = archive.take(table, files.limit(0), str(tmp_path), box, 300)
+    assert none.count() == 0 and table.points().count() == 3
+    (tmp_path / "index" / "page-4.json").write_text(json.dumps({"error": {"message": "busy"}}))
+    with pytest.raises(Exception, match="busy"):
+        archive.read_index(spark, str(tmp_path / "index")).collect()
+
+
 def test_history_responses(spark):
     body = {"context": "v", "values": [{"path": "d", "method": "first"}, {"path": "p", "method": "first"}], "data": [["2026-01-01T00:00:01Z", "5.5", '{"latitude": 1, "longitude": 2}'], ["bad", "1", None], ["2026-01-01T00:00:00Z", "NaN", "[2.5, 1.5]"], ["2026-01-01T00:00:03Z", None, "x"]]}
     r = spark.createDataFrame([json.dumps(body)], "string").select(F.from_json("value", deltas.RESPONSE).alias("r")).select("r.*")
