@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadline.config import Config, public_settings
 from leadline.functions.geo import bbox_bounds
-from leadline.operators import crowd, listing, surface
+from leadline.operators import crowd, listing, places, surface
 from leadline.plans import tiles
 
 MOST_SOUNDINGS, MOST_POINTS, MOST_DAYS = 10_000, 100_000, 31
@@ -64,8 +64,8 @@ class Bathymetry:
         return listing.stats(self.stored, self.qc, self.cells, self.replaced)
 
     def soundings(self, bbox=None, from_ms: int | None = None, to_ms: int | None = None, state: str | None = None, limit: int = 1000) -> DataFrame:
-        box = None if bbox is None else check_bbox(bbox)
-        return listing.listed(listing.soundings(self.active(), self.qc, box, from_ms, to_ms, state, check_integer("limit", limit, 1, MOST_SOUNDINGS)))
+        rows = self.active() if bbox is None else places.within(self.active(), check_bbox(bbox))
+        return listing.listed(listing.soundings(rows, self.qc, None, from_ms, to_ms, state, check_integer("limit", limit, 1, MOST_SOUNDINGS)))
 
     def cells_in(self, bbox, as_of_ms: int, datum: str | None = None) -> DataFrame:
         return listing.shown_in(self.cells, bbox_bounds(check_bbox(bbox)), self.config, as_of_ms, datum)
@@ -104,7 +104,7 @@ class Bathymetry:
         return crowd.page(self.points, vessel, journey, after, check_integer("limit", limit, 1, MOST_POINTS))
 
     def crowd_soundings(self, bbox, limit: int = 10_000) -> DataFrame:
-        return crowd.newest(self.points.filter(listing.in_bbox(check_bbox(bbox))), check_integer("limit", limit, 1, MOST_POINTS))
+        return crowd.newest(places.within(self.points, check_bbox(bbox)), check_integer("limit", limit, 1, MOST_POINTS))
 
     def crowd_coverage(self, **choice) -> DataFrame:
         """One row: the bounds of the journeys that are chosen, and how many they are."""

@@ -14,9 +14,19 @@ from leadline.operators.surface import read_cells, with_neighbours
 Bbox = tuple[float, float, float, float]
 
 
+#: The column of a position's key along the curve, where a table has one.
+PLACE = "place"
+
+
+def box_e7(bbox: Bbox) -> tuple[int, int, int, int]:
+    """A box in fixed point."""
+    w, s, e, n = (int(x * 1e7 + (0.5 if x >= 0 else -0.5)) for x in bbox)
+    return w, s, e, n
+
+
 def in_bbox(bbox: Bbox, lat: str = "lat_e7", lon: str = "lon_e7") -> Column:
     """Fixed-point positions in (west, south, east, north), edges included; pushed down to the scan."""
-    w, s, e, n = (int(x * 1e7 + (0.5 if x >= 0 else -0.5)) for x in bbox)
+    w, s, e, n = box_e7(bbox)
     return F.col(lon).between(w, e) & F.col(lat).between(s, n)
 
 

@@ -12,7 +12,7 @@ from leadline import fixtures as fx
 from leadline.config import Config
 from leadline.functions import beam, confidence, depth, geo, text
 from leadline.functions import numbers as nb
-from leadline.operators import align, asof, crowd, folds, listing, rest, surface
+from leadline.operators import align, asof, crowd, folds, listing, places, rest, surface
 from leadline.plans import backfill, store, tiles
 from leadline.sources import crowd as crowd_source
 from leadline.sources import deltas
@@ -943,6 +943,20 @@ def csb_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).filter(listing.in_bbox(_CROWD_BOX)).select("unique_id", "file_uuid", "observed_at_ms", "lat_e7", "lon_e7", "depth_mm")
 
 
+_KEY = "cast(list_sum([(((lon_e7 + 1800000000) // 2 >> k) & 1) * (1::BIGINT << (2 * k)) + ((lat_e7 + 900000000 >> k) & 1) * (1::BIGINT << (2 * k + 1)) FOR k IN range(0, 31)]) AS bigint)"
+
+
+@query(f"{_IMPORTED} SELECT unique_id, file_uuid, observed_at_ms, depth_mm, {_KEY} AS place FROM pts")
+def place_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.with_place(_points(spark, sf_dir)).select("unique_id", "file_uuid", "observed_at_ms", "depth_mm", "place")
+
+
+@query(f"{_IMPORTED} SELECT unique_id, file_uuid, observed_at_ms, lat_e7, lon_e7, depth_mm FROM pts WHERE lon_e7 BETWEEN -1223950000 AND -1223600000 AND lat_e7 BETWEEN 378050000 AND 378300000")
+def place_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box by ranges of the key, then exactly."""
+    return places.within(places.with_place(_points(spark, sf_dir)), _CROWD_BOX).select("unique_id", "file_uuid", "observed_at_ms", "lat_e7", "lon_e7", "depth_mm")
+
+
 @query(f"""{_IMPORTED}, g AS (SELECT *, {MERCATOR} FROM pts), q AS (SELECT *, cast(floor(mx / 500.0) AS bigint) AS grid_x, cast(floor(my / 500.0) AS bigint) AS grid_y FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY grid_x, grid_y ORDER BY observed_at_ms DESC, lat_e7, lon_e7, depth_mm, unique_id, file_uuid, platform, provider, instrument) AS n, count(*) OVER (PARTITION BY grid_x, grid_y) AS c FROM q),
 a AS (SELECT grid_x, grid_y, count(*) AS samples, list_sort(list(depth_mm)) AS ds, min(depth_mm) AS min_mm, max(depth_mm) AS max_mm FROM q GROUP BY ALL)

@@ -290,6 +290,47 @@ def test_archive_of_files(spark, tmp_path):
     assert [(r.length, r.is_small) for r in crowd.small_files(spark, str(tmp_path / "files"), 5).collect()] == [(19, False)]
 
 
+def test_boxes_by_ranges_of_the_curve(spark, tmp_path):
+    from random import Random
+
+    from leadline.operators import listing, places
+
+    rng = Random(5)
+    edges = [(lat, lon) for lat in (-900_000_000, 0, 900_000_000, None, 2_000_000_000) for lon in (-1_800_000_000, -1, 0, 1, 1_800_000_000, None)]
+    some = [(rng.randrange(-900_000_000, 900_000_001), rng.randrange(-1_800_000_000, 1_800_000_001)) for _ in range(3000)] + [(rng.randrange(378_000_000, 379_000_000), rng.randrange(-1_225_000_000, -1_224_000_000)) for _ in range(3000)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(edges + some + some[:50])], "id long, lat_e7 long, lon_e7 long")
+    keys = {r.id: r.place for r in places.with_place(rows).collect()}
+    for i, (lat, lon) in enumerate(edges + some):
+        if lat is None or lon is None:
+            assert keys[i] is None
+        elif lat <= 900_000_000:
+            x, y = (lon + 1_800_000_000) // 2, lat + 900_000_000
+            assert keys[i] == sum((x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1 for k in range(31))
+    places.write_by_place(rows, str(tmp_path / "t"), 8)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    boxes = [(-122.46, 37.83, -122.45, 37.84), (-180, -90, 180, 90), (-0.5, -0.5, 0.5, 0.5), (170, -90, 180, 0), (-122.4, 37.85, -122.4, 37.85), (5, 5, 4, 6)]
+    for box in boxes:
+        cover = places.cover(box)
+        assert len(cover) <= places.MOST_RANGES and all(b < c for (_, b), (c, _) in zip(cover, cover[1:], strict=False))
+        for most in (1, 24):
+            assert sorted(r.id for r in places.within(stored, box, most).collect()) == sorted(r.id for r in rows.filter(listing.in_bbox(box)).collect())
+    area = lambda box, most: sum(b - a + 1 for a, b in places.cover(box, most))
+    exact = 50_000 * 100_000  # the first box in units of the key
+    assert area(boxes[0], 24) < 2 * exact < area(boxes[0], 4) and places.cover(boxes[1]) and not places.cover(boxes[5])
+
+    # the ranges reach the scan, and it reads few of the files' rows
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    near = places.within(stored, boxes[0])
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan()
+    shown = plan.toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(place" in shown.split("PushedFilters")[1]
+    scan = plan.collectLeaves().apply(0)
+    assert 0 < scan.metrics().apply("numOutputRows").value() < rows.count() / 4
+    assert places.within(rows, boxes[0]).count() == near.count() and places.within(stored.limit(0), boxes[0]).count() == 0
+
+
 def test_an_archive_is_read_by_its_index(spark, tmp_path):
     from leadline.sources import archive
 
