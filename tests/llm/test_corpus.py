@@ -145,6 +145,26 @@ def test_collocations_go_on_after_a_window(spark, duck, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, "f long, lang string, text string")).collect())) == collocations_twin(duck, rows)
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_collocations_shuffle_small_steps_by_side(spark, duck):
+    r = random.Random(7)
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 3000}"
+    rows = [(i, "en" if i % 5 else "de", " ".join(word() for _ in range(400)) + ".") for i in range(500)]
+    df = spark.createDataFrame(rows, "f long, lang string, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    got = sorted(map(tuple, phrases.collocations(df).collect()))
+    assert shuffled(spark) - before < 0.5 * sum(len(x[2]) for x in rows)
+    want = collocations_twin(duck, rows)
+    assert got == want and len(want) > 200
+    # many sides and chunks
+    assert sorted(map(tuple, phrases.collocations(df, chunk_words=20_000, side_keys=10_000).collect())) == want
+
+
 def test_collocations_cut_to_the_top_and_of_nothing(spark):
     df = spark.createDataFrame([("en", "a b c. d e. f g. " * 40)], "lang string, text string")
     full = sorted(map(tuple, phrases.collocations(df).collect()), key=lambda x: x[1])
