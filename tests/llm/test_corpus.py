@@ -103,6 +103,26 @@ def test_packing(spark):
     assert len(whole) == len(by_bin) and sum(len(r.ids) for r in whole) == sum(r.length for r in got)
 
 
+def test_many_units_take_few_calls_of_the_library(monkeypatch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinésшд") for _ in range(r.randint(1, 14))) + r.choice(["", "", ",", "...", "\n", "'s", "7", "  "])
+    texts = ["", " ", "x", *(" ".join(word() for _ in range(300)) for _ in range(20)), "a" * (units.WINDOW + 9), " the end"]
+    plain, calls = units.plain_tokenizer(A), []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **kw):
+            calls.append(len(batch))
+            return plain.encode_batch_fast(batch, **kw)
+
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    monkeypatch.setattr(units, "plain_tokenizer", lambda path: Counted())
+    assert [*units.UnitIds(A).texts(texts)] == want
+    assert sum(calls) < 0.5 * 20 * 300
+    few = units.UnitIds(A, most=50)
+    assert [few.text(t) for t in texts] == want and [*few.texts(texts)] == want and len(few.kept) <= 25
+    assert units.shared_units(A) is units.shared_units(A)
+
+
 def test_packing_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty, A).collect() == []
