@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leadline.llm.bpe import TABLE_BYTES, TABLE_PIECES, merges
 from leadline.llm.common import id_type, session, text_rows, written
-from leadline.llm.units import _CUT, parts, stretches, unit_ids
+from leadline.llm.units import _CUT, TOGETHER, WINDOW, parts, stretches, unit_ids
 
 #: Ranges of side ids.
 SIDES = 64
@@ -65,6 +65,16 @@ class Aligned:
         self.pairs: list[list[int]] = []
         self.chars = 0
 
+    def learn(self, texts: list[str]) -> None:
+        """Numbers the units of short texts, up to a bound, together: many at once take less time for each."""
+        found, left = set(), TOGETHER
+        for text in texts if self.splits else ():
+            if len(text) < WINDOW and left > 0:
+                left -= len(text)
+                found.update(parts(" " + text) if text else ())
+        if new := [p for p in found if p not in self.number]:
+            self._add(new)
+
     def numbers(self, text: str) -> Iterator[list[int]]:
         """The units of a text that is not empty, by number, in parts."""
         for s in stretches(" " + text) if self.splits else [" " + text]:
@@ -225,8 +235,10 @@ def _gathered(docs: DataFrame, a_path: str, b_path: str, chunk_docs: int) -> Dat
                 cols = dict(zip(("doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), zip(*out, strict=True), strict=True))
                 return batch_of(chunk=[number] * len(out), doc_id=ids.slice(k0, k - k0), **cols)
 
-            for k, value in enumerate(batch.column("text")):
-                out.append((chunk.docs, *chunk.add(value.as_py() or "")))
+            texts = [v.as_py() or "" for v in batch.column("text")]
+            chunk.units.learn(texts)
+            for k, text in enumerate(texts):
+                out.append((chunk.docs, *chunk.add(text)))
                 if chunk.full():
                     yield documents(k + 1)
                     yield from ended()

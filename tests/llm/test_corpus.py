@@ -123,6 +123,20 @@ def test_many_units_take_few_calls_of_the_library(monkeypatch):
     assert units.shared_units(A) is units.shared_units(A)
 
 
+def test_alignment_learns_units_of_a_batch_together(monkeypatch):
+    texts = ["", "alpha beta\n gamma  delta", " alpha \u2581 beta", "alpha, beta\x00 x" * 3, "y" * 100]
+    one, many, calls = alignment.Aligned(A, B), alignment.Aligned(A, B), []
+    own = alignment.unit_ids
+    monkeypatch.setattr(alignment, "unit_ids", lambda path, u: calls.append(len(u)) or own(path, u))
+    many.learn(texts)
+    assert len(calls) == 1
+    for t in filter(None, texts):
+        x, y = ([k for part in u.numbers(t) for k in part] for u in (one, many))
+        assert [(one.groups[k], one.pairs[k], *one.counts[k]) for k in x] == [(many.groups[k], many.pairs[k], *many.counts[k]) for k in y]
+    many.learn(texts)
+    assert sum(calls[1:]) == len(one.groups)
+
+
 def test_packing_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty, A).collect() == []
