@@ -20,9 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadline.llm.bpe import merges, spans_of_special
 from leadline.llm.common import id_type, session, text_rows, written
-from leadline.llm.units import shared_units
+from leadline.llm.short_units import shared_texts
 
 LIMIT = 1024
 
@@ -109,16 +108,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
     rows = text_rows(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merges(tokenizer)
-        units, task, seen = shared_units(tokenizer), TaskContext.get().partitionId(), [0] * (limit + 1)
+        own, task, seen = shared_texts(tokenizer), TaskContext.get().partitionId(), [0] * (limit + 1)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
-            cut = [[*spans_of_special(v.as_py() or "", m.special)] for v in batch.column("text")]
-            got = units.texts([part for x in cut for part, special in x if not special])
-            for k, spans in enumerate(cut):
-                out = [np.array([m.special[part]], "<u4").tobytes() if special else next(got) for part, special in spans]
-                data = memoryview(b"".join([*out, end]))
+            for k, got in enumerate(own.texts(batch.column("text"))):
+                data = memoryview(got + end)
                 a, n, p = 0, len(data) // 4, 0
                 while a < n:
                     b = a + ((n - a - 1) % limit + 1)

@@ -24,8 +24,8 @@ from leadline.llm.bpe import TABLE_BYTES, TABLE_PIECES, Encoder, closed_windows,
 WINDOW = 1 << 16
 #: From so many units on, plain words among them are merged together; texts are taken together up to so many characters.
 MANY, TOGETHER = 1000, 1 << 21
-#: Characters of a word that is merged with others.
-WORD_CHARS = 40
+#: Characters of a word that is merged with others; words in a block of short ones.
+WORD_CHARS, BLOCK = 40, 1 << 14
 
 _BORDER = regex.compile(r"(?r)\S(?= \S)")
 #: White space that a cut before each space would take from more white space, or from the end.
@@ -129,6 +129,7 @@ class Pairs:
             rest = np.setdiff1d(np.arange(len(keys)), first)
             keys, ranks = keys[rest], ranks[rest]
         self.of_byte = np.array(m.of_byte)
+        self.of_bytes = self.ranks(*np.meshgrid(self.of_byte, self.of_byte, indexing="ij"))
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys, out = (a << 24 | b).astype(np.uint64), None
@@ -167,6 +168,47 @@ class Pairs:
                     ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
         return out
 
+    def merged_short(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids words have, each one piece in a row filled up with zeros, and rows of these ids.
+
+        A word's column has its symbols, and for each the rank of its pair with the next one; every round merges each
+        word's first pair of the least rank, whose right symbol goes out of a chain of the others.
+        """
+        n, width = words.shape
+        if n > BLOCK:
+            got = [self.merged_short(words[k : k + BLOCK], sizes[k : k + BLOCK]) for k in range(0, n, BLOCK)]
+            return np.concatenate([c for c, _ in got]), np.concatenate([x for _, x in got])
+        ids = np.ascontiguousarray(self.of_byte[words].T)
+        live = np.arange(width)[:, None] < sizes
+        ranks = np.full((width, n), self.NONE)
+        pair = live[1:]
+        ranks[:-1][pair] = self.of_bytes[words.T[:-1][pair], words.T[1:][pair]]
+        after, before = (np.repeat(np.arange(width)[:, None] + k, n, 1) for k in (1, -1))
+        sizes, w = sizes.copy(), np.arange(n)
+        while len(w):
+            own = ranks[:, w]
+            at = own.argmin(0)
+            rank = own[at, np.arange(len(w))]
+            on = rank < self.NONE
+            w, at, rank = w[on], at[on], rank[on]
+            gone = after[at, w]
+            ids[at, w], live[gone, w], ranks[gone, w] = self.made[rank], False, self.NONE
+            sizes[w] -= 1
+            next_, last = after[gone, w], before[at, w]
+            after[at, w] = next_
+            ranks[at, w] = self.NONE
+            has = np.flatnonzero(next_ < width)
+            has = has[live[next_[has], w[has]]]
+            r, c, b = at[has], w[has], next_[has]
+            before[b, c] = r
+            ranks[r, c] = self.ranks(ids[r, c], ids[b, c])
+            has = np.flatnonzero(last >= 0)
+            r, c, b = last[has], w[has], at[has]
+            ranks[r, c] = self.ranks(ids[r, c], ids[b, c])
+        out = np.zeros((n, width), np.uint32)
+        out[np.arange(width) < sizes[:, None]] = ids.T[live.T]
+        return sizes, out
+
 
 @lru_cache(maxsize=2)
 def pairs_of(path: str) -> Pairs:

@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from leadline.llm import alignment, bpe, packing, phrases, queries, units
+from leadline.llm import alignment, bpe, packing, phrases, queries, short_units, units
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 BITS = [" ", " ", " ", "\n", "\t", "a", "b", "the", "'s", "é", "\xa0", "1", "12", "!", ".", " ", "　", "\x1c", "中", "​", "<|endoftext|>", "x" * 70, "▁", "<s>", "\x00", "ing", "😀"]
@@ -123,6 +124,46 @@ def test_many_units_take_few_calls_of_the_library(monkeypatch):
     assert units.shared_units(A) is units.shared_units(A)
 
 
+@pytest.mark.parametrize("together", [short_units.TOGETHER, 100])
+def test_short_units_give_what_the_library_gives(together, monkeypatch):
+    plain = Tokenizer.from_file(A)
+    bits = [*BITS, "\n\n", "\r\n", " \n", "\x85", "\u2028", "à", "×", "Ж", "ц,", "ѡ", "'", "'s,", "7.", "x.\ny", " 12", "\u180e", "a" * 17, "\n\xa0", "s.'s"]
+    r = random.Random(11)
+    texts = [x or "" for x in made(800)] + ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(1500)]
+    want = [np.array(e.ids, np.uint32).tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(short_units, "TOGETHER", together)
+    for most in (short_units.MOST, 30):
+        own = short_units.TextIds(A, most)
+        for _ in range(2):
+            assert [x for k in range(0, len(texts), 100) for x in own.texts(pa.array(texts[k : k + 100]))] == want
+    assert [*own.texts(pa.array(["a " * 90, "", "b" * 300, "é" * 200]).slice(1))] == [np.array(plain.encode(t).ids, np.uint32).tobytes() for t in ("", "b" * 300, "é" * 200)]
+
+
+def test_words_are_encoded_once_whatever_marks_and_lines_are_around(monkeypatch):
+    words = [a + b + c for a in ("ba", "lé", "жо") for b in ("ri", "to", "sä", "q") for c in ("", "n", "st")]
+    text = "".join(f" {w}{m}" for m in ("", ",", ".", ";", "!?") for w in words) + "".join(f"\n{w}" for w in words)
+    want, learnt, own = np.array(Tokenizer.from_file(A).encode(text).ids, np.uint32).tobytes(), [], short_units.fresh
+    monkeypatch.setattr(short_units, "fresh", lambda path, low, high: learnt.append(len(low)) or own(path, low, high))
+    table = short_units.TextIds(A)
+    assert [*table.texts(pa.array([text] * 3))] == [want] * 3
+    # each with a space and, after a line's end, without; marks and line ends
+    assert sum(learnt) <= 2 * len(words) + 5
+    assert [*table.texts(pa.array([text]))] == [want] and len(learnt) == 1
+    # another table's turn: what comes again is not encoded again
+    table.most = 1
+    assert [*table.texts(pa.array([text]))] == [want] and len(learnt) == 1 and table.before is not None
+
+
+def test_merges_by_column_give_what_a_heap_gives():
+    r, m = random.Random(5), bpe.merges(A)
+    words = sorted({" " * r.randint(0, 1) + "".join(r.choice("etaoinshrdlué") for _ in range(r.randint(1, 7))) for _ in range(3000)})
+    rows = np.zeros((len(words), 16), np.uint8)
+    for k, x in enumerate(words):
+        rows[k, : len(x.encode())] = [*x.encode()]
+    counts, ids = units.pairs_of(A).merged_short(rows, (rows != 0).sum(1))
+    assert [x[:k].tolist() for x, k in zip(ids, counts.tolist(), strict=True)] == [m.merge(x.encode()) for x in words]
+
+
 def test_alignment_learns_units_of_a_batch_together(monkeypatch):
     texts = ["", "alpha beta\n gamma  delta", " alpha \u2581 beta", "alpha, beta\x00 x" * 3, "y" * 100]
     one, many, calls = alignment.Aligned(A, B), alignment.Aligned(A, B), []
