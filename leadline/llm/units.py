@@ -215,13 +215,6 @@ def pairs_of(path: str) -> Pairs:
     return Pairs(path)
 
 
-def unit_ids(path: str, units: list[str]) -> list[list[int]]:
-    """Ids of each unit, in this order."""
-    if len(units) < MANY:
-        return _by_library(path, units)
-    return [memoryview(x).cast("I").tolist() for x in unit_bytes(path, units)]
-
-
 def unit_bytes(path: str, units: list[str]) -> list[bytes]:
     """Ids of each unit as unsigned 32-bit numbers; of many units, plain words are merged together."""
     if len(units) < MANY:

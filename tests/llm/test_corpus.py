@@ -178,6 +178,59 @@ def test_alignment_learns_units_of_a_batch_together(monkeypatch):
     assert sum(calls[1:]) == len(one.groups)
 
 
+def test_alignment_encodes_words_once_whatever_marks_and_lines_are_around(monkeypatch):
+    words = [a + b + c for a in ("ba", "lé", "жо") for b in ("ri", "to", "sä", "q") for c in ("", "n", "st")]
+    text = "".join(f" {w}{m}" for m in ("", ",", ".", ";", "!?") for w in words) + "".join(f"\n{w}" for w in words)
+    learnt, own = [], alignment.unit_ids
+    monkeypatch.setattr(alignment, "unit_ids", lambda path, u: learnt.append(len(u)) or own(path, u))
+    table = alignment.Aligned(A, B)
+    table.learn([text] * 3)
+    # each with a space and, after a line's end, without; marks and line ends
+    assert sum(learnt) <= 2 * len(words) + 6
+    table.learn([text])
+    assert len(learnt) == 1
+    # the next task of a worker finds the table
+    assert alignment.shared_units(A, B) is alignment.shared_units(A, B)
+
+
+def chunk_of(b_path, texts):
+    """Documents' columns without corpus counts, and the pairs' counts, from one chunk."""
+    chunk, out, k = alignment.Chunk(alignment.Aligned(A, b_path), alignment.CHUNK_DOCS), [], 0
+    while k < len(texts):
+        end = chunk.together(texts, k)
+        out += chunk.add(texts[k:end])
+        k = end
+    return out, {p: n for _, pairs, sums, *_ in chunk.rows() for p, n in zip(pairs.tolist(), sums.tolist(), strict=True)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_alignment_of_units_cut_in_bytes(small, tokenizer, monkeypatch):
+    bits = [*BITS, "\n\n", "\r\n", ";\r\n", ".\r", "\r", " \n", "\x85", "\u2028", "à", "Ж", "ц,", "'s,", "7.", "x.\ny", "\u180e", "a" * 17, "\n\xa0", "s.'s"]
+    r = random.Random(13)
+    texts = [x or "" for x in made(300)] + ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(1500)]
+    if small:  # tables of few units, texts in windows
+        monkeypatch.setattr(alignment, "MOST", 50)
+        monkeypatch.setattr(alignment, "WINDOW", 40)
+        monkeypatch.setattr(units, "WINDOW", 40)
+    got, pairs = chunk_of(B, texts)
+    want = aligned(tokenizer, texts)
+    assert got == [(*w[:4], w[6]) for w in want] and any(w[0] for w in want) and not all(w[0] for w in want)
+    assert sum(pairs.values()) == sum(w[3] for w in want)
+
+
+@pytest.mark.parametrize("how", [{"split_by_whitespace": False}, {"normalization_rule_name": "nmt_nfkc"}, {"split_by_unicode_script": False}])
+def test_alignment_with_entries_over_cuts(how, tokenizer, tmp_path, monkeypatch):
+    own = {"normalization_rule_name": "identity", "remove_extra_whitespaces": False} | how
+    lines = ["of the sea, of the sea. in the deep; of the, of the."] * 50
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", model_type="bpe", vocab_size=320, byte_fallback=True, hard_vocab_limit=False, minloglevel=2, **own)
+    monkeypatch.setitem(globals(), "B", f"{tmp_path}/m.model")
+    texts = ["of the sea, of the sea.", "in the deep;\nof the, of the", "a  b", "", "of the.\r\nx", " the sea", "ﬁ sea", " ", "the ", "sea, deep. " * 9]
+    table = alignment.Aligned(A, B)
+    assert table.whole == ("split_by_unicode_script" not in how)
+    assert table.whole or table.never[[*b".,"]].all()
+    assert chunk_of(B, texts)[0] == [(*w[:4], w[6]) for w in aligned(tokenizer, texts)]
+
+
 def test_packing_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty, A).collect() == []
