@@ -73,6 +73,15 @@ def pass_estimates(soundings: DataFrame, config: Config | None = None) -> DataFr
     return estimated(pass_rows(soundings, config or Config())).select(*PASS, "depth_m", "within_m", "oldest_ms", "newest_ms", "n")
 
 
+def settled(value: Column) -> Column:
+    """A value that is worked out once a row, whatever is filtered by it later.
+
+    Spark moves a filter below what its columns are made of and puts their expressions in place of the names, each time
+    anew where a name stands twice; of columns upon columns that grows as a power. What a generator gives stays above it.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def cluster_starts(depths: Column, threshold: float) -> Column:
     """Where clusters start in an ascending array of depths.
 
@@ -107,7 +116,7 @@ def cell_clusters(passes: DataFrame, config: Config) -> DataFrame:
             own.alias("passes"),
         )
 
-    return cells.select(*CELL, F.transform("starts", cluster).alias("clusters"))
+    return cells.select(*CELL, settled(F.transform("starts", cluster)).alias("clusters"))
 
 
 def _first(xs: Column, *keys) -> Column:
@@ -133,7 +142,7 @@ def choose(cells: DataFrame, config: Config, previous: DataFrame | None = None)
     fresh = _first(F.col("clusters"), lambda x: -x["n"], lambda x: -x["newest_ms"], lambda x: x["k"])
     cells = cells.withColumn("base", _first(F.col("clusters"), lambda x: F.abs(x["centre_m"] - F.col("before_m")), lambda x: x["k"]))
     newer = F.filter("clusters", lambda x: (x["k"] != F.col("base.k")) & (x["newest_ms"] > F.col("base.newest_ms")) & qualified(x, config))
-    cells = cells.withColumn("active", F.when(F.col("before_m").isNull(), fresh).otherwise(F.coalesce(_first(newer, lambda x: -x["newest_ms"], lambda x: x["k"]), F.col("base"))))
+    cells = cells.withColumn("active", settled(F.when(F.col("before_m").isNull(), fresh).otherwise(F.coalesce(_first(newer, lambda x: -x["newest_ms"], lambda x: x["k"]), F.col("base")))))
     others = F.filter("clusters", lambda x: x["k"] != F.col("active.k"))
     cells = cells.withColumn("shallow", _first(F.filter(others, lambda x: x["centre_m"] < F.col("active.centre_m") - floor), lambda x: x["centre_m"], lambda x: x["k"]))
     deep = F.filter(others, lambda x: (x["newest_ms"] > F.col("active.newest_ms")) & (x["centre_m"] > F.col("active.centre_m") + floor))

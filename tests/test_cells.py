@@ -9,7 +9,7 @@ import pytest
 
 from leadline.config import Config, depth_reference
 from leadline.functions import geo
-from leadline.operators import surface
+from leadline.operators import listing, surface
 from leadline.plans import store
 
 DAY = 86_400_000
@@ -48,6 +48,21 @@ def test_shoaling_then_confirmed(spark):
     assert qc.count("quarantined") == 3
 
 
+def folds_of(rows):
+    """How often the plan has the fold over a cell's passes."""
+    return rows._jdf.queryExecution().optimizedPlan().toString().count("sequence(1, (size(")
+
+
+def test_changed_cells_are_worked_out_once(spark):
+    cells = surface.build_cells(spark.createDataFrame([sounding(i, 5 - 2 * (i == 3), day=i) for i in range(4)], SCHEMA), CONFIG, updated_at_ms=7)
+    changed = listing.changes(cells, 7, "MLLW")
+    assert folds_of(changed) == 1
+    assert [r.change_state for r in changed.collect()] == ["suspected_shoaling"] and listing.changes(cells, 8, "MLLW").count() == 0
+    after = surface.build_cells(spark.createDataFrame([sounding(i, 3, day=i) for i in range(4)], SCHEMA), CONFIG, cells, 8)
+    assert folds_of(surface.history_of(after)) == 2  # the cells before are worked out too
+    assert [r.new_depth_mm for r in surface.history_of(after).collect()] == [3000]
+
+
 def test_a_weak_cell_beside_strong_ones(spark):
     x, y = HERE
     around = [(x + 1, y), (x, y + 1), (x - 1, y)]
