@@ -63,6 +63,13 @@ def test_changed_cells_are_worked_out_once(spark):
     assert [r.new_depth_mm for r in surface.history_of(after).collect()] == [3000]
 
 
+def test_the_newest_changes_are_worked_out_once(spark):
+    rows = [sounding(10 * k + i, 5 - 2 * (i == 3), day=i, cell=(HERE[0] + k, HERE[1])) for k in range(3) for i in range(4)]
+    newest = listing.changes(surface.build_cells(spark.createDataFrame(rows, SCHEMA), CONFIG, updated_at_ms=7), 0, "MLLW", 2)
+    assert folds_of(newest) == 1
+    assert [r.cell_x - HERE[0] for r in newest.collect()] == [0, 1]
+
+
 def test_a_weak_cell_beside_strong_ones(spark):
     x, y = HERE
     around = [(x + 1, y), (x, y + 1), (x - 1, y)]
