@@ -6,6 +6,7 @@ from collections import defaultdict
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadline.config import Config, depth_reference
 from leadline.functions import geo
@@ -70,6 +71,13 @@ def test_the_newest_changes_are_worked_out_once(spark):
     assert [r.cell_x - HERE[0] for r in newest.collect()] == [0, 1]
 
 
+def test_clusters_are_worked_out_once(spark):
+    s = spark.createDataFrame([sounding(i, 5 - 2 * (i == 3), day=i) for i in range(4)], SCHEMA)
+    clusters = surface.cell_clusters(surface.pass_estimates(s), CONFIG).select(*surface.CELL, F.explode("clusters").alias("c"))
+    assert folds_of(clusters) == 1
+    assert sorted((r.c.k, r.c.centre_m, r.c.n) for r in clusters.collect()) == [(0, 3.0, 1), (1, 5.0, 3)]
+
+
 def test_a_weak_cell_beside_strong_ones(spark):
     x, y = HERE
     around = [(x + 1, y), (x, y + 1), (x - 1, y)]
