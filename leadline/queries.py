@@ -864,7 +864,7 @@ def stationary_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FILLED = Config(history_resolution_s=60, minimum_speed_mps=25.0, stationary_window_s=600.0, stationary_min_samples=3)
 _X = "at_ms := r.at_ms, x := r.x"
-_NUMBERS = ", ".join(f"{n} AS (SELECT context, t // 60000 * 60000 AS at_ms, avg(x) AS x FROM v WHERE path = '{p}' GROUP BY 1, 2)" for n, p in (("depth", "depth"), ("tides", "tide"), ("sog", "sog")))
+_NUMBERS = ", ".join(f"{n} AS (SELECT context, t // 60000 * 60000 AS at_ms, list_reduce(list_sort(list(x)), lambda a, b: a + b) / count(x) AS x FROM v WHERE path = '{p}' GROUP BY 1, 2)" for n, p in (("depth", "depth"), ("tides", "tide"), ("sog", "sog")))
 
 
 @query(f"""WITH RECURSIVE {SERIES}, v AS (SELECT context, path, event_id, at_ms // 60 AS t, v_milli / 1000.0 AS x, lat_e7 / 1e7 AS la, lon_e7 / 1e7 AS lo FROM series), {_NUMBERS},
@@ -880,7 +880,7 @@ k AS (SELECT c, i, t, CASE WHEN v < 25 THEN t END AS first, t AS last, CASE WHEN
  (SELECT s.c, s.i, s.t, s.v, k.n, k.last, CASE WHEN s.t - k.last > 180000 THEN NULL ELSE k.first END AS f0, coalesce(CASE WHEN s.t - k.last > 180000 THEN NULL ELSE k.first END, s.t) AS f1 FROM k JOIN s ON s.c = k.c AND s.i = k.i + 1)),
 r AS (SELECT s.*, visit FROM s JOIN k USING (c, i)),
 w AS (SELECT c, visit, list_sort(list(dm)) AS ds, min(t) AS t0, max(t) AS t1, count(*) AS n FROM r WHERE visit IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
-g AS (SELECT *, {med('ds')} AS md, greatest(0.5, 4.5 * 1.4826 * {med("list_sort(list_transform(ds, lambda x: abs(x - " + med('ds') + ")))")}) AS gate FROM w),
+g AS (SELECT *, {med('ds')} AS md, greatest(0.5, 4.5 * (1.4826 * {med("list_sort(list_transform(ds, lambda x: abs(x - " + med('ds') + ")))")})) AS gate FROM w),
 a AS (SELECT c, visit, any_value(t0) AS t0, any_value(t1) AS t1, any_value(g.n) AS n, list_sort(list(dm)) AS ds, list_sort(list(la)) AS las FROM r JOIN g USING (c, visit) WHERE abs(dm - md) <= gate GROUP BY ALL HAVING count(*) >= 3)
 SELECT c AS context, 'history-' || strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS track, 'point' AS aggregation_kind, t AS observed_at_ms, t AS window_start_ms, 1::BIGINT AS sample_count, 0::BIGINT AS rejected_sample_count, {micro('dm')} AS datum_u, cast(floor(la * 1e7 + 0.5) AS bigint) AS lat_e7 FROM r WHERE visit IS NULL
 UNION ALL SELECT c, 'history-' || strftime(make_timestamp(t0 * 1000), '%Y-%m-%d') || '-visit-' || visit, 'stationary_window', t1, t0, len(ds), n - len(ds), {micro(med('ds'))}, cast(floor({med('las')} * 1e7 + 0.5) AS bigint) FROM a""")

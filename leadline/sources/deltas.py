@@ -46,9 +46,14 @@ def position(value: Column) -> tuple[Column, Column]:
 
 
 def resample(rows: DataFrame, by: list[str], bucket_ms: int, how: str = "first") -> DataFrame:
-    """One value a bucket of time and key, as history providers give: the first, or the mean of numbers."""
+    """One value a bucket of time and key, as history providers give: the first, or the mean of numbers.
+
+    A mean is the sum from the least number to the greatest over their count, so the order in which rows come doesn't tell.
+    For that a bucket's numbers are gathered.
+    """
+    mean = F.aggregate(F.sort_array(F.collect_list("value")), F.lit(0.0), lambda t, x: t + x) / F.nullif(F.count("value"), F.lit(0))
     b = rows.withColumn("bucket_ms", F.floor(F.col("at_ms") / bucket_ms) * bucket_ms).groupBy(*by, "bucket_ms")
-    return b.agg((F.min_by("value", "at_ms") if how == "first" else F.avg("value")).alias("value")).withColumnRenamed("bucket_ms", "at_ms")
+    return b.agg((F.min_by("value", "at_ms") if how == "first" else mean).alias("value")).withColumnRenamed("bucket_ms", "at_ms")
 
 
 _COLUMN = T.StructType([T.StructField("path", T.StringType()), T.StructField("method", T.StringType())])
