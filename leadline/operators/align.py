@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadline.config import Config
 from leadline.functions.beam import Installation, correct
 from leadline.functions.depth import corrected_sigma_m, datum_depth_m, history_horizontal_sigma_m, unaligned_sigma_m
 from leadline.functions.numbers import hypot3
-from leadline.operators.asof import in_windows, nearest, positions_at
+from leadline.operators.asof import coverage, in_windows, nearest, positions_at
 from leadline.operators.rest import reduce_windows
 
 POSITION_TOLERANCE_MS, TIDE_TOLERANCE_MS = 5000, 180_000
@@ -59,14 +59,23 @@ def corrected_history(depths: DataFrame, positions: DataFrame, rolls: DataFrame,
 
 def covered(samples: DataFrame, by: list[str], start: str, end: str, time: str, original: str, config: Config) -> DataFrame:
     """Windows whose samples leave no hole: edges within two buckets, gaps within max(5 s, 3 buckets), and enough of them."""
-    bucket = 1000 * config.history_resolution_s
     w = Window.partitionBy(*by).orderBy(time)
     gaps = samples.withColumn("_gap", F.col(time) - F.lag(time).over(w))
     g = gaps.groupBy(*by).agg(F.min(time).alias("first_ms"), F.max(time).alias("last_ms"), F.max("_gap").alias("gap_ms"), F.count("*").alias("n"), F.first(start).alias("start_ms"), F.first(end).alias("end_ms"), F.first(original).alias("original"))
-    buckets = F.floor((F.col("end_ms") - F.col("start_ms")) / bucket) + 1
-    enough = F.greatest(F.lit(config.stationary_min_samples), F.ceil(F.least(F.col("original"), buckets) * 0.8))
-    ok = (F.col("first_ms") - F.col("start_ms") <= 2 * bucket) & (F.col("end_ms") - F.col("last_ms") <= 2 * bucket) & (F.coalesce("gap_ms", F.lit(0)) <= max(5000, 3 * bucket)) & (F.col("n") >= enough)
-    return g.select(*by, "n", "gap_ms", ok.alias("is_covered"))
+    return g.select(*by, "n", "gap_ms", _is_covered("start_ms", "end_ms", "original", config).alias("is_covered"))
+
+
+def covered_windows(windows: DataFrame, samples: DataFrame, by: list[str], ids: list[str], start: str, end: str, time: str, original: str, config: Config, reach_ms: int) -> DataFrame:
+    """The same from windows (of ``reach_ms`` at most) and samples of series, of any number in a window: windows with none are left out."""
+    g = coverage(windows.select(*by, *[c for c in ids if c not in by], start, end, original), samples, by, start, end, time, reach_ms)
+    return g.select(*ids, "n", "gap_ms", _is_covered(start, end, original, config).alias("is_covered"))
+
+
+def _is_covered(start: str, end: str, original: str, config: Config) -> Column:
+    bucket = 1000 * config.history_resolution_s
+    buckets = F.floor((F.col(end) - F.col(start)) / bucket) + 1
+    enough = F.greatest(F.lit(config.stationary_min_samples), F.ceil(F.least(F.col(original), buckets) * 0.8))
+    return (F.col("first_ms") - F.col(start) <= 2 * bucket) & (F.col(end) - F.col("last_ms") <= 2 * bucket) & (F.coalesce("gap_ms", F.lit(0)) <= max(5000, 3 * bucket)) & (F.col("n") >= enough)
 
 
 def reconstruct(targets: DataFrame, corrected: DataFrame, by: list[str], config: Config) -> DataFrame:

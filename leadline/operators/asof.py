@@ -8,8 +8,14 @@ same and a hot series spreads over tasks.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadline.config import Config
 from leadline.functions.geo import destination
@@ -102,3 +108,69 @@ def in_windows(windows: DataFrame, samples: DataFrame, by: list[str], start: str
     w = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket_ms), F.floor(F.col(end) / bucket_ms))))
     s = samples.withColumn("_bucket", F.floor(F.col(time) / bucket_ms))
     return w.join(s, [*by, "_bucket"]).filter(F.col(time).between(F.col(start), F.col(end))).drop("_bucket")
+
+
+def coverage(windows: DataFrame, samples: DataFrame, by: list[str], start: str, end: str, time: str, reach_ms: int, stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """Windows that have samples, both ends included, with first_ms, last_ms, gap_ms (the longest between two, null of one) and n. No pairs are made.
+
+    Series are cut into stretches of time as long as ``reach_ms`` at least, which is how long a window can be; a longer one is
+    an error. A window goes to the stretch that it begins in, a sample to its own and to the one before, if a window can reach
+    it from there. Times are whole ms. A task holds the different times and the windows of one stretch of one series.
+    """
+    stretch = max(stretch_ms, reach_ms)
+    b, t = F.floor(F.col("_t") / stretch), F.col("_t")
+    to = F.filter(F.array(b, F.when(t - b * stretch <= reach_ms, b - 1)), lambda x: x.isNotNull())
+    times = samples.select(*by, F.col(time).cast("long").alias("_t")).dropna().groupBy(*by, "_t").agg(F.count("*").alias("_n"))
+    times = times.select(*by, "_t", "_n", F.explode(to).alias("_b"), F.lit(0).alias("_side"))
+    long = F.raise_error(F.lit(f"a window is longer than {reach_ms} ms")).cast("long")
+    given = windows.dropna(subset=[*by, start, end]).withColumns({"_t": F.col(start).cast("long"), "_e": F.when(F.col(end) - F.col(start) > reach_ms, long).otherwise(F.col(end).cast("long"))})
+    both = given.withColumns({"_b": b, "_side": F.lit(1)}).unionByName(times, allowMissingColumns=True)
+    own, found = [*by, "_b"], ["first_ms", "last_ms", "gap_ms", "n"]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in windows.schema), *(T.StructField(c, T.LongType()) for c in found)])
+    names = windows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = [*zip(*[batch.column(c).to_pylist() for c in own], strict=True)]
+            at = 0
+            while at < len(keys):
+                until = bisect_right(keys, 0, at, key=lambda k, first=keys[at]: k != first)
+                if held and keys[at] != key:
+                    yield from measured(held)
+                    held = []
+                key = keys[at]
+                held.append(batch.slice(at, until - at))
+                at = until
+        if held:
+            yield from measured(held)
+
+    def measured(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        m = int((rows["_side"].to_numpy() == 0).sum())
+        at, own_windows = rows["_t"].slice(0, m).to_numpy(), rows.slice(m)
+        if m in (0, len(rows)):
+            return
+        counts = np.concatenate([[0], np.cumsum(rows["_n"].slice(0, m).to_numpy())])
+        lo, hi = np.searchsorted(at, own_windows["_t"].to_numpy(), "left"), np.searchsorted(at, own_windows["_e"].to_numpy(), "right")
+        has = hi > lo
+        lo, hi = lo[has], hi[has]
+        n, gap = counts[hi] - counts[lo], _longest(np.diff(at), lo, hi - 1)
+        new = [at[lo], at[hi - 1], pa.array(gap, pa.int64(), mask=n < 2), n]
+        kept = own_windows.select(names).filter(pa.array(has)).combine_chunks()
+        for c, values in zip(found, new, strict=True):
+            kept = kept.append_column(c, pa.array(values, pa.int64()) if isinstance(values, np.ndarray) else values)
+        yield from kept.to_batches(max_chunksize=10_000)
+
+    return both.repartition(*own).sortWithinPartitions(*own, "_side", "_t").mapInArrow(run, schema)
+
+
+def _longest(gaps: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The greatest of gaps[lo:hi] for each pair, 0 of none: of two runs of a power of two that cover it, one power at a time."""
+    out = np.zeros(len(lo), np.int64)
+    power = np.frexp(hi - lo)[1] - 1
+    for k in range(int(power.max(initial=-1)) + 1):
+        w = np.flatnonzero(power == k)
+        out[w] = np.maximum(gaps[lo[w]], gaps[hi[w] - 2**k])
+        gaps = np.maximum(gaps[: -(2**k)], gaps[2**k :])
+    return out

@@ -783,8 +783,7 @@ SELECT window_id, n, gap_ms, lead_ms <= 120000 AND tail_ms <= 120000 AND coalesc
 def reconstruct_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _values(spark, sf_dir, "tide")
     w = t.select(F.col("event_id").alias("window_id"), "context", (F.col("at_ms") - 1_800_000).alias("start_ms"), (F.col("at_ms") + 1_800_000).alias("end_ms"), F.lit(12).alias("original"))
-    s = asof.in_windows(w, _values(spark, sf_dir, "depth"), ["context"], "start_ms", "end_ms", "at_ms", HOUR)
-    return align.covered(s, ["window_id"], "start_ms", "end_ms", "at_ms", "original", Config(history_resolution_s=60))
+    return align.covered_windows(w, _values(spark, sf_dir, "depth"), ["context"], ["window_id"], "start_ms", "end_ms", "at_ms", "original", Config(history_resolution_s=60), HOUR)
 
 
 @query(f"""{_CHANNELS.replace('WITH', 'WITH RECURSIVE')}, o AS (SELECT context, event_id, at_ms, v_milli / 1000.0 AS h, row_number() OVER (PARTITION BY context ORDER BY at_ms, event_id) AS i FROM tide),

@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -315,3 +316,31 @@ def test_one_key_at_rest_spreads_over_tasks(spark):
     r = got.agg(F.max("visit").alias("visits"), F.count_distinct("p").alias("tasks"), F.count("*").alias("n")).first()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert (r.n, r.visits) == (7 * 24 * 60, -(-7 * 24 * 60 // 11)) and r.tasks > 1
+
+
+def test_windows_are_measured_without_pairs(spark):
+    rng = random.Random(5)
+    samples = [(rng.choice(["a", "b"]), rng.randrange(-5000, 20_000) // rng.choice([1, 500]) * rng.choice([1, 1, 3])) for _ in range(300)]
+    samples += samples[:40] + [(None, 5), ("a", None)]
+    windows = [(i, rng.choice(["a", "b", "c"]), s := rng.randrange(-6000, 60_000), s + rng.choice([0, 10, 700, 3000, -5])) for i in range(400)] + [(400, None, 0, 3000), (401, "a", None, 3000), (402, "a", samples[0][1] or 0, samples[0][1] or 0)]
+    w = spark.createDataFrame(windows, "id long, context string, s long, e long")
+    rows = spark.createDataFrame(samples, "context string, at_ms long")
+    for stretch in (3000, 4096, 10**6):
+        got = {r.id: (r.context, r.s, r.e, r.first_ms, r.last_ms, r.gap_ms, r.n) for r in asof.coverage(w, rows, ["context"], "s", "e", "at_ms", 3000, stretch).collect()}
+        want = {}
+        for i, c, s, e in windows:
+            t = sorted(x for k, x in samples if None not in (k, x, c, s) and k == c and s <= x <= e)
+            if t:
+                want[i] = (c, s, e, t[0], t[-1], max((b - a for a, b in pairwise(t)), default=None), len(t))
+        assert got == want
+    with pytest.raises(Exception, match="longer than 2999 ms"):
+        asof.coverage(w, rows, ["context"], "s", "e", "at_ms", 2999).collect()
+    # what the pairs say, said without them
+    second = Config(history_resolution_s=1)
+    v = w.withColumn("original", F.lit(3)).filter("id < 400")
+    of = lambda df: sorted((r.id, r.n, r.gap_ms, r.is_covered) for r in df.collect())
+    assert of(align.covered_windows(v, rows, ["context"], ["id"], "s", "e", "at_ms", "original", second, 3000)) == of(align.covered(asof.in_windows(v.filter("s <= e"), rows, ["context"], "s", "e", "at_ms", 1000), ["id"], "s", "e", "at_ms", "original", second))
+
+
+def test_windows_of_the_query_are_joined_with_no_samples(spark, sf):
+    assert "Join" not in queries.QUERIES["reconstruct_ok"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
